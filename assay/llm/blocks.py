@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ def unzip_bytes(data: bytes) -> bytes:
 def stable(df: DataFrame, label: str) -> DataFrame:
     """df itself if it is a narrow plan over files, else a staged copy."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    narrow = all(line.lstrip(" :+-*").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
+    narrow = all(line.lstrip(" :+-*").startswith(("Project", "Filter", "Relation", "LocalRelation", "Union")) for line in plan.splitlines() if line.strip())
     return df if narrow else staged(df, label)
 
 
@@ -87,7 +88,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(lengths), 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0

@@ -30,6 +30,9 @@ from assay.llm.blocks import Block, exchange, rejoin, stable, unzip_bytes, zip_b
 from assay.llm.common import ragged
 
 ODD = re.compile("[^\x00-\xff]|<\\|")
+#: A lower-case word that is merged by itself, then marks that are merged by themselves.
+STEM = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 BATCH = 2048
 
 
@@ -53,6 +56,8 @@ def pieces(path: str) -> pa.Array:
 
 def words_of(text: bytes) -> list[bytes]:
     """Words between ASCII white space, lower-cased where that can't change the encoding."""
+    if text.isascii() and b"<|" not in text:
+        return text.lower().split()
     s = text.decode()
     return (text if ODD.search(s) else s.lower().encode()).split()
 
@@ -65,8 +70,8 @@ def _distinct(block: Block) -> list[bytes]:
 
 
 def _by_bucket(words: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of each bucket's words, in order."""
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n for w in words), np.int64, len(words))
+    """Positions of each bucket's words, in order; a word and its forms with marks share a bucket."""
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w.rstrip(MARKS)) % n for w in words), np.int64, len(words))
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for k, at in enumerate(cuts):
@@ -79,6 +84,21 @@ def _word_lists(block: Block, n: int) -> Iterator[tuple[int, bytes]]:
         yield bucket, zip_bytes(b" ".join([words[i] for i in at.tolist()]))
 
 
+def encode_words(t, words: list[bytes]) -> list[list[int]]:
+    """Ids of each word. Plain words and the marks after them are encoded once for all words that share them."""
+    known: dict[bytes, list[int]] = {}
+    plain = [STEM.fullmatch(w) for w in words]
+    for m in plain:
+        if m and m[1] not in known:
+            known[m[1]] = [x.id for x in t.model.tokenize(m[1].decode())]
+    rest = [w for w, m in zip(words, plain, strict=True) if not m] + list({m[2] for m in plain if m and m[2]})
+    own: dict[bytes, list[int]] = {b"": []}
+    for at in range(0, len(rest), 4096):
+        run = rest[at : at + 4096]
+        own.update(zip(run, (e.ids for e in t.encode_batch_fast([w.decode() for w in run], add_special_tokens=False)), strict=True))
+    return [known[m[1]] + own[m[2]] if m else own[w] for w, m in zip(words, plain, strict=True)]
+
+
 def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     def resolve(lists: list[bytes]) -> list[bytes]:
         t = tokenizer(path)
@@ -87,10 +107,7 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         for words in lists:
             for w in words:
                 number.setdefault(w, len(number))
-        ids: list[list[int]] = []
-        todo = list(number)
-        for at in range(0, len(todo), 4096):
-            ids += [e.ids for e in t.encode_batch_fast([w.decode() for w in todo[at : at + 4096]], add_special_tokens=False)]
+        ids = encode_words(t, list(number))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for e in ids for i in e), np.uint32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
@@ -105,7 +122,11 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
 def _ids(block: Block, answer: dict[int, bytes], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, tokens of each row, their ids) for runs of rows."""
-    words = _distinct(block)
+    local: dict[bytes, int] = {}
+    lists = [np.array([local.setdefault(w, len(local)) for w in words_of(x)], np.int32) for x in block.texts]
+    words = sorted(local)
+    place = np.zeros(len(words), np.int64)
+    place[np.fromiter((local[w] for w in words), np.int64, len(words))] = np.arange(len(words))
     lengths = np.zeros(len(words), np.int64)
     parts, firsts, size = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64), 0
     for bucket, at in _by_bucket(words, n):
@@ -115,12 +136,10 @@ def _ids(block: Block, answer: dict[int, bytes], n: int) -> Iterator[tuple[int,
         parts.append(got[len(at) :])
         size += len(got) - len(at)
     flat = np.concatenate(parts)
-    number = {w: i for i, w in enumerate(words)}
-    texts = block.texts
-    for row in range(0, len(texts), BATCH):
-        lists = [[number[w] for w in words_of(x)] for x in texts[row : row + BATCH]]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
+    for row in range(0, len(lists), BATCH):
+        run = lists[row : row + BATCH]
+        counts = np.fromiter(map(len, run), np.int64, len(run))
+        at = place[np.concatenate(run)]
         each = lengths[at]
         ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
         yield row, np.diff(ends, prepend=0), flat[ragged(firsts[at], each)]

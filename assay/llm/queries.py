@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
+#: Key of the surrogates; a deployment passes its own secret.
+KEY = "assay-surrogates"
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -33,8 +35,48 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.common import crc_mod
+    from assay.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    return predict(docs, *train(docs.where(~held_out)), more={"held_out": held_out})
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.common import crc_mod
+    from assay.llm.lm import lm_scores
+
+    rest = crc_mod("doc_id", 7)
+    return lm_scores(table(spark, sf_dir, "documents"), learn=rest != 2, tune=rest == 3, more={"held_out": rest == 2})
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY).select("doc_id", "pii.n_entities", "text")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "rules.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op4_lm": op4_lm,
+    "op5_warc": op5_warc,
+    "op7_pii": op7_pii,
+    "op9_rules": op9_rules,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
