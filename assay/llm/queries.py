@@ -44,6 +44,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, *train(docs.where(~held_out)), more={"held_out": held_out})
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assay.llm.common import crc_mod
     from assay.llm.lm import lm_scores
@@ -73,6 +79,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
+    "op3_neardup": op3_neardup,
     "op4_lm": op4_lm,
     "op5_warc": op5_warc,
     "op7_pii": op7_pii,
