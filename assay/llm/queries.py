@@ -70,6 +70,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), KEY).select("doc_id", "pii.n_entities", "text")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.chosenpath import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assay.llm.rules import quality_rules
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm": op4_lm,
     "op5_warc": op5_warc,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
     "op9_rules": op9_rules,
     "op10_packing": op10_packing,
 }
