@@ -64,6 +64,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assay.llm.suffixes import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assay.llm.pii import pseudonymise
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op4_lm": op4_lm,
     "op5_warc": op5_warc,
+    "op6_suffixes": op6_suffixes,
     "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_rules": op9_rules,
