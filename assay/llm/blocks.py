@@ -14,6 +14,7 @@ of a shuffle; `stable` makes it one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import buckets, staged
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 EXCHANGE = "block binary, bucket int, body binary"
 
 
@@ -103,6 +104,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield made()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _rows(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
     block, bucket, body = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(block, pa.binary()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["block", "bucket", "body"])
@@ -135,12 +145,14 @@ def exchange(
             rows = [(block.name, bucket, body) for bucket, body in keys(block, n)]
             for at in range(0, len(rows), 512):
                 yield _rows(rows[at : at + 512])
+            trim()
 
     def answer(batches):
         for bucket, got in _by(batches, "bucket").items():
             names = [name for name, _ in got]
             for name, body in zip(names, resolve([body for _, body in got]), strict=True):
                 yield _rows([(name, bucket, body)])
+            trim()
 
     sent = docs.mapInArrow(send, EXCHANGE)
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, EXCHANGE)
@@ -152,6 +164,7 @@ def rejoin(docs: DataFrame, answers: DataFrame, apply: Callable[[Block, dict[int
     def send(batches):
         for block in _cut(batches):
             yield _rows([(block.name, -1, block.pack())])
+            trim()
 
     def meet(batches):
         for name, got in _by(batches, "block").items():
@@ -161,6 +174,7 @@ def rejoin(docs: DataFrame, answers: DataFrame, apply: Callable[[Block, dict[int
                     block = Block.unpack(body)
                     block.name = name
                     yield from apply(block, answer)
+            trim()
 
     return docs.mapInArrow(send, EXCHANGE).unionByName(answers).repartition(F.col("block")).mapInArrow(meet, schema)
 
