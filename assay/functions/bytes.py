@@ -1,0 +1,93 @@
+"""Features of bytes and strings. Built-ins where they can; Arrow batches for what they can't."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PRINTABLE_RUN = r"[\x20-\x7e]{5,}"
+
+
+def byte_counts(rows: DataFrame, id_col: str, data_col: str) -> DataFrame:
+    """id, histogram array<bigint>(256), entropy, n_bytes of a binary column, by numpy on Arrow buffers."""
+    schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, histogram array<bigint>, entropy double, n_bytes bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([np.bincount(np.frombuffer(x or b"", np.uint8), minlength=256) for x in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, 256), np.int64)
+            n = counts.sum(1)
+            p = counts / np.maximum(n, 1)[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                h = -np.nansum(np.where(p > 0, p * np.log2(p), 0), 1) + 0.0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 256 * len(n) + 1, 256), pa.int32()), pa.array(counts.ravel().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(h), pa.array(n.astype(np.int64))], [id_col, "histogram", "entropy", "n_bytes"])
+
+    return rows.select(id_col, F.col(data_col).cast("binary")).mapInArrow(run, schema)
+
+
+def printable_profile(text: Column) -> dict[str, Column]:
+    """Printable runs of five or more: their number, total and mean length, and what they look like."""
+    runs = F.regexp_extract_all(text, F.lit(f"({PRINTABLE_RUN})"), F.lit(1))
+    n, total = F.size(runs), F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
+    count = lambda p: F.size(F.filter(runs, lambda x: F.lower(x).contains(p)))
+    return {"n_runs": n, "run_chars": total, "mean_run": F.when(n > 0, total / n), "urls": count("http"), "registry": count("hkey_"), "paths": count("c:\\")}
+
+
+def murmur3_32(data: bytes, seed: int = 0) -> int:
+    """MurmurHash3 x86 32-bit as a signed integer (the published algorithm)."""
+    c1, c2, m = 0xCC9E2D51, 0x1B873593, 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    h, n = seed, len(data)
+    for at in range(0, n - n % 4, 4):
+        k = rot(int.from_bytes(data[at : at + 4], "little") * c1 & m, 15) * c2 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+    if n % 4:
+        h ^= rot(int.from_bytes(data[n - n % 4 :], "little") * c1 & m, 15) * c2 & m
+    h ^= n
+    for shift, mult in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> shift)) * mult & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@F.pandas_udf(T.IntegerType())
+def murmur3(tokens: pd.Series) -> pd.Series:
+    """Each distinct token of a batch is hashed once."""
+    code, distinct = pd.factorize(tokens)
+    hashed = np.array([murmur3_32(str(t).encode()) for t in distinct] + [0], np.int32)
+    return pd.Series(hashed[code]).where(tokens.notna().reset_index(drop=True))
+
+
+def hashed_features(tokens: DataFrame, width: int, id_col: str = "row_id", token_col: str = "token", signed: bool = True) -> DataFrame:
+    """The hashing trick as an aggregation: id, bucket |h| mod width, and the sum of signs."""
+    h = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).alias("n")).withColumn("h", murmur3(token_col).cast("bigint"))
+    sign = F.when(F.col("h") >= 0, 1).otherwise(-1) if signed else F.lit(1)
+    return h.groupBy(id_col, (F.abs("h") % width).cast("int").alias("bucket")).agg(F.sum(sign * F.col("n")).alias("weight"))
+
+
+def block_entropies(rows: DataFrame, id_col: str, data_col: str, window: int = 2048, step: int = 1024) -> DataFrame:
+    """id, hist array<bigint>(256): 16 x 16 counts of (entropy bin of a window's high nibbles, nibble)."""
+    schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, hist array<bigint>"
+
+    def one(data: bytes) -> np.ndarray:
+        a = np.frombuffer(data, np.uint8) >> 4
+        out = np.zeros((16, 16), np.int64)
+        starts = range(0, len(a) - window + 1, step) if len(a) >= window else (0,)
+        for s in starts:
+            c = np.bincount(a[s : s + window], minlength=16)
+            p = c[c > 0].astype(np.float32) / np.float32(window)
+            h = min(int(-(p * np.log2(p)).sum() * 2 * 2), 15)
+            out[max(h, 0)] += c
+        return out.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x or b"").tolist() for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], [id_col, "hist"])
+
+    return rows.select(id_col, F.col(data_col).cast("binary")).mapInArrow(run, schema)
