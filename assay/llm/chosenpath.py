@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.blocks import by_group, stable
+from assay.llm.blocks import by_group, stable, trim, unzip_bytes, zip_bytes
 from assay.llm.common import mix64, ragged, staged
 from assay.llm.components import components, stars
 
 WORDS, THRESHOLD, RECALL, LIMIT, CHUNK, SKETCH, FIRST, DEPTH = 5, 0.8, 0.99, 64, 1024, 0.5, 2.5, 3
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+#: Bits of the filter that spares the paths of small buckets: 4 MB, whatever the corpus.
+FILTER_BITS = 1 << 25
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +44,33 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     number: dict[bytes, int] = {}
     lists = [[number.setdefault(w, len(number)) for w in (t.lower() if t.isascii() else t.decode().lower().encode()).split()] for t in texts]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    parts = []
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    if not lengths.sum():
+        return np.zeros(0, np.uint64), np.zeros(len(lists), np.int64)
+    h = hashes[np.fromiter((i for ids in lists for i in ids), np.int64, int(lengths.sum()))]
+    ends = np.cumsum(lengths)
+    # words from each position to the end of its text; a text below `words` has one shingle, of all its words
+    left = np.repeat(ends, lengths) - np.arange(len(h))
+    size = np.minimum(left, words)
+    mixed = size.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for ids in lists:
-            h = hashes[np.array(ids, np.int64)]
-            n = max(len(h) - words + 1, min(len(h), 1))
-            mixed = np.full(n, min(len(h), words), np.uint64)
-            for k in range(min(len(h), words)):
-                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-                mixed ^= mixed >> np.uint64(32)
-            parts.append(np.unique(mix64(mixed)))
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
+        for k in range(min(words, len(h))):
+            more = size > k
+            step = mixed[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
+            step ^= step >> np.uint64(32)
+            mixed[: len(h) - k] = np.where(more[: len(h) - k], step, mixed[: len(h) - k])
+    first = np.zeros(len(h), bool)
+    first[(ends - lengths)[lengths > 0]] = True
+    keep = (left >= words) | first
+    tokens = mix64(mixed[keep])
+    counts = np.where(lengths > 0, np.maximum(lengths - words + 1, 1), 0)
+    stops = np.cumsum(counts)
+    for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True):
+        tokens[a:b].sort()
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    new[(stops - counts)[counts > 0]] = True
+    return tokens[new], np.diff(np.concatenate([[0], np.cumsum(new)])[stops], prepend=0)
 
 
 def runs_for(threshold: float, recall: float, first: float = FIRST, depth: int = DEPTH) -> int:
@@ -67,16 +84,23 @@ def runs_for(threshold: float, recall: float, first: float = FIRST, depth: int =
 
 def _choose(tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, seeds: np.ndarray, expect: float) -> tuple[np.ndarray, np.ndarray]:
     """For each (set, seed): the sampled tokens; (which pair, new path)."""
-    at = ragged(starts, counts)
-    pair = np.repeat(np.arange(len(seeds)), counts)
-    own = tokens[at]
-    chance = np.minimum(expect / np.maximum(counts, 1), 1.0) * 2.0**63
-    keep = np.flatnonzero((mix64(own ^ seeds[pair]) >> np.uint64(1)) < chance[pair].astype(np.uint64))
-    return pair[keep], mix64(own[keep] + mix64(seeds[pair[keep]]))
-
-
-def level_keys(tokens: np.ndarray, counts: np.ndarray, depth: int, runs: int, threshold: float, first: float = FIRST) -> list[tuple[np.ndarray, ...]]:
-    """Rows (set, path of level 1, ... of the given depth), one array set a level."""
+    if not len(seeds):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    own = tokens[ragged(starts, counts)]
+    # tokens and seeds are mixed already: a product's high bits are enough for the test
+    with np.errstate(over="ignore"):
+        test = own ^ np.repeat(seeds, counts)
+        test *= np.uint64(0x9FB21C651E98DF25)
+    test >>= np.uint64(1)
+    chance = (np.minimum(expect / np.maximum(counts, 1), 1.0) * 2.0**63).astype(np.uint64)
+    keep = np.flatnonzero(test < np.repeat(chance, counts))
+    pair = np.searchsorted(np.cumsum(counts), keep, side="right")
+    return pair, mix64(own[keep] + mix64(seeds[pair]))
+
+
+def level_keys(tokens: np.ndarray, counts: np.ndarray, depth: int, runs: int, threshold: float, first: float = FIRST, deep: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+    """Rows (set, path of level 1, ... of the given depth), one array set a level. Paths that the bits `deep` rule
+    out are not followed."""
     starts = np.cumsum(counts) - counts
     n = len(counts)
     out: list[tuple[np.ndarray, ...]] = []
@@ -88,6 +112,9 @@ def level_keys(tokens: np.ndarray, counts: np.ndarray, depth: int, runs: int, th
         path.append(key)
     rows = (np.concatenate(which), np.concatenate(path))
     out.append(rows)
+    if deep is not None:
+        go = in_bits(deep, rows[1])
+        rows = tuple(c[go] for c in rows)
     for _ in range(1, depth):
         owner = rows[0]
         pair, key = _choose(tokens, starts[owner], counts[owner], rows[-1], 1 / threshold)
@@ -96,6 +123,20 @@ def level_keys(tokens: np.ndarray, counts: np.ndarray, depth: int, runs: int, th
     return out
 
 
+def key_bits(keys: np.ndarray) -> np.ndarray:
+    """A Bloom filter of fixed size, with two bits a key."""
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[(keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+    bits[((keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def in_bits(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = lambda k: (packed[k >> 3] >> (7 - (k & 7))) & 1
+    low, high = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bit(low) & bit(high)).astype(bool)
+
+
 def sketch(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """64 bytes a set: the top byte of the least hash in each of 64 bins, 255 for an empty bin."""
     u = mix64(tokens ^ np.uint64(0x5851F42D4C957F2D))
@@ -180,6 +221,21 @@ def _candidates(group: pa.Table, threshold: float) -> np.ndarray:
     return pairs
 
 
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """The filter of all keys: each of at most eight tasks sends one of fixed size."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            bits |= key_bits(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zip_bytes(bits.tobytes())], pa.binary())})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in keys.coalesce(8).mapInArrow(part, "bits binary").collect():
+        out |= np.frombuffer(unzip_bytes(row.bits), np.uint8)
+    return out
+
+
 def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(nodes (node, size, weight), links (node, links, root)) over distinct texts with words."""
     texts = stable(docs.select(F.col(text_col).alias("text")).where("text is not null"), "path-docs").select(F.xxhash64("text").alias("node"), "text")
@@ -217,7 +273,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, tokens, counts in sets_of(batches, set()):
-            levels = level_keys(tokens, counts, DEPTH, runs, threshold)
+            levels = level_keys(tokens, counts, DEPTH, runs, threshold, deep=deep.value)
             for rows in levels[1:]:
                 pads = [pa.nulls(len(rows[0]), pa.int64())] * (DEPTH + 1 - len(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(node[rows[0]]), *[pa.array(k.view(np.int64)) for k in rows[1:]], *pads], ["node", *[f"k{i}" for i in range(1, DEPTH + 1)]])
@@ -231,6 +287,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
     leaves = met.join(counts.where(F.col("n") <= LIMIT), "k1").select("node", F.col("k1").alias("leaf"), "n")
     big = counts.where(F.col("n") > LIMIT).select("k1")
     if not big.isEmpty():
+        deep = docs.sparkSession.sparkContext.broadcast(_filter_of(big))
         rows = texts.mapInArrow(deeper, "node bigint, " + ", ".join(f"k{i} bigint" for i in range(1, DEPTH + 1)))
         rows = staged(rows.join(big, "k1").distinct(), "path-deep")
         for level in range(2, DEPTH + 1):
