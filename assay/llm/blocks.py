@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from assay.llm.common import buckets, staged
 
 BLOCK_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 EXCHANGE = "block binary, bucket int, body binary"
 
 
@@ -69,8 +70,8 @@ class Block:
         return Block(pa.ipc.open_stream(data).read_all())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Whole documents, cut after BLOCK_BYTES of text; named by content."""
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
+    """Whole documents, cut after block_bytes of text; named by content."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -93,11 +94,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         ends, at = np.cumsum(lengths), 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            stop = min(batch.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - size)) + 1)
+            stop = min(batch.num_rows, int(np.searchsorted(ends, before + block_bytes - size)) + 1)
             held.append(batch.slice(at, stop - at))
             size += int(ends[stop - 1]) - before
             at = stop
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield made()
                 held, size = [], 0
     if held:
@@ -128,10 +129,16 @@ def _by(batches: Iterator[pa.RecordBatch], key: str) -> dict:
     return out
 
 
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of a few MB: both sides hold a batch as a whole, outside Spark's memory accounts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def exchange(
     docs: DataFrame,
     keys: Callable[[Block, int], Iterator[tuple[int, bytes]]],
     resolve: Callable[[list[bytes]], list[bytes]],
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(block, bucket, body): for each list of keys that a block sent, what its bucket answers.
 
@@ -139,9 +146,10 @@ def exchange(
     bucket and gives the answers in the same order.
     """
     n = buckets(docs.sparkSession)
+    small_batches(docs)
 
     def send(batches):
-        for block in _cut(batches):
+        for block in _cut(batches, block_bytes):
             rows = [(block.name, bucket, body) for bucket, body in keys(block, n)]
             for at in range(0, len(rows), 512):
                 yield _rows(rows[at : at + 512])
@@ -158,11 +166,12 @@ def exchange(
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, EXCHANGE)
 
 
-def rejoin(docs: DataFrame, answers: DataFrame, apply: Callable[[Block, dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def rejoin(docs: DataFrame, answers: DataFrame, apply: Callable[[Block, dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Bring the answers back to the documents of their blocks: apply(block, {bucket: answer})."""
+    small_batches(docs)
 
     def send(batches):
-        for block in _cut(batches):
+        for block in _cut(batches, block_bytes):
             yield _rows([(block.name, -1, block.pack())])
             trim()
 
@@ -185,6 +194,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[str
     Unlike a grouped map there is no call into Python and no Arrow stream for each group.
     """
     names = [part.split()[0] for part in schema.split(", ")]
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

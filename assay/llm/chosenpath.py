@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.blocks import by_group, stable, trim, unzip_bytes, zip_bytes
+from assay.llm.blocks import by_group, small_batches, stable, trim, unzip_bytes, zip_bytes
 from assay.llm.common import mix64, ragged, staged
 from assay.llm.components import components, stars
 
@@ -240,6 +240,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
     """(nodes (node, size, weight), links (node, links, root)) over distinct texts with words."""
     texts = stable(docs.select(F.col(text_col).alias("text")).where("text is not null"), "path-docs").select(F.xxhash64("text").alias("node"), "text")
     runs = runs_for(threshold, recall)
+    small_batches(docs)
 
     def sets_of(batches: Iterator[pa.RecordBatch], seen: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(node, tokens, counts) of texts with words; a text that occurs again in the task is left out."""

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.blocks import small_batches
+
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 1024
 SLICE = 1 << 12
@@ -97,6 +99,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         total = sum(np.frombuffer(body, np.int64) for body in rows.column("counts").to_pylist())
         return pa.table({"lang": [key[0].as_py()], "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
+    small_batches(docs)
     form = "lang string, slice int, counts binary"
     partial = rows.mapInArrow(count, form)
     found = partial.groupBy("lang", "slice").applyInArrow(add, form).collect()  # languages x BUCKETS counters
@@ -113,6 +116,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
     """Per row: id, further columns, lang_pred string, score double (its posterior probability)."""
+    small_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
     rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in (more or {}).items()], F.col(text_col).alias("text"))
     kept = [f.name for f in rows.schema.fields[:-1]]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import EXCHANGE, Block, exchange, rejoin, stable, unzip_bytes, zip_bytes
+from assay.llm.blocks import EXCHANGE, Block, exchange, rejoin, stable, trim, unzip_bytes, zip_bytes
 from assay.llm.common import buckets, mix64, staged
 from assay.llm.lm import _cuts, _squeeze, _unsqueeze
 
@@ -47,6 +47,7 @@ ENTRY = 2 + LENGTH + 1 + BEFORE + 1
 SUFFIX_END = LENGTH + 1
 NEVER = (1 << 63) - 1
 RUN_BYTES = 256 << 10
+BLOCK_BYTES = 8 << 20
 
 
 def kmer_hashes(b: np.ndarray) -> np.ndarray:
@@ -368,6 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for bucket in sorted(held):
             got = held.pop(bucket)
             bodies = _window_bits([body for _, body in got])
+            trim()
             yield pa.RecordBatch.from_pydict({"block": pa.array([x for x, _ in got], pa.binary()), "bucket": pa.array([bucket + n] * len(got), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     def mark(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
@@ -405,8 +407,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for at in range(0, whole.num_rows, 2048):
             yield whole.slice(at, 2048)
 
-    shared = staged(exchange(rows, _anchor_keys, _shared_anchors), "suffix-anchors")
-    runs = rejoin(rows, shared, entries, EXCHANGE)
+    shared = staged(exchange(rows, _anchor_keys, _shared_anchors, BLOCK_BYTES), "suffix-anchors")
+    runs = rejoin(rows, shared, entries, EXCHANGE, BLOCK_BYTES)
     bits = staged(runs.repartitionById(n, F.col("bucket")).mapInArrow(merge, EXCHANGE), "suffix-bits")
-    got = rejoin(rows, shared.unionByName(bits), mark, schema)
+    got = rejoin(rows, shared.unionByName(bits), mark, schema, BLOCK_BYTES)
     return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c != text_col], F.struct(*[k for k, _ in made]).alias("dedup"))
