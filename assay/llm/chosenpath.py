@@ -331,7 +331,18 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
 
     found = staged(by_group(members, ["leaf", "gi", "gj"], active, "leaf bigint, gi bigint, gj bigint, c bigint, node bigint"), "path-active")
     whole = found.join(leaves.groupBy("node").agg(F.collect_list("leaf").alias("leaves")), "node").join(nodes.select("node", "size", "sketch", "weight"), "node")
-    reps = texts.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    near = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select("node").distinct()))
+
+    def active_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            at = [i for i in np.flatnonzero(in_bits(near.value, node.view(np.uint64))).tolist() if not (node[i] in seen or seen.add(node[i]))]
+            if at:
+                yield batch.take(pa.array(at))
+
+    # the filter lets few other texts pass, and the join drops those
+    reps = texts.mapInArrow(active_texts, "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
     links = by_group(whole.join(reps, "node"), ["leaf", "gi", "gj"], verify, "node bigint, links bigint, root bigint")
     return nodes.select("node", "size", "weight"), staged(links, "path-links")
 
