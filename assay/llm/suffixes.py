@@ -48,6 +48,8 @@ SUFFIX_END = LENGTH + 1
 NEVER = (1 << 63) - 1
 RUN_BYTES = 256 << 10
 BLOCK_BYTES = 8 << 20
+#: Buckets of entries for each bucket of anchors: a task merges one after another.
+FINE = 4
 
 
 def kmer_hashes(b: np.ndarray) -> np.ndarray:
@@ -160,7 +162,7 @@ class Entries:
                 a, b = cuts[bucket], cuts[bucket + 1]
                 keep[a:b] = np.unpackbits(np.frombuffer(unzip_bytes(body), np.uint8))[: b - a]
         key = key[keep]
-        home = np.searchsorted(_cuts(key, n)[1:-1], np.arange(len(key)), side="right") if n > 1 else np.zeros(len(key), np.int64)
+        home = np.searchsorted(_cuts(key, n * FINE)[1:-1], np.arange(len(key)), side="right")
         rows, owners, places, valid = [], [], [], []
         for first, b, ends, at, h in found:
             k = np.searchsorted(key, h)
@@ -307,8 +309,10 @@ def _window_bits(bodies: list[bytes]) -> list[bytes]:
     base = np.cumsum(sizes) - sizes
     source = base[np.array(which, np.int64)] + np.array(where, np.int64)
     ids = np.concatenate([i for _, _, i in runs])[source]
-    flat = [e for entries, _, _ in runs for e in entries]
-    entry = np.frombuffer(b"".join([flat[i] for i in source.tolist()]), np.uint8).reshape(n, ENTRY)[:, 2:]
+    flat = np.frombuffer(b"".join([e for entries, _, _ in runs for e in entries]), np.uint8).reshape(n, ENTRY)
+    del runs, which, where
+    entry = flat[source, 2:]
+    del flat
     forward = np.minimum(np.array(common, np.int64) - 2, LENGTH)
     span, left = entry[:, LENGTH].astype(np.int64) - 1, entry[:, -1].astype(np.int64) - 1
     before = np.ascontiguousarray(entry[:, SUFFIX_END:])
@@ -346,7 +350,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank = F.col(id_col).cast("bigint")
     rows = docs.select(rank.alias("rank"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep) if c != text_col])
     rows = stable(rows, "suffix-docs")
-    n = min(buckets(spark), 1 << 16)
+    n = min(buckets(spark), (1 << 16) // FINE)
     fields = [(f"keep{i}", docs.schema[c].dataType) for i, c in enumerate(keep) if c != text_col]
     lists = T.ArrayType(T.LongType())
     made = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()), ("starts", lists), ("ends", lists)]
@@ -354,8 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def entries(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         own = Entries(Texts(block), answer, n)
-        cuts = np.searchsorted(own.bucket, np.arange(n + 1))
-        for bucket in range(n):
+        cuts = np.searchsorted(own.bucket, np.arange(n * FINE + 1))
+        for bucket in range(n * FINE):
             a, b = cuts[bucket], cuts[bucket + 1]
             if b > a:
                 body = front_code(own.distinct[a:b], own.least[a:b])
@@ -376,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = Texts(block)
         own = Entries(texts, answer, n)
         bits = np.zeros(len(own.distinct), np.int64)
-        cuts = np.searchsorted(own.bucket, np.arange(n + 1))
+        cuts = np.searchsorted(own.bucket, np.arange(n * FINE + 1))
         for bucket, body in answer.items():
             if bucket >= n:
                 bits[cuts[bucket - n] : cuts[bucket - n + 1]] = np.frombuffer(unzip_bytes(body), np.uint32)
@@ -409,6 +413,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared = staged(exchange(rows, _anchor_keys, _shared_anchors, BLOCK_BYTES), "suffix-anchors")
     runs = rejoin(rows, shared, entries, EXCHANGE, BLOCK_BYTES)
-    bits = staged(runs.repartitionById(n, F.col("bucket")).mapInArrow(merge, EXCHANGE), "suffix-bits")
+    bits = staged(runs.repartitionById(n, F.floor(F.col("bucket") / FINE).cast("int")).mapInArrow(merge, EXCHANGE), "suffix-bits")
     got = rejoin(rows, shared.unionByName(bits), mark, schema, BLOCK_BYTES)
     return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c != text_col], F.struct(*[k for k, _ in made]).alias("dedup"))
