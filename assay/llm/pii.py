@@ -20,6 +20,8 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ _titles = "|".join(TITLES["m"] + TITLES["f"] + ["Dr", "Prof"])
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"""(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?[A-Za-z0-9_./+=-]{8,}""",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[A-Z0-9]{0,26}[0-9]{4})[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9][0-9 ().-]{7,17}[0-9]",
@@ -52,7 +56,7 @@ PATTERNS = {
 }
 ALL = "|".join(PATTERNS.values())
 #: Says no quickly for most texts; says yes for every text with a match.
-HINT = rf"[@=:]|[0-9][0-9 .()-]{{2}}|(?<![\p{{L}}])(?=[A-ZА-Я])(?:{_titles}|{_given})\b"
+HINT = rf"[@=:]|(?:AKIA|ASIA)[A-Z0-9]|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)[A-Za-z0-9]|[0-9][0-9 .()-]{{2}}|(?<![\p{{L}}])(?=[A-ZА-Я])(?:{_titles}|{_given})\b"
 ROUNDS = 50
 
 
@@ -63,7 +67,7 @@ def _digits(c: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     """Type of a mention: the first pattern that it matches whole."""
     out = F.lit("name")
-    for kind in ("ip", "phone", "card", "ssn", "secret", "email"):
+    for kind in ("ip", "phone", "card", "ssn", "iban", "key", "secret", "email"):
         out = F.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
@@ -83,7 +87,8 @@ def canonical(kind: Column, mention: Column) -> Column:
         F.when(kind == "email", F.lower(mention))
         .when(kind == "secret", _value(mention))
         .when(kind == "name", F.lower(_bare(mention)))
-        .when(kind == "ip", mention)
+        .when(kind.isin("ip", "key"), mention)
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
         .otherwise(digits)
     )
@@ -123,10 +128,11 @@ def _drawn(key: str) -> dict[str, str]:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon, gender, attempt) with surrogate: its canonical form."""
+    key = hashlib.sha256(key.encode()).hexdigest()  # safe in an expression, and plans don't show the key itself
     e = _drawn(key)
     df = entities.withColumn("h", F.expr(e["h"])).withColumn("num", F.expr("translate(h, 'abcdef', '012345')"))
-    df = df.withColumn("part", F.when(F.col("kind") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")))
-    df = df.withColumn("alike", F.when(F.col("kind").isin("email", "secret"), F.expr(e["alike"])))
+    df = df.withColumn("part", F.when(F.col("kind") == "email", F.substring_index("canon", "@", 1)).when(F.col("kind") == "key", F.expr("substr(canon, 5)")).when(F.col("kind") == "iban", F.expr("substr(canon, 3)")).otherwise(F.col("canon")))
+    df = df.withColumn("alike", F.when(F.col("kind").isin("email", "secret", "key", "iban"), F.expr(e["alike"])))
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("canon", "@", -1)), 256)
     df = df.withColumn("g", F.when(F.col("gender") != "u", F.col("gender")).otherwise(F.when(F.substring("h", 64, 1) < "8", "m").otherwise("f")))
     n = F.length("canon")
@@ -140,6 +146,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     made = (
         F.when(F.col("kind") == "email", F.concat("alike", F.lit("@mx"), F.substring(domain, 1, 8), F.lit(".example.com")))
         .when(F.col("kind") == "secret", F.col("alike"))
+        .when(F.col("kind") == "key", F.concat(F.substring("canon", 1, 4), F.col("alike")))
+        .when(F.col("kind") == "iban", F.concat(F.substring("canon", 1, 2), F.col("alike")))
         .when(F.col("kind") == "card", F.concat("body", "last"))
         .when(F.col("kind") == "ip", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
         .when(F.col("kind") == "name", name)
@@ -174,7 +182,8 @@ def _worded(kind: Column, mention: Column, surrogate: str) -> Column:
         F.when(kind == "email", cased)
         .when(kind == "secret", F.concat(F.expr("substr(mention, 1, length(mention) - length(canon))"), F.col(surrogate)))
         .when(kind == "name", F.concat(title, F.initcap(F.col(surrogate))))
-        .when(kind == "ip", F.col(surrogate))
+        .when(kind.isin("ip", "key"), F.col(surrogate))
+        .when(kind == "iban", F.expr("array_join(transform(split(mention, ''), (c, i) -> if(c = ' ', c, substr(surrogate, length(replace(substr(mention, 1, i + 1), ' ', '')), 1))), '')"))
         .otherwise(numbers)
     )
 
