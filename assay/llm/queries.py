@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.llm.oracle import ORACLE_SQL as ORACLE_SQL
+
 WORD_BPE = "word_bpe_49k.json"
 #: Key of the surrogates; a deployment passes its own secret.
 KEY = "assay-surrogates"
@@ -101,4 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rules": op9_rules,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
