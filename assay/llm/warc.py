@@ -2,6 +2,8 @@
 
 Writing is DataFrame code: a record is one string (headers, blank line, block), and Spark's text
 writer puts the two line ends between records, so archives go to any store that Spark writes to.
+Files are compressed as a whole (.gz); a record is skipped without being parsed, not without being
+inflated.
 Payloads are UTF-8 HTML. A payload that occurs again is a revisit of the record with the smallest
 page_id; the first holders of digests come from an aggregation (a digest once per task) joined
 back, where Spark splits a hot digest.
@@ -85,7 +87,7 @@ def record_text(date: str) -> Column:
 def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """A record for each row of pages, in files under path. Payloads below `least` bytes are never revisits."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    with_first_holder(rows, least).select(record_text(date).alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    with_first_holder(rows, least).select(record_text(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def _store(path: str):
