@@ -9,8 +9,12 @@ country code and issuer digit, a valid Luhn digit where there was one, the gende
 of a name.
 
 Distinctness: surrogates that two entities of a type share, or that are themselves a real entity's
-canonical form, are drawn again with the next attempt number, until none is left. The entity table
-is joined, not broadcast by hint: the optimizer may broadcast it when its measured size is small,
+canonical form, are drawn again with the next attempt number. What still collides after ROUNDS takes
+free values by rank: a form's values are numbered, so many of them are listed that enough are free,
+and an entity takes the free one of its own rank. A form with fewer values than twice the type's
+entities gets digits appended first. So no entity is left without. 555 numbers are drawn for phones
+at first, any number from the fourth attempt. A secret or key holds a letter or digit: a row of
+signs (a form's blank, an underlined heading) isn't one. The entity table is joined, not broadcast by hint: the optimizer may broadcast it when its measured size is small,
 and splits a hot entity's mentions when it isn't.
 
 Defined results: null text stays null with 0 entities, empty text stays empty; a null id stays
@@ -45,8 +49,8 @@ _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join(TITLES["m"] + TITLES["f"] + ["Dr", "Prof"])
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"""(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?[A-Za-z0-9_./+=-]{8,}""",
-    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])",
+    "secret": r"""(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?(?=[_./+=-]*[A-Za-z0-9])[A-Za-z0-9_./+=-]{8,}""",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[A-Z0-9]{0,26}[0-9]{4})[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
@@ -151,23 +155,83 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(F.col("kind") == "card", F.concat("body", "last"))
         .when(F.col("kind") == "ip", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
         .when(F.col("kind") == "name", name)
-        .when((F.col("kind") == "phone") & (n == 10), F.concat(F.expr("cast(int(substr(num, 1, 1)) % 8 + 2 as string)"), F.substring("num", 2, 2), F.lit("555"), F.substring("num", 4, 4)))
+        .when((F.col("kind") == "phone") & (n == 10), F.concat(F.expr("cast(int(substr(num, 1, 1)) % 8 + 2 as string)"), F.substring("num", 2, 2), F.when(F.col("attempt") < 3, F.lit("555")).otherwise(F.expr("concat(cast(int(substr(num, 8, 1)) % 8 + 2 as string), substr(num, 9, 2))")), F.substring("num", 4, 4)))
         .otherwise(F.expr("substr(num, 1, length(canon))"))
     )
     return df.select("kind", "canon", "gender", "attempt", made.alias("surrogate"))
 
 
+def _ranked(df: DataFrame, keys: list[str], by: Column, name: str) -> DataFrame:
+    """df with its rows' ranks from 1 within keys; no task holds all rows of a large key."""
+    df = df.withColumn("_by", by).withColumn("_cell", F.pmod(F.col("_by"), F.lit(1024)))
+    cells = df.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_before", before).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_by"))
+    return df.withColumn("_within", within).join(cells, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_by", "_cell", "_before", "_within")
+
+
+FORM = ["kind", "head", "form", "tail"]
+
+
+def _forms(bad: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bad with the form of each surrogate: fixed head and tail, a sign for each character that varies, number of values."""
+    kind, s = F.col("kind"), F.col("surrogate")
+    words = F.split(s, " ")
+    head = F.when(kind == "name", F.when(F.size(words) > 1, F.concat(words[0], F.lit(" "))).otherwise("")).when(kind == "key", F.substring(s, 1, 4)).when(kind == "iban", F.substring(s, 1, 2)).when(kind == "card", F.substring(s, 1, 1)).otherwise("")
+    luhn = F.expr(_drawn("")["luhn"].replace("reverse(body)", "reverse(substr(surrogate, 1, length(surrogate) - 1))"))
+    tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(s, "@", -1))).when(kind == "name", F.regexp_extract(s, "(ова?)$", 1)).when(kind == "card", F.when(F.substring(s, -1, 1) == luhn, "valid").otherwise("not")).otherwise("")
+    part = F.when(kind == "email", F.substring_index(s, "@", 1)).when(kind == "card", F.expr("substr(surrogate, 2, length(surrogate) - 2)")).when(kind.isin("key", "iban"), F.expr("substr(surrogate, length(head) + 1)")).otherwise(s)
+    df = bad.withColumn("head", head).withColumn("tail", tail).withColumn("part", part)
+    signs = F.expr("regexp_replace(regexp_replace(regexp_replace(part, '[0-9]', '9'), '[A-Z]', 'Z'), '[a-z]', if(part rlike '^[0-9a-f]*$', 'f', 'z'))")
+    df = df.withColumn("form", F.when(kind == "ip", "ip").when(kind == "name", F.when(s.rlike("[а-яё]"), "cyrillic").otherwise("latin")).otherwise(signs))
+    room = "case kind when 'ip' then 989D * 16777216 when 'name' then 1e18 else least(1e18, aggregate(split(form, ''), 1D, (a, c) -> a * case c when '9' then 10D when 'f' then 6D when 'z' then 26D when 'Z' then 26D else 1D end)) end"
+    df = df.join(sizes, "kind")
+    longer = F.when(F.expr(f"{room} < 2 * size"), F.expr("concat(form, repeat('9', length(cast(2 * size as string))))")).otherwise(F.col("form"))
+    df = df.withColumn("form", F.when(kind.isin("ip", "name", "card"), F.col("form")).otherwise(longer))
+    return df.withColumn("room", F.expr(f"cast({room} as bigint)")).drop("part", "size")
+
+
+def _value_of_form() -> Column:
+    """The value of number j of a form."""
+    put = lambda digit, radix: f"named_struct('s', concat({digit}, a.s), 'r', a.r div {radix})"
+    spelt = f"""aggregate(reverse(split(form, '')), named_struct('s', '', 'r', j), (a, c) -> case c when '9' then {put("cast(a.r % 10 as string)", 10)}
+        when 'f' then {put("chr(97 + a.r % 6)", 6)} when 'z' then {put("chr(97 + a.r % 26)", 26)} when 'Z' then {put("chr(65 + a.r % 26)", 26)}
+        else named_struct('s', concat(c, a.s), 'r', a.r) end).s"""
+    name = lambda script: f"array_join(transform(split(lpad(hex(j), greatest(8, length(hex(j))), '0'), ''), x -> element_at(array({', '.join(repr(x) for x in SYLLABLES[script])}), cast(conv(x, 16, 10) as int) + 1)), '')"
+    first = "if(j < 16777216, 10, (j div 16777216 - 1) + if(j div 16777216 - 1 >= 10, 1, 0))"
+    card = f"transform(array(concat(head, {spelt})), body -> concat(body, cast((cast({_drawn('')['luhn']} as int) + if(tail = 'valid', 0, 1)) % 10 as string)))[0]"
+    return F.expr(f"""case kind when 'ip' then concat_ws('.', {first}, j div 65536 % 256, j div 256 % 256, j % 256) when 'card' then {card}
+        when 'name' then concat(head, if(form = 'cyrillic', {name("cyrillic")}, {name("latin")}), tail) else concat(head, {spelt}, tail) end""")
+
+
+def assigned(bad: DataFrame, held: DataFrame, sizes: DataFrame, key: str, width: int) -> DataFrame:
+    """bad with free values by rank, out of the first `width` values for each entity of a form; rows for which that's too few stay."""
+    ranked = _ranked(_forms(bad, sizes), FORM, F.xxhash64(F.lit(key), "canon"), "rank")
+    n = ranked.groupBy(*FORM).agg(F.expr(f"cast(least(count(1) * {float(width)}D, max(room)) as bigint)").alias("n"))
+    n = n.withColumn("at", F.explode(F.expr("sequence(0L, (n - 1) div 65536)"))).repartition(*FORM, "at")
+    values = n.withColumn("j", F.explode(F.expr("sequence(at * 65536, least(n - 1, at * 65536 + 65535))")))
+    free = values.select(*FORM, _value_of_form().alias("free")).join(held.withColumnRenamed("surrogate", "free"), ["kind", "free"], "left_anti")
+    out = ranked.join(_ranked(free, FORM, F.xxhash64(F.lit(key), "free"), "rank"), [*FORM, "rank"], "left")
+    return out.select("kind", "canon", "gender", "attempt", F.coalesce("free", "surrogate").alias("surrogate"))
+
+
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """Surrogates of all entities, drawn again wherever two collide or one is a real entity."""
+    """Surrogates of all entities, drawn again wherever two collide or one is a real entity, assigned by rank at last."""
     found = staged(surrogates(entities.withColumn("attempt", F.lit(0)), key), "pii-entities")
-    for _ in range(ROUNDS):
+    for n in range(ROUNDS + 62):
         real = found.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
         marked = found.withColumn("rank", rank).join(real, ["kind", "surrogate"], "left")
         bad = (F.col("rank") > 1) | F.col("real").isNotNull()
         if marked.where(bad).isEmpty():
             return found
-        again = surrogates(marked.where(bad).select("kind", "canon", "gender", (F.col("attempt") + 1).alias("attempt")), key)
+        again = marked.where(bad).select("kind", "canon", "gender", (F.col("attempt") + 1).alias("attempt"), "surrogate")
+        if n < ROUNDS:
+            again = surrogates(again.drop("surrogate"), key)
+        else:
+            held = marked.where(~bad).select("kind", "surrogate").unionByName(real.drop("real"))
+            again = assigned(again, held, found.groupBy("kind").agg(F.count(F.lit(1)).alias("size")), key, 2 ** (n - ROUNDS))
         found = staged(marked.where(~bad).select(*again.columns).unionByName(again), "pii-entities")
     raise RuntimeError("surrogates still collide; the space of one type is used up")
 
@@ -175,7 +239,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def _worded(kind: Column, mention: Column, surrogate: str) -> Column:
     """The mention in the surrogate's words, in its own notation."""
     nth = "length(regexp_replace(substr(mention, 1, i + 1), '[^0-9]', '')) - length(regexp_replace(mention, '[^0-9]', '')) + length(surrogate)"
-    numbers = F.expr(f"array_join(transform(split(mention, ''), (c, i) -> if(c rlike '[0-9]' and {nth} > 0, substr(surrogate, {nth}, 1), c)), '')")
+    numbers = F.expr(f"array_join(transform(split(mention, ''), (c, i) -> if(c rlike '[0-9]' and {nth} > 0, if({nth} = 1 + length(surrogate) - length(regexp_replace(mention, '[^0-9]', '')), substr(surrogate, 1, {nth}), substr(surrogate, {nth}, 1)), c)), '')")
     cased = F.expr("concat(array_join(transform(split(substring_index(surrogate, '@', 1), ''), (c, i) -> if(substr(mention, i + 1, 1) rlike '[A-Z]', upper(c), c)), ''), '@', substring_index(surrogate, '@', -1))")
     title = F.regexp_extract(mention, rf"^((?:{_titles})\.? )?", 0)
     return (
