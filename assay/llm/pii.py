@@ -6,7 +6,8 @@ phone number in any notation, the same name with or without a title) share a can
 so a surrogate (coreference). A surrogate is drawn by a keyed hash of the canonical form and keeps
 type and format: digits for digits, letters for letters, upper case for upper case, separators,
 country code and issuer digit, a valid Luhn digit where there was one, the gender and the script
-of a name.
+of a name (Cyrillic or else Latin). A name is replaced whole: up to four parts after its titles, up to
+three after a listed given name, with initials and particles (van der, de la) before any of them.
 
 Distinctness: surrogates that two entities of a type share, or that are themselves a real entity's
 canonical form, are drawn again with the next attempt number. What still collides after ROUNDS takes
@@ -44,7 +45,10 @@ SYLLABLES = {
 }
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Don"], "f": ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Señora", "Doña"]}
 
-_capital = "[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+"
+# A part of a name begins with a capital of any script and goes on over hyphens and apostrophes (O'Brien, but not Smith's).
+_end = r"(?![\p{L}\p{M}])"
+_part = rf"(?:[dl]['’]|[ae]l-)?\p{{Lu}}[\p{{L}}\p{{M}}]*(?:[-‐'’](?!(?:s|d|m|t|ll|re|ve){_end})\p{{L}}[\p{{L}}\p{{M}}]*)*"
+_led = rf"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|zu|zur|bin|ibn|y) )*(?:\p{{Lu}}\.(?: |(?=\p{{Lu}})))*{_part}"
 _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join(TITLES["m"] + TITLES["f"] + ["Dr", "Prof"])
 PATTERNS = {
@@ -56,7 +60,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9][0-9 ().-]{7,17}[0-9]",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_titles})\.? {_capital}(?: {_capital})?|(?:{_given}) {_capital})(?![\p{{L}}])",
+    "name": rf"(?<![\p{{L}}\p{{M}}])(?:(?:(?:{_titles})\.? )+{_led}(?: {_led}){{0,3}}|(?:{_given})(?:[-‐]\p{{L}}[\p{{L}}\p{{M}}]*)*(?: {_led}){{1,3}}){_end}",
 }
 ALL = "|".join(PATTERNS.values())
 #: Says no quickly for most texts; says yes for every text with a match.
@@ -82,7 +86,7 @@ def _value(mention: Column) -> Column:
 
 
 def _bare(mention: Column) -> Column:
-    return F.regexp_replace(mention, rf"^(?:{_titles})\.? ", "")
+    return F.regexp_replace(mention, rf"^(?:(?:{_titles})\.? )+", "")
 
 
 def canonical(kind: Column, mention: Column) -> Column:
@@ -99,10 +103,10 @@ def canonical(kind: Column, mention: Column) -> Column:
 
 
 def _gender(mention: Column) -> Column:
-    title = F.regexp_extract(mention, rf"^({_titles})\.? ", 1)
-    given = F.element_at(F.split(_bare(mention), " "), 1)
-    female = title.isin(TITLES["f"]) | given.isin(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]) | _bare(mention).rlike("[ая]$")
-    male = title.isin(TITLES["m"]) | given.isin(GIVEN["latin", "m"] + GIVEN["cyrillic", "m"])
+    titled = lambda g: mention.rlike(rf"^(?:(?:{_titles})\.? )*(?:{'|'.join(TITLES[g])})\.? ")
+    given = F.element_at(F.split(_bare(mention), "[ ‐-]"), 1)
+    female = titled("f") | given.isin(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]) | _bare(mention).rlike("[ая]$")
+    male = titled("m") | given.isin(GIVEN["latin", "m"] + GIVEN["cyrillic", "m"])
     return F.when(male, "m").when(female, "f").otherwise("u")
 
 
@@ -241,7 +245,7 @@ def _worded(kind: Column, mention: Column, surrogate: str) -> Column:
     nth = "length(regexp_replace(substr(mention, 1, i + 1), '[^0-9]', '')) - length(regexp_replace(mention, '[^0-9]', '')) + length(surrogate)"
     numbers = F.expr(f"array_join(transform(split(mention, ''), (c, i) -> if(c rlike '[0-9]' and {nth} > 0, if({nth} = 1 + length(surrogate) - length(regexp_replace(mention, '[^0-9]', '')), substr(surrogate, 1, {nth}), substr(surrogate, {nth}, 1)), c)), '')")
     cased = F.expr("concat(array_join(transform(split(substring_index(surrogate, '@', 1), ''), (c, i) -> if(substr(mention, i + 1, 1) rlike '[A-Z]', upper(c), c)), ''), '@', substring_index(surrogate, '@', -1))")
-    title = F.regexp_extract(mention, rf"^((?:{_titles})\.? )?", 0)
+    title = F.regexp_extract(mention, rf"^((?:{_titles})\.? )*", 0)
     return (
         F.when(kind == "email", cased)
         .when(kind == "secret", F.concat(F.expr("substr(mention, 1, length(mention) - length(canon))"), F.col(surrogate)))

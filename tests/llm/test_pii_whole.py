@@ -58,3 +58,22 @@ def test_phones_leave_555_when_it_is_full(spark):
     got = {r.attempt: r.surrogate for r in pii.surrogates(e, "k").collect()}
     assert all(re.fullmatch(r"[2-9]\d\d555\d{4}" if a < 3 else r"[2-9]\d\d[2-9]\d{6}", v) for a, v in got.items())
     assert any(got[a][3:6] != "555" for a in range(3, 9))
+
+
+NAMES = {
+    "John McDonald": "{}", "Anna Łukasik": "{}", "Mr Dvořák": "Mr {}", "Mr Dvořák": "Mr {}", "Mr. O'Brien": "Mr. {}", "Mr. O’Brien": "Mr. {}",
+    "Mrs. Anna-Maria Smith": "Mrs. {}", "Anna-Maria Smith": "{}", "John Kowalski-Nowak": "{}", "Juan Carlos García": "{}", "Herr Ludwig van Beethoven": "Herr {}",
+    "John F. Kennedy": "{}", "Prof. Dr. Hans Müller": "Prof. Dr. {}", "Mr Γιώργος Παπαδόπουλος": "Mr {}", "Ольга Ґонта-Їжак": "{}", "Frau von der Leyen": "Frau {}", "Mme d'Arc": "Mme {}", "John SMITH": "{}",
+}
+
+
+def test_names_go_whole(spark):
+    texts = [f"so {n}, went (with {n}'s dog)" for n in NAMES]
+    got = [(r.text, r.pii.n_entities) for r in pii.pseudonymise(docs(spark, texts), "key").orderBy("doc_id").collect()]
+    for (name, shape), (text, n) in zip(NAMES.items(), got, strict=True):
+        a, b = re.fullmatch(r"so (.*), went \(with (.*)'s dog\)", text).groups()
+        bare = re.sub(r"^((Mrs?|Herr|Frau|Mme|Prof|Dr)\.? )*", "", a)
+        assert n == 2 and a == b == shape.format(bare), name
+        assert re.fullmatch(r"[^\W\d_]+( [^\W\d_]+)?", bare) and not set(bare.split()) & set(re.split(r"[ '’-]", name)[-1:]), (name, text)
+    none = ["Johnson went", "John went home", "the doctor Dr. and Mr who", "Mark the page"]
+    assert [r.text for r in pii.pseudonymise(docs(spark, none), "key").orderBy("doc_id").collect()] == none
