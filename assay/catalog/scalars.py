@@ -30,7 +30,7 @@ def _(spark, sf):
 
 @query("log_confidence", f"WITH {LINES} SELECT row_id, label, score, round(CASE WHEN label = 1 THEN ln(greatest(score, 1e-300::DOUBLE)) ELSE ln(1 - score) END, 6) AS confidence FROM li WHERE label >= 0 AND score < 0.95")
 def _(spark, sf):
-    rows = line_corpus(spark, sf).where("label >= 0 and score < 0.95D")
+    rows = line_corpus(spark, sf).where("label >= 0")
     return R(rows.select("row_id", "label", "score", S.log_confidence(F.col("score"), F.col("label")).alias("confidence")), "confidence")
 
 

@@ -31,8 +31,9 @@ def _(spark, sf):
 def _(spark, sf):
     from assay.functions.scalars import logistic
 
-    raw = T.score_rows(table(spark, sf, "embeddings"), nodes(spark), "vec_id", "embedding").where(F.abs("raw") > 1e-9)
-    return raw.select("vec_id", (logistic(F.col("raw")) >= 0.5).cast("int").alias("pred"))
+    raw = T.score_rows(table(spark, sf, "embeddings"), nodes(spark), "vec_id", "embedding")
+    # rounded: a sum that is 0 but for the order of its terms decides as 0
+    return raw.select("vec_id", (logistic(F.round("raw", 9)) >= 0.5).cast("int").alias("pred"))
 
 
 @query("tree_parent_join", f"{NODES_SQL} SELECT tree, \"left\" AS node, node AS parent, 'left' AS side FROM nodes WHERE inner_ UNION ALL SELECT tree, \"right\", node, 'right' FROM nodes WHERE inner_")

@@ -27,3 +27,11 @@ def test_checks_are_all_lines(spark, duck, key):
 def test_no_line_is_left_out(spark, duck):
     got = registry.QUERIES["derive_status"](spark, SF).agg({"n_checks": "sum"}).first()[0]
     assert got == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+
+
+@pytest.mark.parametrize("key, cut", [("log_confidence", " AND score < 0.95"), ("predict", " HAVING abs(sum(n.value)) > 1e-9")])
+def test_top_scores_and_ties_stay(spark, duck, key, cut):
+    """Against the registered SQL without its clause that drops them, and with the decision on a rounded sum."""
+    sql = registry.ORACLE_SQL[key].replace(cut, "").replace("exp(-sum(n.value))", "exp(-round(sum(n.value), 9))")
+    got, want = registry.QUERIES[key](spark, SF).toPandas(), duck.execute(sql).df()
+    assert len(got) == len(want) and plain(got) == plain(want)
