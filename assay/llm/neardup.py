@@ -6,8 +6,10 @@
    right links; a poor one only makes buckets uneven.
 3. The code is cut into `tables` substrings of `bits` bits; nodes that agree in label and one substring meet
    in a bucket. bits follows the number of nodes of the largest label; tables follows from the
-   share of bits that differ between vectors at the threshold, measured on the sample, so that
-   such a pair meets with probability RECALL; closer pairs meet more surely.
+   share of bits that differ between vectors at the threshold, so that such a pair meets with
+   probability RECALL; closer pairs meet more surely. The share is the worst of three: partners of
+   the sample by noise in all directions, by noise in the coded axes alone (where not all are
+   coded), and the sample's own pairs just over the threshold, if it has enough.
 4. A bucket is a group of at most CHUNK nodes, larger ones are split into pairs of chunks. There
    the original vectors are compared in double precision, and a pair counts in the first table
    where it meets, so only sums per node and a spanning star leave the group, never pairs.
@@ -32,6 +34,7 @@ from assay.llm.common import mix64, staged
 from assay.llm.components import components, stars
 
 SAMPLE, RECALL, CHUNK, ITERATIONS, MOST_BITS = 20_000, 0.995, 1024, 25, 128
+PROBES, LEAST_PAIRS, MOST_PAIRS = 500, 100, 50_000
 
 
 def learn_rotation(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +74,18 @@ def fit_model(sample: np.ndarray, nodes: int, threshold: float) -> dict:
     aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
     pair = threshold * sample + np.sqrt(1 - threshold**2) * aside
     differ = float((signs(sample, [first]) != signs(pair, [first])).mean())
+    if first[1].shape[1] < sample.shape[1]:  # real differences may lie in the coded axes alone
+        aside = rng.normal(size=(len(sample), first[1].shape[1])) @ first[1].T
+        aside -= (aside * sample).sum(1, keepdims=True) * sample
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+        pair = threshold * sample + np.sqrt(1 - threshold**2) * aside
+        differ = max(differ, float((signs(sample, [first]) != signs(pair, [first])).mean()))
+    alike = sample[:PROBES] @ sample.T
+    i, j = np.nonzero((alike >= threshold) & (alike < threshold + 0.2 * (1 - threshold)))
+    if len(i) >= LEAST_PAIRS:
+        at = slice(None, None, len(i) // MOST_PAIRS + 1)
+        code = signs(sample, [first])
+        differ = max(differ, float((code[i[at]] != code[j[at]]).mean()))
     meet = (1 - min(differ + 0.01, 0.45)) ** bits
     tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))
     width = first[1].shape[1]
