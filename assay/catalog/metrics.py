@@ -6,7 +6,13 @@ from assay.operators import metrics as M
 from assay.registry import query
 from assay.sources.corpora import line_corpus
 
-R = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def R(df, *cols, places=6):
+    """df with some columns rounded: sums of doubles depend on their order."""
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
 EV_STEPS = f"WITH {EVAL}{STEPS.format(rows='eval')}"
 LI_STEPS = f"WITH {LINES}{STEPS.format(rows='li')}"
 CONF = "count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn"
@@ -19,7 +25,7 @@ def _(spark, sf):
 
 @query("wilson_interval", f"WITH {LINES}, c AS (SELECT year(timestamp) AS y, count(*) FILTER (label = 1 AND score >= 0.5) AS k, count(*) FILTER (label = 1) AS n FROM li GROUP BY y) SELECT y, k, n, round({wilson('k', 'n', 'lo')}, 6) AS lo, round({wilson('k', 'n', 'hi')}, 6) AS hi FROM c")
 def _(spark, sf):
-    c = line_corpus(spark, sf).groupBy(F.year("timestamp").cast("bigint").alias("y")).agg(F.count_if("label = 1 and score >= 0.5D" if False else (F.col("label") == 1) & (F.col("score") >= 0.5)).alias("k"), F.count_if(F.col("label") == 1).alias("n"))
+    c = line_corpus(spark, sf).groupBy(F.year("timestamp").cast("bigint").alias("y")).agg(F.count_if((F.col("label") == 1) & (F.col("score") >= 0.5)).alias("k"), F.count_if(F.col("label") == 1).alias("n"))
     lo, hi = M.wilson(F.col("k"), F.col("n"))
     return R(c.withColumn("lo", lo).withColumn("hi", hi), "lo", "hi")
 
@@ -93,14 +99,17 @@ def _(spark, sf):
     return R(M.score_histogram(line_corpus(spark, sf)), "share")
 
 
-@query("calibrate_threshold", f"WITH {LINES}, b AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS n FROM li WHERE label = 0) SELECT max(n) AS n, CAST(max(floor(0.005::DOUBLE * n + 1e-9)) AS BIGINT) AS k, max(score) FILTER (r >= floor(0.005::DOUBLE * n + 1e-9) + 1) AS above FROM b")
+_CAL = "b AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS n FROM li WHERE label = 0), a AS (SELECT max(n) AS n, max(score) FILTER (r >= floor(0.005::DOUBLE * n + 1e-9) + 1) AS above FROM b)"
+
+
+@query("calibrate_threshold", f"WITH {LINES}, {_CAL} SELECT n, round(above, 9) AS threshold, (SELECT count(*) FILTER (b.score > a.above) / max(b.n) FROM b) AS achieved FROM a")
 def _(spark, sf):
-    return M.calibrated_threshold(line_corpus(spark, sf), 0.005)
+    return R(M.calibrated_threshold(line_corpus(spark, sf), 0.005), "threshold", places=9)
 
 
-@query("attack_metrics", f"{EV_STEPS}, d AS (SELECT max(tp / np - fp / nn) AS best FROM c) SELECT round((SELECT best FROM d), 6) AS best_advantage, max(score) FILTER (tp / np - fp / nn = (SELECT best FROM d)) AS best_threshold, round(max(tp / np) FILTER (fp / nn <= 0.01::DOUBLE), 6) AS tpr_at_1pct, round((SELECT count(*) FILTER (score >= 0.5 AND label = 1) / count(*) FILTER (label = 1) - count(*) FILTER (score >= 0.5 AND label = 0) / count(*) FILTER (label = 0) FROM eval), 6) AS advantage FROM c")
+@query("attack_metrics", f"{EV_STEPS}, d AS (SELECT max(tp / np - fp / nn) AS best FROM c) SELECT round((SELECT best FROM d), 6) AS best_advantage, max(score) FILTER (tp / np - fp / nn = (SELECT best FROM d)) AS best_threshold, round(max(tp / np) FILTER (fp / nn <= 0.01::DOUBLE), 6) AS tpr_at_1pct, round((SELECT count(*) FILTER (score >= 0.5 AND label = 1) / count(*) FILTER (label = 1) - count(*) FILTER (score >= 0.5 AND label = 0) / count(*) FILTER (label = 0) FROM eval), 6) AS advantage, round(sum(p * (nn - fp + n / 2.0::DOUBLE)) / (max(np)::DOUBLE * max(nn)), 6) AS auroc FROM c")
 def _(spark, sf):
-    return R(M.attack_metrics(eval_rows(spark, sf), 0.5), "best_advantage", "tpr_at_1pct", "advantage")
+    return R(M.attack_metrics(eval_rows(spark, sf), 0.5), "best_advantage", "tpr_at_1pct", "advantage", "auroc")
 
 
 @query("ci95_quantile", f"WITH {LINES} SELECT split, round(quantile_cont(score, 0.025), 6) AS lo, round(quantile_cont(score, 0.975), 6) AS hi FROM li GROUP BY split")

@@ -28,7 +28,7 @@ def _(spark, sf):
     return R(table(spark, sf, "customer").select("c_custkey", S.ramp_log(F.col("c_acctbal"), 10, 5000).alias("ramp")), "ramp")
 
 
-@query("log_confidence", f"WITH {LINES} SELECT row_id, label, score, round(CASE WHEN label = 1 THEN ln(greatest(score, 1e-300::DOUBLE)) ELSE ln(1 - score) END, 6) AS confidence FROM li WHERE label >= 0 AND score < 0.95")
+@query("log_confidence", f"WITH {LINES} SELECT row_id, label, score, round(CASE WHEN label = 1 THEN ln(greatest(score, 1e-300::DOUBLE)) ELSE ln(1 - least(score, 1 - pow(2.0::DOUBLE, -53))) END, 6) AS confidence FROM li WHERE label >= 0")
 def _(spark, sf):
     rows = line_corpus(spark, sf).where("label >= 0")
     return R(rows.select("row_id", "label", "score", S.log_confidence(F.col("score"), F.col("label")).alias("confidence")), "confidence")
@@ -75,24 +75,22 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(S.alias_unhex(S.alias_hex(F.col("c_name"))).alias("name"))
 
 
-@query("fmt_duration", "SELECT event_id, CASE WHEN floor(value + 0.5) >= 3600 THEN CAST(CAST(floor(floor(value + 0.5) / 3600) AS BIGINT) AS VARCHAR) || 'h ' || lpad(CAST(CAST(floor(floor(value + 0.5) % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || 'm' WHEN floor(value + 0.5) >= 60 THEN CAST(CAST(floor(floor(value + 0.5) / 60) AS BIGINT) AS VARCHAR) || 'm ' || lpad(CAST(CAST(floor(value + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') || 's' ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || 's' END AS text FROM events")
+@query("public_items", "SELECT o_orderkey, 'batch=' || o_orderpriority || ',keyring=' || o_orderstatus || ',zone=' || o_custkey AS items FROM orders")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", S.duration_text(F.col("value")).alias("text"))
+    pairs = {"zone": "o_custkey", "run_token": "o_orderstatus", "api_key": "o_orderpriority", "keyring": "o_orderstatus", "Password": "o_orderstatus", "batch": "o_orderpriority"}
+    items = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.col(v).cast("string"))])
+    shown = F.array_join(F.transform(S.public_items(items), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, sf, "orders").select("o_orderkey", shown.alias("items"))
 
 
-@query("public_items", "SELECT DISTINCT event_type AS key FROM events WHERE NOT regexp_matches(lower(event_type), 'token|secret|password|passwd|cookie|credential|key$')")
+@query(
+    "sanitize_name",
+    "SELECT DISTINCT o_orderkey % 6 AS kind, CASE o_orderkey % 6 WHEN 0 THEN regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') || '.txt' WHEN 2 THEN 'a_b_c.json' WHEN 4 THEN repeat('x', 123) || '.json' WHEN 5 THEN repeat('y', 128) END AS name FROM orders",
+)
 def _(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("key")).distinct().where(~S.secret_like(F.col("key")))
-
-
-@query("sanitize_name", "SELECT DISTINCT regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM orders")
-def _(spark, sf):
-    return table(spark, sf, "orders").select(S.safe_file_name(F.concat(F.lit("../x/"), "o_orderpriority")).alias("name")).distinct()
-
-
-@query("flatten_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    k = F.col("o_orderkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit("../../"), "o_orderpriority", F.lit(".txt"))).when(k == 1, ".x").when(k == 2, "C:\\models\\a  b&c.json").when(k == 3, "___").when(k == 4, F.concat(F.repeat(F.lit("x"), F.lit(500)), F.lit(".json"))).otherwise(F.repeat(F.lit("y"), F.lit(200)))
+    return table(spark, sf, "orders").select(k.alias("kind"), S.safe_file_name(raw).alias("name")).distinct()
 
 
 @query("module_seed")

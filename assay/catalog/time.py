@@ -30,9 +30,18 @@ def _(spark, sf):
     return W.windowed(line_corpus(spark, sf), CUT, "quarter").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("window_label", f"WITH {LINES} SELECT DISTINCT strftime(timestamp, '%Y-%m') AS month, CAST(year(timestamp) AS VARCHAR) || 'Q' || CAST(quarter(timestamp) AS VARCHAR) AS quarter FROM li")
+@query("window_label", f"WITH {LINES} SELECT DISTINCT strftime(timestamp, '%Y-%m') AS month, CAST(year(timestamp) AS VARCHAR) || 'Q' || CAST(quarter(timestamp) AS VARCHAR) AS quarter, strftime(date_trunc('month', timestamp) + INTERVAL 14 DAY, '%Y-%m-%d') || '..' || strftime(date_trunc('month', timestamp) + INTERVAL 1 MONTH + INTERVAL 13 DAY, '%Y-%m-%d') AS middle FROM li")
 def _(spark, sf):
-    return line_corpus(spark, sf).select(W.window_label(F.col("timestamp"), "month").alias("month"), W.window_label(F.col("timestamp"), "quarter").alias("quarter")).distinct()
+    first = F.trunc("timestamp", "month")
+    end = F.last_day(first)
+    middle = W.window_label(F.date_add(first, 14), F.date_add(F.add_months(first, 1), 13), "month")
+    return line_corpus(spark, sf).select(W.window_label(first, end, "month").alias("month"), W.window_label(F.trunc("timestamp", "quarter"), end, "quarter").alias("quarter"), middle.alias("middle")).distinct()
+
+
+@query("window_bounds", "SELECT k::INTEGER AS k, CASE k WHEN 1 THEN DATE '2024-01-31' WHEN 2 THEN DATE '2024-02-29' ELSE CAST(DATE '2024-02-29' + to_months((k - 2)::INTEGER) AS DATE) END AS first, CAST(CAST(CASE k WHEN 1 THEN DATE '2024-02-29' ELSE DATE '2024-02-29' + to_months((k - 1)::INTEGER) END AS DATE) - INTERVAL 1 DAY AS DATE) AS last FROM range(1, 12) t(k)")
+def _(spark, sf):
+    first, last = W.window_bounds(F.col("k"), "2024-01-30", "month")
+    return spark.range(1, 12).select(F.col("id").cast("int").alias("k")).select("k", first.alias("first"), last.alias("last"))
 
 
 @query("select_windows", f"{_M} SELECT k, CAST(n AS BIGINT) AS n, CASE WHEN n < 150 THEN 'too_small' WHEN tp + fn = 0 THEN 'no_malicious' WHEN n = tp + fn THEN 'no_benign' ELSE 'used' END AS status, fp + tn >= 100 AS fpr_evaluable FROM m")

@@ -12,12 +12,17 @@ def dbl(x) -> Column:
     return F.lit(float(x))
 
 
-def metric_score(value: Column, op: str, threshold: float, ideal: float, floor: float, log: bool = False) -> Column:
+def num(x) -> Column:
+    """A column as it is, a number as a double literal."""
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def metric_score(value: Column, op: str, threshold, ideal, floor, log: bool = False) -> Column:
     """0 at floor, PASS_LINE at threshold, 1 at ideal, linear (or in log10) between; a value that fails a strict
     comparison stays below PASS_LINE; null for null and NaN."""
     sign = 1.0 if op.startswith(">") else -1.0
     axis = (lambda c: F.log10(F.greatest(c, dbl(1e-12)))) if log else (lambda c: c)
-    v, t, i, f = (axis(c) * dbl(sign) for c in (value.cast("double"), dbl(threshold), dbl(ideal), dbl(floor)))
+    v, t, i, f = (axis(c) * dbl(sign) for c in (value.cast("double"), num(threshold), num(ideal), num(floor)))
     line = dbl(PASS_LINE)
     s = F.when(v >= i, dbl(1)).when(v >= t, line + (dbl(1) - line) * (v - t) / (i - t)).when(v <= f, dbl(0)).otherwise(line * (v - f) / (t - f))
     passes = v >= t if op.endswith("=") else v > t
@@ -75,32 +80,24 @@ def alias_unhex(alias: Column) -> Column:
     return F.when(alias.rlike("^enc-([0-9a-f]{2})+$"), F.decode(F.unhex(F.substring(alias, 5, 1 << 20)), "UTF-8"))
 
 
-def duration_text(seconds: Column) -> Column:
-    """1h 02m, 3m 12s, 4.5 s, 120 ms."""
-    s = F.floor(seconds + dbl(0.5)).cast("long")
-    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return (
-        F.when(seconds.isNull() | (seconds < 0), None)
-        .when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), pad(F.floor(s % 3600 / 60)), F.lit("m")))
-        .when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), pad(s % 60), F.lit("s")))
-        .otherwise(F.concat(s.cast("string"), F.lit("s")))
-    )
-
-
-def size_text(n: Column) -> Column:
-    k = lambda c, p: F.concat(F.format_number(c / dbl(1024.0**p), "0.0"), F.lit((" B", " KiB", " MiB", " GiB")[p]))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, k(n, 1)).when(n < 1024**3, k(n, 2)).otherwise(k(n, 3))
+def secret_like(key: Column) -> Column:
+    return F.lower(key).rlike("token|secret|password|passwd|cookie|key$")
 
 
-def secret_like(key: Column) -> Column:
-    return F.lower(key).rlike("token|secret|password|passwd|cookie|credential|key$")
+def public_items(items: Column) -> Column:
+    """A map's entries in order of their keys, without those that look like secrets."""
+    return F.array_sort(F.map_entries(F.map_filter(items, lambda k, v: ~secret_like(k))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 
 
 def safe_file_name(text: Column) -> Column:
-    """The last path part with odd characters as '_' and without leading dots; null if nothing is left."""
-    base = F.regexp_replace(F.regexp_extract(text, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]+", "_")
-    name = F.substring(F.regexp_replace(base, r"^[._]+", ""), 1, 128)
-    return F.when(name != "", name)
+    """The last path part, runs of other characters than [A-Za-z0-9._-] as one '_'; at most 128, of which a short
+    extension survives the cut. Null for names that are empty, begin with a dot or hold nothing but dots and '_'."""
+    base = F.trim(F.regexp_extract(text, r"([^/\\]*)$", 1))
+    name = F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_")
+    tail = F.regexp_extract(name, r"(\.[^.]{1,15})$", 1)
+    cut = F.when((tail != "") & (F.length(tail) < F.length(name)), F.concat(F.substr(name, F.lit(1), F.lit(128) - F.length(tail)), tail)).otherwise(F.substring(name, 1, 128))
+    ok = ~base.startswith(".") & ~name.rlike(r"^[._]*$")
+    return F.when(ok, F.when(F.length(name) > 128, cut).otherwise(name))
 
 
 def sniff_format(head: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
-CELLS = 1024
+CELLS = 256
 
 
 def dbl(x) -> Column:
@@ -38,19 +38,22 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
-def score_steps(rows: DataFrame) -> DataFrame:
-    """(score, p, n, tp, fp): for each distinct score the malicious and benign rows with it, and with it or more.
+def score_steps(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, score, p, n, tp, fp): for each distinct score the malicious and benign rows with it, and with it or more.
 
-    A running sum over all scores without one task for all: scores are cut into CELLS cells, the sums
-    of the cells above come from a table of CELLS rows, the rest from windows within a cell.
+    A running sum over all scores without one task for all: the distinct scores are cut at CELLS approximate
+    quantiles (so that a pile of scores at one end is spread too), the sums of the cells above come from a
+    table of CELLS rows a group, the rest from windows within a cell.
     """
-    steps = rows.where("label >= 0").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    steps = steps.withColumn("cell", F.floor(F.greatest(F.least("score", dbl(1)), dbl(0)) * CELLS).cast("int"))
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = steps.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))  # at most CELLS + 1 rows
-    cells = cells.select("cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("n0"))
-    own = Window.partitionBy("cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(F.broadcast(cells), "cell").select("score", "p", "n", (F.col("p0") + F.sum("p").over(own)).alias("tp"), (F.col("n0") + F.sum("n").over(own)).alias("fp"))
+    steps = rows.where("label >= 0").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    edges = steps.agg(F.percentile_approx("score", F.array(*[dbl(k / CELLS) for k in range(1, CELLS)]), 4 * CELLS).alias("edges"))
+    steps = steps.crossJoin(F.broadcast(edges))  # one row
+    steps = steps.withColumn("cell", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("score"))), F.lit(0))).drop("edges")
+    above = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = steps.groupBy(*by, "cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))  # at most CELLS rows a group
+    cells = cells.select(*by, "cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("n0"))
+    own = Window.partitionBy(*by, "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(F.broadcast(cells), [*by, "cell"]).select(*by, "score", "p", "n", (F.col("p0") + F.sum("p").over(own)).alias("tp"), (F.col("n0") + F.sum("n").over(own)).alias("fp"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -70,11 +73,13 @@ def pr_points(rows: DataFrame) -> DataFrame:
     return at.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("np")).alias("recall"))
 
 
-def auroc(rows: DataFrame) -> DataFrame:
-    """Mann-Whitney AUROC with ties averaged: pairs won by each score plus half the pairs that tie."""
-    won = F.sum(F.col("p").cast("double") * (F.col("nn") - F.col("fp") + F.col("n") / dbl(2)))
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
-    return at.agg(won.alias("won"), F.max("np").alias("np"), F.max("nn").alias("nn")).select(ratio(F.col("won"), F.col("np").cast("double") * F.col("nn").cast("double")).alias("auroc"))
+def auroc(rows: DataFrame, *by: str) -> DataFrame:
+    """Mann-Whitney AUROC with ties averaged: pairs won by each score plus half the pairs that tie. Null without both classes."""
+    at = score_steps(rows, *by)
+    # pairs won by a score: its malicious rows over the benign rows below it; all benign rows are the largest fp
+    sums = at.groupBy(*by).agg(F.sum(F.col("p").cast("double") * (F.col("n") / dbl(2) - F.col("fp"))).alias("won"), F.max("tp").alias("np"), F.max("fp").alias("nn"))
+    won = F.col("won") + F.col("np").cast("double") * F.col("nn")
+    return sums.select(*by, ratio(won, F.col("np").cast("double") * F.col("nn").cast("double")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
@@ -111,19 +116,78 @@ def score_histogram(rows: DataFrame, bins: int = 50) -> DataFrame:
     return found.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
 
 
+def next_up(x: Column) -> Column:
+    """The next double above a positive one: half a unit in the last place more always rounds up to it."""
+    return x + F.greatest(x * dbl(2.0**-53 * 1.5), dbl(5e-324))
+
+
 def calibrated_threshold(rows: DataFrame, target: float) -> DataFrame:
-    """(n, k, above): the threshold is the next double above the (k+1)-th largest benign score, k = floor(target n);
-    a row passes it exactly if its score > above. above is null (threshold 0) when k >= n."""
+    """(threshold, achieved, n): the smallest threshold whose false-positive rate on the benign rows is at most target.
+
+    It is the next double above the (k+1)-th largest benign score, k = floor(target n), 0 if k is n or more, and
+    never below 0. Scores that are null or not finite, and a target that only a threshold above 1 meets, raise.
+    """
     ben = rows.where("label = 0")
-    at = score_steps(ben.withColumn("label", F.lit(0))).crossJoin(F.broadcast(totals(ben)))
+    s = F.col("score")
+    bad = s.isNull() | F.isnan(s) | (F.abs(s) == dbl("inf"))
+    at = score_steps(ben.withColumn("label", F.lit(0))).crossJoin(F.broadcast(ben.agg(F.count(F.lit(1)).alias("nn"), F.count_if(bad).alias("nbad"))))
     k = F.floor(dbl(target) * F.col("nn") + dbl(1e-9))
-    return at.agg(F.max("nn").alias("n"), F.max(k).alias("k"), F.max(F.when(F.col("fp") >= k + 1, F.col("score"))).alias("above"))
+    above = F.max(F.when(F.col("fp") >= k + 1, F.col("score")))
+    got = at.agg(F.max("nn").alias("n"), F.max("nbad").alias("nbad"), F.max(F.col("nn") - k).alias("room"), above.alias("above"), F.max(F.when(F.col("fp") < k + 1, F.col("fp"))).alias("achieved"), F.max(F.when(F.col("score") >= 0, F.col("fp"))).alias("not_below_0"))
+    got = got.withColumn("t", F.when(F.col("room") <= 0, dbl(0)).when(F.col("above") < 0, dbl(0)).when(F.col("above") == 0, dbl(5e-324)).otherwise(next_up(F.col("above"))))
+    t = F.when(F.col("nbad") > 0, F.raise_error(F.lit("benign scores must be finite"))).when(F.col("t") > 1, F.raise_error(F.lit("no threshold up to 1 meets the target"))).otherwise(F.col("t"))
+    achieved = F.when(F.col("room") <= 0, F.col("not_below_0")).when(F.col("above") < 0, F.col("not_below_0")).otherwise(F.col("achieved"))
+    return got.select(t.alias("threshold"), (F.coalesce(achieved, F.lit(0)) / F.col("n")).alias("achieved"), "n")
 
 
 def attack_metrics(rows: DataFrame, decision: float) -> DataFrame:
-    """Advantage (tpr - fpr) at a decision threshold, the best one, and where it is (highest threshold wins)."""
-    at = roc_points(rows)
-    gain = F.col("tpr") - F.col("fpr")
-    best = at.agg(F.max(gain).alias("best_advantage"), F.max_by("threshold", F.struct(gain, "threshold")).alias("best_threshold"), F.max(F.when(F.col("fpr") <= dbl(0.01), F.col("tpr"))).alias("tpr_at_1pct"))
-    point = confusion(rows, decision).select((F.col("recall") - F.col("fpr")).alias("advantage"))
-    return best.crossJoin(point)  # one row each
+    """Advantage (tpr - fpr) at a decision threshold, the best one and where it is (the highest threshold wins), AUROC,
+    and the tpr at 1 % fpr, in one pass over the distinct scores."""
+    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    tpr, fpr = ratio(F.col("tp"), F.col("np")), ratio(F.col("fp"), F.col("nn"))
+    gain = tpr - fpr
+    hit = F.col("score") >= dbl(decision)
+    got = at.agg(
+        F.greatest(F.max(gain), dbl(0)).alias("best_advantage"),
+        F.max_by("score", F.struct(gain, "score")).alias("at"),
+        F.max("score").alias("top"),
+        F.max(gain).alias("most"),
+        F.coalesce(F.max(F.when(fpr <= dbl(0.01 + 1e-12), tpr)), dbl(0)).alias("tpr_at_1pct"),
+        F.coalesce(F.max(F.when(hit, tpr)), dbl(0)).alias("tpr"),
+        F.coalesce(F.max(F.when(hit, fpr)), dbl(0)).alias("fpr"),
+        F.sum(F.col("p").cast("double") * (F.col("nn") - F.col("fp") + F.col("n") / dbl(2))).alias("won"),
+        F.max(F.col("np").cast("double") * F.col("nn")).alias("pairs"),
+    )
+    threshold = F.when(F.col("most") > 0, F.col("at")).otherwise(F.col("top") + dbl(1))  # no threshold beats calling nobody a member
+    return got.select("best_advantage", threshold.alias("best_threshold"), "tpr_at_1pct", (F.col("tpr") - F.col("fpr")).alias("advantage"), ratio(F.col("won"), F.col("pairs")).alias("auroc"))
+
+
+def performance(rows: DataFrame, threshold: float, max_fpr: float, bins: int = 15) -> DataFrame:
+    """One row: confusion, rates with intervals, AUROC, AUPRC, Brier score, ECE, tpr at fixed fprs and the threshold that
+    keeps max_fpr, all from one pass over the distinct scores."""
+    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    s, p, n, tp, fp, mal, ben = (F.col(c) for c in ("score", "p", "n", "tp", "fp", "np", "nn"))
+    hit, tpr, fpr = s >= dbl(threshold), ratio(tp, mal), ratio(fp, ben)
+    k = F.greatest(F.least(F.ceil(s * dbl(bins)) - 1, F.lit(bins - 1)), F.lit(0))
+    part = at.groupBy(k.alias("bin")).agg(
+        F.max(mal).alias("np"), F.max(ben).alias("nn"),
+        F.max(F.when(hit, tp)).alias("tp"), F.max(F.when(hit, fp)).alias("fp"),
+        F.sum(p.cast("double") * (ben - fp + n / dbl(2))).alias("won"),
+        F.sum(ratio(p, mal) * ratio(tp, tp + fp)).alias("ap"),
+        F.sum(p * F.pow(s - dbl(1), dbl(2)) + n * F.pow(s, dbl(2))).alias("square"),
+        F.abs(F.sum(p) - F.sum(s * (p + n))).alias("off"),
+        F.max(F.when(fpr <= dbl(0.001), tpr)).alias("t1"), F.max(F.when(fpr <= dbl(0.01), tpr)).alias("t2"),
+        F.min(F.when(fpr <= dbl(max_fpr), s)).alias("t"),
+    )
+    both = (F.max("np") > 0) & (F.max("nn") > 0)
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0))
+    got = part.agg(
+        F.max("nn").alias("n_benign"), F.max("np").alias("n_malicious"), zero("tp").alias("tp"), zero("fp").alias("fp"),
+        F.when(both, F.sum("won") / (F.max("np").cast("double") * F.max("nn"))).alias("auroc"), F.when(both, F.sum("ap")).alias("auprc"),
+        (F.sum("square") / (F.max("np") + F.max("nn"))).alias("brier"), (F.sum("off") / (F.max("np") + F.max("nn"))).alias("ece"),
+        F.when(both, zero("t1")).cast("double").alias("tpr_at_fpr_001"), F.when(both, zero("t2")).cast("double").alias("tpr_at_fpr_01"),
+        F.when(both, F.min("t")).alias("threshold_at_max_fpr"),
+    )
+    tp, fp, mal, ben = (F.col(c) for c in ("tp", "fp", "n_malicious", "n_benign"))
+    (dlo, dhi), (flo, fhi) = wilson(tp, mal), wilson(fp, ben)
+    return got.withColumns({"detection_rate": ratio(tp, mal), "fpr": ratio(fp, ben), "detection_lo": dlo, "detection_hi": dhi, "fpr_lo": flo, "fpr_hi": fhi})

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.operators.selection import sample_key
+from assay.operators.ranks import hash_ranked
+from assay.operators.selection import role_splits, sample_key
+from assay.sources.corpora import ROLES
 
 
 def stratified_pairs(members: DataFrame, others: DataFrame, seed: int, strata: list[str]) -> DataFrame:
     """Pairs within strata: as many as the smaller side has, matched by position in hash order."""
-    at = Window.partitionBy(*strata).orderBy(sample_key(seed), "row_id")
-    side = lambda df, name: df.select(*strata, F.col("row_id").alias(name), F.row_number().over(at).alias("position"))
+    side = lambda df, name: hash_ranked(df.select(*strata, "row_id"), strata, seed, "position").withColumnRenamed("row_id", name)
     return side(members, "member_row").join(side(others, "other_row"), [*strata, "position"])
 
 
@@ -31,6 +32,61 @@ def k_nearest(rows: DataFrame, targets: DataFrame, k: int, seed: int) -> DataFra
     return nearest_days(rows, targets).where("days_apart is not null").orderBy("days_apart", sample_key(seed), "row_id").limit(k)
 
 
+def nearest_within(rows: DataFrame, targets: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
+    """Of each label the `k` rows (quota: label, k) whose day is nearest to a target row's of that label.
+
+    Rows are ranked by distance without a task for a label: whole distances are taken in order until the quota, and
+    only the last one's rows are ranked by hash."""
+    near = None
+    for label in (0, 1):
+        one = nearest_days(rows.where(F.col("label") == label), targets.where(F.col("label") == label)).where("days_apart is not null")
+        near = one if near is None else near.unionByName(one)
+    days = near.groupBy("label", "days_apart").agg(F.count(F.lit(1)).alias("n"))  # a row for each distance
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("days_apart"))
+    days = days.withColumn("upto", upto).join(F.broadcast(quota), "label").where("upto - n < k")  # one row a label
+    days = days.select("label", "days_apart", F.least("n", F.expr("k - (upto - n)")).alias("take"))
+    ranked = hash_ranked(near.join(F.broadcast(days), ["label", "days_apart"]), ["label", "days_apart"], seed, "_place")
+    return ranked.where("_place <= take").drop("_place", "take", "days_apart")
+
+
+def nearest_pairs(members: DataFrame, others: DataFrame, cap: int | None, seed: int) -> DataFrame:
+    """(label, position, member_row, other_row): of each label the members nearest in time to the others, and the others
+    nearest to those; as many as the smaller side has, with a cap in proportion to the members (one at least)."""
+    n = lambda df, name: df.groupBy("label").agg(F.count(F.lit(1)).alias(name))
+    m, o = n(members, "m"), n(others, "o")
+    share = F.greatest(F.lit(1), F.bround(F.lit(float(cap or 0)) * F.col("m") / F.sum("m").over(Window.partitionBy())))  # two rows
+    quota = m.withColumn("share", share).join(o, "label").select("label", (F.least("m", "o", "share") if cap is not None else F.least("m", "o")).cast("bigint").alias("k"))
+    mine = nearest_within(members.where("timestamp is not null"), others, quota, seed)
+    theirs = nearest_within(others.where("timestamp is not null"), mine, quota, seed)
+    return stratified_pairs(mine, theirs, seed + 1, ["label"])
+
+
+def candidates(corpus: DataFrame, manifest: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Labelled rows that are no members: those of the pool and of the extra splits, without the challenge's."""
+    wanted = role_splits(corpus, "pool") | F.col("split").isin(extra or [])
+    return corpus.where(wanted & ~F.col("split").isin(ROLES["challenge"]) & (F.col("label") >= 0)).join(manifest.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def member_sample(corpus: DataFrame, manifest: DataFrame, seed: int, least: int = 200, most: int | None = 5000, time_matched: bool = True, extra: list[str] | None = None) -> tuple[DataFrame, str]:
+    """(pairs (pair, member_row, other_row), design): time_matched by month and label if that gives enough pairs, else
+    nearest_time (an upper bound of the leak), or label_matched without dates. Raises if too few can be paired."""
+    members = corpus.where("label >= 0").join(manifest.select("sha256").distinct(), "sha256", "left_semi")
+    others = candidates(corpus, manifest, extra)
+    dated = lambda df: df.where("timestamp is not null")
+    month = lambda df: dated(df).withColumn("month", F.date_trunc("month", "timestamp"))
+    design, pairs = "label_matched", None
+    if time_matched and not dated(members).isEmpty() and not dated(others).isEmpty():
+        design, pairs = "time_matched", stratified_pairs(month(members), month(others), seed, ["month", "label"])
+        if pairs.count() < least:
+            design, pairs = "nearest_time", nearest_pairs(dated(members), dated(others), most, seed)
+    if pairs is None:
+        pairs = stratified_pairs(members, others, seed, ["label"])
+    pairs = hash_ranked(pairs.select("member_row", "other_row"), [], seed + 2, "pair", "member_row")
+    if pairs.count() < least:
+        raise ValueError(f"fewer than {least} members can be paired")
+    return (pairs if most is None else pairs.where(F.col("pair") <= most)), design
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
     """left with the last value of right at or before `on`, within `by`: a tagged union and one window a key."""
     a = left.withColumn("side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))

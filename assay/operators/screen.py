@@ -1,0 +1,179 @@
+"""Screening tree ensembles for backdoor-like rules, as joins and aggregations over the node table.
+
+A gate is an edge to a child that gets a small share of its parent's cover and is more benign than its sibling. A feature
+is suspicious if its gates carry a share of the gain while it otherwise matters little; a rule (a leaf's path), if such
+a feature gates it, it leads to a benign leaf, and it is narrow or covers little.
+
+Levels are walked once, bottom-up for covers and top-down for paths; each level is staged, so the plan stays as small as
+one level and every node is touched once a walk.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from assay.functions.scalars import dbl
+from assay.sources.staging import staged
+
+# Where a gate's share of cover, a leaf's share of all cover and a feature's share of gain begin to count and count in full.
+RHO_GATE, RHO_NARROW, PHI_HIGH, PHI_LOW, SHARE_LOW, SHARE_HIGH = 0.25, 0.02, 0.25, 0.005, 0.002, 0.01
+
+
+def falling_log(x: Column, hi: float, lo: float) -> Column:
+    """1 up to lo, 0 from hi, linear in the logarithm between."""
+    at = (F.log(dbl(hi)) - F.log(F.greatest(x, dbl(1e-300)))) / (F.log(dbl(hi)) - F.log(dbl(lo)))
+    return F.least(F.greatest(at, dbl(0)), dbl(1))
+
+
+def levels(nodes: DataFrame) -> DataFrame:
+    """(tree, node, parent, side, depth) of all reachable nodes; the root has parent -1. Both children of a level come
+    from one pass over it."""
+    kids = F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit("left").alias("side")), F.struct(F.col("right").alias("node"), F.lit("right").alias("side")))).alias("k")
+    inner = nodes.where("left >= 0").select("tree", "node", "left", "right")
+    level = staged(nodes.where("node = 0").select("tree", "node", F.lit(-1).alias("parent"), F.lit("root").alias("side"), F.lit(0).alias("depth")), "tree-level")
+    parts, depth = [level], 0
+    while True:
+        depth += 1
+        below = level.select("tree", "node").join(inner, ["tree", "node"]).select("tree", F.col("node").alias("parent"), kids)
+        level = staged(below.select("tree", "k.node", "parent", "k.side", F.lit(depth).alias("depth")), "tree-level")
+        if level.isEmpty():
+            break
+        parts.append(level)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@dataclass
+class Walk:
+    """Nodes with parent and depth, subtree cover and cover-weighted mean leaf value; trees without cover are left out."""
+
+    nodes: DataFrame
+    depth: int
+
+
+def covers(nodes: DataFrame) -> Walk:
+    """fill_internal: cover and mean of every subtree, from the deepest level up."""
+    at = staged(nodes.join(levels(nodes), ["tree", "node"]), "tree-nodes")
+    depth = at.agg(F.max("depth")).first()[0] or 0
+    cover = F.greatest(F.nanvl(F.coalesce(F.col("cover"), dbl(0)), dbl(0)), dbl(0))
+    leaf = lambda d: at.where((F.col("left") < 0) & (F.col("depth") == d)).select("tree", "node", "parent", cover.alias("sub"), (F.col("value") * cover).alias("weighted"))
+    done, below = [], None
+    for d in range(depth, -1, -1):
+        level = leaf(d)
+        if below is not None:
+            sums = below.groupBy("tree", F.col("parent").alias("node")).agg(F.sum("sub").alias("sub"), F.sum("weighted").alias("weighted"))
+            level = level.unionByName(sums.join(at.select("tree", "node", "parent"), ["tree", "node"]).select("tree", "node", "parent", "sub", "weighted"))
+        below = staged(level, "tree-cover")
+        done.append(below)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    mean = F.when(F.col("sub") > 0, F.col("weighted") / F.greatest(F.col("sub"), dbl(1e-300))).otherwise(dbl(0))
+    whole = done[-1].where("sub > 0").select("tree", F.col("sub").alias("root_cover"), (F.col("weighted") / F.col("sub")).alias("root_mean"))
+    got = at.join(out.select("tree", "node", "sub", mean.alias("mean")), ["tree", "node"]).join(whole, "tree")
+    several = got.where("depth > 0").select("tree").distinct()
+    return Walk(staged(got.join(several, "tree", "left_semi"), "tree-walk"), depth)
+
+
+def edges(walk: Walk) -> DataFrame:
+    """A row for each non-root node: its parent's feature, gain and cover, rho (its share of the parent's cover) and whether it is a gate."""
+    n = walk.nodes
+    up = n.where("left >= 0").select("tree", F.col("node").alias("parent"), F.col("feature").alias("gate_feature"), F.greatest(F.nanvl(F.coalesce("gain", dbl(0)), dbl(0)), dbl(0)).alias("parent_gain"), F.col("sub").alias("parent_cover"))
+    kids = n.where("depth > 0")
+    total = Window.partitionBy("tree", "parent")
+    sibling = F.sum("mean").over(total) - F.col("mean")
+    e = kids.withColumn("sibling", sibling).join(up, ["tree", "parent"])
+    rho = F.when(F.col("parent_cover") > 0, F.col("sub") / F.greatest("parent_cover", dbl(1e-300))).otherwise(dbl(1))
+    return e.withColumn("rho", rho).withColumn("gate", (F.col("parent_cover") > 0) & (F.col("rho") <= dbl(RHO_GATE)) & (F.col("mean") < F.col("sibling")))
+
+
+def gate_statistics(walk: Walk) -> DataFrame:
+    """(feature, total, gate, weighted): split gain, gain of splits with a gate (once a gate), and that by how narrow and rare the gate is.
+
+    Without any gain the covers take its place."""
+    inner = walk.nodes.where("left >= 0")
+    gain = F.greatest(F.nanvl(F.coalesce("gain", dbl(0)), dbl(0)), dbl(0))
+    plain = inner.groupBy("feature").agg(F.sum(gain).alias("total_g"), F.sum("sub").alias("total_c"))
+    w = falling_log(F.col("rho"), RHO_GATE, RHO_NARROW) * falling_log(F.col("sub") / F.col("root_cover"), PHI_HIGH, PHI_LOW)
+    gates = edges(walk).where("gate").groupBy(F.col("gate_feature").alias("feature"))
+    gates = gates.agg(F.sum("parent_gain").alias("gate_g"), F.sum(F.col("parent_gain") * w).alias("weighted_g"), F.sum("parent_cover").alias("gate_c"), F.sum(F.col("parent_cover") * w).alias("weighted_c"))
+    both = plain.join(gates, "feature", "left").na.fill(0.0)
+    any_gain = F.sum("total_g").over(Window.partitionBy()) > 0  # features are a bounded dimension
+    pick = lambda c: F.when(any_gain, F.col(f"{c}_g")).otherwise(F.col(f"{c}_c")).alias(c)
+    return both.select("feature", pick("total"), pick("gate"), pick("weighted"))
+
+
+def feature_suspicion(statistics: DataFrame, quantile: float = 0.5) -> DataFrame:
+    """statistics with gate_share, low_importance and suspicion, of the features that split anything."""
+    used = statistics.where("total > 0").withColumn("other", F.col("total") - F.col("gate"))
+    place = F.cume_dist().over(Window.orderBy("other"))
+    low = F.least(F.greatest((dbl(1) - place) / dbl(max(1 - quantile, 1e-12)), dbl(0)), dbl(1))
+    share = F.col("weighted") / F.sum("total").over(Window.partitionBy())
+    out = used.withColumn("low_importance", low).withColumn("gate_share", share).drop("other")
+    return out.withColumn("suspicion", F.col("low_importance") * F.least(F.greatest((F.col("gate_share") - dbl(SHARE_LOW)) / dbl(SHARE_HIGH - SHARE_LOW), dbl(0)), dbl(1)))
+
+
+def path_states(walk: Walk, suspicion: DataFrame) -> DataFrame:
+    """For each leaf what its path gathers from the root: the sum of the logarithms of its gates' rho, the most suspicious gate
+    feature (the first of equals) and the conditions in order."""
+    e = edges(walk).join(F.broadcast(suspicion.select(F.col("feature").alias("gate_feature"), F.col("suspicion").alias("s"))), "gate_feature", "left")  # a row a feature
+    up = walk.nodes.where("left >= 0").select("tree", F.col("node").alias("parent"), F.col("threshold").alias("cut"))
+    e = staged(e.join(up, ["tree", "parent"]).select("tree", "node", "parent", "depth", "side", "gate", "rho", "gate_feature", "cut", F.coalesce("s", dbl(0)).alias("s")), "tree-edges")
+    state = walk.nodes.where("depth = 0").select("tree", "node", dbl(0).alias("log_rho"), dbl(-1).alias("best"), F.lit(-1).alias("dominant"), F.array().cast("array<struct<feature:int,below:boolean,cut:double>>").alias("conditions"))
+    leaves, out = walk.nodes.where("left < 0").select("tree", "node"), None
+    for d in range(1, walk.depth + 1):
+        step = e.where(F.col("depth") == d).join(state.withColumnRenamed("node", "parent"), ["tree", "parent"])
+        offer = F.when(F.col("gate"), F.col("s")).otherwise(dbl(-1))
+        better = offer > F.col("best")
+        state = step.select(
+            "tree", "node",
+            (F.col("log_rho") + F.when(F.col("gate"), F.log(F.greatest("rho", dbl(1e-300)))).otherwise(dbl(0))).alias("log_rho"),
+            F.when(better, offer).otherwise(F.col("best")).alias("best"),
+            F.when(better, F.col("gate_feature")).otherwise(F.col("dominant")).alias("dominant"),
+            F.concat("conditions", F.array(F.struct(F.col("gate_feature").alias("feature"), (F.col("side") == "left").alias("below"), "cut"))).alias("conditions"),
+        )
+        state = staged(state, "tree-path")
+        ends = state.join(leaves, ["tree", "node"], "left_semi")
+        out = ends if out is None else out.unionByName(ends)
+    return out
+
+
+def rule_suspicion(walk: Walk, states: DataFrame) -> DataFrame:
+    """Rules with a suspicion above 0: what makes them so, their cover and depth."""
+    leaf = walk.nodes.where("left < 0 and depth > 0").select("tree", "node", "value", "sub", "root_cover", "root_mean", "depth")
+    spread = leaf.groupBy("tree").agg(F.max(F.abs(F.col("value") - F.col("root_mean"))).alias("spread")).where("spread > 0")
+    r = states.where("best > 0").join(leaf, ["tree", "node"]).join(spread, "tree")
+    benign = F.least(F.greatest((F.col("root_mean") - F.col("value")) / F.col("spread"), dbl(0)), dbl(1))
+    r = r.withColumns({"benign": benign, "narrow": falling_log(F.exp("log_rho"), RHO_GATE, RHO_NARROW), "low_cover": falling_log(F.col("sub") / F.col("root_cover"), PHI_HIGH, PHI_LOW)})
+    s = F.col("best") * F.sqrt(F.col("benign") * F.greatest("narrow", "low_cover"))
+    return r.withColumn("suspicion", s).where("suspicion > 0").select("tree", F.col("node").alias("leaf"), "suspicion", "dominant", "benign", "narrow", "low_cover", F.col("sub").alias("cover"), "depth", "value", "conditions")
+
+
+def top_rules(rules: DataFrame, k: int = 50) -> DataFrame:
+    return rules.orderBy(F.desc("suspicion"), "tree", "leaf").limit(k)
+
+
+def suspicious_features(features: DataFrame, rules: DataFrame, least: float = 0.5, k: int = 50) -> DataFrame:
+    """Features by suspicion, then gate share, with the number of rules at or above `least` that they dominate."""
+    flagged = rules.where(F.col("suspicion") >= least).groupBy(F.col("dominant").alias("feature")).agg(F.count(F.lit(1)).alias("n_flagged"))
+    got = features.where("suspicion > 0 or gate_share > 0").join(flagged, "feature", "left").na.fill(0, ["n_flagged"])
+    return got.orderBy(F.desc("suspicion"), F.desc("gate_share"), "feature").limit(k)
+
+
+def interval_text(conditions: Column, names: Column | None = None) -> Column:
+    """A path's conditions as one interval a feature, in order of first appearance: f3 <= 0.5, -1 < f7 <= 2."""
+    features = F.array_distinct(F.transform(conditions, lambda c: c["feature"]))
+    bound = lambda f, below: F.transform(F.filter(conditions, lambda c: (c["feature"] == f) & (c["below"] == F.lit(below))), lambda c: c["cut"])
+    show = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""), r"^-0$", "0")
+
+    def one(f: Column) -> Column:
+        name = F.concat(F.lit("f"), f.cast("string")) if names is None else names[f]
+        hi, lo = F.array_min(bound(f, True)), F.array_max(bound(f, False))
+        return F.when(lo.isNull(), F.concat(name, F.lit(" <= "), show(hi))).when(hi.isNull(), F.concat(name, F.lit(" > "), show(lo))).otherwise(F.concat(show(lo), F.lit(" < "), name, F.lit(" <= "), show(hi)))
+
+    return F.transform(features, one)

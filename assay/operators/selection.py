@@ -96,5 +96,20 @@ def balanced_sample(rows: DataFrame, total: int, seed: int) -> DataFrame:
 
 def interleaved(rows: DataFrame, seed: int) -> DataFrame:
     """Position of each row when classes take turns, benign first."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(sample_key(seed), "row_id"))
-    return rows.withColumn("turn", rank)
+    from assay.operators.ranks import hash_ranked
+
+    return hash_ranked(rows, ["label"], seed, "turn")
+
+
+def exclude_background(rows: DataFrame, explained: DataFrame) -> DataFrame:
+    """Rows that are not among those explained: what is left for a background sample."""
+    return rows.join(explained.select("row_id").distinct(), "row_id", "left_anti")
+
+
+def split_pairs(pairs: DataFrame, share: float, seed: int, key: str = "pair") -> DataFrame:
+    """pairs with test: a random share of them (rounded half to even, one at least and not all), by rank in hash order."""
+    from assay.operators.ranks import hash_ranked
+
+    n = pairs.agg(F.count(F.lit(1)).alias("_n"))
+    take = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * F.lit(float(share)))))
+    return hash_ranked(pairs, [], seed, "_r", key).crossJoin(F.broadcast(n)).withColumn("test", F.col("_r") <= take).drop("_r", "_n")  # one row

@@ -24,4 +24,4 @@ def query(key: str, sql: str | None = None):
     return put
 
 
-from assay.catalog import metrics, more, scalars, selection, structure, time  # noqa: E402, F401
+from assay.catalog import metrics, modules, more, scalars, selection, structure, time, values  # noqa: E402, F401
