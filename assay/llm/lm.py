@@ -7,16 +7,20 @@ held-out counts. EM reads them as a histogram over (bucket, log-ratios of the es
 1/STEPS octave), whose size is bounded by its axes, not by the corpus. The scoring model counts all learning
 documents.
 
-Counting: each block of documents sends its distinct token and bigram hashes (64 bits) with
-counts to hash buckets, packed (sorted, differences, zstd); a bucket adds them up and answers each
-block with the totals of the block's own keys. So a bigram that is everywhere is one entry a block.
+Counting: one scan numbers the tokens and bigrams of each block of documents and sends their
+distinct hashes (64 bits) with counts to hash buckets, packed (sorted, differences, zstd); a bucket
+adds them up and answers each block with the totals of the block's own keys. So a bigram that is
+everywhere is one entry a block. The texts themselves go no further: a block keeps, for each
+token, its number and its bigram's.
 
 Tokens: words between ASCII white space with A-Z in lower case, then one end token a text, which is
 also the context of the first word.
 
 Defined results: a null text is empty (the end token alone); a null id counts as remainder -1: it is
 learned from; repeated rows are learned from and scored each; with nothing to learn from, N and V
-are 0 and every token gets the uniform estimate; an empty table gives an empty table; further
+are 0 and every token gets the uniform estimate 1/(V+1) = 1, so that scores are 0; a very long text
+is a block of its own and takes memory for its tokens; words are bytes, so text that is not valid
+UTF-8 is scored as it stands; ids may be of any type; an empty table gives an empty table; further
 columns are not read.
 """
 
@@ -26,30 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.blocks import Block, exchange, rejoin, stable, unzip_bytes, zip_bytes
-from assay.llm.common import buckets, mix64, staged
+from assay.llm.blocks import answered, cut_tables, distinct, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
+from assay.llm.common import mix64, staged
 
-END = b"\n"
+BLOCK_BYTES = 8 << 20
 CONTEXTS, STEPS, SPAN = 40, 4, 120
 EM_ROUNDS = 60
 
 
-def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct token, the end first; token numbers of all texts; tokens of each text)."""
-    number: dict[bytes, int] = {END: 0}
-    parts, counts = [], []
-    for text in block.texts:
-        words = text.lower().split()
-        ids = [number.setdefault(w, len(number)) for w in words]
-        ids.append(0)
-        counts.append(len(ids))
-        parts.append(np.array(ids, np.int32))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    return hashes, np.concatenate(parts), np.array(counts, np.int64)
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct token, the end first; token numbers of all texts, each with its end; tokens of each text)."""
+    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.dictionary_encode()
+    hashes = np.concatenate([word_hashes(pa.array([b"\n"])), word_hashes(coded.dictionary)])
+    ends = np.cumsum(counts)
+    return hashes, np.insert(coded.indices.to_numpy().astype(np.int32) + 1, ends, 0), counts + 1
 
 
 def _pairs(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -74,32 +73,31 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _own_keys(block: Block) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """((sorted hashes) of tokens and of bigrams; hashes, ids, counts, bigram of each position)."""
-    hashes, ids, counts = _tokens(block)
-    pair = _pairs(hashes, ids)
-    return (np.sort(hashes), np.unique(pair)), hashes, ids, counts, pair
-
-
-def _send(block: Block, n: int) -> Iterator[tuple[int, bytes]]:
-    (words, pairs), hashes, ids, counts, pair = _own_keys(block)
-    learn = np.repeat(block.table.column("learn").to_numpy().astype(bool), counts)
-    tune = bool(block.table.column("tune")[0].as_py())
-    lists = []
-    for keys, each in ((words, hashes[ids]), (pairs, pair)):
-        got, times = np.unique(each[learn], return_counts=True)
-        own = np.zeros(len(keys), np.uint32)
-        own[np.searchsorted(keys, got)] = times
-        lists.append((keys, own, _cuts(keys, n)))
-    for bucket in range(n):
-        body = [np.uint32([tune, *(c[bucket + 1] - c[bucket] for _, _, c in lists)]).tobytes()]
-        for keys, own, c in lists:
-            body += [_squeeze(keys[c[bucket] : c[bucket + 1]]), own[c[bucket] : c[bucket + 1]].tobytes()]
-        if len(body[1]) or len(body[3]):
-            yield bucket, zip_bytes(b"".join(body))
-
-
-def _total(lists: list[bytes]) -> list[bytes]:
+def _send(fields: list[str]):
+    def send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+        for block, table in enumerate(cut_tables(batches, BLOCK_BYTES)):
+            hashes, ids, counts = _tokens(table.column("text").combine_chunks())
+            learn = np.repeat(table.column("learn").to_numpy().astype(bool), counts)
+            tune = bool(table.column("tune")[0].as_py())
+            lists, places_ = [], []
+            words, rank = distinct(hashes)
+            pairs, pair = distinct(_pairs(hashes, ids))
+            for keys, at in ((words, rank[ids]), (pairs, pair)):
+                lists.append((keys, np.bincount(at[learn], minlength=len(keys)).astype(np.uint32), _cuts(keys, n)))
+                places_.append(zip_ints(at))
+            for bucket in range(n):
+                body = [np.uint32([tune, *(c[bucket + 1] - c[bucket] for _, _, c in lists)]).tobytes()]
+                for keys, own, c in lists:
+                    body += [_squeeze(keys[c[bucket] : c[bucket + 1]]), own[c[bucket] : c[bucket + 1]].tobytes()]
+                if len(body[1]) or len(body[3]):
+                    yield block, bucket, zip_bytes(b"".join(body))
+            head = np.array([tune, rank[0], len(words), len(pairs), len(ids)], np.int64).tobytes()
+            yield block, n, join_parts([head, pack_table(table.select(fields)), zip_ints(counts), *places_])
+
+    return send
+
+
+def _total(lists: list[bytes]) -> Iterator[bytes]:
     """For each list the totals of its keys; each answer also starts with the bucket's sums.
 
     Sums (each in one answer alone): tokens and distinct tokens in learning, the same without the
@@ -127,30 +125,36 @@ def _total(lists: list[bytes]) -> list[bytes]:
             out.append((fit + held)[at].astype(np.uint64))
             if tune:
                 out.append(fit[at].astype(np.uint64))
-    made = []
     for i, out in enumerate(answers):
         head = np.array(sums if not i else [0, 0, 0, 0], np.int64)
-        made.append(head.tobytes() + zip_bytes(np.concatenate(out).tobytes()))
-    return made
-
-
-def _totals(block: Block, answer: dict[int, bytes], n: int, fit: bool) -> tuple[np.ndarray, ...]:
-    """For each position: count of the token, of its context and of the pair; tokens of each text."""
-    keys, hashes, ids, counts, pair = _own_keys(block)
-    tune = bool(block.table.column("tune")[0].as_py())
-    total = [np.zeros(len(k), np.int64) for k in keys]
-    cuts = [_cuts(k, n) for k in keys]
-    for bucket, body in answer.items():
-        got = np.frombuffer(unzip_bytes(body[32:]), np.uint64)
-        at = 0
-        for own, c in zip(total, cuts, strict=True):
-            size = c[bucket + 1] - c[bucket]
+        yield head.tobytes() + np.array([len(k) for k, _ in parsed[i][1]], np.int64).tobytes() + _zip_counts(np.concatenate(out))
+
+
+def _zip_counts(x: np.ndarray) -> bytes:
+    """Counts as packed numbers, in two halves where 32 bits don't hold them."""
+    return join_parts([zip_ints(x & np.uint64(0xFFFFFFFF)), zip_ints(x >> np.uint64(32))])
+
+
+def _unzip_counts(data: bytes) -> np.ndarray:
+    low, high = split_parts(data)
+    return unzip_ints(low).astype(np.int64) | (unzip_ints(high).astype(np.int64) << 32)
+
+
+def _totals(answer: dict[int, bytes], body: bytes, fit: bool) -> tuple[pa.Table, tuple[np.ndarray, ...]]:
+    """(kept columns; for each position: count of the token, of its context and of the pair; tokens of each text)."""
+    head, table, counts, word_at, pair_at = split_parts(body)
+    tune, end, *sizes, _ = np.frombuffer(head, np.int64).tolist()
+    total: list[list[np.ndarray]] = [[], []]
+    for slot in sorted(answer):
+        raw = answer.pop(slot)
+        own, got, at = np.frombuffer(raw, np.int64, 2, 32), _unzip_counts(raw[48:]), 0
+        for k, size in enumerate(own.tolist()):
             take = at + size * (tune and fit)
-            own[c[bucket] : c[bucket + 1]] = got[take : take + size]
+            total[k].append(got[take : take + size])
             at += size * (1 + tune)
-    word = total[0][np.searchsorted(keys[0], hashes)][ids]
-    context = np.concatenate([total[0][np.searchsorted(keys[0], hashes[:1])], word[:-1]])
-    return word, context, total[1][np.searchsorted(keys[1], pair)], counts
+    words, pairs = (np.concatenate(t or [np.zeros(0, np.int64)]) for t in total)
+    word = words[unzip_ints(word_at)]
+    return unpack_table(table), (word, np.concatenate([words[end : end + 1], word[:-1]]), pairs[unzip_ints(pair_at)], unzip_ints(counts).astype(np.int64))
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -189,54 +193,56 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
     learn: whether a document is learned from; tune: whether such a one is in the deleted slice.
     base_score is the add-one unigram log10 probability, score that of the interpolated model.
     """
-    spark = docs.sparkSession
-    n = buckets(spark)
     more = more or {}
-    rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()], F.col(text_col).alias("text"), learn.alias("learn"), (learn & tune).alias("tune"))
-    rows = stable(rows, "lm-docs")
-    slice_ = rows.where("tune")
-    rows = slice_.unionByName(rows.where("not tune"))
+    rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()], F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(learn & tune, F.lit(False)).alias("tune"))
+    n = places(rows)
+    fields = [f for f in rows.schema.fields if f.name not in ("text", "learn", "tune")]
+    send = _send([f.name for f in fields])
+    # blocks are of the deleted slice or not; each kind's blocks have names of their own
+    deleted = spread(rows.where("tune"), send, n, "lm-slice")
+    others = spread(rows.where("not tune"), send, n, "lm-docs").withColumn("block", -F.col("block") - 1)
+    both = deleted.unionByName(others)
 
-    answers = staged(exchange(rows, _send, _total), "lm-answers")
+    answers = staged(answered(both, _total, n), "lm-answers", packed=True)
     sums = np.zeros(4, np.int64)
-    for r in answers.select("bucket", F.substring("body", 1, 32).alias("head")).where(F.col("head") != F.lit(bytes(32))).collect():  # a row for each bucket
+    for r in answers.select(F.substring("body", 1, 32).alias("head")).where(F.col("head") != F.lit(bytes(32))).collect():  # a row for each bucket
         sums += np.frombuffer(r.head, np.int64)
     n_all, v_all, n_fit, v_fit = sums.tolist()
 
-    def held_out(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        word, context, pair, _ = _totals(block, answer, n, fit=True)
-        two = _step(pair / np.maximum(context, 1) * (v_fit + 1))
-        one = _step(word / max(n_fit, 1) * (v_fit + 1))
-        side = 3 * SPAN + 1
-        cell, times = np.unique((_bucket(context) * side + two) * side + one, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "times": pa.array(times)})
+    def held_out(block: int, answer: dict[int, bytes], pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for _, body in pieces:
+            _, (word, context, pair, _) = _totals(answer, body, fit=True)
+            two = _step(pair / np.maximum(context, 1) * (v_fit + 1))
+            one = _step(word / max(n_fit, 1) * (v_fit + 1))
+            side = 3 * SPAN + 1
+            cell, times = np.unique((_bucket(context) * side + two) * side + one, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "times": pa.array(times)})
 
-    cells = rejoin(slice_, answers, held_out, "cell bigint, times bigint").groupBy("cell").agg(F.sum("times").alias("times")).collect()
+    cells = gathered(deleted, answers.where("block >= 0"), held_out, "cell bigint, times bigint", n).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     side = 3 * SPAN + 1
-    cell = np.array([r.cell for r in cells], np.int64)
-    weights = em_weights(np.stack([cell // side**2, cell // side % side, cell % side], 1), np.array([r.times for r in cells], float))
+    cell, times = cells.column("cell").to_numpy(), cells.column("times").to_numpy().astype(float)
+    weights = em_weights(np.stack([cell // side**2, cell // side % side, cell % side], 1), times)
 
-    fields = [f for f in rows.schema.fields if f.name not in ("text", "learn", "tune")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def score(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        word, context, pair, counts = _totals(block, answer, n, fit=False)
-        w = weights[_bucket(context)]
-        p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(n_all, 1)) + w[:, 2] / (v_all + 1)
-        lone = context == 0  # an unseen context has no bigram estimate: its weight goes to the others
-        p[lone] /= np.maximum(w[lone, 1] + w[lone, 2], 1e-12)
-        at = np.cumsum(counts) - counts
-        add = lambda x: np.add.reduceat(x, at)
-        columns = {f.name: block.table.column(f.name).combine_chunks() for f in fields}
-        yield pa.RecordBatch.from_pydict(
-            columns
-            | {
-                "n_tokens": pa.array(counts),
-                "n_known": pa.array(add((word > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(counts), n_all, np.int64)),
-                "base_score": pa.array(add(np.log10(word + 1.0)) - counts * np.log10(n_all + v_all + 1.0)),
-                "score": pa.array(add(np.log10(p))),
-            }
-        )
-
-    return rejoin(rows, answers, score, schema).withColumnRenamed("id", id_col)
+    def score(block: int, answer: dict[int, bytes], pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for _, body in pieces:
+            table, (word, context, pair, counts) = _totals(answer, body, fit=False)
+            w = weights[_bucket(context)]
+            p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(n_all, 1)) + w[:, 2] / (v_all + 1)
+            lone = context == 0  # an unseen context has no bigram estimate: its weight goes to the others
+            p[lone] /= np.maximum(w[lone, 1] * (n_all > 0) + w[lone, 2], 1e-12)
+            at = np.cumsum(counts) - counts
+            add = lambda x: np.add.reduceat(x, at)
+            yield pa.RecordBatch.from_pydict(
+                {f.name: table.column(f.name).combine_chunks() for f in fields}
+                | {
+                    "n_tokens": pa.array(counts),
+                    "n_known": pa.array(row_sums((word > 0).astype(np.int64), counts)),
+                    "train_tokens": pa.array(np.full(len(counts), n_all, np.int64)),
+                    "base_score": pa.array(add(np.log10(word + 1.0)) - counts * np.log10(n_all + v_all + 1.0)),
+                    "score": pa.array(add(np.log10(p))),
+                }
+            )
+
+    return gathered(both, answers, score, schema, n).withColumnRenamed("id", id_col)

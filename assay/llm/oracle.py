@@ -30,8 +30,8 @@ RULES = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_ex
   rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(3) t(k) GROUP BY doc_id),
   li AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
   ln AS (SELECT doc_id, source, t, line, len(regexp_extract_all(line, '{WORD}')) AS n, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM li),
-  f AS (SELECT source, norm, count(DISTINCT t) AS texts, min(doc_id) AS holder FROM ln WHERE n > 0 GROUP BY source, norm),
-  c AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, count(*) FILTER (n > 0 AND texts > 50 AND holder <> doc_id) AS gone, coalesce(sum(n) FILTER (texts > 50 AND holder <> doc_id), 0) AS gone_words FROM ln LEFT JOIN f ON f.source IS NOT DISTINCT FROM ln.source AND f.norm = ln.norm AND n > 0 GROUP BY doc_id),
+  f AS (SELECT source, norm, count(DISTINCT doc_id) AS docs FROM ln WHERE n > 0 GROUP BY source, norm),
+  c AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, count(*) FILTER (n > 0 AND docs > 50) AS gone, coalesce(sum(n) FILTER (docs > 50), 0) AS gone_words FROM ln LEFT JOIN f ON f.source IS NOT DISTINCT FROM ln.source AND f.norm = ln.norm AND n > 0 GROUP BY doc_id),
   b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, gone AS n_removed_lines, (len(ws) - gone_words)::BIGINT AS n_words_left FROM d JOIN c USING (doc_id) LEFT JOIN rep USING (doc_id)),
   x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND n_words_left >= 0.5 * n_words AS kept FROM x"""

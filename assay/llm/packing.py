@@ -1,10 +1,13 @@
 """Best-fit packing by patterns: which documents share a training sequence.
 
 1. The histogram of piece lengths (at most `capacity` bins, so of bounded size) goes to the
-   driver. Patterns of one to three pieces that fill a sequence are enumerated, at most
-   MAX_PATTERNS of them.
-2. Repeat counts are fitted to the histogram by non-negative least squares (multiplicative
-   updates), rounded down and thinned until no length is used more often than it occurs.
+   driver. Patterns are one to FEW pieces that fill a sequence exactly.
+2. Repeat counts are fitted to the histogram by non-negative least squares: min |A x - have|, x >= 0,
+   with a column for each pattern. Columns are generated, not listed: in turn each length that the
+   fit leaves over is priced against the residual (the fit's dual), the pattern that lowers the
+   error most enters or grows by the step that is best along it, and patterns that now cover too much
+   shrink. So few patterns have a count, at most some for each length, and the counts survive
+   rounding; a pattern never uses more pieces of a length than there are.
 3. What is left is packed best-fit decreasing, by classes of equal bins rather than piece by
    piece, so its cost doesn't follow the number of documents.
 4. The plan says for each length which ranks go where: (length, first rank, first sequence,
@@ -12,9 +15,10 @@
    within their length by salted counting, so a length that holds a third of all pieces is
    still spread over all tasks.
 
-Defined results: null text counts as empty (its document is the closing id alone); repeated
-rows are packed as documents of their own; a null doc_id stays null; an empty table gives an
-empty table; further columns are not read.
+Defined results: null text counts as empty (its document is the closing id alone); a very long text
+is cut into pieces like others; bytes that are not valid UTF-8 are read as Spark's make_valid_utf8
+gives them; ids may be of any type; repeated rows are packed as documents of their own; a null
+doc_id stays null; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,19 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import Block
 from assay.llm.bpe import encode_with
 from assay.llm.common import buckets, staged
 
-MAX_PATTERNS = 24_000
-ROUNDS = 400
+FEW = 4
+ROUNDS = 60
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most capacity tokens: id, piece, start, length, ids_crc32, block, row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(block: Block, row: int, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    def finish(owner_ids: pa.Array, block: int, row: int, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         ends = np.cumsum(counts)
         full = np.insert(ids, ends, np.uint32(closing)).astype("<u4")
         raw = memoryview(full.tobytes())
@@ -55,66 +58,88 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int =
         crc = [zlib.crc32(raw[4 * a : 4 * (a + b)]) for a, b in zip(at.tolist(), length.tolist(), strict=True)]
         return pa.RecordBatch.from_pydict(
             {
-                "id": block.table.column("id").slice(row, len(counts)).combine_chunks().take(pa.array(owner)),
+                "id": owner_ids.take(pa.array(owner)),
                 "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()),
                 "ids_crc32": pa.array(crc, pa.int64()),
-                "block": pa.array([block.name] * len(owner), pa.binary()),
+                "block": pa.array(np.full(len(owner), block)),
                 "row": pa.array(owner + row, pa.int64()),
             }
         )
 
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block binary, row bigint"
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, row bigint"
     return encode_with(docs, path, finish, schema, id_col, text_col)
 
 
-def patterns(have: np.ndarray, capacity: int, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Up to three lengths (0: none) that together fill the capacity, of the lengths that occur.
+def _priced(first: int, left: np.ndarray, capacity: int) -> tuple[int, ...] | None:
+    """The pattern with a piece of length `first` that lowers the squared error most, of lengths with something left."""
+    rest = capacity - first
+    if not rest:
+        return (first,)
+    price = np.where(left > 0.5, left, -np.inf)
+    best, found = 0.0, None
+
+    def offer(members: tuple[int, ...]) -> None:
+        nonlocal best, found
+        times = {x: members.count(x) for x in members}
+        gain = sum(k * price[x] for x, k in times.items())
+        if gain > 0 and all(left[x] >= k for x, k in times.items()) and gain**2 / sum(k * k for k in times.values()) > best:
+            best, found = gain**2 / sum(k * k for k in times.values()), members
+
+    def pair(total: int) -> tuple[int, int] | None:
+        if total < 2:
+            return None
+        half = price[1:total] + price[total - 1 : 0 : -1]
+        at = int(half[: total // 2].argmax())
+        return (at + 1, total - at - 1) if half[at] > -np.inf else None
+
+    offer((first, rest))
+    if got := pair(rest):
+        offer((first, *got))
+    if FEW > 3 and rest > 3:
+        for third in np.argsort(price[1 : rest - 1])[-3:].tolist():  # its best price, then the best pair beside it
+            if price[third + 1] > 0 and (got := pair(rest - third - 1)):
+                offer((first, third + 1, *got))
+    return found
+
+
+def fit(have: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, whole repeat count): a non-negative least-squares fit by coordinates, rounded within `have`."""
+    left = have.astype(float)
+    left[0] = 0
+    x: dict[tuple[int, ...], float] = {}
+    shape: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, int]] = {}
+
+    def move(p: tuple[int, ...], least: float) -> float:
+        """Along one pattern to the least error, but not below `least` by itself."""
+        at, times, square = shape[p]
+        step = max(float(left[at] @ times) / square, least)
+        x[p] = x.get(p, 0.0) + step
+        left[at] -= step * times
+        return abs(step)
 
-    All full pieces and pairs; triples by a stride over their longest member that keeps within most.
-    """
-    ok = have > 0
-    rows = [np.array([[capacity, 0, 0]])] if ok[capacity] else []
-    a = np.arange((capacity + 1) // 2, capacity)
-    pair = np.stack([a, capacity - a, np.zeros_like(a)], 1)
-    rows.append(pair[ok[pair[:, 0]] & ok[pair[:, 1]]])
-    longest = np.flatnonzero(ok)
-    longest = longest[(longest >= -(-capacity // 3)) & (longest <= capacity - 2)]
-    room = max(0, most - sum(map(len, rows)))
-    triples = []
-    for x in longest.tolist():
-        rest = capacity - x
-        b = np.arange(-(-rest // 2), min(x, rest - 1) + 1)
-        c = rest - b
-        keep = ok[b] & ok[c]
-        triples.append(np.stack([np.full(keep.sum(), x), b[keep], c[keep]], 1))
-    if triples and (t := np.concatenate(triples)).size:
-        rows.append(t[:: max(1, -(-len(t) // max(room, 1)))])
-    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
-
-
-def fit(have: np.ndarray, pats: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Whole repeat counts: min |Ax - have|, x >= 0, rounded so that no length is overdrawn."""
-    if not len(pats):
-        return np.zeros(0, np.int64)
-    want = have.astype(float).copy()
-    want[0] = 0
-    used = lambda x: np.bincount(pats.ravel(), np.repeat(x, 3), len(have)) * (np.arange(len(have)) > 0)
-    spread = lambda r: r[pats].sum(1)
-    x = np.full(len(pats), want.sum() / max(1, 3 * len(pats)))
-    top = spread(want)
     for _ in range(rounds):
-        x *= top / np.maximum(spread(used(x)), 1e-12)
-    x = np.floor(x + 0.5)
-    for _ in range(64):
-        over = used(x)
-        if (over <= want).all():
-            return x.astype(np.int64)
-        ratio = np.where(over > 0, np.minimum(1, want / np.maximum(over, 1)), 1.0)
-        ratio[0] = 1
-        x = np.floor(x * ratio[pats].min(1))
-    return np.zeros(len(pats), np.int64)
+        moved = 0.0
+        for p in [p for p, n in x.items() if n > 0]:
+            moved += move(p, -x[p])
+        for first in range(capacity, 0, -1):
+            if left[first] > 0.5 and (p := _priced(first, left, capacity)):
+                p = tuple(sorted(p, reverse=True))
+                if p not in shape:
+                    at, times = np.unique(p, return_counts=True)
+                    shape[p] = at, times, int((times**2).sum())
+                moved += move(p, 0.0)
+        if moved < 1 + 1e-4 * have.sum():
+            break
+    rest, out = have.copy(), []
+    for p, n in sorted(x.items(), key=lambda e: (-e[1], e[0])):
+        at, times, _ = shape[p]
+        whole = int(min(np.floor(n + 0.5), (rest[at] // times).min()))
+        if whole > 0:
+            rest[at] -= whole * times
+            out.append((p, whole))
+    return out
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -146,9 +171,7 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 def plan(have: np.ndarray, capacity: int) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset, count), by length and rank."""
-    pats = patterns(have, capacity)
-    times = fit(have, pats)
-    groups = [(tuple(x for x in p if x), int(k)) for p, k in zip(pats.tolist(), times.tolist(), strict=True) if k]
+    groups = fit(have, capacity)
     left = have.copy()
     for p, k in groups:
         for x in p:

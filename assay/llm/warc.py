@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from assay.llm.common import shared_dir
+from assay.llm.common import shared_path
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -246,7 +245,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     revisits by their headers alone. Columns: page_id, payload_bytes, payload_digest, record_type,
     refers_to, payload."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_warc(pages, path, least)
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("bigint")
     full = read_warc(spark, path).where(F.col("warc_type") == "response")

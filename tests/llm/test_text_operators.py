@@ -192,13 +192,20 @@ def test_rules_line_frequency(spark):
     prose = [" ".join(chr(97 + i % 26) * (1 + i // 26) + "x" * k for k in range(1, 81)) for i in range(30)]
     boiler = "Licensed under terms 2024 " * 3
     texts = [f"{boiler}\n{p}" for p in prose] + ["\n".join([boiler] * 3 + [" ".join(f"q{k}" for k in range(50))])] * 2 + [None]
-    got = {r.doc_id: r.rules for r in rules.quality_rules(docs(spark, texts), max_docs=10).collect()}
+    got = {r.doc_id: r.rules for r in rules.quality_rules(docs(spark, texts), max_docs=10, count_texts=True, keep_first=True).collect()}
     assert got[0].n_removed_lines == 0 and got[0].kept  # the first holder
     assert all(got[i].n_removed_lines == 1 and got[i].kept and got[i].text == prose[i] for i in range(1, 30))
     assert got[30].n_removed_lines == 3 and got[31].n_removed_lines == 3
     assert not got[32].kept and got[32].text == ""
-    copies = {r.doc_id: r.rules for r in rules.quality_rules(docs(spark, [prose[0]] * 40), max_docs=10).collect()}
-    assert all(r.kept and not r.n_removed_lines for r in copies.values())  # copies are one text
+    copies = docs(spark, [prose[0]] * 40)
+    assert all(r.rules.kept and not r.rules.n_removed_lines for r in rules.quality_rules(copies, max_docs=10, count_texts=True).collect())
+    # documents are counted unless texts are asked for, and no holder is spared
+    got = {r.doc_id: r.rules for r in rules.quality_rules(docs(spark, texts), max_docs=10).collect()}
+    assert all(got[i].n_removed_lines == 1 and got[i].kept and got[i].text == prose[i] for i in range(30))
+    assert all(not r.rules.kept and r.rules.n_removed_lines == 1 for r in rules.quality_rules(copies, max_docs=10).collect())
+    one = docs(spark, [prose[0]] * 40, ids=[7] * 40)
+    assert all(r.rules.kept for r in rules.quality_rules(one, max_docs=10).collect())  # rows of one id are one document
+    assert all(r.rules.kept for r in rules.quality_rules(docs(spark, [prose[0]] * 40, ids=[None] * 40), max_docs=10).collect())
 
 
 def brute_repeats(rows):
