@@ -18,16 +18,21 @@ Marked are the bytes covered by a LENGTH-byte string that also starts in a docum
 4. The bits go back to the blocks and mark the bytes. Texts are exact bytes throughout.
 
 A block sends an entry once however many of its documents hold it, so a passage in a third of all
-documents is one entry a block.
-
-Defined results: a null text is empty; texts below LENGTH bytes lose nothing; a null id counts as
-larger than every id, and not as smaller than another null; rows with equal ids don't remove from
-each other; an empty table gives an empty table; columns of any name pass through (keep).
+documents is one entry a block. Within a block anchors are worked on in runs of RUN_BYTES, into which
+long texts are cut with overlaps; equal entries are merged run by run, and what is kept of a position
+is packed. So a text of many millions of one byte, each of which is an anchor, needs little more than itself.
+
+Defined results: a null text is empty; texts below LENGTH bytes lose nothing; a very long text is a
+block of its own; bytes that are not valid UTF-8 are bytes like others; ids that are no integers
+are compared in Spark's order of their type; a null id counts as larger than every id, and not
+as smaller than another null; rows with equal ids don't remove from each other; an empty table
+gives an empty table; columns of any name pass through (keep).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +40,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import EXCHANGE, Block, exchange, rejoin, stable, trim, unzip_bytes, zip_bytes
-from assay.llm.common import buckets, mix64, staged
+from assay.llm.blocks import ROWS, answered, batches_of, cut_tables, gathered, join_parts, pack_table, places, split_parts, spread_again, stable, texts_of, unpack_table, unzip_bytes, unzip_ints, zip_bytes, zip_ints
+from assay.llm.common import mix64, staged
 from assay.llm.lm import _cuts, _squeeze, _unsqueeze
 
 LENGTH, KMER = 50, 24
 WINDOWS = LENGTH - KMER + 1
 BEFORE = LENGTH - KMER
-#: bucket (2 bytes, big-endian), suffix, its length + 1, bytes before it backwards, their number + 1
-ENTRY = 2 + LENGTH + 1 + BEFORE + 1
+#: bucket (HEAD bytes, big-endian), suffix, its length + 1, bytes before it backwards, their number + 1
+HEAD = 4
+ENTRY = HEAD + LENGTH + 1 + BEFORE + 1
 SUFFIX_END = LENGTH + 1
 NEVER = (1 << 63) - 1
 RUN_BYTES = 256 << 10
+SLICE = 8192
 BLOCK_BYTES = 8 << 20
 #: Buckets of entries for each bucket of anchors: a task merges one after another.
 FINE = 4
@@ -86,12 +93,28 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+class Run(NamedTuple):
+    """Texts one after another, or a slice of one text; the anchors from `low` to `high` belong to it."""
+
+    first: int  # number of the first text
+    skipped: int  # bytes of it before this slice
+    bytes: np.ndarray
+    ends: np.ndarray
+    low: int
+    high: int
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        at, h = anchors(self.bytes, self.ends)
+        own = slice(*np.searchsorted(at, [self.low, self.high]))
+        return at[own], h[own]
+
+
 class Texts:
     """Distinct texts of a block with the smallest id of each, and what each row has to do with it."""
 
-    def __init__(self, block: Block):
-        self.all = block.texts
-        rank = block.table.column("rank").fill_null(NEVER).to_pylist()
+    def __init__(self, table: pa.Table):
+        self.all = texts_of(table)
+        rank = table.column("rank").fill_null(NEVER).to_pylist()
         least: dict[bytes, int] = {}
         for text, r in zip(self.all, rank, strict=True):
             least[text] = min(least.get(text, NEVER), r)
@@ -101,105 +124,177 @@ class Texts:
         self.row_text = [number[t] for t in self.all]
         self.row_later = [r > least[t] for t, r in zip(self.all, rank, strict=True)]
 
-    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first text, bytes, ends) of runs of texts of about RUN_BYTES."""
+    def runs(self) -> Iterator[Run]:
+        """About RUN_BYTES each; a slice overlaps its neighbours by what a window around its anchors needs."""
+
+        def made() -> Run:
+            return Run(first, 0, np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), 0, size)
+
         first, size, held = 0, 0, []
         for i, t in enumerate(self.texts):
+            if len(t) > 2 * RUN_BYTES:
+                if held:
+                    yield made()
+                for a in range(0, len(t), RUN_BYTES):
+                    begin, stop = max(0, a - BEFORE), min(len(t), a + RUN_BYTES + LENGTH)
+                    yield Run(i, begin, np.frombuffer(t, np.uint8, stop - begin, begin), np.array([stop - begin]), a - begin, min(a + RUN_BYTES, len(t)) - begin)
+                first, size, held = i + 1, 0, []
+                continue
             held.append(t)
             size += len(t)
-            if size >= RUN_BYTES or i + 1 == len(self.texts):
-                yield first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])
+            if size >= RUN_BYTES:
+                yield made()
                 first, size, held = i + 1, 0, []
+        if held:
+            yield made()
 
-    def anchors(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for first, b, ends in self.runs():
-            at, h = anchors(b, ends)
-            yield first, b, ends, at, h
 
-
-def _anchor_keys(block: Block, n: int) -> Iterator[tuple[int, bytes]]:
-    keys = []
-    for _, _, ends, at, h in Texts(block).anchors():
-        owner = np.searchsorted(ends, at, side="right")
+def _anchor_keys(texts: Texts, n: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct anchor hashes for each bucket, each with a bit: whether two or more of the block's texts have it."""
+    keys, owners = [], []
+    for run in texts.runs():
+        at, h = run.anchors()
+        owner = np.searchsorted(run.ends, at, side="right") + run.first
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
-        keys.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])] if len(h) else h)
-    key, times = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        keys.append(h[new])
+        owners.append(owner[new])
+    h, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, owners))
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    at = np.flatnonzero(first)
+    key = h[at]
+    many = np.maximum.reduceat(owner, at) > owner[at] if len(at) else np.zeros(0, bool)
     cuts = _cuts(key, n)
     for bucket in range(n):
         a, b = cuts[bucket], cuts[bucket + 1]
         if b > a:
-            yield bucket, zip_bytes(np.packbits(times[a:b] > 1).tobytes() + _squeeze(key[a:b]))
+            yield bucket, zip_bytes(np.packbits(many[a:b]).tobytes() + _squeeze(key[a:b]))
 
 
-def _shared_anchors(lists: list[bytes]) -> list[bytes]:
-    """A bit for each key: whether it is in two or more distinct texts."""
+def _shared_anchors(lists: list[bytes]) -> Iterator[bytes]:
+    """For each list those of its keys that are in two or more distinct texts."""
     parsed = []
     for body in lists:
         raw = unzip_bytes(body)
         n = (len(raw) * 8) // 65
-        parsed.append((_unsqueeze(raw[len(raw) - 8 * n :]), np.unpackbits(np.frombuffer(raw, np.uint8, len(raw) - 8 * n))[:n]))
-    key, at, times = np.unique(np.concatenate([k for k, _ in parsed]), return_inverse=True, return_counts=True)
-    many = times > 1
-    many[at[np.concatenate([f for _, f in parsed]) > 0]] = True
-    out, done = [], 0
+        parsed.append((_unsqueeze(raw[len(raw) - 8 * n :]), np.unpackbits(np.frombuffer(raw, np.uint8, len(raw) - 8 * n))[:n].astype(bool)))
+    every = np.sort(np.concatenate([k for k, _ in parsed] + [k[f] for k, f in parsed]))
+    twice = np.zeros(len(every), bool)
+    twice[1:] = every[1:] == every[:-1]
+    shared = every[twice]
+    del every, twice
     for k, _ in parsed:
-        out.append(zip_bytes(np.packbits(many[at[done : done + len(k)]]).tobytes()))
-        done += len(k)
-    return out
-
-
-class Entries:
-    """Entries of a block's sparse suffix array: sorted and distinct, and where each position's is."""
-
-    def __init__(self, texts: Texts, answer: dict[int, bytes], n: int):
-        found = list(texts.anchors())
-        key = np.unique(np.concatenate([h for *_, h in found])) if found else np.zeros(0, np.uint64)
-        cuts = _cuts(key, n)
-        keep = np.zeros(len(key), bool)
-        for bucket, body in answer.items():
-            if bucket < n:
-                a, b = cuts[bucket], cuts[bucket + 1]
-                keep[a:b] = np.unpackbits(np.frombuffer(unzip_bytes(body), np.uint8))[: b - a]
-        key = key[keep]
-        home = np.searchsorted(_cuts(key, n * FINE)[1:-1], np.arange(len(key)), side="right")
-        rows, owners, places, valid = [], [], [], []
-        for first, b, ends, at, h in found:
-            k = np.searchsorted(key, h)
-            ok = np.flatnonzero(k < len(key))
-            ok = ok[key[k[ok]] == h[ok]]
-            at, k = at[ok], k[ok]
-            owner = np.searchsorted(ends, at, side="right")
-            end, start = ends[owner], (ends - np.diff(ends, prepend=0))[owner]
-            span = np.minimum(end - at, LENGTH)
-            left = np.minimum(at - start, BEFORE)
-            entry = np.zeros((len(at), ENTRY), np.uint8)
-            entry[:, 0], entry[:, 1] = home[k] >> 8, home[k] & 255
-            padded = np.concatenate([np.zeros(BEFORE, np.uint8), b, np.zeros(LENGTH, np.uint8)])
-            forth, back = np.arange(LENGTH), np.arange(1, BEFORE + 1)
-            entry[:, 2 : 2 + LENGTH] = padded[at[:, None] + BEFORE + forth] * (forth < span[:, None])
-            entry[:, 2 + LENGTH] = span + 1
-            entry[:, 3 + LENGTH : -1] = padded[at[:, None] + BEFORE - back] * (back <= left[:, None])
-            entry[:, -1] = left + 1
-            rows.append(entry)
-            owners.append(owner + first)
-            places.append(at - start)
-            a = np.arange(WINDOWS)
-            valid.append(((a <= left[:, None]) & (LENGTH - a <= span[:, None])) @ (1 << a))
-        self.entry = np.concatenate(rows) if rows else np.zeros((0, ENTRY), np.uint8)
-        self.owner = np.concatenate(owners) if rows else np.zeros(0, np.int64)
-        self.place = np.concatenate(places) if rows else np.zeros(0, np.int64)
-        self.valid = np.concatenate(valid) if rows else np.zeros(0, np.int64)
-        order = np.argsort(self.entry.view(f"S{ENTRY}").ravel(), kind="stable")
-        sorted_ = self.entry[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sorted_[1:] != sorted_[:-1]).any(1)
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.distinct = sorted_[new]
-        self.least = np.full(len(self.distinct), NEVER, np.int64)
-        np.minimum.at(self.least, self.of, texts.ids[self.owner])
-        self.bucket = self.distinct[:, 0].astype(np.int64) * 256 + self.distinct[:, 1]
+        at = np.searchsorted(shared, k)
+        at[at == len(shared)] = 0
+        yield zip_bytes(_squeeze(k[shared[at] == k] if len(shared) else k[:0]))
+
+
+def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct entries, the number of each row's)."""
+    order = np.argsort(rows.view(f"S{ENTRY}").ravel(), kind="stable")
+    sorted_ = rows[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_[1:] != sorted_[:-1]).any(1)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return sorted_[new], of
+
+
+def _cut_entries(run: Run, at: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """The entry of each anchor."""
+    owner = np.searchsorted(run.ends, at, side="right")
+    end, start = run.ends[owner], (run.ends - np.diff(run.ends, prepend=0))[owner]
+    span, left = np.minimum(end - at, LENGTH), np.minimum(at - start, BEFORE)
+    entry = np.zeros((len(at), ENTRY), np.uint8)
+    entry[:, :HEAD] = home.astype(">u4").view(np.uint8).reshape(-1, HEAD)
+    low, high = int(at[0]) - BEFORE, int(at[-1]) + LENGTH
+    part = np.concatenate([np.zeros(max(0, -low), np.uint8), run.bytes[max(0, low) : high], np.zeros(max(0, high - len(run.bytes)), np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(part, BEFORE + LENGTH)[at - at[0]]
+    entry[:, HEAD : HEAD + LENGTH] = around[:, BEFORE:] * (np.arange(LENGTH) < span[:, None])
+    entry[:, HEAD + LENGTH] = span + 1
+    entry[:, HEAD + LENGTH + 1 : -1] = around[:, BEFORE - 1 :: -1][:, :BEFORE] * (np.arange(1, BEFORE + 1) <= left[:, None])
+    entry[:, -1] = left + 1
+    return entry
+
+
+def block_entries(texts: Texts, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(sorted distinct entries of a block at the anchors `key`, the smallest id of each, for each run its packed anchors and their entries)."""
+    home = np.searchsorted(_cuts(key, n)[1:-1], np.arange(len(key)), side="right")
+    held, leasts, packed = [], [], []
+    for run in texts.runs():
+        at, h = run.anchors()
+        k = np.searchsorted(key, h)
+        k[k == len(key)] = 0
+        ok = key[k] == h if len(key) else np.zeros(len(h), bool)
+        at, k = at[ok], k[ok]
+        parts = [_merged(_cut_entries(run, at[i : i + SLICE], home[k[i : i + SLICE]])) for i in range(0, len(at), SLICE)]
+        if parts:
+            sizes = np.cumsum([0, *(len(d) for d, _ in parts)])
+            rows, to = _merged(np.concatenate([d for d, _ in parts]))
+            of = np.concatenate([to[o + s] for (_, o), s in zip(parts, sizes[:-1].tolist(), strict=True)])
+        else:
+            rows, of = np.zeros((0, ENTRY), np.uint8), np.zeros(0, np.int64)
+        least = np.full(len(rows), NEVER, np.int64)
+        np.minimum.at(least, of, texts.ids[np.searchsorted(run.ends, at, side="right") + run.first])
+        held.append(rows)
+        leasts.append(least)
+        packed.append((zip_ints(np.diff(at, prepend=0)), zip_ints(of)))
+    if not held:
+        return np.zeros((0, ENTRY), np.uint8), np.zeros(0, np.int64), []
+    sizes = np.cumsum([0, *map(len, held)])
+    rows, of = _merged(np.concatenate(held))
+    del held
+    least = np.full(len(rows), NEVER, np.int64)
+    np.minimum.at(least, of, np.concatenate(leasts))
+    state = [join_parts([a, b, zip_ints(of[s:e])]) for (a, b), s, e in zip(packed, sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
+    return rows, least, state
+
+
+def removed(texts: Texts, state: list[bytes], least: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """For each distinct text of a block the edges (start, end, start, ...) of its marked bytes."""
+    owners, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for run, body in zip(texts.runs(), state, strict=True):
+        at, of, to = (unzip_ints(x).astype(np.int64) for x in split_parts(body))
+        if not len(at):
+            continue
+        at, of = np.cumsum(at), to[of]
+        owner = np.searchsorted(run.ends, at, side="right")
+        text_start = run.ends - np.diff(run.ends, prepend=0)
+        span, left = np.minimum(run.ends[owner] - at, LENGTH), np.minimum(at - text_start[owner], BEFORE)
+        valid = (1 << (left + 1)) - (1 << np.minimum(LENGTH - span, left + 1))
+        hit = np.where(texts.ids[owner + run.first] > least[of], valid, bits[of])
+        start = np.zeros(len(run.bytes) + 1, bool)
+        for a in range(WINDOWS):
+            start[at[(hit >> a) & 1 > 0] - a] = True
+        at = np.flatnonzero(start)
+        if not len(at):
+            continue
+        owner = np.searchsorted(run.ends, at, side="right")
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + LENGTH)
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)
+        shift = run.skipped - text_start[owner[new]]
+        owners.append(owner[new] + run.first)
+        starts.append(at[new] + shift)
+        ends.append(at[last] + LENGTH + shift)
+    owner, start, end = (np.concatenate(x) for x in (owners, starts, ends))
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    if len(owner):  # slices of a long text meet
+        wide = np.int64(1) << 40
+        reach = np.maximum.accumulate(owner * wide + end)
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner * wide + start)[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        end = reach[np.append(first[1:] - 1, len(owner) - 1)] - owner[first] * wide
+        owner, start = owner[first], start[first]
+    cuts = np.searchsorted(owner, np.arange(len(texts.texts) + 1))
+    return [np.stack([start[a:b], end[a:b]], 1).ravel() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def front_code(sorted_: np.ndarray, ids: np.ndarray) -> bytes:
@@ -300,7 +395,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return which, where, common
 
 
-def _window_bits(bodies: list[bytes]) -> list[bytes]:
+def _window_bits(bodies: list[bytes]) -> Iterator[bytes]:
     """For each run a number for each entry: bit a is set if a smaller id has the window a bytes before the anchor."""
     runs = [read_run(b) for b in bodies]
     which, where, common = merge_runs([(e, c) for e, c, _ in runs])
@@ -311,9 +406,9 @@ def _window_bits(bodies: list[bytes]) -> list[bytes]:
     ids = np.concatenate([i for _, _, i in runs])[source]
     flat = np.frombuffer(b"".join([e for entries, _, _ in runs for e in entries]), np.uint8).reshape(n, ENTRY)
     del runs, which, where
-    entry = flat[source, 2:]
+    entry = flat[source, HEAD:]
     del flat
-    forward = np.minimum(np.array(common, np.int64) - 2, LENGTH)
+    forward = np.minimum(np.array(common, np.int64) - HEAD, LENGTH)
     span, left = entry[:, LENGTH].astype(np.int64) - 1, entry[:, -1].astype(np.int64) - 1
     before = np.ascontiguousarray(entry[:, SUFFIX_END:])
     order = np.argsort(before.view(f"S{BEFORE + 1}").ravel(), kind="stable")
@@ -336,83 +431,79 @@ def _window_bits(bodies: list[bytes]) -> list[bytes]:
         bits[later] |= 1 << a
     out = np.zeros(n, np.uint32)
     out[source] = bits
-    return [zip_bytes(out[b : b + s].tobytes()) for b, s in zip(base, sizes, strict=True)]
+    for b, s in zip(base, sizes, strict=True):
+        yield zip_ints(out[b : b + s])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of docs: the columns of keep (the id, if not given), and under one struct `dedup`:
+def _ranks(docs: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, rank): a number for each id, in Spark's order of ids of any type."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct().sort("id")
+    return staged(ids.withColumn("rank", F.monotonically_increasing_id()), "suffix-ranks")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: str = "dedup") -> DataFrame:
+    """Per row of docs: the columns of keep (the id, if not given), and under one struct (`into`):
 
     n_bytes, n_removed, n_spans long, kept binary (the bytes that stay), starts, ends array<bigint>
     (the removed runs).
     """
-    keep = [id_col] if keep is None else keep
-    spark = docs.sparkSession
-    rank = F.col(id_col).cast("bigint")
-    rows = docs.select(rank.alias("rank"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep) if c != text_col])
-    rows = stable(rows, "suffix-docs")
-    n = min(buckets(spark), (1 << 16) // FINE)
-    fields = [(f"keep{i}", docs.schema[c].dataType) for i, c in enumerate(keep) if c != text_col]
+    keep = [c for c in ([id_col] if keep is None else keep) if c != text_col]
+    columns = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)]]
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        rows = docs.select(*columns).withColumn("rank", F.col("id").cast("bigint")).drop("id")
+    else:
+        rows = staged(docs.select(*columns).join(_ranks(docs, id_col), "id", "left").drop("id"), "suffix-docs")
+    n = places(rows)
+    fields = [(f"keep{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     lists = T.ArrayType(T.LongType())
     made = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()), ("starts", lists), ("ends", lists)]
     schema = T.StructType([T.StructField(k, t) for k, t in [*fields, *made]])
 
-    def entries(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        own = Entries(Texts(block), answer, n)
-        cuts = np.searchsorted(own.bucket, np.arange(n * FINE + 1))
-        for bucket in range(n * FINE):
-            a, b = cuts[bucket], cuts[bucket + 1]
-            if b > a:
-                body = front_code(own.distinct[a:b], own.least[a:b])
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block.name], pa.binary()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary())})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for name, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(bucket, []).append((name, body))
-        for bucket in sorted(held):
-            got = held.pop(bucket)
-            bodies = _window_bits([body for _, body in got])
-            trim()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([x for x, _ in got], pa.binary()), "bucket": pa.array([bucket + n] * len(got), pa.int32()), "body": pa.array(bodies, pa.binary())})
-
-    def mark(block: Block, answer: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        texts = Texts(block)
-        own = Entries(texts, answer, n)
-        bits = np.zeros(len(own.distinct), np.int64)
-        cuts = np.searchsorted(own.bucket, np.arange(n * FINE + 1))
-        for bucket, body in answer.items():
-            if bucket >= n:
-                bits[cuts[bucket - n] : cuts[bucket - n + 1]] = np.frombuffer(unzip_bytes(body), np.uint32)
-        later = texts.ids[own.owner] > own.least[own.of]
-        hit = np.where(later, own.valid, bits[own.of])
-        order = np.argsort(own.owner, kind="stable")
-        firsts = np.searchsorted(own.owner[order], np.arange(len(texts.texts) + 1))
-        verdict = []
-        for i, text in enumerate(texts.texts):
-            cover = np.zeros(len(text) + 1, np.int32)
-            at = order[firsts[i] : firsts[i + 1]]
-            at = at[hit[at] > 0]
-            if len(at):
-                starts = np.concatenate([own.place[at[(hit[at] >> a) & 1 > 0]] - a for a in range(WINDOWS)])
-                np.add.at(cover, starts, 1)
-                np.subtract.at(cover, starts + LENGTH, 1)
-            verdict.append(np.flatnonzero(np.diff(np.cumsum(cover)[:-1] > 0, prepend=False, append=False)))
-        out: dict[str, list] = {k: [] for k, _ in made}
-        for text, i, behind in zip(texts.all, texts.row_text, texts.row_later, strict=True):
-            edges = np.array([0, len(text)]) if behind and len(text) >= LENGTH else verdict[i]
-            starts, ends = edges[::2].tolist(), edges[1::2].tolist()
-            kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)) if starts else text
-            for k, v in zip(out, (len(text), len(text) - len(kept), len(starts), kept, starts, ends), strict=True):
-                out[k].append(v)
-        kinds = {"kept": pa.binary(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
-        columns = [block.table.column(k).combine_chunks() for k, _ in fields] + [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
-        whole = pa.RecordBatch.from_arrays(columns, names=schema.names)
-        for at in range(0, whole.num_rows, 2048):
-            yield whole.slice(at, 2048)
-
-    shared = staged(exchange(rows, _anchor_keys, _shared_anchors, BLOCK_BYTES), "suffix-anchors")
-    runs = rejoin(rows, shared, entries, EXCHANGE, BLOCK_BYTES)
-    bits = staged(runs.repartitionById(n, F.floor(F.col("bucket") / FINE).cast("int")).mapInArrow(merge, EXCHANGE), "suffix-bits")
-    got = rejoin(rows, shared.unionByName(bits), mark, schema, BLOCK_BYTES)
-    return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c != text_col], F.struct(*[k for k, _ in made]).alias("dedup"))
+    def lists(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+        for block, table in enumerate(cut_tables(batches, BLOCK_BYTES)):
+            yield from ((block, slot, body) for slot, body in _anchor_keys(Texts(table), n))
+
+    def texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+        for block, table in enumerate(cut_tables(batches, BLOCK_BYTES)):
+            yield block, n, pack_table(table)
+
+    def entries(block: int, answer: dict[int, bytes], pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([_unsqueeze(unzip_bytes(answer[s])) for s in sorted(answer)] or [np.zeros(0, np.uint64)])
+
+        def sent():
+            for _, body in pieces:
+                rows, least, state = block_entries(Texts(unpack_table(body)), key, n * FINE)
+                bucket = np.ascontiguousarray(rows[:, :HEAD]).view(">u4").ravel().astype(np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+                    yield block, int(bucket[a]), front_code(rows[a:b], least[a:b])
+                yield block, n * FINE, join_parts([body, zip_bytes(least.tobytes()), *state])
+
+        yield from batches_of(sent())
+
+    def mark(block: int, answer: dict[int, bytes], pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        bits = np.concatenate([unzip_ints(answer[s]) for s in sorted(answer)] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        for _, body in pieces:
+            table, least, *state = split_parts(body)
+            table = unpack_table(table)
+            own = Texts(table)
+            verdict = removed(own, state, np.frombuffer(unzip_bytes(least), np.int64), bits)
+            for first in range(0, len(own.all), 512):
+                out: dict[str, list] = {k: [] for k, _ in made}
+                for i in range(first, min(first + 512, len(own.all))):
+                    text = own.all[i]
+                    edges = np.array([0, len(text)]) if own.row_later[i] and len(text) >= LENGTH else verdict[own.row_text[i]]
+                    starts, ends = edges[::2].tolist(), edges[1::2].tolist()
+                    kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)) if starts else text
+                    for k, v in zip(out, (len(text), len(text) - len(kept), len(starts), kept, starts, ends), strict=True):
+                        out[k].append(v)
+                kinds = {"kept": pa.binary(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
+                columns = [table.column(k).slice(first, 512).combine_chunks() for k, _ in fields] + [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    # lists and texts from a scan each: the texts are packed once, with what became of their entries
+    rows = stable(rows, "suffix-docs")
+    shared = answered(spread_again(rows, lists, n), _shared_anchors, n)
+    runs = staged(gathered(spread_again(rows, texts, n), shared, entries, ROWS, n), "suffix-entries", packed=True)
+    got = gathered(runs, answered(runs, _window_bits, n, FINE), mark, schema, n, FINE)
+    return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], F.struct(*[k for k, _ in made]).alias(into))
