@@ -7,42 +7,67 @@ of documents (n_chars follows the text).
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.chosenpath import jaccard_join
-from assay.llm.common import shared_dir
+from assay.llm.common import staged
 from assay.llm.packing import best_fit_packing
 from assay.llm.pii import pseudonymise
 from assay.llm.queries import KEY, tokenizer_path
 from assay.llm.rules import quality_rules
 from assay.llm.suffixes import remove_repeats
+from assay.sources.staging import made_since, n_made, release
 
 
 def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
     """The given columns in order, with the new text and its number of characters."""
     fresh = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return df.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in columns])
+    return df.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in columns])
+
+
+def _free(columns: list[str], name: str) -> str:
+    """name, or with signs behind it, as no column is called."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines above the limit."""
-    got = quality_rules(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
-    return _with_text(got.where("rules.kept"), docs.columns, F.col("rules.text"))
+    """Documents that pass, without the lines above the limit.
+
+    Copies of a text count once here: which of them stays is the next stage's decision. Null and empty
+    texts fail; ties and rows that repeat an id are judged each; an empty table stays empty; columns may
+    have any names.
+    """
+    into = _free(docs.columns, "rules")
+    got = quality_rules(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], count_texts=True, into=into)
+    return _with_text(got.where(F.col(into)["kept"]), docs.columns, F.col(into)["text"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id; documents without words stay."""
+    """Of each class of near-duplicates the document with the smallest id.
+
+    Documents without words stay (a null or empty text is no copy of another), and so do rows with a
+    null id and all rows that repeat the smallest id. An empty table stays empty; columns may have
+    any names.
+    """
     classes = jaccard_join(docs.select("doc_id", "text")).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return docs.join(classes.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(classes.select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeat a smaller document's; a character that lost bytes goes."""
-    got = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
-    return _with_text(got, docs.columns, _whole(F.col("dedup.kept")))
+    """Texts without the bytes that repeat a smaller document's; a character that lost bytes goes.
+
+    A null text becomes empty; rows that repeat an id lose nothing to each other; an empty table
+    stays empty; columns may have any names.
+    """
+    into = _free(docs.columns, "dedup")
+    got = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], into=into)
+    return _with_text(got, docs.columns, _whole(F.col(into)["kept"]))
 
 
 def _whole(kept):
@@ -52,16 +77,44 @@ def _whole(kept):
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data."""
-    return _with_text(pseudonymise(docs, KEY), docs.columns, F.col("text"))
+    """Texts with surrogates for personal data.
+
+    A null text stays null; repeated rows get the same text; an empty table stays empty; columns may
+    have any names.
+    """
+    into = _free(docs.columns, "pii")
+    return _with_text(pseudonymise(docs, KEY, into=into), docs.columns, F.col("text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences: a null or empty text is its closing id alone; repeated rows are packed each."""
     return best_fit_packing(docs, tokenizer_path())
 
 
-STAGES = [("rules", rules), ("near_duplicates", near_duplicates), ("passages", passages), ("personal_data", personal_data), ("packing", packing)]
+#: Of the last stage: the files it read, and the tables that it staged for its result.
+_last: dict = {"files": None, "paths": []}
+
+
+def _stage(work):
+    """A stage that first deletes what the stage before it staged, once that one's result has been written and is read here.
+
+    A stage on the same files as the one before (two of them side by side) deletes nothing."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = sorted(docs.inputFiles())
+        if files != _last["files"]:
+            release(spark, [p for p in _last["paths"] if not any(f.split(":", 1)[-1].lstrip("/").startswith(p.split(":", 1)[-1].lstrip("/")) for f in files)])
+            _last["paths"] = []
+        before = n_made()
+        out = work(spark, docs, sf_dir)
+        _last.update(files=files, paths=_last["paths"] + made_since(before))
+        return out
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _stage(f)) for f in (rules, near_duplicates, passages, personal_data, packing)]
 ORACLE_SQL: str | None = None
 
 
@@ -71,7 +124,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = staged(docs, f"pipeline-{name}")
     return docs
