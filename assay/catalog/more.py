@@ -5,7 +5,6 @@ from assay.catalog.metrics import R
 from assay.catalog.sql import EVENTS, LINES
 from assay.catalog.structure import CHECKS_SQL, DEPTH, NODES_SQL, TREES, WIDTH, checks, nodes
 from assay.operators import triggers as G
-from assay.operators.selection import sample_key
 from assay.registry import query
 from assay.sources.corpora import events_corpus, line_corpus, table
 
@@ -18,18 +17,6 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("trigger_effect", "WITH s AS (SELECT vec_id, (embedding[1]::DOUBLE > 0)::INTEGER::DOUBLE AS b, (embedding[2]::DOUBLE > 0)::INTEGER::DOUBLE AS a FROM embeddings) SELECT count(*) AS n, count(*) FILTER (b >= 0.5) AS detected_before, count(*) FILTER (b >= 0.5 AND a >= 0.5) AS detected_after, round(avg(a - b), 6) AS mean_shift, round(1 - count(*) FILTER (b >= 0.5 AND a >= 0.5) / count(*) FILTER (b >= 0.5), 6) AS evasion FROM s")
-def _(spark, sf):
-    e = table(spark, sf, "embeddings")
-    score = lambda i: e.select("vec_id", (F.col("embedding")[i].cast("double") > 0).cast("double").alias("score"))
-    return R(G.trigger_effect(score(0), score(1), "vec_id", 0.5), "mean_shift", "evasion")
-
-
-@query("mean_abs_shap", "SELECT (i - 1)::INTEGER AS feature, round(avg(abs(embedding[i]::DOUBLE)), 6) AS mean_abs FROM embeddings, range(1, 65) t(i) GROUP BY i")
-def _(spark, sf):
-    return R(G.mean_abs(table(spark, sf, "embeddings"), "embedding"), "mean_abs")
-
-
 _GROUPS = [("size", 0, 1), ("histogram", 1, 8), ("strings", 8, 16), ("header", 16, 24), ("code", 24, 64)]
 _GROUP_SQL = "CASE WHEN {f} < 1 THEN 'size' WHEN {f} < 8 THEN 'histogram' WHEN {f} < 16 THEN 'strings' WHEN {f} < 24 THEN 'header' ELSE 'code' END"
 
@@ -38,11 +25,6 @@ def groups(spark):
     return spark.createDataFrame(_GROUPS, "name string, start int, stop int")
 
 
-@query("group_of", f"SELECT i::INTEGER AS feature, {_GROUP_SQL.format(f='i')} AS name FROM range(64) t(i)")
-def _(spark, sf):
-    return G.group_of(spark.range(64).select(F.col("id").cast("int").alias("feature")), groups(spark))
-
-
 @query("check_layout", "SELECT true AS contiguous, true AS complete")
 def _(spark, sf):
     return G.layout_ok(groups(spark), 64)
@@ -66,65 +48,18 @@ def _(spark, sf):
     return G.merged_conditions(G.paths(nodes(spark)))
 
 
-@query("natural_code_sort", "SELECT code, row_number() OVER (ORDER BY CAST(substr(code, 2) AS INTEGER)) AS place FROM (SELECT DISTINCT 'M' || CAST(l_linenumber * 3 AS VARCHAR) AS code FROM lineitem)")
-def _(spark, sf):
-    codes = table(spark, sf, "lineitem").select(F.concat(F.lit("M"), (F.col("l_linenumber") * 3).cast("string")).alias("code")).distinct()
-    return codes.withColumn("place", F.row_number().over(Window.orderBy(F.substring("code", 2, 9).cast("int"))))  # a row for each module code
-
-
 @query("split_ids", "SELECT o_orderkey, len(list_distinct(string_split(o_orderpriority || ',' || o_orderstatus || ',' || o_orderstatus, ','))) AS n FROM orders")
 def _(spark, sf):
     ids = F.array_distinct(F.split(F.concat_ws(",", "o_orderpriority", "o_orderstatus", "o_orderstatus"), ","))
     return table(spark, sf, "orders").select("o_orderkey", F.size(ids).cast("bigint").alias("n"))
 
 
-@query("downsample", f"WITH {LINES}, d AS (SELECT DISTINCT score FROM li), r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM d) SELECT score FROM r WHERE i IN (SELECT floor(k * (n - 1) / 49.0 + 0.5) FROM range(50) t(k))")
-def _(spark, sf):
-    d = line_corpus(spark, sf).select("score").distinct()
-    r = d.withColumn("i", F.row_number().over(Window.orderBy("score")) - 1).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))  # distinct rounded scores: at most some ten thousand
-    at = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: F.floor(k * (F.col("n") - 1) / F.lit(49.0) + F.lit(0.5)))
-    return r.where(F.array_contains(at, F.col("i").cast("bigint"))).select("score")
-
-
-@query("train_test_pairs", f"WITH {EVENTS}, p AS (SELECT row_id, row_number() OVER (ORDER BY sha256('17/' || CAST(row_id AS VARCHAR)), row_id) AS r, count(*) OVER () AS n FROM ev WHERE split = 'challenge' OR (split = 'train' AND label = 1)) SELECT row_id, r <= greatest(1, least(n - 1, floor(n * 0.5 + 0.5))) AS test FROM p")
-def _(spark, sf):
-    p = events_corpus(spark, sf).where("split = 'challenge' or (split = 'train' and label = 1)")
-    n = p.count()
-    take = max(1, min(n - 1, int(n * 0.5 + 0.5)))
-    chosen = p.orderBy(sample_key(17), "row_id").limit(take).select("row_id", F.lit(True).alias("t"))
-    return p.join(chosen, "row_id", "left").select("row_id", F.coalesce("t", F.lit(False)).alias("test"))
-
-
-@query("validate_proba", f"WITH {LINES} SELECT count(*) FILTER (score IS NULL OR isnan(score) OR isinf(score)) AS n_bad, count(*) FILTER (score < -1e-9 OR score > 1 + 1e-9) AS n_outside, round(sum(least(greatest(score, 0), 1)), 2) AS clipped_sum FROM li")
-def _(spark, sf):
-    s = F.col("score")
-    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
-    return line_corpus(spark, sf).agg(F.count_if(bad).alias("n_bad"), F.count_if((s < -1e-9) | (s > 1 + 1e-9)).alias("n_outside"), F.round(F.sum(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))), 2).alias("clipped_sum"))
-
-
-@query("merge_findings", f"WITH {CHECKS_SQL} SELECT module_id, gate, max(CASE WHEN passed THEN 0 WHEN passed IS NULL THEN 1 ELSE 2 END) AS severity, count(DISTINCT run_id) AS n_sources, min(run_id) AS first_source FROM checks GROUP BY ALL")
-def _(spark, sf):
-    severity = F.when(F.col("passed"), 0).when(F.col("passed").isNull(), 1).otherwise(2)
-    return checks(spark, sf).groupBy("module_id", "gate").agg(F.max(severity).alias("severity"), F.countDistinct("run_id").alias("n_sources"), F.min("run_id").alias("first_source"))
-
-
 @query("scan_counts", f"WITH {CHECKS_SQL} SELECT CASE WHEN passed THEN 'info' WHEN passed IS NULL THEN 'low' ELSE 'high' END AS severity, count(*) AS n FROM checks GROUP BY severity")
 def _(spark, sf):
     severity = F.when(F.col("passed"), "info").when(F.col("passed").isNull(), "low").otherwise("high")
     return checks(spark, sf).groupBy(severity.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gate_block", f"WITH {CHECKS_SQL} SELECT run_id, list_sort(list(DISTINCT module_id) FILTER (NOT passed))::VARCHAR AS failed FROM checks WHERE NOT passed GROUP BY run_id")
-def _(spark, sf):
-    failed = F.array_sort(F.collect_set("module_id"))
-    return checks(spark, sf).where(~F.col("passed")).groupBy("run_id").agg(F.concat(F.lit("["), F.array_join(failed, ", "), F.lit("]")).alias("failed"))
-
-
-@query("newest_first", "SELECT o_custkey, max_by(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS newest, count(*) AS n FROM orders GROUP BY o_custkey")
-def _(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"), F.count(F.lit(1)).alias("n"))
-
-
 @query("queue_ahead", "SELECT o_orderkey, count(*) FILTER (o_orderstatus = 'O') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM orders")
 def _(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,41 +89,12 @@ def _(spark, sf):
     return R(p.groupBy("l_suppkey").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits")), "bits")
 
 
-@query("cluster_weights", "WITH c AS (SELECT l_returnflag, month(l_shipdate)::INTEGER AS m, l_linenumber, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT l_returnflag, m, l_linenumber, round(w / sum(w) OVER (PARTITION BY l_returnflag, m), 6) AS weight FROM c")
-def _(spark, sf):
-    c = table(spark, sf, "lineitem").groupBy("l_returnflag", F.month("l_shipdate").alias("m"), "l_linenumber").agg(F.sum("l_quantity").alias("w"))
-    return R(c.select("l_returnflag", "m", "l_linenumber", (F.col("w") / F.sum("w").over(Window.partitionBy("l_returnflag", "m"))).alias("weight")), "weight")
-
-
 @query("weighted_choice")
 def _(spark, sf):
     weights = spark.createDataFrame([(0, "a", 1.0), (0, "b", 3.0), (1, "a", 1.0), (1, "c", 1.0)], "label int, choice string, weight double")
     return G.weighted_choice(events_corpus(spark, sf).where("label >= 0").select("row_id", "label"), weights, "label", 3)
 
 
-@query("config_diff", f"WITH {CHECKS_SQL}, a AS (SELECT module_id, max(score) AS v FROM checks WHERE run_id = 7 GROUP BY 1), b AS (SELECT module_id, max(score) AS v FROM checks WHERE run_id = 21 GROUP BY 1) SELECT module_id AS key, a.v AS left_value, b.v AS right_value FROM a FULL JOIN b USING (module_id) WHERE a.v IS DISTINCT FROM b.v")
-def _(spark, sf):
-    side = lambda run, name: checks(spark, sf).where(F.col("run_id") == run).groupBy(F.col("module_id").alias("key")).agg(F.max("score").alias(name))
-    return side(7, "left_value").join(side(21, "right_value"), "key", "full").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
-
-
-@query("probe_fidelity", f"WITH {LINES} SELECT round(max(abs(score - floor(score * 100 + 0.5) / 100)), 6) AS max_difference FROM li")
-def _(spark, sf):
-    s = F.col("score")
-    return R(line_corpus(spark, sf).agg(F.max(F.abs(s - F.floor(s * 100 + F.lit(0.5)) / 100)).alias("max_difference")), "max_difference")
-
-
-@query("classify_global", "SELECT DISTINCT event_type, CASE WHEN event_type IN ('error') THEN 'high' WHEN starts_with(event_type, 's') THEN 'medium' ELSE 'info' END AS severity FROM events")
-def _(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").select("event_type", F.when(t == "error", "high").when(t.startswith("s"), "medium").otherwise("info").alias("severity")).distinct()
-
-
-@query("feature_mask", f"SELECT i::INTEGER AS feature FROM range({WIDTH}) t(i) WHERE {_GROUP_SQL.format(f='i')} IN ('strings', 'header')")
-def _(spark, sf):
-    return G.group_of(spark.range(WIDTH).select(F.col("id").cast("int").alias("feature")), groups(spark)).where(F.col("name").isin("strings", "header")).select("feature")
-
-
 @query("tree_stats", f"{NODES_SQL} SELECT tree, count(*) AS n_nodes, count(*) FILTER (NOT inner_) AS n_leaves, {DEPTH} AS depth, round(sum(value) FILTER (NOT inner_), 6) AS value_sum FROM nodes GROUP BY tree")
 def _(spark, sf):
     from assay.operators.trees import depths
@@ -204,3 +110,19 @@ def _(spark, sf):
     rows = spark.range(16).select("id", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1000)) / 500.0 - 1.0)).alias("x"))
     raw = score_rows(rows, nodes(spark), "id", "x")
     return raw.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.isnan("raw")).cast("int").alias("n_bad"))
+
+
+@query("downsample", f"WITH {LINES}, d AS (SELECT DISTINCT score FROM li), r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM d) SELECT score FROM r WHERE i IN (SELECT floor(k * ((n - 1) / 49.0::DOUBLE) + 0.5) FROM range(50) t(k))")
+def _(spark, sf):
+    from assay.sources.reports import artifact_chart
+
+    d = line_corpus(spark, sf).select("score").distinct().select(F.lit("s").alias("series"), (F.col("score") * 1000).alias("x"), F.col("score").alias("y"))
+    return artifact_chart(d, 50).select(F.col("y").alias("score"))
+
+
+@query("train_test_pairs", f"WITH {EVENTS}, p AS (SELECT row_id, row_number() OVER (ORDER BY sha256('17/' || CAST(row_id AS VARCHAR)), row_id) AS r, count(*) OVER () AS n FROM ev WHERE split = 'challenge' OR (split = 'train' AND label = 1)) SELECT row_id, r <= greatest(1, least(n - 1, round_even(n * 0.5::DOUBLE, 0))) AS test FROM p")
+def _(spark, sf):
+    from assay.operators.selection import split_pairs
+
+    p = events_corpus(spark, sf).where("split = 'challenge' or (split = 'train' and label = 1)").select("row_id")
+    return split_pairs(p, 0.5, 17, "row_id").select("row_id", "test")

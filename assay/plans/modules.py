@@ -333,3 +333,48 @@ def plan_modules(registry: DataFrame, only: list[str] | None = None, skip: list[
     named = F.col("module_id").isin(asked)
     plan = F.when(F.col("module_id").isin(out), "deselected").when(F.lit(bool(asked)) & ~named, "deselected").when(named | F.col("enabled"), "run").otherwise("disabled")
     return registry.withColumn("plan", plan)
+
+
+def validated_scores(rows: DataFrame, col: str = "score", slack: float = 1e-9) -> DataFrame:
+    """rows with a model's scores clipped to [0, 1]; null, not finite or further outside than the slack raises."""
+    s = F.col(col).cast("double")
+    fine = F.coalesce(~F.isnan(s) & (s >= dbl(-slack)) & (s <= dbl(1 + slack)), F.lit(False))
+    return rows.withColumn(col, F.when(fine, F.least(F.greatest(s, dbl(0)), dbl(1))).otherwise(F.raise_error(F.lit("scores must lie in [0, 1]"))))
+
+
+def validated_labels(rows: DataFrame, col: str = "pred") -> DataFrame:
+    fine = F.coalesce(F.col(col).isin(0, 1), F.lit(False))
+    return rows.withColumn(col, F.when(fine, F.col(col)).otherwise(F.raise_error(F.lit("labels must be 0 or 1"))))
+
+
+def parse_triggers(items: list[dict], names: dict[str, int], width: int) -> dict[str, dict[int, float]]:
+    """Trigger hypotheses ({name, features: {feature name or index: value}}) by name, features as indices; anything else raises,
+    with the known names nearest to one that isn't."""
+    import difflib
+
+    out: dict[str, dict[int, float]] = {}
+    for item in items:
+        name, features = item.get("name"), item.get("features")
+        if not name or name in out or not isinstance(features, dict) or not features:
+            raise ValueError(f"a trigger needs a name of its own and features: {item!r}")
+        own = {}
+        for key, value in features.items():
+            at = names.get(str(key), int(key) if str(key).isdigit() else -1)
+            if not 0 <= at < width:
+                raise ValueError(f"trigger {name}: no feature {key!r}; near: {difflib.get_close_matches(str(key), names, 3)}")
+            own[at] = G.number_param(value, f"{name}.{key}", -float("inf"), float("inf"))
+        out[name] = own
+    return out
+
+
+def adapter_checks(score, rows: DataFrame, id_col: str) -> DataFrame:
+    """(name, passed) of what score(rows) -> (id, score) must keep: finite scores in [0, 1], the same twice, the same for a part of
+    the rows as among all, and fewer rows flagged at a higher threshold."""
+    whole, again, part = score(rows), score(rows), score(rows.where(F.pmod(F.xxhash64(id_col), F.lit(3)) == 0))
+    equal = lambda a, b: a.join(b.withColumnRenamed("score", "other"), id_col).agg(F.coalesce(F.bool_and(F.col("score") == F.col("other")), F.lit(True)).alias("passed"))
+    s = F.col("score")
+    named = lambda df, name: df.select(F.lit(name).alias("name"), "passed")
+    finite = whole.agg(F.bool_and(s.isNotNull() & ~F.isnan(s) & (s >= 0) & (s <= 1)).alias("passed"))
+    monotone = whole.agg((F.count_if(s >= 0.3) >= F.count_if(s >= 0.7)).alias("passed"))
+    out = named(finite, "finite").unionByName(named(equal(whole, again), "deterministic")).unionByName(named(equal(part, whole), "batch_independent"))
+    return out.unionByName(named(monotone, "monotone_threshold"))

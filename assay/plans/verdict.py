@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 READY, CONDITIONAL, COVERAGE, CAP = 80.0, 60.0, 0.75, 49.0
@@ -56,3 +56,15 @@ def best_run(verdict: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("verdict")]
     order = F.struct(rank, -F.coalesce("score", F.lit(-1.0)), -F.col("coverage"), F.col("run_id"))
     return verdict.agg(F.min_by("run_id", order).alias("run_id"))
+
+
+def spec_problems(spec: Column, kinds: tuple[str, ...] = ("lightgbm", "xgboost", "onnx", "sklearn")) -> Column:
+    """All that is wrong with a model's JSON specification, at once."""
+    get = lambda k: F.get_json_object(spec, f"$.{k}")
+    threshold = get("threshold").cast("double")
+    wrong = [
+        F.when(F.coalesce(F.trim(get("name")), F.lit("")) == "", "name: missing"),
+        F.when(~F.coalesce(get("kind").isin(*kinds), F.lit(False)), "kind: unknown"),
+        F.when(~F.coalesce(threshold.between(0, 1), F.lit(False)), "threshold: not in [0, 1]"),
+    ]
+    return F.array_compact(F.array(*wrong))

@@ -74,33 +74,100 @@ def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(part.alias("p")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("p").alias("digest_sum"))
 
 
-def write_corpus(df: DataFrame, path: str, name: str, version: str) -> None:
-    """Parquet by split, then a one-row manifest that marks the corpus as complete."""
-    df.withColumn("sha256", F.lower("sha256")).write.partitionBy("split").mode("overwrite").parquet(f"{path}/rows")
-    spark = df.sparkSession
+def file_sha256(files: DataFrame) -> DataFrame:
+    """(path, n_bytes, sha256) of files (path, content)."""
+    return files.select("path", F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+IDENTITY = ["row_id", "sha256", "label", "timestamp", "split", "score"]
+
+
+def write_rows(df: DataFrame, path: str) -> None:
+    """Append a block of rows to a corpus that isn't finished yet."""
+    df.withColumn("sha256", F.lower("sha256")).write.partitionBy("split").mode("append").parquet(f"{path}/rows")
+
+
+def finish_corpus(spark: SparkSession, path: str, name: str, version: str) -> dict:
+    """The one-row manifest that marks a corpus as complete; returns it."""
     back = spark.read.parquet(f"{path}/rows")
-    row = content_hash(back, ["row_id", "sha256", "label", "timestamp", "split", "score"]).first()
+    row = content_hash(back, [c for c in IDENTITY if c in back.columns]).first()
     manifest = {"name": name, "version": version, "n_rows": row.n_rows, "digest_sum": row.digest_sum, "roles": ROLES}
     manifest["content_hash"] = hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
+def write_corpus(df: DataFrame, path: str, name: str, version: str) -> dict:
+    """Parquet by split, then the manifest."""
+    df.withColumn("sha256", F.lower("sha256")).write.partitionBy("split").mode("overwrite").parquet(f"{path}/rows")
+    return finish_corpus(df.sparkSession, path, name, version)
 
 
-def load_corpus(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """Rows of a written corpus; refuses one without a manifest or with other content than it says."""
+def verify_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """One row: what the manifest says, what the rows say, and whether they agree."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    df = spark.read.parquet(f"{path}/rows")
-    if verify:
-        row = content_hash(df, ["row_id", "sha256", "label", "timestamp", "split", "score"]).first()
-        if (row.n_rows, row.digest_sum) != (manifest["n_rows"], manifest["digest_sum"]):
-            raise ValueError(f"{path}: content differs from its manifest")
-    return df
+    back = spark.read.parquet(f"{path}/rows")
+    got = content_hash(back, [c for c in IDENTITY if c in back.columns])
+    ok = (F.col("n_rows") == manifest["n_rows"]) & (F.col("digest_sum") == manifest["digest_sum"])
+    return got.withColumns({"name": F.lit(manifest["name"]), "want_rows": F.lit(manifest["n_rows"]), "ok": ok})
+
+
+def load_corpus(spark: SparkSession, path: str, verify: bool = True, name: str | None = None) -> DataFrame:
+    """Rows of a written corpus; refuses one without a manifest, of another name, or with other content than it says."""
+    if name is not None and (found := json.loads(spark.read.text(f"{path}/manifest").first()[0])["name"]) != name:
+        raise ValueError(f"{path}: corpus {found}, not {name}")
+    if verify and not verify_corpus(spark, path).first().ok:
+        raise ValueError(f"{path}: content differs from its manifest")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def resolve_corpus(spark: SparkSession, path: str, name: str) -> str:
+    """The folder of a corpus: path itself, or path/name."""
+    for at in (path, f"{path}/{name}"):
+        here = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/manifest")
+        if here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
+            return at
+    raise FileNotFoundError(f"no corpus {name} in {path}")
+
+
+def synthetic_zip(arrays: dict[str, bytes]) -> bytes:
+    """A zip whose bytes depend on its members alone: names in order, no times, nothing compressed."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in sorted(arrays):
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), arrays[name])
+    return out.getvalue()
+
+
+HASH_COLUMNS = ["sha256", "sha-256", "sha_256", "hash", "sha256_hash"]
 
 
 def manifest_hashes(lines: DataFrame) -> DataFrame:
-    """Training hashes from the lines of a text, CSV, TSV or ';' file (column value): comments and a header
-    are skipped, the first field is lower-cased, repeats go; a line that isn't a SHA-256 raises."""
-    field = F.lower(F.trim(F.element_at(F.split(F.regexp_replace("value", "^﻿", ""), "[,;\t]"), 1)))
-    rows = lines.select(field.alias("sha256")).where("sha256 <> '' and not startswith(sha256, '#')")
-    rows = rows.where(~F.regexp_replace("sha256", "[ _-]", "").isin("sha256", "hash", "sha256hash"))
-    good = F.col("sha256").rlike("^[0-9a-f]{64}$")
-    return rows.select(F.when(good, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("not a SHA-256: "), "sha256"))).alias("sha256")).distinct()
+    """Training hashes from the lines of a manifest (columns value, and line for their order if they have one).
+
+    A first line that names a hash column makes it a table, separated by tabs, commas or semicolons, fields perhaps in
+    quotes; else each line is a hash, or fields of which the first is one. Comments (#, also behind a hash) and
+    blank lines are skipped, hashes lower-cased, repeats go; anything else raises."""
+    plain = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), (F.col("line") if "line" in lines.columns else F.monotonically_increasing_id()).alias("line"))
+    full = plain.where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+    head = full.agg(F.min_by("value", "line").alias("head"), F.min("line").alias("first")).first()
+    header, sep = (head.head or "").strip(), None
+    for mark in "\t,;":
+        fields = [x.strip().strip("\"'").lower() for x in header.split(mark)]
+        if mark in header and sep is None and any(f in HASH_COLUMNS for f in fields):
+            sep, at = mark, next(i for i, f in enumerate(fields) if f in HASH_COLUMNS)
+    if sep is None:
+        if header.strip("\"'").lower() in HASH_COLUMNS:  # a table of one column
+            full = full.where(F.col("line") != head.first)
+        bare = F.trim(F.element_at(F.split("value", "#"), 1))
+        own = F.when(bare.rlike("^[0-9a-fA-F]{64}$"), bare).otherwise(F.regexp_replace(F.trim(F.element_at(F.split(bare, "[\t,; ]"), 1)), '^"|"$', ""))
+        rows = full.where(bare != "").select(own.alias("sha256"))
+    else:
+        kept = full.where(F.col("line") != head.first)
+        cell = F.from_csv("value", ", ".join(f"c{i} string" for i in range(at + 1)), {"sep": sep})[f"c{at}"]
+        rows = kept.select(F.trim(F.coalesce(cell, F.lit(""))).alias("sha256"))
+    good = F.col("sha256").rlike("^[0-9a-fA-F]{64}$")
+    return rows.select(F.lower(F.when(good, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("not a SHA-256: "), "sha256")))).alias("sha256")).distinct()
