@@ -10,11 +10,16 @@
    probability RECALL; closer pairs meet more surely. The share is the worst of three: partners of
    the sample by noise in all directions, by noise in the coded axes alone (where not all are
    coded), and the sample's own pairs just over the threshold, if it has enough.
+   A node's substrings are computed once and travel with it: where a pair first meets is read off them.
 4. A bucket is a group of at most CHUNK nodes, larger ones are split into pairs of chunks. There
    the original vectors are compared in double precision, and a pair counts in the first table
-   where it meets, so only sums per node and a spanning star leave the group, never pairs.
+   where it meets, so only sums per node and a spanning star leave the group, never pairs. Many small
+   groups share a batch.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
+Vectors of each length have a model of their own, fitted one after another: lengths are few in practice, and
+neither they nor the bits of a substring are capped (below 2^40 nodes of a label).
+
+Defined results: very long vectors take memory for a batch of CHUNK of them; vectors that are null, empty, zero or hold null or non-finite components, and
 those without a label, link with nothing; neither do vectors of different lengths. A null vec_id is
 never a component's id unless the component has no other (then null); rows that repeat a vec_id
 count as vectors of their own. An empty table gives an empty table; further columns are not read.
@@ -30,7 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import mix64, staged
+from assay.llm.blocks import by_group, small_batches
+from assay.llm.common import staged
 from assay.llm.components import components, stars
 
 SAMPLE, RECALL, CHUNK, ITERATIONS, MOST_BITS = 20_000, 0.995, 1024, 25, 128
@@ -64,7 +70,7 @@ def substrings(x: np.ndarray, model: dict) -> np.ndarray:
 
 def fit_model(sample: np.ndarray, nodes: int, threshold: float) -> dict:
     """bits, tables and rotations for unit vectors of one length."""
-    bits = int(np.clip(np.ceil(np.log2(max(nodes, 2))), 6, 24))
+    bits = int(np.clip(np.ceil(np.log2(max(nodes, 2))), 6, 40))
     if len(sample) < 2:
         sample = np.concatenate([sample, np.eye(sample.shape[1])])
     first = learn_rotation(sample, 0)
@@ -108,58 +114,62 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("node", F.when(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)), F.xxhash64("label", "vec")))
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least")), "itq-nodes").withColumn("dim", F.size("vec"))
-    largest = {r.dim: r.n for r in nodes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    largest = {r.dim: r.n for r in nodes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).orderBy(F.desc("n")).collect()}  # a row a length
     models: dict[int, dict] = {}
     for dim, n in largest.items():
         got = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node")).limit(SAMPLE).select("vec").toArrow()
         models[dim] = fit_model(_matrix(got.column("vec"), dim), n, threshold)
-    if nodes.where(~F.col("dim").isin(list(models))).limit(1).count():
-        raise ValueError("vectors of more than 64 different lengths")
-    model = spark.sparkContext.broadcast(models)  # at most 64 models of MOST_BITS x dim x rotations numbers
+    model = spark.sparkContext.broadcast(models)  # a model a length, of MOST_BITS x dim x rotations numbers
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim in np.unique(batch.column("dim")):
                 own = batch.filter(pc.equal(batch.column("dim"), int(dim)))
-                sub = substrings(_matrix(own.column("vec"), int(dim)), model.value[int(dim)])
-                tables = np.arange(len(sub), dtype=np.uint64)[:, None]
-                home = own.column("home").to_numpy().view(np.uint64)
-                key = mix64(mix64(home[None, :] + tables) + sub.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel()), "t": pa.array(np.repeat(np.arange(len(sub), dtype=np.int32), len(home))), "node": pa.array(np.tile(own.column("node").to_numpy(), len(sub)))})
+                sub = np.ascontiguousarray(substrings(_matrix(own.column("vec"), int(dim)), model.value[int(dim)]).T)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sub) + 1, dtype=np.int32) * sub.shape[1]), pa.array(sub.ravel()))
+                yield pa.RecordBatch.from_arrays([own.column("node"), lists], ["node", "code"])
+
+    small_batches(rows)
+    codes = nodes.select("node", "dim", "vec").mapInArrow(coded, "node bigint, code array<bigint>")
+    nodes = staged(nodes.join(codes, "node"), "itq-codes")
 
-    light = nodes.select("node", "dim", "vec", F.xxhash64("label", "dim").alias("home")).mapInArrow(keys, "bucket bigint, t int, node bigint")
+    light = nodes.select("node", F.xxhash64("label", "dim").alias("home"), F.posexplode("code").alias("t", "part")).select(F.xxhash64("home", "t", "part").alias("bucket"), "t", "node")
     busy = light.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     split = F.ceil(F.col("n") / CHUNK).cast("int")
     met = light.join(busy, "bucket").withColumn("c", F.pmod(F.xxhash64("node", "bucket"), split).cast("int"))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), split - 1))).withColumn("gi", F.least("c", "o")).withColumn("gj", F.greatest("c", "o"))
-    groups = met.join(nodes.select("node", "label", "dim", "vec", "weight"), "node").select("bucket", "t", "gi", "gj", "c", "node", "label", "dim", "vec", "weight")
+    # labels travel as 64-bit hashes
+    groups = met.join(nodes.select("node", F.xxhash64("label").alias("label"), "dim", "vec", "weight", "code"), "node").select("bucket", "t", "gi", "gj", "c", "node", "label", "dim", "vec", "weight", "code")
 
-    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        gi, gj = key[1].as_py(), key[2].as_py()
+    def compare(group: pa.Table) -> dict[str, np.ndarray] | None:
+        if group.num_rows < 2:
+            return None
         out: dict[str, list] = {"node": [], "links": [], "root": []}
         # two buckets may share a key by chance: table, label and length must agree too
         t, label, dim, c = (group.column(k).to_numpy() for k in ("t", "label", "dim", "c"))
+        apart = group.column("gi")[0].as_py() != group.column("gj")[0].as_py()
         for kind in np.unique(np.stack([t.astype(np.int64), dim.astype(np.int64)], 1), axis=0):
             own = np.flatnonzero((t == kind[0]) & (dim == kind[1]))
-            part = group.take(own)
+            part = group.take(own) if len(own) < group.num_rows else group
             x = _matrix(part.column("vec"), int(kind[1]))
             linked = (x @ x.T >= threshold) & (label[own][:, None] == label[own][None, :])
-            if gi != gj:
+            if apart:
                 linked &= c[own][:, None] != c[own][None, :]
             np.fill_diagonal(linked, False)
-            sub = substrings(x, model.value[int(kind[1])])
-            linked &= sub[kind[0]][:, None] == sub[kind[0]][None, :]
-            for earlier in sub[: kind[0]]:
-                linked &= earlier[:, None] != earlier[None, :]
+            if linked.any():
+                flat = part.column("code").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+                linked &= flat[:, kind[0]][:, None] == flat[:, kind[0]][None, :]
+                i, j = np.nonzero(linked)
+                linked[i, j] = (flat[i, : kind[0]] != flat[j, : kind[0]]).all(1)
             at = np.flatnonzero(linked.any(1))
-            node, weight = part.column("node").to_numpy(), part.column("weight").to_numpy()
-            root = stars(linked)
-            out["node"].append(node[at])
-            out["links"].append((linked[at] @ weight).astype(np.int64))
-            out["root"].append(node[root[at]])
-        return pa.table({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in out.items()})
-
-    found = staged(groups.groupBy("bucket", "gi", "gj").applyInArrow(compare, "node bigint, links bigint, root bigint"), "itq-links")
+            if len(at):
+                node, weight = part.column("node").to_numpy(), part.column("weight").to_numpy()
+                out["node"].append(node[at])
+                out["links"].append((linked[at] @ weight).astype(np.int64))
+                out["root"].append(node[stars(linked)[at]])
+        return {k: np.concatenate(v).astype(np.int64) for k, v in out.items()} if out["node"] else None
+
+    found = staged(by_group(groups, ["bucket", "gi", "gj"], compare, "node bigint, links bigint, root bigint"), "itq-links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "weight", "least").join(roots, "node", "left").join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))
