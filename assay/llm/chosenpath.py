@@ -35,8 +35,8 @@ from assay.llm.components import components, stars
 
 WORDS, THRESHOLD, RECALL, LIMIT, CHUNK, SKETCH, FIRST, DEPTH = 5, 0.8, 0.99, 64, 1024, 0.5, 2.5, 3
 BATCH_BYTES = 1 << 20
-#: Bits of the filter that spares the paths of small buckets: 4 MB, whatever the corpus.
-FILTER_BITS = 1 << 25
+#: A filter has at least 16 bits a key (two of them set), in slices of SLICE_BITS; beyond MOST_KEYS keys (a filter of 128 MB) a join takes its place.
+SLICE_BITS, MOST_KEYS = 1 << 20, 1 << 26
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +123,15 @@ def level_keys(tokens: np.ndarray, counts: np.ndarray, depth: int, runs: int, th
     return out
 
 
-def key_bits(keys: np.ndarray) -> np.ndarray:
-    """A Bloom filter of fixed size, with two bits a key."""
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[(keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-    bits[((keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits)
+def _places(keys: np.ndarray, n_bits: int) -> np.ndarray:
+    """Two bits for each key (rows)."""
+    mask = np.uint64(n_bits - 1)
+    return np.stack([keys & mask, (mix64(keys) >> np.uint64(7)) & mask]).astype(np.int64)
 
 
 def in_bits(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = lambda k: (packed[k >> 3] >> (7 - (k & 7))) & 1
-    low, high = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-    return (bit(low) & bit(high)).astype(bool)
+    at = _places(keys, len(packed) * 8)
+    return (((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)).astype(bool)
 
 
 def sketch(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -221,18 +218,33 @@ def _candidates(group: pa.Table, threshold: float) -> np.ndarray:
     return pairs
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """The filter of all keys: each of at most eight tasks sends one of fixed size."""
+def _filter_of(keys: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of distinct keys, sized by their number; None for more than MOST_KEYS. Each slice of it is made by one task
+    and sent once, so the driver gets the filter and no more."""
+    count = keys.count()
+    if count > MOST_KEYS:
+        return None
+    n_bits = max(SLICE_BITS, 1 << int(np.ceil(np.log2(max(16 * count, 1)))))
+    name = keys.columns[0]
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits |= key_bits(batch.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([zip_bytes(bits.tobytes())], pa.binary())})
+            at = _places(batch.column(0).to_numpy().view(np.uint64), n_bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at // SLICE_BITS).astype(np.int32)), pa.array((at % SLICE_BITS).astype(np.int32))], ["slice", "bit"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in keys.coalesce(8).mapInArrow(part, "bits binary").collect():
-        out |= np.frombuffer(unzip_bytes(row.bits), np.uint8)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for s in np.unique(own):
+                held.setdefault(int(s), np.zeros(SLICE_BITS, bool))[bit[own == s]] = True
+        for s, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zip_bytes(np.packbits(bits).tobytes())], pa.binary())], ["slice", "bits"])
+
+    out = np.zeros(n_bits // 8, np.uint8)
+    slices = keys.select(name).mapInArrow(spread, "slice int, bit int").repartition("slice").mapInArrow(made, "slice int, bits binary")
+    for row in slices.collect():  # at most MOST_KEYS x 16 bits, packed
+        out[row.slice * SLICE_BITS // 8 : (row.slice + 1) * SLICE_BITS // 8] = np.frombuffer(unzip_bytes(row.bits), np.uint8)
     return out
 
 
@@ -262,6 +274,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
                 tokens, counts = shingles(run, words)
                 nodes = np.array([node[i] for i in fresh[at - len(run) : at]], np.int64)
                 yield nodes[counts > 0], tokens, counts[counts > 0]
+        trim()
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, tokens, counts in sets_of(batches, set()):
@@ -286,7 +299,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
     met = nodes.select("node", F.explode("keys").alias("k1")).distinct()
     counts = staged(met.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path-counts")
     leaves = met.join(counts.where(F.col("n") <= LIMIT), "k1").select("node", F.col("k1").alias("leaf"), "n")
-    big = counts.where(F.col("n") > LIMIT).select("k1")
+    big = counts.where(F.col("n") > LIMIT).select("k1")  # of a staged table, one row a bucket
     if not big.isEmpty():
         deep = docs.sparkSession.sparkContext.broadcast(_filter_of(big))
         rows = texts.mapInArrow(deeper, "node bigint, " + ", ".join(f"k{i} bigint" for i in range(1, DEPTH + 1)))
@@ -331,18 +344,21 @@ def similar_sets(docs: DataFrame, text_col: str = "text", threshold: float = THR
 
     found = staged(by_group(members, ["leaf", "gi", "gj"], active, "leaf bigint, gi bigint, gj bigint, c bigint, node bigint"), "path-active")
     whole = found.join(leaves.groupBy("node").agg(F.collect_list("leaf").alias("leaves")), "node").join(nodes.select("node", "size", "sketch", "weight"), "node")
-    near = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select("node").distinct()))
+    wanted = staged(found.select("node").distinct(), "path-wanted")
+    near = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def active_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             node = batch.column("node").to_numpy()
-            at = [i for i in np.flatnonzero(in_bits(near.value, node.view(np.uint64))).tolist() if not (node[i] in seen or seen.add(node[i]))]
+            among = np.flatnonzero(in_bits(near.value, node.view(np.uint64))) if near.value is not None else np.arange(len(node))
+            at = [i for i in among.tolist() if not (node[i] in seen or seen.add(node[i]))]
             if at:
                 yield batch.take(pa.array(at))
 
-    # the filter lets few other texts pass, and the join drops those
-    reps = texts.mapInArrow(active_texts, "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
+    # the filter lets few other texts pass, and the joins drop those; without a filter the first one does it all
+    passed = texts if near.value is not None else texts.join(wanted, "node", "left_semi")
+    reps = passed.mapInArrow(active_texts, "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
     links = by_group(whole.join(reps, "node"), ["leaf", "gi", "gj"], verify, "node bigint, links bigint, root bigint")
     return nodes.select("node", "size", "weight"), staged(links, "path-links")
 
