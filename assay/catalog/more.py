@@ -43,7 +43,11 @@ def _(spark, sf):
     return G.paths(nodes(spark)).select("tree", "node", F.size("conditions").alias("n_conditions"), F.round(total, 6).alias("threshold_sum"))
 
 
-@query("condition_merge")
+_PATHS = f"""WITH RECURSIVE {NODES_SQL[5:]}, up AS (SELECT tree, node AS leaf, node FROM nodes WHERE NOT inner_ UNION ALL SELECT tree, leaf, (node - 1) // 2 FROM up WHERE node > 0),
+  st AS (SELECT u.tree, u.leaf, p.feature, p.threshold, u.node % 2 = 1 AS below, CAST(floor(log2(u.node + 1.0::DOUBLE)) - 1 AS INTEGER) AS pos FROM up u JOIN nodes p ON p.tree = u.tree AND p.node = (u.node - 1) // 2 WHERE u.node > 0)"""
+
+
+@query("condition_merge", f"{_PATHS} SELECT tree, leaf AS node, feature, max(threshold) FILTER (NOT below) AS over, min(threshold) FILTER (below) AS up_to, min(pos) AS first FROM st GROUP BY ALL")
 def _(spark, sf):
     return G.merged_conditions(G.paths(nodes(spark)))
 
@@ -89,7 +93,10 @@ def _(spark, sf):
     return R(p.groupBy("l_suppkey").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits")), "bits")
 
 
-@query("weighted_choice")
+_DRAW = "('0x' || substr(sha256('3/' || CAST(row_id AS VARCHAR)), 1, 12))::BIGINT / pow(2.0::DOUBLE, 48)"
+
+
+@query("weighted_choice", f"WITH {EVENTS} SELECT row_id, label, CASE WHEN label = 0 THEN CASE WHEN {_DRAW} < 0.25 THEN 'a' ELSE 'b' END ELSE CASE WHEN {_DRAW} < 0.5 THEN 'a' ELSE 'c' END END AS choice FROM ev WHERE label >= 0")
 def _(spark, sf):
     weights = spark.createDataFrame([(0, "a", 1.0), (0, "b", 3.0), (1, "a", 1.0), (1, "c", 1.0)], "label int, choice string, weight double")
     return G.weighted_choice(events_corpus(spark, sf).where("label >= 0").select("row_id", "label"), weights, "label", 3)

@@ -113,9 +113,10 @@ def _(spark, sf):
     return R(table(spark, sf, "documents").select("doc_id", p["mean_run"].alias("mean_run"), p["urls"].cast("int").alias("urls")), "mean_run")
 
 
-@query("byte_histogram")
+@query("byte_histogram", "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS blanks, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS e FROM documents")
 def _(spark, sf):
-    return B.byte_counts(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "n_bytes", "histogram")
+    h = B.byte_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return h.select("doc_id", "n_bytes", F.col("histogram")[32].alias("blanks"), F.col("histogram")[101].alias("e"))
 
 
 _ENT = "SELECT page_id, ch, count(*)::DOUBLE AS c FROM (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS ch FROM pages) GROUP BY ALL"
@@ -126,9 +127,14 @@ def _(spark, sf):
     return R(B.byte_counts(table(spark, sf, "pages"), "page_id", "html").select("page_id", "n_bytes", "entropy"), "entropy")
 
 
-@query("byte_entropy_hist")
+_BYTES = "octet_length(encode(coalesce(text, '')))"
+
+
+@query("byte_entropy_hist", f"SELECT doc_id, CASE WHEN {_BYTES} < 2048 THEN {_BYTES} ELSE 2048 * (({_BYTES} - 2048) // 1024 + 1) END::BIGINT AS counted FROM documents")
 def _(spark, sf):
-    return B.block_entropies(table(spark, sf, "documents"), "doc_id", "text")
+    """Every nibble of every window is counted once."""
+    h = B.block_entropies(table(spark, sf, "documents"), "doc_id", "text")
+    return h.select("doc_id", F.aggregate("hist", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("counted"))
 
 
 @query("start_bytes", "SELECT page_id, octet_length(encode(html)) AS size, substr(hex(encode(html)), 1, 8) AS head, substr(html, 1, 2) = 'MZ' AS is_pe FROM pages")

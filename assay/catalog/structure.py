@@ -76,7 +76,7 @@ def _(spark, sf):
     return T.distinct_thresholds(nodes(spark))
 
 
-@query("treeshap_cost", f"SELECT CAST({TREES * (2**DEPTH * (DEPTH * DEPTH + DEPTH) + _N)} AS BIGINT) AS cost")
+@query("treeshap_cost", f"{NODES_SQL} SELECT (sum(CASE WHEN inner_ THEN 0 ELSE pow(floor(log2(node + 1.0::DOUBLE)), 2) + floor(log2(node + 1.0::DOUBLE)) END) + count(*))::BIGINT AS cost FROM nodes")
 def _(spark, sf):
     return T.shap_cost(nodes(spark))
 

@@ -73,15 +73,10 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def depths(nodes: DataFrame) -> DataFrame:
-    """(tree, node, depth), level by level; the depth of the deepest tree is the number of joins."""
-    edges = parents(nodes).select("tree", "node", "parent")
-    level = nodes.where("node = 0").select("tree", "node", F.lit(0).alias("depth"))
-    out = level
-    while True:
-        level = edges.join(level.withColumnRenamed("node", "parent"), ["tree", "parent"]).select("tree", "node", (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    """(tree, node, depth), level by level."""
+    from assay.operators.screen import levels
+
+    return levels(nodes).select("tree", "node", "depth")
 
 
 def feature_importance(nodes: DataFrame) -> DataFrame:
@@ -108,7 +103,8 @@ def distinct_thresholds(nodes: DataFrame) -> DataFrame:
 
 
 def shap_cost(nodes: DataFrame) -> DataFrame:
-    """Sum over trees of leaves x (d^2 + d) + nodes, d the depth of the tree."""
-    d = depths(nodes).groupBy("tree").agg(F.max("depth").alias("d"))
-    n = nodes.groupBy("tree").agg(F.count_if(F.col("left") < 0).alias("leaves"), F.count(F.lit(1)).alias("n"))
-    return n.join(d, "tree").agg(F.sum(F.col("leaves") * (F.col("d") * F.col("d") + F.col("d")) + F.col("n")).alias("cost"))
+    """Sum over trees of the leaves' d^2 + d, d a leaf's depth, plus the nodes; a tree that is one leaf costs 1."""
+    at = nodes.select("tree", "node", (F.col("left") < 0).alias("leaf")).join(depths(nodes), ["tree", "node"])
+    d = F.col("depth")
+    per = at.groupBy("tree").agg((F.sum(F.when(F.col("leaf"), d * d + d).otherwise(0)) + F.count(F.lit(1))).alias("c"))
+    return per.agg(F.sum("c").alias("cost"))

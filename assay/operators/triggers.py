@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.sources.staging import staged
+
 
 def stamp(vector: Column, trigger: dict[int, float]) -> Column:
     """The vector with the given positions overwritten, as an expression."""
@@ -39,15 +41,18 @@ def layout_ok(groups: DataFrame, width: int) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, node, conditions) of every leaf: from the root, level by level, with the conditions carried along."""
+    """(tree, node, conditions) of every leaf: from the root, level by level, with the conditions carried along.
+
+    Both children of a node come from one row, and each level is staged: it is computed once, and the plan doesn't grow."""
+    step = "struct<feature:int,below:boolean,threshold:double>"
     inner = nodes.where("left >= 0").select("tree", "node", "left", "right", "feature", "threshold")
-    level = nodes.where("node = 0").select("tree", "node", F.array().cast("array<struct<feature:int,below:boolean,threshold:double>>").alias("conditions"))
     leaves = nodes.where("left < 0").select("tree", "node")
+    level = nodes.where("node = 0").select("tree", "node", F.array().cast(f"array<{step}>").alias("conditions"))
     out = level.join(leaves, ["tree", "node"], "left_semi")
     while True:
-        at = level.join(inner, ["tree", "node"])
-        step = lambda side, below: at.select("tree", F.col(side).alias("node"), F.concat("conditions", F.array(F.struct("feature", F.lit(below).alias("below"), "threshold"))).alias("conditions"))
-        level = step("left", True).unionByName(step("right", False))
+        kid = lambda side, below: F.struct(F.col(side).alias("node"), F.concat("conditions", F.array(F.struct("feature", F.lit(below).alias("below"), "threshold").cast(step))).alias("conditions"))
+        both = level.join(inner, ["tree", "node"]).select("tree", F.explode(F.array(kid("left", True), kid("right", False))).alias("k"))
+        level = staged(both.select("tree", "k.node", "k.conditions"), "tree-paths")
         if level.isEmpty():
             return out
         out = out.unionByName(level.join(leaves, ["tree", "node"], "left_semi"))
