@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 from assay.llm.blocks import ROWS, answered, batches_of, cut_tables, gathered, join_parts, pack_table, places, split_parts, spread_again, stable, texts_of, unpack_table, unzip_bytes, unzip_ints, zip_bytes, zip_ints
 from assay.llm.common import mix64, staged
 from assay.llm.lm import _cuts, _squeeze, _unsqueeze
+from assay.sources.staging import release
 
 LENGTH, KMER = 50, 24
 WINDOWS = LENGTH - KMER + 1
@@ -505,5 +506,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stable(rows, "suffix-docs")
     shared = answered(spread_again(rows, lists, n), _shared_anchors, n)
     runs = staged(gathered(spread_again(rows, texts, n), shared, entries, ROWS, n), "suffix-entries", packed=True)
+    del shared
+    release(docs.sparkSession, [])  # the shuffles of the first half are of no more use
     got = gathered(runs, answered(runs, _window_bits, n, FINE), mark, schema, n, FINE)
     return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], F.struct(*[k for k, _ in made]).alias(into))
