@@ -7,11 +7,11 @@ held-out counts. EM reads them as a histogram over (bucket, log-ratios of the es
 1/STEPS octave), whose size is bounded by its axes, not by the corpus. The scoring model counts all learning
 documents.
 
-Counting: one scan numbers the tokens and bigrams of each block of documents and sends their
+Counting: a scan numbers the tokens and bigrams of each block of documents and sends their
 distinct hashes (64 bits) with counts to hash buckets, packed (sorted, differences, zstd); a bucket
 adds them up and answers each block with the totals of the block's own keys. So a bigram that is
-everywhere is one entry a block. The texts themselves go no further: a block keeps, for each
-token, its number and its bigram's.
+everywhere is one entry a block. A second scan sends, for each token, its number and its bigram's to
+meet the answers: scanning twice is cheaper than writing them down between. The texts go no further.
 
 Tokens: words between ASCII white space with A-Z in lower case, then one end token a text, which is
 also the context of the first word.
@@ -34,8 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.blocks import answered, cut_tables, distinct, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
+from assay.llm.blocks import answered, cut_tables, distinct, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
 from assay.llm.common import mix64, staged
+from assay.sources.staging import release
 
 BLOCK_BYTES = 8 << 20
 CONTEXTS, STEPS, SPAN = 40, 4, 120
@@ -73,7 +74,9 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _send(fields: list[str]):
+def _send(fields: list[str], wanted: str):
+    """What a block sends: its key lists, or its pieces."""
+
     def send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
         for block, table in enumerate(cut_tables(batches, BLOCK_BYTES)):
             hashes, ids, counts = _tokens(table.column("text").combine_chunks())
@@ -83,14 +86,18 @@ def _send(fields: list[str]):
             words, rank = distinct(hashes)
             pairs, pair = distinct(_pairs(hashes, ids))
             for keys, at in ((words, rank[ids]), (pairs, pair)):
-                lists.append((keys, np.bincount(at[learn], minlength=len(keys)).astype(np.uint32), _cuts(keys, n)))
-                places_.append(zip_ints(at))
-            for bucket in range(n):
+                if wanted == "lists":
+                    lists.append((keys, np.bincount(at[learn], minlength=len(keys)).astype(np.uint32), _cuts(keys, n)))
+                else:
+                    places_.append(zip_ints(at))
+            for bucket in range(n) if lists else ():
                 body = [np.uint32([tune, *(c[bucket + 1] - c[bucket] for _, _, c in lists)]).tobytes()]
                 for keys, own, c in lists:
                     body += [_squeeze(keys[c[bucket] : c[bucket + 1]]), own[c[bucket] : c[bucket + 1]].tobytes()]
                 if len(body[1]) or len(body[3]):
                     yield block, bucket, zip_bytes(b"".join(body))
+            if lists:
+                continue
             head = np.array([tune, rank[0], len(words), len(pairs), len(ids)], np.int64).tobytes()
             yield block, n, join_parts([head, pack_table(table.select(fields)), zip_ints(counts), *places_])
 
@@ -196,14 +203,19 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
     more = more or {}
     rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()], F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(learn & tune, F.lit(False)).alias("tune"))
     n = places(rows)
+    rows = stable(rows, "lm-docs")
     fields = [f for f in rows.schema.fields if f.name not in ("text", "learn", "tune")]
-    send = _send([f.name for f in fields])
-    # blocks are of the deleted slice or not; each kind's blocks have names of their own
-    deleted = spread(rows.where("tune"), send, n, "lm-slice")
-    others = spread(rows.where("not tune"), send, n, "lm-docs").withColumn("block", -F.col("block") - 1)
-    both = deleted.unionByName(others)
 
-    answers = staged(answered(both, _total, n), "lm-answers", packed=True)
+    def deleted(wanted: str) -> DataFrame:
+        return spread_again(rows.where("tune"), _send([f.name for f in fields], wanted), n)
+
+    def both(wanted: str) -> DataFrame:
+        """Blocks of the deleted slice, then all others, with names of their own; in this order, as tasks name them by number."""
+        others = spread_again(rows.where("not tune"), _send([f.name for f in fields], wanted), n)
+        return deleted(wanted).unionByName(others.withColumn("block", -F.col("block") - 1))
+
+    answers = staged(answered(both("lists"), _total, n), "lm-answers", packed=True)
+    release(docs.sparkSession, [])  # the lists' shuffle is of no more use
     sums = np.zeros(4, np.int64)
     for r in answers.select(F.substring("body", 1, 32).alias("head")).where(F.col("head") != F.lit(bytes(32))).collect():  # a row for each bucket
         sums += np.frombuffer(r.head, np.int64)
@@ -218,7 +230,7 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
             cell, times = np.unique((_bucket(context) * side + two) * side + one, return_counts=True)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "times": pa.array(times)})
 
-    cells = gathered(deleted, answers.where("block >= 0"), held_out, "cell bigint, times bigint", n).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    cells = gathered(deleted("pieces"), answers.where("block >= 0"), held_out, "cell bigint, times bigint", n).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     side = 3 * SPAN + 1
     cell, times = cells.column("cell").to_numpy(), cells.column("times").to_numpy().astype(float)
     weights = em_weights(np.stack([cell // side**2, cell // side % side, cell % side], 1), times)
@@ -245,4 +257,4 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
                 }
             )
 
-    return gathered(both, answers, score, schema, n).withColumnRenamed("id", id_col)
+    return gathered(both("pieces"), answers, score, schema, n).withColumnRenamed("id", id_col)
