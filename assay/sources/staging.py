@@ -31,6 +31,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Spark's own setting by which the shuffle files of an execution go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 
 
@@ -60,5 +63,11 @@ def staged(df: DataFrame, label: str, packed: bool = False) -> DataFrame:
     write = df.write.option("compression", "zstd")
     if packed:
         write = df.write.option("compression", "uncompressed").option("parquet.block.size", str(8 << 20)).option("parquet.enable.dictionary", "false")
-    write.parquet(path)
+    conf = df.sparkSession.conf
+    had = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # what this write shuffled is of no use after it
+    try:
+        write.parquet(path)
+    finally:
+        conf.set(CLEANUP, had) if had is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
