@@ -478,15 +478,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
                     yield block, int(bucket[a]), front_code(rows[a:b], least[a:b])
-                yield block, n * FINE, join_parts([body, zip_bytes(least.tobytes()), *state])
+                yield block, n * FINE + 1, join_parts([zip_bytes(least.tobytes()), *state])
 
         yield from batches_of(sent())
 
     def mark(block: int, answer: dict[int, bytes], pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         bits = np.concatenate([unzip_ints(answer[s]) for s in sorted(answer)] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        for _, body in pieces:
-            table, least, *state = split_parts(body)
-            table = unpack_table(table)
+        table = None
+        for slot, body in pieces:
+            if slot == n * FINE:
+                table = unpack_table(body)
+                continue
+            least, *state = split_parts(body)
             own = Texts(table)
             verdict = removed(own, state, np.frombuffer(unzip_bytes(least), np.int64), bits)
             for first in range(0, len(own.all), 512):
@@ -502,11 +505,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns = [table.column(k).slice(first, 512).combine_chunks() for k, _ in fields] + [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    # lists and texts from a scan each: the texts are packed once, with what became of their entries
+    # lists, and twice texts, from a scan each: no text is written down between; texts come first, so tasks name their blocks alike
     rows = stable(rows, "suffix-docs")
     shared = answered(spread_again(rows, lists, n), _shared_anchors, n)
     runs = staged(gathered(spread_again(rows, texts, n), shared, entries, ROWS, n), "suffix-entries", packed=True)
     del shared
     release(docs.sparkSession, [])  # the shuffles of the first half are of no more use
-    got = gathered(runs, answered(runs, _window_bits, n, FINE), mark, schema, n, FINE)
+    again = spread_again(rows, texts, n * FINE).unionByName(runs)
+    got = gathered(again, answered(runs, _window_bits, n, FINE), mark, schema, n, FINE)
     return got.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], F.struct(*[k for k, _ in made]).alias(into))
