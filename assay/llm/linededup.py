@@ -259,7 +259,7 @@ class LineIndex:
         row = [F.xxhash64("doc", "text").alias("r1"), F.xxhash64(F.lit("row"), "doc", "text").alias("r2")]
         lines = _keyed(rows.select("doc", *row, F.posexplode(_lines(F.col("text"))).alias("place", "line")))
         small_batches(lines)
-        lines = self._may_be_common(lines)
+        lines = staged(self._may_be_common(lines), "line-maybe")
         over = self.counts.where(F.col("docs") >= self.min_docs)
         total = self.counts.agg(F.sum("docs")).first()[0] or 0
         bound = max(1000, int(total * HOT))
