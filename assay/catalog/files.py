@@ -254,34 +254,34 @@ def _(spark, sf):
     return L.node_table(spark, rows).select(*[F.col(c).cast("bigint").alias(c) for c in ("node", "left", "right")])
 
 
-def _full(spark):
-    return nodes(spark).withColumn("missing", F.lit(0))
+def _full(spark, sf):
+    return nodes(spark, sf).withColumn("missing", F.lit(0))
 
 
 @query("tree_serialize", f"{NODES_SQL} SELECT tree, count(*) AS n FROM nodes GROUP BY tree")
 def _(spark, sf):
-    return L.from_bytes(L.to_bytes(_full(spark))).groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    return L.from_bytes(L.to_bytes(_full(spark, sf))).groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tree_deserialize", f"{NODES_SQL} SELECT tree, node, feature, threshold, value, cover FROM nodes")
 def _(spark, sf):
-    return L.from_bytes(L.to_bytes(_full(spark))).select("tree", "node", "feature", "threshold", "value", "cover")
+    return L.from_bytes(L.to_bytes(_full(spark, sf))).select("tree", "node", "feature", "threshold", "value", "cover")
 
 
 @query("tree_apply", f"{_WALK} SELECT w.vec_id, w.tree, w.node AS leaf FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_")
 def _(spark, sf):
-    return L.tree_apply(table(spark, sf, "embeddings"), _full(spark), "vec_id", "embedding")
+    return L.tree_apply(table(spark, sf, "embeddings"), _full(spark, sf), "vec_id", "embedding")
 
 
 @query("score_rows", f"{_WALK} SELECT w.vec_id, round(1 / (1 + exp(-sum(n.value))), 6) AS score FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id")
 def _(spark, sf):
-    return R(L.score(table(spark, sf, "embeddings"), _full(spark), "vec_id", "embedding", {"transform": "logistic"}).select("vec_id", "score"), "score")
+    return R(L.score(table(spark, sf, "embeddings"), _full(spark, sf), "vec_id", "embedding", {"transform": "logistic"}).select("vec_id", "score"), "score")
 
 
 @query("handle_predict_proba", f"{_WALK}, s AS (SELECT w.vec_id, 1 / (1 + exp(-sum(n.value))) AS score FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id) SELECT count(*) AS n_queries, round(sum(score), 4) AS total FROM s")
 def _(spark, sf):
     """Scores checked and clipped as a model's answers are, with the number of rows asked for."""
-    got = MO.validated_scores(L.score(table(spark, sf, "embeddings"), _full(spark), "vec_id", "embedding", {"transform": "logistic"}))
+    got = MO.validated_scores(L.score(table(spark, sf, "embeddings"), _full(spark, sf), "vec_id", "embedding", {"transform": "logistic"}))
     return got.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.sum("score"), 4).alias("total"))
 
 
@@ -321,16 +321,16 @@ for _key, _kind in (("forest_trees", "rf"), ("gbc_trees", "gbt"), ("tree_scan_fi
 
 @query("probe_matrix", "SELECT 64 AS n, true AS ok")
 def _(spark, sf):
-    p = L.probe_rows(spark, nodes(spark), WIDTH, 64)
+    p = L.probe_rows(spark, nodes(spark, sf), WIDTH, 64)
     return p.agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and(F.size("x") == WIDTH).alias("ok"))
 
 
 @query("probe_fidelity", "SELECT 64 AS n, true AS faithful")
 def _(spark, sf):
     """Two ways to walk the trees, on rows that straddle their thresholds."""
-    p = L.probe_rows(spark, nodes(spark), WIDTH, 64)
-    a = L.score(p, _full(spark), "row_id", "x", {"transform": "identity"}).select("row_id", F.col("raw").alias("score"))
-    b = T.score_rows(p, nodes(spark), "row_id", "x").select("row_id", F.col("raw").alias("score"))
+    p = L.probe_rows(spark, nodes(spark, sf), WIDTH, 64)
+    a = L.score(p, _full(spark, sf), "row_id", "x", {"transform": "identity"}).select("row_id", F.col("raw").alias("score"))
+    b = T.score_rows(p, nodes(spark, sf), "row_id", "x").select("row_id", F.col("raw").alias("score"))
     return L.fidelity(a, b, "row_id").select(F.col("n").cast("int").alias("n"), "faithful")
 
 
@@ -340,7 +340,7 @@ def _(spark, sf):
 
 
 def _shap(spark, sf):
-    return L.tree_shap(table(spark, sf, "embeddings"), _full(spark), "vec_id", "embedding")
+    return L.tree_shap(table(spark, sf, "embeddings"), _full(spark, sf), "vec_id", "embedding")
 
 
 @query("to_shap_model", f"{_WALK}, s AS (SELECT w.vec_id, sum(n.value) AS raw FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id), m AS (SELECT sum(v) AS mean FROM (SELECT tree, sum(value * cover) / sum(cover) AS v FROM nodes WHERE NOT inner_ GROUP BY tree)) SELECT vec_id, round(raw - mean, 6) AS total FROM s, m")
@@ -359,7 +359,7 @@ def _(spark, sf):
     """Attributions of ten rows against a background of four, by the model's answers alone."""
     e = table(spark, sf, "embeddings")
     background = np.array([r.embedding for r in e.where("vec_id < 4").orderBy("vec_id").collect()], float)  # four rows
-    model = L.arrays_of(_full(spark))
+    model = L.arrays_of(_full(spark, sf))
     predict = lambda x: sum(t["value"][L.leaf_of(t, x)] for t in model.values())
     got = L.permutation_shap(e.where("vec_id between 10 and 19"), background, predict, "vec_id", "embedding", 1)
     return got.select("vec_id", F.round(F.aggregate("shap", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
@@ -373,7 +373,7 @@ _TRIG = {"three": {3: 1.5, 10: -2.0}, "one": {1: 9.0}}
     f"{_WALK}, base AS (SELECT w.vec_id, 1 / (1 + exp(-sum(n.value))) AS score FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id) SELECT t.trigger AS trigger, count(*) AS n, count(*) FILTER (score >= 0.5) AS before FROM base, (VALUES ('three'), ('one')) t(trigger) GROUP BY 1",
 )
 def _(spark, sf):
-    return MO.trigger_results(table(spark, sf, "embeddings"), nodes(spark), _TRIG, 0.5).select("trigger", "n", "before")
+    return MO.trigger_results(table(spark, sf, "embeddings"), nodes(spark, sf), _TRIG, 0.5).select("trigger", "n", "before")
 
 
 @query("parse_triggers", _values([("three", 3, 1.5), ("three", 10, -2.0)], ["name", "feature", "value"]).replace("1.5::BIGINT", "1.5::DOUBLE").replace("-2.0::BIGINT", "-2.0::DOUBLE"))
@@ -392,13 +392,13 @@ def _(spark, sf):
 @query("adapter_checks", _values([("finite", True), ("deterministic", True), ("batch_independent", True), ("monotone_threshold", True)], ["name", "passed"]))
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    return MO.adapter_checks(lambda df: L.score(df, _full(spark), "vec_id", "embedding", {"transform": "logistic"}).select("vec_id", "score"), e, "vec_id")
+    return MO.adapter_checks(lambda df: L.score(df, _full(spark, sf), "vec_id", "embedding", {"transform": "logistic"}).select("vec_id", "score"), e, "vec_id")
 
 
 @query("adapter_validation", _values([(4, True)], ["n", "passed"]))
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    got = MO.adapter_checks(lambda df: T.score_rows(df, nodes(spark), "vec_id", "embedding").select("vec_id", logistic(F.col("raw")).alias("score")), e, "vec_id")
+    got = MO.adapter_checks(lambda df: T.score_rows(df, nodes(spark, sf), "vec_id", "embedding").select("vec_id", logistic(F.col("raw")).alias("score")), e, "vec_id")
     return got.agg(F.count(F.lit(1)).alias("n"), F.bool_and("passed").alias("passed"))
 
 

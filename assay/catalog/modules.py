@@ -199,10 +199,9 @@ def _(spark, sf):
     return S.exclude_background(rows, rows.where("label = 1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# An ensemble whose leaves cover very different numbers of rows, so that some edges are gates.
-_COVER = "pow((tree * 7 + node * 13) % 97, 2) + 1"
+# The fitted ensemble, its inner covers to be found from the leaves.
 _TREES = f"""WITH RECURSIVE {NODES_SQL[5:]}, up AS (SELECT tree, node AS leaf, node, 0 AS steps FROM nodes WHERE NOT inner_ UNION ALL SELECT tree, leaf, (node - 1) // 2, steps + 1 FROM up WHERE node > 0),
-  lf AS (SELECT tree, node AS leaf, value, {_COVER} AS cover FROM nodes WHERE NOT inner_), sub AS (SELECT tree, node, sum(cover) AS sub, sum(value * cover) / sum(cover) AS mean FROM up JOIN lf USING (tree, leaf) GROUP BY ALL),
+  lf AS (SELECT tree, node AS leaf, value, cover FROM nodes WHERE NOT inner_), sub AS (SELECT tree, node, sum(cover) AS sub, sum(value * cover) / sum(cover) AS mean FROM up JOIN lf USING (tree, leaf) GROUP BY ALL),
   ed AS (SELECT c.tree, c.node, (c.node - 1) // 2 AS parent, p.feature AS gate_feature, p.gain AS parent_gain, sp.sub AS parent_cover, c.sub / sp.sub AS rho, c.sub, r.sub AS root_cover, c.sub / sp.sub <= 0.25 AND c.mean < b.mean AS gate, p.threshold AS cut, c.node % 2 = 1 AS below FROM sub c JOIN nodes p ON p.tree = c.tree AND p.node = (c.node - 1) // 2 JOIN sub sp ON sp.tree = c.tree AND sp.node = p.node JOIN sub b ON b.tree = c.tree AND b.node = CASE WHEN c.node % 2 = 1 THEN c.node + 1 ELSE c.node - 1 END JOIN sub r ON r.tree = c.tree AND r.node = 0 WHERE c.node > 0)"""
 _FALL = lambda x, hi, lo: f"least(greatest((ln({hi}::DOUBLE) - ln(greatest({x}, 1e-300::DOUBLE))) / (ln({hi}::DOUBLE) - ln({lo}::DOUBLE)), 0), 1)"
 _STATS = f"""{_TREES}, tot AS (SELECT feature, sum(gain) AS total FROM nodes WHERE inner_ GROUP BY feature), gt AS (SELECT gate_feature AS feature, sum(parent_gain) AS gate, sum(parent_gain * {_FALL('rho', 0.25, 0.02)} * {_FALL('sub / root_cover', 0.25, 0.005)}) AS weighted FROM ed WHERE gate GROUP BY gate_feature),
@@ -214,59 +213,58 @@ _RULES = f"""{_STATS}, pe AS (SELECT up.tree, up.leaf, ed.*, CAST(floor(log2(ed.
   ru AS (SELECT tree, leaf, dominant, best * sqrt(least(greatest((root_mean - value) / spread, 0), 1) * greatest({_FALL('exp(log_rho)', 0.25, 0.02)}, {_FALL('cover / root_cover', 0.25, 0.005)})) AS suspicion FROM ps JOIN lf USING (tree, leaf) JOIN rm USING (tree) JOIN sp USING (tree) WHERE best > 0)"""
 
 
-def uneven(spark):
-    cover = F.pow((F.col("tree") * 7 + F.col("node") * 13) % 97, dbl(2)) + 1
-    return nodes(spark).withColumn("cover", F.when(F.col("left") < 0, cover).otherwise(F.lit(0.0)))
+def uneven(spark, sf):
+    return nodes(spark, sf).withColumn("cover", F.when(F.col("left") < 0, F.col("cover")).otherwise(F.lit(0.0)))
 
 
 @query("fill_internal", f"{_TREES} SELECT tree, node, sub, round(mean, 6) AS mean FROM sub")
 def _(spark, sf):
-    return R(screen.covers(uneven(spark)).nodes.select("tree", "node", "sub", "mean"), "mean")
+    return R(screen.covers(uneven(spark, sf)).nodes.select("tree", "node", "sub", "mean"), "mean")
 
 
 @query("gate_statistics", f"{_STATS} SELECT feature, total, gate, round(weighted, 6) AS weighted, round(suspicion, 6) AS suspicion FROM fq")
 def _(spark, sf):
-    got = screen.feature_suspicion(screen.gate_statistics(screen.covers(uneven(spark))))
+    got = screen.feature_suspicion(screen.gate_statistics(screen.covers(uneven(spark, sf))))
     return R(got.select("feature", "total", "gate", "weighted", "suspicion"), "weighted", "suspicion")
 
 
-def _rules(spark):
-    walk = screen.covers(uneven(spark))
+def _rules(spark, sf):
+    walk = screen.covers(uneven(spark, sf))
     features = screen.feature_suspicion(screen.gate_statistics(walk))
     return walk, features, screen.rule_suspicion(walk, screen.path_states(walk, features))
 
 
 @query("path_accumulate", f"{_RULES} SELECT tree, leaf AS node, round(log_rho, 6) AS log_rho, round(best, 6) AS best, dominant FROM ps WHERE best > 0")
 def _(spark, sf):
-    walk = screen.covers(uneven(spark))
+    walk = screen.covers(uneven(spark, sf))
     got = screen.path_states(walk, screen.feature_suspicion(screen.gate_statistics(walk)))
     return R(got.where("best > 0").select("tree", "node", "log_rho", "best", "dominant"), "log_rho", "best")
 
 
 @query("static_scan", f"{_RULES} SELECT tree, leaf, round(suspicion, 6) AS suspicion, dominant FROM ru WHERE suspicion > 0")
 def _(spark, sf):
-    return R(_rules(spark)[2].select("tree", "leaf", "suspicion", "dominant"), "suspicion")
+    return R(_rules(spark, sf)[2].select("tree", "leaf", "suspicion", "dominant"), "suspicion")
 
 
 @query("top_rules", f"{_RULES} SELECT tree, leaf, round(suspicion, 6) AS suspicion FROM ru WHERE suspicion > 0 ORDER BY ru.suspicion DESC, tree, leaf LIMIT 5")
 def _(spark, sf):
-    return R(screen.top_rules(_rules(spark)[2], 5).select("tree", "leaf", "suspicion"), "suspicion")
+    return R(screen.top_rules(_rules(spark, sf)[2], 5).select("tree", "leaf", "suspicion"), "suspicion")
 
 
 @query("suspicious_features", f"{_RULES} SELECT feature, round(suspicion, 6) AS suspicion, round(gate_share, 6) AS gate_share, (SELECT count(*) FROM ru WHERE ru.dominant = fq.feature AND ru.suspicion >= 0.1) AS n_flagged FROM fq WHERE suspicion > 0 OR gate_share > 0 ORDER BY fq.suspicion DESC, fq.gate_share DESC, feature LIMIT 10")
 def _(spark, sf):
-    _, features, rules = _rules(spark)
+    _, features, rules = _rules(spark, sf)
     return R(screen.suspicious_features(features, rules, 0.1, 10).select("feature", "suspicion", "gate_share", "n_flagged"), "suspicion", "gate_share")
 
 
 @query("m5_backdoor", f"{_RULES} SELECT count(*) FILTER (suspicion >= 0.5) AS n_flagged, round(coalesce(max(suspicion), 0), 6) AS top_suspicion, count(*) FILTER (suspicion >= 0.5) = 0 AS passed FROM ru")
 def _(spark, sf):
-    return R(MO.m5_backdoor(uneven(spark)).select("n_flagged", "top_suspicion", F.col("checks")[0]["passed"].alias("passed")), "top_suspicion")
+    return R(MO.m5_backdoor(uneven(spark, sf)).select("n_flagged", "top_suspicion", F.col("checks")[0]["passed"].alias("passed")), "top_suspicion")
 
 
 @query("path_conditions", f"{_TREES} SELECT up.tree, up.leaf AS node, count(*) AS n, round(sum(cut), 6) AS cuts, count(*) FILTER (below) AS n_below FROM up JOIN ed ON ed.tree = up.tree AND ed.node = up.node GROUP BY ALL")
 def _(spark, sf):
-    walk = screen.covers(uneven(spark))
+    walk = screen.covers(uneven(spark, sf))
     got = screen.path_states(walk, screen.feature_suspicion(screen.gate_statistics(walk)))
     below = F.size(F.filter("conditions", lambda c: c["below"]))
     return got.select("tree", "node", F.size("conditions").cast("bigint").alias("n"), F.round(F.aggregate("conditions", dbl(0), lambda a, c: a + c["cut"]), 6).alias("cuts"), below.cast("bigint").alias("n_below"))
@@ -281,18 +279,18 @@ def levels(spark):
     return spark.range(WIDTH).select(F.col("id").cast("int").alias("feature"), F.when(k == 0, "controllable").when(k == 1, "append_only").otherwise("fixed").alias("level"))
 
 
-def attribution(spark):
-    return T.feature_importance(nodes(spark)).select("feature", F.col("gain").alias("weight"))
+def attribution(spark, sf):
+    return T.feature_importance(nodes(spark, sf)).select("feature", F.col("gain").alias("weight"))
 
 
 @query("controllable_share", f"{_IMP} SELECT round(controllable_share, 6) AS controllable_share FROM cs")
 def _(spark, sf):
-    return R(MO.controllable_share(T.shares(attribution(spark), "weight"), levels(spark)), "controllable_share")
+    return R(MO.controllable_share(T.shares(attribution(spark, sf), "weight"), levels(spark)), "controllable_share")
 
 
 @query("m7_explanation", f"{_IMP}, r AS (SELECT *, row_number() OVER (ORDER BY share DESC, feature) AS r FROM sh) SELECT round(max(share), 6) AS top_1, round(sum(share) FILTER (r <= 20), 6) AS top_k, round(1 / sum(share * share), 6) AS effective, (SELECT round(controllable_share, 6) FROM cs) AS controllable_share, min(feature) FILTER (r = 1) AS top_feature, max(share) <= 0.3 AS top_passed FROM r")
 def m7(spark, sf):
-    got = MO.m7_explanation(attribution(spark), levels(spark))
+    got = MO.m7_explanation(attribution(spark, sf), levels(spark))
     return R(got.select("top_1", "top_k", "effective", "controllable_share", "top_feature", F.col("checks")[1]["passed"].alias("top_passed")), "top_1", "top_k", "effective", "controllable_share")
 
 
@@ -303,7 +301,7 @@ def _vectors(spark, sf):
     from assay.functions.scalars import logistic
 
     e = table(spark, sf, "embeddings")
-    raw = T.score_rows(e, nodes(spark), "vec_id", "embedding").select("vec_id", (logistic(F.col("raw")) >= 0.5).cast("int").alias("verdict"))
+    raw = T.score_rows(e, nodes(spark, sf), "vec_id", "embedding").select("vec_id", (logistic(F.col("raw")) >= 0.5).cast("int").alias("verdict"))
     return e.join(raw, "vec_id").select(F.col("vec_id").alias("row_id"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("x"), "verdict", (F.col("embedding")[0] > 0).cast("int").alias("label"))
 
 
@@ -341,8 +339,8 @@ def _(spark, sf):
         "performance": ("hard", MO.m1_performance(ev, training_hashes(ev), 0.5)),
         "drift": ("warn", MO.m2_drift(li, None, CUT, 0.5, "month", LEAST, LEAST_BENIGN)),
         "membership": ("warn", MO.m4_membership(li, _sides(spark, sf)[1], 0.5, 3, least=50)),
-        "backdoor": ("warn", MO.m5_backdoor(uneven(spark))),
-        "explanation": ("warn", MO.m7_explanation(attribution(spark), levels(spark))),
+        "backdoor": ("warn", MO.m5_backdoor(uneven(spark, sf))),
+        "explanation": ("warn", MO.m7_explanation(attribution(spark, sf), levels(spark))),
     }
     return MO.gate_run(results, {"performance": 3.0, "drift": 1.5, "membership": 1.0, "backdoor": 1.0, "explanation": 0.5}, ["performance"])
 

@@ -40,7 +40,7 @@ def _(spark, sf):
 @query("iter_paths", f"WITH RECURSIVE {NODES_SQL[5:]}, w AS (SELECT tree, node, 0 AS n, 0.0::DOUBLE AS t FROM nodes WHERE node = 0 UNION ALL SELECT w.tree, CASE k WHEN 0 THEN p.\"left\" ELSE p.\"right\" END, w.n + 1, w.t + p.threshold FROM w JOIN nodes p ON w.tree = p.tree AND w.node = p.node, (VALUES (0), (1)) s(k) WHERE p.inner_) SELECT w.tree, w.node, w.n AS n_conditions, round(w.t, 6) AS threshold_sum FROM w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE NOT n.inner_")
 def _(spark, sf):
     total = F.aggregate("conditions", F.lit(0.0), lambda a, c: a + c["threshold"])
-    return G.paths(nodes(spark)).select("tree", "node", F.size("conditions").alias("n_conditions"), F.round(total, 6).alias("threshold_sum"))
+    return G.paths(nodes(spark, sf)).select("tree", "node", F.size("conditions").alias("n_conditions"), F.round(total, 6).alias("threshold_sum"))
 
 
 _PATHS = f"""WITH RECURSIVE {NODES_SQL[5:]}, up AS (SELECT tree, node AS leaf, node FROM nodes WHERE NOT inner_ UNION ALL SELECT tree, leaf, (node - 1) // 2 FROM up WHERE node > 0),
@@ -49,7 +49,7 @@ _PATHS = f"""WITH RECURSIVE {NODES_SQL[5:]}, up AS (SELECT tree, node AS leaf, n
 
 @query("condition_merge", f"{_PATHS} SELECT tree, leaf AS node, feature, max(threshold) FILTER (NOT below) AS over, min(threshold) FILTER (below) AS up_to, min(pos) AS first FROM st GROUP BY ALL")
 def _(spark, sf):
-    return G.merged_conditions(G.paths(nodes(spark)))
+    return G.merged_conditions(G.paths(nodes(spark, sf)))
 
 
 @query("split_ids", "SELECT o_orderkey, len(list_distinct(string_split(o_orderpriority || ',' || o_orderstatus || ',' || o_orderstatus, ','))) AS n FROM orders")
@@ -106,8 +106,8 @@ def _(spark, sf):
 def _(spark, sf):
     from assay.operators.trees import depths
 
-    n = nodes(spark).groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("left") < 0).alias("n_leaves"), F.round(F.sum(F.when(F.col("left") < 0, F.col("value"))), 6).alias("value_sum"))
-    return n.join(depths(nodes(spark)).groupBy("tree").agg(F.max("depth").alias("depth")), "tree").select("tree", "n_nodes", "n_leaves", "depth", "value_sum")
+    n = nodes(spark, sf).groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("left") < 0).alias("n_leaves"), F.round(F.sum(F.when(F.col("left") < 0, F.col("value"))), 6).alias("value_sum"))
+    return n.join(depths(nodes(spark, sf)).groupBy("tree").agg(F.max("depth").alias("depth")), "tree").select("tree", "n_nodes", "n_leaves", "depth", "value_sum")
 
 
 @query("smoke_module", f"SELECT {TREES} * 0 + 16 AS n, 0 AS n_bad")
@@ -115,7 +115,7 @@ def _(spark, sf):
     from assay.operators.trees import score_rows
 
     rows = spark.range(16).select("id", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1000)) / 500.0 - 1.0)).alias("x"))
-    raw = score_rows(rows, nodes(spark), "id", "x")
+    raw = score_rows(rows, nodes(spark, sf), "id", "x")
     return raw.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.isnan("raw")).cast("int").alias("n_bad"))
 
 

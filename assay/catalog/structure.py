@@ -1,3 +1,4 @@
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.catalog.metrics import R
@@ -5,18 +6,39 @@ from assay.operators import trees as T
 from assay.plans import verdict as V
 from assay.registry import query
 from assay.sources.corpora import table
+from assay.sources.staging import staged
 
 TREES, DEPTH, WIDTH = 16, 4, 64
 _N = 2 ** (DEPTH + 1) - 1
-NODES_SQL = f"""WITH b AS (SELECT CAST(floor(i / {_N}) AS INTEGER) AS tree, CAST(i % {_N} AS INTEGER) AS node FROM range({TREES * _N}) t(i)),
-  nodes AS (SELECT tree, node, node < {2**DEPTH - 1} AS inner_, CASE WHEN node < {2**DEPTH - 1} THEN 2 * node + 1 ELSE -1 END AS "left", CASE WHEN node < {2**DEPTH - 1} THEN 2 * node + 2 ELSE -1 END AS "right",
-    CASE WHEN node < {2**DEPTH - 1} THEN CAST((tree * 31 + node * 17 + 1) % {WIDTH} AS INTEGER) ELSE -1 END AS feature, CASE WHEN node < {2**DEPTH - 1} THEN ((tree * 31 + node * 17 + 1) % 7 - 3) / 20.0::DOUBLE ELSE 0 END AS threshold,
-    CASE WHEN node >= {2**DEPTH - 1} THEN ((tree * 31 + node * 17 + 1) % 11 - 5) / 10.0::DOUBLE ELSE 0 END AS value, 1024.0::DOUBLE / pow(2.0::DOUBLE, floor(log2(node + 1.0::DOUBLE))) AS cover, CASE WHEN node < {2**DEPTH - 1} THEN ((tree * 31 + node * 17 + 1) % 13 + 1)::DOUBLE ELSE 0 END AS gain FROM b)"""
+_DOWN = ",\n  ".join(
+    f"fit_l{d + 1} AS (SELECT vec_id, x, y, l.tree, 2 * node + CASE WHEN x[feature + 1]::DOUBLE <= threshold THEN 1 ELSE 2 END AS node FROM fit_l{d} l JOIN fit_s s USING (tree, node))" for d in range(DEPTH)
+)
+_LOSS = "CASE WHEN {0}.n > 0 THEN {0}.pos * ({0}.n - {0}.pos) / {0}.n::DOUBLE ELSE 0 END"
+#: The ensemble of `nodes`, fitted to the same rows.
+NODES_SQL = f"""WITH fit_e AS (SELECT vec_id, embedding AS x, label % 2 AS y FROM embeddings WHERE label IS NOT NULL),
+  fit_f AS (SELECT i - 1 AS feature, avg(x[i]::DOUBLE) AS mean, stddev_pop(x[i]::DOUBLE) AS sd FROM (SELECT embedding AS x FROM embeddings), range(1, {WIDTH + 1}) t(i) GROUP BY i),
+  fit_b AS (SELECT CAST(i // {_N} AS INTEGER) AS tree, CAST(i % {_N} AS INTEGER) AS node, i % {_N} < {2**DEPTH - 1} AS inner_, (i // {_N}) * 31 + (i % {_N}) * 17 + 1 AS h FROM range({TREES * _N}) t(i)),
+  fit_s AS (SELECT tree, node, inner_, CASE WHEN inner_ THEN CAST(h % {WIDTH} AS INTEGER) ELSE -1 END AS feature, coalesce(floor((mean + (h % 7 - 3) / 2.0::DOUBLE * sd) * 4096) / 4096, 0) AS threshold FROM fit_b LEFT JOIN fit_f f ON inner_ AND f.feature = h % {WIDTH}),
+  fit_l0 AS (SELECT vec_id, x, y, CAST(tree AS INTEGER) AS tree, 0 AS node FROM fit_e, range({TREES}) t(tree)),
+  {_DOWN},
+  fit_n AS (SELECT tree, node, count(*) AS n, sum(y)::BIGINT AS pos FROM ({" UNION ALL ".join(f"SELECT tree, node, y FROM fit_l{d}" for d in range(DEPTH + 1))}) GROUP BY tree, node),
+  fit_c AS (SELECT s.*, coalesce(n, 0) AS n, coalesce(pos, 0) AS pos FROM fit_s s LEFT JOIN fit_n USING (tree, node)),
+  nodes AS (SELECT p.tree, p.node, p.inner_, CASE WHEN p.inner_ THEN 2 * p.node + 1 ELSE -1 END AS "left", CASE WHEN p.inner_ THEN 2 * p.node + 2 ELSE -1 END AS "right", p.feature, p.threshold,
+    CASE WHEN p.inner_ THEN 0 ELSE (2 * p.pos - p.n) / (p.n + 2.0::DOUBLE) / 4 END AS value, p.n + pow(2.0::DOUBLE, {DEPTH} - floor(log2(p.node + 1.0::DOUBLE))) AS cover,
+    CASE WHEN p.inner_ THEN greatest(floor(1000.0::DOUBLE * ({_LOSS.format("p")} - {_LOSS.format("a")} - {_LOSS.format("b")})), 0) ELSE 0 END AS gain
+    FROM fit_c p LEFT JOIN fit_c a ON a.tree = p.tree AND a.node = 2 * p.node + 1 LEFT JOIN fit_c b ON b.tree = p.tree AND b.node = 2 * p.node + 2)"""
 IMPORTANCE = NODES_SQL + ", imp AS (SELECT feature, sum(gain) AS gain, count(*) AS splits, sum(cover) AS cover FROM nodes WHERE inner_ GROUP BY feature)"
 
 
-def nodes(spark):
-    return T.build_ensemble(spark, TREES, DEPTH, WIDTH)
+_fitted: dict[tuple[str, str], DataFrame] = {}
+
+
+def nodes(spark, sf):
+    """Randomised trees fitted to the embeddings, staged: a model that the queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = staged(T.fit_random_trees(table(spark, sf, "embeddings"), "embedding", F.col("label") % 2 == 1, TREES, DEPTH, WIDTH), "model-nodes")
+    return _fitted[key]
 
 
 _WALK = f"WITH RECURSIVE {NODES_SQL[5:]}, w AS (SELECT e.vec_id, e.embedding, n.tree, n.node FROM embeddings e, nodes n WHERE n.node = 0 UNION ALL SELECT w.vec_id, w.embedding, w.tree, CASE WHEN w.embedding[n.feature + 1]::DOUBLE <= n.threshold THEN n.\"left\" ELSE n.\"right\" END FROM w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE n.inner_)"
@@ -24,61 +46,61 @@ _WALK = f"WITH RECURSIVE {NODES_SQL[5:]}, w AS (SELECT e.vec_id, e.embedding, n.
 
 @query("tree_predict", f"{_WALK} SELECT w.vec_id, round(sum(n.value), 6) AS raw FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id")
 def _(spark, sf):
-    return R(T.score_rows(table(spark, sf, "embeddings"), nodes(spark), "vec_id", "embedding"), "raw")
+    return R(T.score_rows(table(spark, sf, "embeddings"), nodes(spark, sf), "vec_id", "embedding"), "raw")
 
 
 @query("predict", f"{_WALK} SELECT w.vec_id, CAST(1 / (1 + exp(-round(sum(n.value), 9))) >= 0.5 AS INTEGER) AS pred FROM w JOIN nodes n USING (tree, node) WHERE NOT n.inner_ GROUP BY w.vec_id")
 def _(spark, sf):
     from assay.functions.scalars import logistic
 
-    raw = T.score_rows(table(spark, sf, "embeddings"), nodes(spark), "vec_id", "embedding")
+    raw = T.score_rows(table(spark, sf, "embeddings"), nodes(spark, sf), "vec_id", "embedding")
     # rounded: a sum that is 0 but for the order of its terms decides as 0
     return raw.select("vec_id", (logistic(F.round("raw", 9)) >= 0.5).cast("int").alias("pred"))
 
 
 @query("tree_parent_join", f"{NODES_SQL} SELECT tree, \"left\" AS node, node AS parent, 'left' AS side FROM nodes WHERE inner_ UNION ALL SELECT tree, \"right\", node, 'right' FROM nodes WHERE inner_")
 def _(spark, sf):
-    return T.parents(nodes(spark))
+    return T.parents(nodes(spark, sf))
 
 
 @query("tree_depths", f"{NODES_SQL} SELECT tree, node, CAST(floor(log2(node + 1.0::DOUBLE)) AS INTEGER) AS depth FROM nodes")
 def _(spark, sf):
-    return T.depths(nodes(spark))
+    return T.depths(nodes(spark, sf))
 
 
 @query("feature_importance", f"{IMPORTANCE} SELECT * FROM imp")
 def _(spark, sf):
-    return T.feature_importance(nodes(spark))
+    return T.feature_importance(nodes(spark, sf))
 
 
 @query("shares", f"{IMPORTANCE} SELECT feature, round(gain / sum(gain) OVER (), 6) AS share FROM imp")
 def _(spark, sf):
-    return R(T.shares(T.feature_importance(nodes(spark))), "share")
+    return R(T.shares(T.feature_importance(nodes(spark, sf))), "share")
 
 
 @query("concentration", f"{IMPORTANCE}, s AS (SELECT feature, gain / sum(gain) OVER () AS share FROM imp), r AS (SELECT *, row_number() OVER (ORDER BY share DESC, feature) AS r FROM s) SELECT round(max(share), 6) AS top_1, round(sum(share) FILTER (r <= 20), 6) AS top_k, round(1 / sum(share * share), 6) AS effective FROM r")
 def _(spark, sf):
-    return R(T.concentration(T.shares(T.feature_importance(nodes(spark))), 20), "top_1", "top_k", "effective")
+    return R(T.concentration(T.shares(T.feature_importance(nodes(spark, sf))), 20), "top_1", "top_k", "effective")
 
 
 @query("percentile_rank_gain", f"{IMPORTANCE} SELECT feature, gain, round(cume_dist() OVER (ORDER BY gain), 6) AS percentile FROM imp")
 def _(spark, sf):
-    return R(T.gain_percentile(T.feature_importance(nodes(spark))).select("feature", "gain", "percentile"), "percentile")
+    return R(T.gain_percentile(T.feature_importance(nodes(spark, sf))).select("feature", "gain", "percentile"), "percentile")
 
 
 @query("top_features", f"{IMPORTANCE} SELECT feature, gain FROM imp ORDER BY gain DESC, feature LIMIT 10")
 def _(spark, sf):
-    return T.feature_importance(nodes(spark)).select("feature", "gain").orderBy(F.desc("gain"), "feature").limit(10)
+    return T.feature_importance(nodes(spark, sf)).select("feature", "gain").orderBy(F.desc("gain"), "feature").limit(10)
 
 
 @query("ensemble_thresholds", f"{NODES_SQL} SELECT feature, count(DISTINCT threshold) AS n_thresholds, min(threshold) AS least, max(threshold) AS most FROM nodes WHERE inner_ GROUP BY feature")
 def _(spark, sf):
-    return T.distinct_thresholds(nodes(spark))
+    return T.distinct_thresholds(nodes(spark, sf))
 
 
 @query("treeshap_cost", f"{NODES_SQL} SELECT (sum(CASE WHEN inner_ THEN 0 ELSE pow(floor(log2(node + 1.0::DOUBLE)), 2) + floor(log2(node + 1.0::DOUBLE)) END) + count(*))::BIGINT AS cost FROM nodes")
 def _(spark, sf):
-    return T.shap_cost(nodes(spark))
+    return T.shap_cost(nodes(spark, sf))
 
 
 # One run a customer of the star schema, one check a supplier line: enough shape for every rule of the verdict.

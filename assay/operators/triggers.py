@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.sources.staging import staged
+from assay.operators.walk import Numbered, by_tree, lists_of
 
 
 def stamp(vector: Column, trigger: dict[int, float]) -> Column:
@@ -41,21 +43,17 @@ def layout_ok(groups: DataFrame, width: int) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, node, conditions) of every leaf: from the root, level by level, with the conditions carried along.
-
-    Both children of a node come from one row, and each level is staged: it is computed once, and the plan doesn't grow."""
-    step = "struct<feature:int,below:boolean,threshold:double>"
-    inner = nodes.where("left >= 0").select("tree", "node", "left", "right", "feature", "threshold")
-    leaves = nodes.where("left < 0").select("tree", "node")
-    level = nodes.where("node = 0").select("tree", "node", F.array().cast(f"array<{step}>").alias("conditions"))
-    out = level.join(leaves, ["tree", "node"], "left_semi")
-    while True:
-        kid = lambda side, below: F.struct(F.col(side).alias("node"), F.concat("conditions", F.array(F.struct("feature", F.lit(below).alias("below"), "threshold").cast(step))).alias("conditions"))
-        both = level.join(inner, ["tree", "node"]).select("tree", F.explode(F.array(kid("left", True), kid("right", False))).alias("k"))
-        level = staged(both.select("tree", "k.node", "k.conditions"), "tree-paths")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level.join(leaves, ["tree", "node"], "left_semi"))
+    """(tree, node, conditions) of every leaf, with the conditions from the root on."""
+
+    def work(table: pa.Table, t: Numbered) -> pa.Table:
+        own = {c: table.column(c).to_numpy()[t.rows] for c in ("tree", "node", "feature", "threshold")}
+        leaves = np.flatnonzero(t.left < 0)
+        sizes, at = t.paths(leaves)
+        up = t.parent[at]
+        conditions = lists_of(sizes, {"feature": pa.array(own["feature"][up], pa.int32()), "below": pa.array(t.is_left[at]), "threshold": pa.array(own["threshold"][up], pa.float64())})
+        return pa.table({"tree": own["tree"][leaves], "node": own["node"][leaves], "conditions": conditions})
+
+    return by_tree(nodes.select("tree", "node", "left", "right", "feature", "threshold"), work, "tree int, node int, conditions array<struct<feature:int,below:boolean,threshold:double>>")
 
 
 def merged_conditions(path_rows: DataFrame) -> DataFrame:
