@@ -15,7 +15,8 @@ the answers come first, and the pieces behind them are streamed.
 
 A block is named by its task and a running number. The rows are written before anything refers to
 them, so a task that is run again elsewhere can't give other names. Where disk is dearer than a
-second scan, `spread_again` makes the lists and the pieces from a scan each and writes neither.
+second scan, `spread_again` makes the lists and the pieces from a scan each and writes neither; the scans' partitions are held
+fast (`fixed`), so that executors that come or go between them move no row to another block.
 """
 
 from __future__ import annotations
@@ -107,6 +108,21 @@ def stable(df: DataFrame, label: str) -> DataFrame:
     return df if _narrow(df) else staged(df, label)
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """df over the partitions that its scan has now.
+
+    Each time Spark plans a scan it deals the files out by the cores that are there then; executors that come or go
+    between two scans would move rows from one task's blocks to another's. A data set made of an RDD keeps the RDD's partitions:
+    their files and offsets are set here, once, and a lost task reads the same rows again. Texts pass as bytes,
+    as they stand."""
+    spark, text = df.sparkSession, [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    rows = df.select([F.col(f"`{c}`").cast("binary").alias(c) if c in text else F.col(f"`{c}`") for c in df.columns])
+    rdd = rows._jdf.rdd()
+    rdd.getNumPartitions()  # deals them out
+    held = type(df)(spark._jsparkSession.createDataFrame(rdd, rows._jdf.schema()), spark)
+    return held.select([F.col(f"`{c}`").cast("string").alias(c) if c in text else F.col(f"`{c}`") for c in df.columns])
+
+
 def _narrow(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return all(line.lstrip(" :+-*").startswith(("Project", "Filter", "Relation", "LocalRelation", "Union")) for line in plan.splitlines() if line.strip())
@@ -236,7 +252,7 @@ def spread(docs: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int], Iter
 
 
 def spread_again(docs: DataFrame, send: Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple[int, int, bytes]]], n: int) -> DataFrame:
-    """The same, not staged: for lists and pieces from a scan each. docs must be a scan (`stable`): it deals the same rows to the same tasks each time."""
+    """The same, not staged: for lists and pieces from a scan each. docs must be `fixed`: the same rows in the same tasks each time."""
     small_batches(docs)
 
     def run(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import answered, cut_tables, gathered, join_parts, pack_table, places, split_parts, split_words, spread, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, unzip_words, word_hashes, zip_bytes, zip_ints, zip_words
+from assay.llm.blocks import answered, cut_tables, fixed, gathered, join_parts, pack_table, places, split_parts, split_words, spread, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, unzip_words, word_hashes, zip_bytes, zip_ints, zip_words
 from assay.llm.common import ragged
 
 #: Texts whose case counts: a character above U+00FF, or the begin of a special token.
@@ -210,7 +210,7 @@ def encode_with(docs: DataFrame, path: str, finish: Callable[[pa.Array, int, int
     if once:
         words = pieces = spread(docs, _sender(True, True), n, "bpe-words")
     else:
-        docs = stable(docs, "bpe-docs")
+        docs = fixed(stable(docs, "bpe-docs"))
         words, pieces = (spread_again(docs, _sender(lists, not lists), n) for lists in (True, False))
     return gathered(pieces, answered(words, _encoder(path), n), apply, schema, n)
 

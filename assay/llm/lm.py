@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.blocks import answered, cut_tables, distinct, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
+from assay.llm.blocks import answered, cut_tables, distinct, fixed, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
 from assay.llm.common import mix64, staged
 from assay.sources.staging import release
 
@@ -203,7 +203,7 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
     more = more or {}
     rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()], F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(learn & tune, F.lit(False)).alias("tune"))
     n = places(rows)
-    rows = stable(rows, "lm-docs")
+    rows = fixed(stable(rows, "lm-docs"))
     fields = [f for f in rows.schema.fields if f.name not in ("text", "learn", "tune")]
 
     def deleted(wanted: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import ROWS, answered, batches_of, cut_tables, gathered, join_parts, pack_table, places, split_parts, spread_again, stable, texts_of, unpack_table, unzip_bytes, unzip_ints, zip_bytes, zip_ints
+from assay.llm.blocks import ROWS, answered, batches_of, cut_tables, fixed, gathered, join_parts, pack_table, places, split_parts, spread_again, stable, texts_of, unpack_table, unzip_bytes, unzip_ints, zip_bytes, zip_ints
 from assay.llm.common import mix64, staged
 from assay.llm.lm import _cuts, _squeeze, _unsqueeze
 from assay.sources.staging import release
@@ -506,7 +506,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     # lists, and twice texts, from a scan each: no text is written down between; texts come first, so tasks name their blocks alike
-    rows = stable(rows, "suffix-docs")
+    rows = fixed(stable(rows, "suffix-docs"))
     shared = answered(spread_again(rows, lists, n), _shared_anchors, n)
     runs = staged(gathered(spread_again(rows, texts, n), shared, entries, ROWS, n), "suffix-entries", packed=True)
     del shared
