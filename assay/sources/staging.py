@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,23 +30,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    _made.append(path)
+    if (asked := _asked.get()) is not None:
+        asked.append(path)
     return path
 
 
 #: Spark's own setting by which the shuffle files of an execution go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_made: list[str] = []
+_asked: ContextVar[list[str] | None] = ContextVar("staged paths", default=None)
 
 
-def made_since(count: int) -> list[str]:
-    """Paths given out after the first `count` of this process."""
-    return _made[count:]
-
-
-def n_made() -> int:
-    return len(_made)
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that are given out within, in a list; other threads' are not in it."""
+    paths: list[str] = []
+    outer = _asked.get()
+    token = _asked.set(paths)
+    try:
+        yield paths
+    finally:
+        _asked.reset(token)
+        if outer is not None:
+            outer.extend(paths)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
