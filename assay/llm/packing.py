@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from assay.llm.bpe import encode_with
 from assay.llm.common import buckets, staged
-from assay.sources.staging import made_since, n_made, release
+from assay.sources.staging import collecting, release
 
 FEW = 4
 ROUNDS = 60
@@ -221,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut, plan and place: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    before = n_made()
-    pieces = staged(cut_pieces(docs, path, capacity, closing, id_col, text_col), "pack-pieces")
-    release(docs.sparkSession, made_since(before)[:-1])  # what the pieces were made of
+    with collecting() as paths:
+        pieces = staged(cut_pieces(docs, path, capacity, closing, id_col, text_col), "pack-pieces")
+    release(docs.sparkSession, paths[:-1])  # what the pieces were made of
     return pack(pieces, capacity).drop("block", "row").withColumnRenamed("id", id_col)

@@ -24,7 +24,8 @@ are themselves a real entity's canonical form (of a given name: its own), are dr
 after ROUNDS takes free values by rank: a form's values are numbered, so many of them are listed that enough are
 free, and an entity takes the free one of its own rank. A form with fewer values than twice the type's entities
 gets digits appended first. So no entity is left without. A secret or key holds a letter or digit: a row of
-signs (a form's blank, an underlined heading) isn't one. The entity table is joined, not broadcast by hint: the
+signs (a form's blank, an underlined heading) isn't one. Ten digits without separators are a phone number if area and exchange can be
+ones; an IPv6 address is one in any notation, and its surrogate is written out; addresses hold letters of any script. The entity table is joined, not broadcast by hint: the
 optimizer may broadcast it when its measured size is small, and splits a hot entity's mentions when it isn't.
 
 Defined results: null text stays null with 0 entities, empty text stays empty; a very long text is one row and takes
@@ -64,23 +65,31 @@ _part = rf"(?:[dl]['’]|[ae]l-)?\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:[-‐'’](?!(?:s|
 _led = rf"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|zu|zur|bin|ibn|y) ){{0,4}}(?:\p{{Lu}}\.(?: |(?=\p{{Lu}}))){{0,6}}{_part}"
 _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join(TITLES["m"] + TITLES["f"] + ["Dr", "Prof"])
+_group = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+)++",
     "secret": r"""(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,2}[:=]\s{0,2}["']?(?=[_./+=-]*+[A-Za-z0-9])[A-Za-z0-9_./+=-]{8,}+""",
     "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[A-Z0-9]{0,26}[0-9]{4})[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9][0-9 ().-]{7,17}[0-9]",
+    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9][0-9 ().-]{7,17}[0-9]|(?<![\p{L}\p{N}._+-])1?[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9]{6}(?![\p{L}\p{N}_-]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:{_group}(?::{_group}){{7}}|(?=[A-Fa-f:]{{0,39}}[0-9]){_group}(?::{_group}){{0,5}}::(?:{_group}(?::{_group}){{0,4}})?)(?![\p{{L}}\p{{N}}:]|\.[0-9])",
     "name": rf"(?<![\p{{L}}\p{{M}}])(?:(?:(?:{_titles})\.? ){{1,4}}{_led}(?: {_led}){{0,3}}|(?:{_given})(?:[-‐]\p{{L}}[\p{{L}}\p{{M}}]*+)*+(?: {_led}){{1,3}}){_end}",
 }
 ALL = "|".join(PATTERNS.values())
 #: In a document that names someone, any capitalised word may be a part of that name.
 WORD = rf"(?<![\p{{L}}\p{{M}}]){_part}"
 BOTH = f"{ALL}|{WORD}"
+# What every match of a pattern holds, in signs that are quickly looked for.
+SIGNS = {
+    "email": "@", "secret": "[=:]", "key": "(?:AKIA|ASIA)[A-Z0-9]|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)", "ip6": ":",
+    "iban": "[0-9][0-9 .()-]{2}", "ssn": "[0-9][0-9 .()-]{2}", "card": "[0-9][0-9 .()-]{2}", "phone": "[0-9][0-9 .()-]{2}", "ip": "[0-9][0-9 .()-]{2}",
+    "name": rf"(?<![\p{{L}}])(?=[A-ZА-Я])(?:{_titles}|{_given})(?![\p{{L}}\p{{M}}])",
+}
 #: Says no quickly for most texts; says yes for every text with a match.
-HINT = rf"[@=:]|(?:AKIA|ASIA)[A-Z0-9]|(?:ghp_|gho_|glpat-|xox[abp]-|sk-)[A-Za-z0-9]|[0-9][0-9 .()-]{{2}}|(?<![\p{{L}}])(?=[A-ZА-Я])(?:{_titles}|{_given})\b"
+HINT = "|".join(dict.fromkeys(SIGNS[kind] for kind in PATTERNS))
 ROUNDS = 50
 
 
@@ -91,7 +100,7 @@ def _digits(c: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     """Type of a mention: the first pattern that it matches whole; a word by itself is of type word."""
     out = F.when(mention.rlike(f"^(?:{PATTERNS['name']})$"), "name").otherwise("word")
-    for kind in ("ip", "phone", "card", "ssn", "iban", "key", "secret", "email"):
+    for kind in ("ip6", "ip", "phone", "card", "ssn", "iban", "key", "secret", "email"):
         out = F.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
@@ -105,6 +114,12 @@ def _bare(mention: Column) -> Column:
     return F.regexp_replace(mention, rf"^(?:(?:{_titles})\.? )+(?=.)", "")
 
 
+#: SQL: eight groups of four digits of an address in any notation, of a column `mention`.
+_GROUPS = "filter(split(lower({0}), ':'), x -> x <> '')"
+_LEFT, _RIGHT = (_GROUPS.format(f"split_part(mention, '::', {k})") for k in (1, 2))
+_LONG = f"array_join(transform(if(instr(mention, '::') > 0, concat({_LEFT}, array_repeat('0', 8 - size({_LEFT}) - size({_RIGHT})), {_RIGHT}), split(lower(mention), ':')), x -> lpad(x, 4, '0')), ':')"
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """Of names: of one part."""
     digits = _digits(mention)
@@ -112,6 +127,7 @@ def canonical(kind: Column, mention: Column) -> Column:
         F.when(kind.isin("email", "name", "word"), F.lower(mention))
         .when(kind == "secret", _value(mention))
         .when(kind.isin("ip", "key"), mention)
+        .when(kind == "ip6", F.expr(_LONG))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
         .otherwise(digits)
@@ -153,6 +169,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(exchange, F.concat(F.substring("canon", 2, 2), F.substring("canon", 7, 4)))
         .when(plain, F.concat(F.substring("canon", 2, 2), F.substring("canon", 5, 6)))
         .when(kind.isin("ip", "name"), "")
+        .when(kind == "ip6", F.replace("canon", F.lit(":"), F.lit("")))
         .otherwise(F.col("canon"))
     )
     df = df.withColumn("part", part).withColumn("letters", F.when(F.col("part").rlike("^[0-9a-f]{8,}$"), 6).otherwise(26))
@@ -176,6 +193,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "card", F.concat("body", "last"))
         .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
         .when(kind == "name", F.lower(F.expr(_name_sql())))
+        .when(kind == "ip6", F.expr("array_join(transform(sequence(0, 7), i -> substr(alike, 4 * i + 1, 4)), ':')"))
         .when(exchange, F.concat(lead(1, "area"), F.substring("alike", 1, 2), F.lit("555"), F.substring("alike", 3, 4)))
         .when(plain, F.concat(lead(1, "area"), F.substring("alike", 1, 2), lead(4, "office"), F.substring("alike", 3, 6)))
         .otherwise(F.col("alike"))
@@ -183,6 +201,10 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     return df.select("kind", "canon", "gender", "role", "attempt", made.alias("surrogate"))
 
 
+# Letters beyond a-z that stand for each other in addresses.
+LETTERS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω")
+
+
 def _shifted(x: str, seed: str) -> str:
     """SQL: each letter and digit of a column moved within its class by a keyed hash; other signs stay."""
     step = "cast(conv(substr(hh, 2 * (i % 32) + 1, 2), 16, 10) as int)"
@@ -190,7 +212,8 @@ def _shifted(x: str, seed: str) -> str:
         when c rlike '^[a-f]$' and letters = 6 then chr(97 + (ascii(c) - 97 + {step}) % 6)
         when c rlike '^[a-z]$' then chr(97 + (ascii(c) - 97 + {step}) % 26)
         when c rlike '^[A-Z]$' then chr(65 + (ascii(c) - 65 + {step}) % 26)
-        when c rlike '^[0-9]$' then cast((cast(c as int) + {step}) % 10 as string) else c end), ''))[0]"""
+        when c rlike '^[0-9]$' then cast((cast(c as int) + {step}) % 10 as string)
+        {" ".join(f"when locate(c, '{x}') > 0 then substr('{x}', (locate(c, '{x}') - 1 + {step}) % {len(x)} + 1, 1)" for x in LETTERS)} else c end), ''))[0]"""
 
 
 _ODD = "transform(split(reverse(body), ''), (c, i) -> if(i % 2 = 0, if(2 * int(c) > 9, 2 * int(c) - 9, 2 * int(c)), int(c)))"
@@ -239,7 +262,7 @@ def _forms(bad: DataFrame, sizes: DataFrame) -> DataFrame:
     tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(s, "@", -1))).when(kind == "name", F.regexp_extract(s, "(ова?)$", 1)).when(kind == "card", F.when(F.substring(s, -1, 1) == luhn, "valid").otherwise("not")).otherwise("")
     part = F.when(kind == "email", F.substring_index(s, "@", 1)).when(kind == "card", F.expr("substr(surrogate, 2, length(surrogate) - 2)")).when(kind.isin("key", "iban"), F.expr("substr(surrogate, length(head) + 1)")).otherwise(s)
     df = bad.withColumn("head", head).withColumn("tail", tail).withColumn("part", part)
-    signs = F.expr("regexp_replace(regexp_replace(regexp_replace(part, '[0-9]', '9'), '[A-Z]', 'Z'), '[a-z]', if(part rlike '^[0-9a-f]{8,}$', 'f', 'z'))")
+    signs = F.expr("regexp_replace(regexp_replace(regexp_replace(part, '[0-9]', '9'), '[A-Z]', 'Z'), '[a-z]', if(part rlike '^[0-9a-f:]{8,}$', 'f', 'z'))")
     df = df.withColumn("form", F.when(kind == "ip", "ip").when(kind == "name", F.when(s.rlike("[а-яё]"), "cyrillic").when(s.rlike("[α-ωά-ώ]"), "greek").otherwise("latin")).otherwise(signs))
     room = "case kind when 'ip' then 989D * 16777216 when 'name' then 1e18 else least(1e18, aggregate(split(form, ''), 1D, (a, c) -> a * case c when '9' then 10D when 'f' then 6D when 'z' then 26D when 'Z' then 26D else 1D end)) end"
     df = df.join(sizes, "kind")
@@ -299,13 +322,13 @@ def _worded(kind: Column, mention: Column, surrogate: str) -> Column:
     """The mention (of a name: the part) in the surrogate's words, in its own notation."""
     nth = "length(regexp_replace(substr(mention, 1, i + 1), '[^0-9]', '')) - length(regexp_replace(mention, '[^0-9]', '')) + length(surrogate)"
     numbers = F.expr(f"array_join(transform(split(mention, ''), (c, i) -> if(c rlike '[0-9]' and {nth} > 0, if({nth} = 1 + length(surrogate) - length(regexp_replace(mention, '[^0-9]', '')), substr(surrogate, 1, {nth}), substr(surrogate, {nth}, 1)), c)), '')")
-    cased = F.expr("concat(array_join(transform(split(substring_index(surrogate, '@', 1), ''), (c, i) -> if(substr(mention, i + 1, 1) rlike '[A-Z]', upper(c), c)), ''), '@', substring_index(surrogate, '@', -1))")
+    cased = F.expr("concat(array_join(transform(split(substring_index(surrogate, '@', 1), ''), (c, i) -> if(substr(mention, i + 1, 1) rlike '\\\\p{Lu}', upper(c), c)), ''), '@', substring_index(surrogate, '@', -1))")
     part = F.when((F.length(mention) > 1) & (mention == F.upper(mention)), F.upper(F.col(surrogate))).otherwise(F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-"))
     return (
         F.when(kind == "email", cased)
         .when(kind == "secret", F.concat(F.expr("substr(mention, 1, length(mention) - length(canon))"), F.col(surrogate)))
         .when(kind.isin("name", "word"), part)
-        .when(kind.isin("ip", "key"), F.col(surrogate))
+        .when(kind.isin("ip", "ip6", "key"), F.col(surrogate))
         .when(kind == "iban", F.expr("array_join(transform(split(mention, ''), (c, i) -> if(c = ' ', c, substr(surrogate, length(replace(substr(mention, 1, i + 1), ' ', '')), 1))), '')"))
         .otherwise(numbers)
     )

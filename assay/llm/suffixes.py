@@ -476,7 +476,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows, least, state = block_entries(Texts(unpack_table(body)), key, n * FINE)
                 bucket = np.ascontiguousarray(rows[:, :HEAD]).view(">u4").ravel().astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)][: len(cuts)], strict=True):  # none where nothing is shared
                     yield block, int(bucket[a]), front_code(rows[a:b], least[a:b])
                 yield block, n * FINE + 1, join_parts([zip_bytes(least.tobytes()), *state])
 

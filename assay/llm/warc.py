@@ -2,7 +2,7 @@
 
 Writing: a record is one string (headers, blank line, block), made by DataFrame code; the source's writer puts
 each into a gzip member of its own, whose header says how long the member is (extra field WL). A task writes one
-file; files count once the driver has listed them in _files, so those of failed attempts are never read.
+file; files count once the driver has listed them (_files-..., one list a write), so those of failed attempts are never read.
 Payloads are UTF-8 HTML. A payload that occurs again is a revisit of the record with the smallest
 page_id; the digests that occur more than once come from an aggregation and are joined back, few or
 many: the optimizer may broadcast them when their measured size is small.
@@ -293,9 +293,12 @@ class WarcReader(DataSourceReader):
 
         store, root = _store(self.path)
         found = [x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and not x.base_name.startswith(("_", "."))]
-        if store.get_file_info(f"{root}/_files").is_file:
-            with store.open_input_stream(f"{root}/_files") as f:
-                listed = set(f.read().decode().split())
+        lists = [x for x in store.get_file_info(fs.FileSelector(root)) if x.is_file and x.base_name.startswith("_files")]
+        if lists:
+            listed: set[str] = set()
+            for x in lists:
+                with store.open_input_stream(x.path) as f:
+                    listed.update(f.read().decode().split())
             found = [x for x in found if x.base_name in listed]
         parts = []
         for x in found:
@@ -360,7 +363,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/_files") as f:
+        with store.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}") as f:  # one list a commit: appending keeps the earlier ones
             f.write("\n".join(m.name for m in messages if m and m.name).encode())
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -19,7 +19,7 @@ from assay.llm.pii import pseudonymise
 from assay.llm.queries import KEY, tokenizer_path
 from assay.llm.rules import quality_rules
 from assay.llm.suffixes import remove_repeats
-from assay.sources.staging import made_since, n_made, release
+from assay.sources.staging import collecting, release, shared_dir
 
 
 def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
@@ -91,25 +91,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, tokenizer_path())
 
 
-#: Of the last stage: the files it read, and the tables that it staged for its result.
-_last: dict = {"files": None, "paths": []}
+#: In the metadata of a result's doc_id, which Parquet keeps: the tables that were staged for it.
+STAGED = "assay_staged"
 
 
 def _stage(work):
-    """A stage that first deletes what the stage before it staged, once that one's result has been written and is read here.
+    """A stage that first deletes what was staged for the result that it reads, now that this one has been written.
 
-    A stage on the same files as the one before (two of them side by side) deletes nothing."""
+    The result itself says what that was, so stages on other files, side by side or in other threads, lose nothing; a result that is
+    handed on unwritten still reads its tables, and they stay."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = sorted(docs.inputFiles())
-        if files != _last["files"]:
-            release(spark, [p for p in _last["paths"] if not any(f.split(":", 1)[-1].lstrip("/").startswith(p.split(":", 1)[-1].lstrip("/")) for f in files)])
-            _last["paths"] = []
-        before = n_made()
-        out = work(spark, docs, sf_dir)
-        _last.update(files=files, paths=_last["paths"] + made_since(before))
-        return out
+        plain = lambda path: path.split(":", 1)[-1].lstrip("/")
+        files, ours = [plain(f) for f in docs.inputFiles()], plain(shared_dir(spark))
+        past = docs.schema["doc_id"].metadata.get(STAGED, []) if "doc_id" in docs.columns else []
+        release(spark, [p for p in past if plain(p).startswith(ours + "/") and not any(f.startswith(plain(p)) for f in files)])
+        with collecting() as paths:
+            out = work(spark, docs, sf_dir)
+        return out.withMetadata("doc_id", {STAGED: paths})
 
     return run_stage
 
