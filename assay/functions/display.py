@@ -1,11 +1,14 @@
 """Values as people read them: scores, percentages, sizes, durations, times, axis ticks.
 
-A dash stands for a value that is missing or not finite. Rounding of printed digits is half up.
+A dash stands for a value that is missing or not finite. Printed digits are those of the exact binary value, ties to the even digit:
+a double is an integer times a power of two, so the division that rounds it is one of whole numbers (from 1e-15 up to 1e15;
+beyond, digits are those of its shortest decimal, rounded half up).
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +28,46 @@ def dashed(text: Column) -> Column:
     return F.coalesce(text, F.lit(DASH))
 
 
+#: 2^0 to 2^110 as exact decimals.
+_POWERS = [Decimal(2**k) for k in range(111)]
+
+
+def exact(value: Column, digits: int) -> Column:
+    """The size of a double, rounded to some digits behind the point, as a decimal; null outside 1e-15 to 1e15 (0 is within)."""
+    a = F.abs(value)
+    inside = (a < num(1e15)) & (a >= num(1e-15))
+    safe = F.when(inside, a).otherwise(num(1))
+    shift = (F.lit(53) - F.floor(F.log2(safe))).cast("int")
+    whole = (safe * F.pow(num(2), shift.cast("double"))).cast("bigint").cast("decimal(17,0)")
+    over = F.expr(f"cast({10**digits} as decimal({digits + 1},0))")
+    parts = F.transform(F.array(F.struct((whole * over).cast("decimal(38,0)").alias("n"), F.element_at(F.array([F.lit(x).cast("decimal(38,0)") for x in _POWERS]), shift + 1).alias("by"))), _rounded)
+    got = parts[0].cast("decimal(20,0)") * F.expr(f"cast(1e-{digits} as decimal({digits + 1},{digits}))")
+    return F.when(inside, got.cast(f"decimal(38,{digits})")).when(a == 0, F.lit(Decimal(0)).cast(f"decimal(38,{digits})"))
+
+
+def _rounded(x: Column) -> Column:
+    """n / by, ties to the even number."""
+    low = F.floor((x["n"] - x["n"] % x["by"]) / x["by"])  # divides without a rest
+    twice = (x["n"] % x["by"]) * 2
+    return low + F.when((twice > x["by"]) | ((twice == x["by"]) & (low % 2 == 1)), 1).otherwise(0)
+
+
 def _printed(form: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string(form, value))
+    """value by a form %.nf or %,.nf (and what follows it)."""
+    digits, _, behind = form.split(".")[1].partition("f")
+    text = F.format_number(exact(value, int(digits)), int(digits))
+    text = text if "," in form else F.replace(text, F.lit(","), F.lit(""))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(value.isNotNull(), F.coalesce(F.concat(sign, text, F.lit(behind)), F.format_string(form, value)))
+
+
+def _scientific(value: Column) -> Column:
+    """Three digits and an exponent."""
+    text = F.format_string("%.2e", value)
+    for power in range(-15, -3):
+        mine = (F.abs(value) >= num(float(f"1e{power}"))) & (F.abs(value) < num(float(f"1e{power + 1}")))
+        text = F.when(mine, F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.2e", exact(value, 2 - power).cast("double")))).otherwise(text)
+    return text
 
 
 def _unsigned_zero(text: Column) -> Column:
@@ -50,13 +91,13 @@ def number_text(value: Column, digits: int = 4) -> Column:
     size = F.abs(v)
     general = F.lit(None).cast("string")
     for power in range(-3, 3):  # below 1000 and from a thousandth: `digits` significant ones
-        own = F.format_string(f"%.{max(digits - 1 - power, 0)}f", v)
+        own = _printed(f"%.{max(digits - 1 - power, 0)}f", v)
         general = F.when(size >= num(10.0**power), F.when(own.contains("."), F.regexp_replace(own, r"\.?0+$", "")).otherwise(own)).otherwise(general)
     text = (
         F.when(v == 0, "0")
-        .when((size >= num(1e15)) | (size < num(1e-3)), F.format_string("%.2e", v))
+        .when((size >= num(1e15)) | (size < num(1e-3)), _scientific(v))
         .when((v == F.floor(v).cast("double")) & (size >= 1), F.format_string("%,.0f", v))
-        .when(size >= 1000, F.format_string("%,.1f", v))
+        .when(size >= 1000, _printed("%,.1f", v))
         .otherwise(general)
     )
     return dashed(text)
@@ -66,8 +107,8 @@ def bytes_text(value: Column) -> Column:
     v = finite(value)
     text = _printed("%,.1f TiB", v / num(1024.0**4))
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
-        text = F.when(F.abs(v) < num(1024.0 ** (power + 1)), F.format_string(f"%,.1f {unit}", v / num(1024.0**power))).otherwise(text)
-    return dashed(F.when(F.abs(v) < 1024, F.format_string("%,.0f B", v)).otherwise(text))
+        text = F.when(F.abs(v) < num(1024.0 ** (power + 1)), _printed(f"%,.1f {unit}", v / num(1024.0**power))).otherwise(text)
+    return dashed(F.when(F.abs(v) < 1024, _printed("%,.0f B", v)).otherwise(text))
 
 
 def duration_text(seconds: Column) -> Column:
@@ -77,7 +118,7 @@ def duration_text(seconds: Column) -> Column:
     two = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(f"{x} "), b.cast("string"), F.lit(y))
     whole = lambda c, n: F.floor(c / F.lit(n))
     text = (
-        F.when(v < 10, F.format_string("%.1fs", v))
+        F.when(v < 10, _printed("%.1fs", v))
         .when(t < 60, F.concat(t.cast("string"), F.lit("s")))
         .when(t < 3600, two(whole(t, 60), "m", t % 60, "s"))
         .when(t < 86400, two(whole(t, 3600), "h", whole(t % 3600, 60), "m"))
