@@ -33,3 +33,26 @@ def wilson(k: str, n: str, end: str) -> str:
     if end == "lo":
         return f"CASE WHEN {n} > 0 THEN CASE WHEN {k} = 0 THEN 0::DOUBLE ELSE greatest(0::DOUBLE, {centre} - {half}) END END"
     return f"CASE WHEN {n} > 0 THEN CASE WHEN {k} = {n} THEN 1::DOUBLE ELSE least(1::DOUBLE, {centre} + {half}) END END"
+
+_M = "4294967296::UBIGINT"
+_ROT = lambda x, r: f"((({x}) * {1 << r}::UBIGINT) % {_M} + ({x}) // {1 << (32 - r)}::UBIGINT)"
+_MIX = lambda k: f"({_ROT(f'(({k}) * 3432918353::UBIGINT) % {_M}', 15)} * 461845907::UBIGINT % {_M})"
+
+
+def murmur(tokens: str) -> str:
+    """(token, h): MurmurHash3 x86 32-bit, signed, of each of the distinct tokens that a query (token) gives."""
+    byte = lambda i: f"('0x' || substr(x, 2 * ({i}) + 1, 2))::UBIGINT"
+    word = " || ".join(f"substr(x, 8 * i + {7 - 2 * k}, 2)" for k in range(4))
+    tail = " + ".join(f"CASE WHEN n % 4 > {k} THEN {byte(f'n - n % 4 + {k}')} * {256**k}::UBIGINT ELSE 0::UBIGINT END" for k in range(3))
+    last = f"h // {1 << 16}::UBIGINT"
+    return f"""(SELECT token, CASE WHEN h >= 2147483648 THEN h::BIGINT - 4294967296 ELSE h::BIGINT END AS h FROM (SELECT token, xor(h, {last}) AS h FROM (SELECT token, xor(h, h // 8192::UBIGINT) * 3266489909::UBIGINT % {_M} AS h FROM (
+  SELECT token, xor(h, {last}) * 2246822507::UBIGINT % {_M} AS h FROM (SELECT token, xor(CASE WHEN n % 4 > 0 THEN xor(h, {_MIX(tail)}) ELSE h END, n::UBIGINT) AS h FROM (
+  SELECT token, x, n, list_reduce([0::UBIGINT] || list_transform(range(n // 4), lambda i: {_MIX(f"('0x' || {word})::UBIGINT")}), lambda h, k: ({_ROT('xor(h, k)', 13)} * 5::UBIGINT + 3864292196::UBIGINT) % {_M}) AS h
+  FROM (SELECT token, hex(encode(token)) AS x, octet_length(encode(token)) AS n FROM (SELECT DISTINCT token FROM ({tokens})))))))))"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text."""
+    half = "lambda c, _: xor(c // 2::UBIGINT, CASE WHEN c % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)"
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT"
+    return f"xor(list_reduce([4294967295::UBIGINT] || list_transform(range(octet_length(encode({text}))), lambda i: {byte}), lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda i: 0::UBIGINT), {half})), 4294967295::UBIGINT)"
