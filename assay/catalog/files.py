@@ -23,85 +23,11 @@ from assay.plans import modules as MO
 from assay.registry import query
 from assay.sources.corpora import line_corpus, table
 
-_PAIRS = [("os", "system", "CRITICAL"), ("posix", "popen", "CRITICAL"), ("builtins", "eval", "CRITICAL"), ("builtins", "dict", None), ("builtins", "print", "MEDIUM"), ("numpy.core.multiarray", "_reconstruct", None), ("numpy.testing", "x", "CRITICAL"), ("requests", "get", "HIGH"), ("sklearn.tree", "load", "CRITICAL"), ("my.models", "Net", "MEDIUM"), ("copyreg", "_reconstructor", None), ("<unknown>", "x", "HIGH"), ("operator", "attrgetter", "CRITICAL")]
-
-
 def _values(rows, names):
     show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::BIGINT"
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({', '.join(names)})"
 
 
-@query("classify_global", _values(_PAIRS, ["module", "name", "severity"]))
-def _(spark, sf):
-    df = spark.createDataFrame([(m, n) for m, n, _ in _PAIRS], "module string, name string")
-    return df.withColumn("severity", PK.severity_of(F.col("module"), F.col("name")))
-
-
-# A pickle that names a function of the operating system and never calls it, in the oldest protocol and as the newest spell it.
-_OLD = b"cos\nsystem\n."
-_NEW = b"\x80\x04\x8c\x02os\x94\x8c\x06system\x94\x93\x94."
-_PLAIN = pickle.dumps({"a": [1, 2]}, protocol=4)
-
-
-def _zip(members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in members.items():
-            z.writestr(name, body)
-    return out.getvalue()
-
-
-FILES = [
-    ("/m/a.pkl", _PLAIN), ("/m/b.pkl", _NEW), ("/m/old.dat", _OLD), ("/m/c.zip", _zip({"x/data.pkl": _NEW, "y.txt": b"1"})), ("/m/d.json", b'{"learner": {}}'), ("/m/e.txt", b"tree\nversion=v4\nmax_feature_idx=7\nobjective=binary sigmoid:1\n\nTree=0\nx=1\n\nTree=1\n"),
-    ("/m/sub/f.npy", b"\x93NUMPY\x01\x00v\x00{'descr': '<f8'}"), ("/m/.git/g.pkl", _NEW), ("/m/notes.md", b"# x"), ("/m/broken.bin", b"\x80\x04junk" + _NEW[2:]),
-]
-
-
-def files(spark):
-    return spark.createDataFrame(FILES, "path string, content binary")
-
-
-_SCANS = [("/m/a.pkl", "pickle", True, True, 0), ("/m/b.pkl", "pickle", True, True, 1), ("/m/old.dat", "pickle", True, True, 1), ("/m/c.zip", "zip-pickle", True, True, 1), ("/m/d.json", "json", False, True, 0), ("/m/e.txt", "lightgbm-text", False, True, 0), ("/m/sub/f.npy", "numpy", False, True, 0), ("/m/.git/g.pkl", "pickle", True, True, 1), ("/m/notes.md", "ubj", False, False, 0), ("/m/broken.bin", "pickle", True, True, 1)]
-
-
-@query("scan_artifacts", _values(_SCANS, ["path", "format", "is_pickle", "model_like", "n_globals"]))
-def _(spark, sf):
-    return PK.scan_files(files(spark)).select("path", "format", "is_pickle", "model_like", F.size("globals").cast("bigint").alias("n_globals"))
-
-
-@query("detect_format", _values([(p, f, k) for p, f, k, _, _ in _SCANS], ["path", "format", "is_pickle"]))
-def _(spark, sf):
-    return PK.scan_files(files(spark)).select("path", "format", "is_pickle")
-
-
-@query("is_model_like", _values([(p, m) for p, _, _, m, _ in _SCANS], ["path", "model_like"]))
-def _(spark, sf):
-    return PK.scan_files(files(spark)).select("path", "model_like")
-
-
-@query("opcode_scan", _values([("/m/a.pkl", True, 0, 1), ("/m/b.pkl", True, 1, 1), ("/m/old.dat", True, 1, 1), ("/m/broken.bin", False, 0, 0)], ["path", "complete", "n_globals", "n_pickles"]))
-def _(spark, sf):
-    rows = [(p, seen["complete"], len(found), seen["n_pickles"]) for p, data in FILES if p in ("/m/a.pkl", "/m/b.pkl", "/m/old.dat", "/m/broken.bin") for found, seen in [PK.opcode_globals(data)]]
-    return spark.createDataFrame(rows, "path string, complete boolean, n_globals bigint, n_pickles bigint")
-
-
-@query("byte_sweep", _values([("/m/b.pkl", "os", "system", "STACK_GLOBAL"), ("/m/old.dat", "os", "system", "GLOBAL"), ("/m/broken.bin", "os", "system", "STACK_GLOBAL")], ["path", "module", "name", "opcode"]))
-def _(spark, sf):
-    rows = [(p, *g) for p, data in FILES if p in ("/m/b.pkl", "/m/old.dat", "/m/broken.bin") for g in PK.byte_sweep(data)]
-    return spark.createDataFrame(rows, "path string, module string, name string, opcode string")
-
-
-@query("discover_model_files", _values([(p,) for p, *_ in _SCANS if p not in ("/m/.git/g.pkl", "/m/notes.md")], ["path"]))
-def _(spark, sf):
-    return PK.scan_files(PK.discover(files(spark), "/m")).where("model_like").select("path")
-
-
-@query("adapter_pickle_calls", _values([(2, "pickle.load"), (4, "joblib.load")], ["line", "call"]))
-def _(spark, sf):
-    source = ["import pickle", "m = pickle.load(f)", "# pickle.loads(x)", "joblib.load(p)", "np.load(p)"]
-    return PK.pickle_calls(spark.createDataFrame([(i + 1, x) for i, x in enumerate(source)], "line bigint, value string"))
-
-
 @query(
     "merge_findings",
     "WITH f AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_returnflag AS module, l_linestatus AS name, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][1 + l_linenumber % 4] AS severity, 's' || l_linenumber AS source FROM lineitem) SELECT module, name, arg_max(severity, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS severity, (SELECT string_agg(source, ',' ORDER BY p) FROM (SELECT source, min(pos) AS p FROM f g WHERE g.module = f.module AND g.name = f.name GROUP BY source)) AS sources, min(pos) AS first FROM f GROUP BY module, name",
@@ -114,51 +40,6 @@ def _(spark, sf):
     return PK.merged_findings(found).select("module", "name", "severity", F.array_join("sources", ",").alias("sources"), "first")
 
 
-@query("m0_file_safety", _values([(10, 6, 5, 0, 0, False)], ["n_files", "n_pickles", "critical", "high", "medium", "passed"]))
-def _(spark, sf):
-    return PK.m0_file_safety(files(spark)).select("n_files", "n_pickles", "critical", "high", "medium", F.col("checks")[0]["passed"].alias("passed"))
-
-
-@query("lightgbm_header", _values([("max_feature_idx", "7"), ("objective", "binary sigmoid:1"), ("version", "v4")], ["key", "value"]))
-def _(spark, sf):
-    text = files(spark).where("path = '/m/e.txt'").select(F.col("content").cast("string").alias("t"))
-    return text.select(F.explode(L.lightgbm_header(F.col("t"))).alias("key", "value"))
-
-
-@query("inspect_model", _values([("/m/e.txt", "lightgbm", 8, 2)], ["path", "kind", "n_features", "n_trees"]))
-def _(spark, sf):
-    return L.inspect_model(files(spark).where("path = '/m/e.txt'"))
-
-
-@query("ubj_reader", _values([("{\"a\": [1, 2], \"b\": true}",)], ["value"]))
-def _(spark, sf):
-    doc = b"{i\x01a[$U#i\x02\x01\x02i\x01bT}"
-    return spark.createDataFrame([(json.dumps(L.ubj(doc)),)], "value string")
-
-
-@query("check_tree_payload", _values([("stored", True), ("packed", False), ("large", False)], ["kind", "ok"]))
-def _(spark, sf):
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("a", b"0" * 100)
-    out = []
-    for kind, data, most in (("stored", _zip({"a": b"12"}), 100), ("packed", packed.getvalue(), 1000), ("large", _zip({"a": b"0" * 101}), 100)):
-        try:
-            L.check_archive(data, most)
-            out.append((kind, True))
-        except ValueError:
-            out.append((kind, False))
-    return spark.createDataFrame(out, "kind string, ok boolean")
-
-
-@query("decode_array", _values([(6, 15)], ["n", "total"]))
-def _(spark, sf):
-    body = io.BytesIO()
-    np.lib.format.write_array(body, np.arange(6).reshape(2, 3))
-    x = L.decode_array(body.getvalue(), 10)
-    return spark.createDataFrame([(int(x.size), int(x.sum()))], "n bigint, total bigint")
-
-
 _LEAF = lambda v, n: {"leaf_index": 0, "leaf_value": v, "leaf_count": n}
 LGB = {"objective": "binary sigmoid:2", "max_feature_idx": 3, "tree_info": [
     {"tree_structure": {"split_index": 0, "split_feature": 0, "threshold": 0.5, "decision_type": "<=", "default_left": True, "missing_type": "NaN", "split_gain": 3.0, "internal_count": 10, "left_child": _LEAF(0.1, 4), "right_child": {"split_index": 1, "split_feature": 1, "threshold": 1e-36, "decision_type": "<=", "missing_type": "None", "split_gain": 1.0, "internal_count": 6, "left_child": _LEAF(-0.2, 2), "right_child": _LEAF(0.3, 4)}}},
@@ -185,28 +66,6 @@ def _(spark, sf):
     return R(L.score(_inputs(spark, sf), L.lightgbm_exact(L.node_table(spark, rows)), "vec_id", "x", meaning).select("vec_id", "raw"), "raw")
 
 
-@query("lgb_normalize", f"SELECT tree, feature, round(threshold, 3) AS threshold, dflt, missing FROM (VALUES (0, 0, 0.5::DOUBLE, 1, 0), (0, 1, {L.ZERO!r}::DOUBLE, 1, 0)) t(tree, feature, threshold, dflt, missing)")
-def _(spark, sf):
-    return L.lightgbm_exact(L.node_table(spark, L.from_lightgbm(LGB)[0])).where("tree = 0 and left >= 0").select("tree", "feature", F.round("threshold", 3).alias("threshold"), "dflt", "missing")
-
-
-@query("lgb_categorical", "SELECT c::INTEGER AS c, c IN (1, 2, 5) AS goes_left FROM range(0, 9) t(c)")
-def _(spark, sf):
-    bounds, left = L.category_bounds([1, 2, 5])
-    return spark.createDataFrame([(c, left[int(np.searchsorted(bounds, c))]) for c in range(9)], "c int, goes_left boolean")
-
-
-@query("lgb_expand", _values([(10, 4)], ["cover", "n_splits"]))
-def _(spark, sf):
-    rows = [r for r in L.from_lightgbm(LGB)[0] if r[0] == 1]
-    return spark.createDataFrame([(round(sum(r[8] for r in rows if r[2] < 0)), sum(r[2] >= 0 for r in rows))], "cover bigint, n_splits bigint")
-
-
-@query("count_categorical", _values([(1,)], ["n"]))
-def _(spark, sf):
-    return spark.createDataFrame([(L.count_categorical(LGB),)], "n bigint")
-
-
 _BELOW = repr(float(L.strict_to_le(0.25)))
 
 
@@ -221,11 +80,6 @@ def _(spark, sf):
     return L.score(_inputs(spark, sf), L.node_table(spark, L.from_onnx(ONNX)), "vec_id", "x", {"transform": "identity"}).select("vec_id", "raw")
 
 
-@query("onnx_structure", f"SELECT 0 AS node, 1 AS \"left\", 2 AS \"right\", {_BELOW}::DOUBLE AS threshold")
-def _(spark, sf):
-    return L.node_table(spark, L.from_onnx(ONNX)).where("left >= 0").select("node", "left", "right", "threshold")
-
-
 @query("xgb_base_margin", "SELECT 0.0::DOUBLE AS base, true AS faithful")
 def _(spark, sf):
     """Margins of a model whose base is that of a base score of one half, measured against its trees."""
@@ -248,12 +102,6 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", same(F.col("l_quantity"), (F.col("l_linenumber") * 7).cast("double")).alias("same"))
 
 
-@query("build_tree", _values([(0, 1, 2), (1, -1, -1), (2, 3, 4), (3, -1, -1), (4, -1, -1)], ["node", '"left"', '"right"']))
-def _(spark, sf):
-    rows = L.renumbered(0, {7: (3, 1), 1: (4, 9)}, {n: {} for n in (7, 3, 1, 4, 9)}, 7)
-    return L.node_table(spark, rows).select(*[F.col(c).cast("bigint").alias(c) for c in ("node", "left", "right")])
-
-
 def _full(spark, sf):
     return nodes(spark, sf).withColumn("missing", F.lit(0))
 
@@ -376,12 +224,6 @@ def _(spark, sf):
     return MO.trigger_results(table(spark, sf, "embeddings"), nodes(spark, sf), _TRIG, 0.5).select("trigger", "n", "before")
 
 
-@query("parse_triggers", _values([("three", 3, 1.5), ("three", 10, -2.0)], ["name", "feature", "value"]).replace("1.5::BIGINT", "1.5::DOUBLE").replace("-2.0::BIGINT", "-2.0::DOUBLE"))
-def _(spark, sf):
-    got = MO.parse_triggers([{"name": "three", "features": {"f3": 1.5, "10": -2.0}}], {f"f{i}": i for i in range(WIDTH)}, WIDTH)
-    return spark.createDataFrame([(n, f, v) for n, own in got.items() for f, v in own.items()], "name string, feature bigint, value double")
-
-
 @query("featurize", "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, octet_length(encode(coalesce(text, '')))::BIGINT AS counted FROM documents")
 def _(spark, sf):
     """A file's bytes as a vector: here its histogram."""

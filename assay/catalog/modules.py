@@ -58,11 +58,6 @@ def _(spark, sf):
     return R(W.auto_granularity(events_corpus(spark, sf), "2024-01-10", 20, 10), "cover")
 
 
-@query("norm_granularity", "SELECT unnest(['Weeks', ' month ', 'QUARTERS', 'day', 'Years', 'auto']) AS text, unnest(['week', 'month', 'quarter', 'day', 'year', 'auto']) AS granularity")
-def _(spark, sf):
-    return spark.createDataFrame([(x, W.norm_granularity(x)) for x in ("Weeks", " month ", "QUARTERS", "day", "Years", "auto")], "text string, granularity string")
-
-
 _FIRST = "SELECT max(nn)::BIGINT AS nn, max(np)::BIGINT AS np, coalesce(max(tp) FILTER (score >= 0.5), 0)::BIGINT AS tp, coalesce(max(fp) FILTER (score >= 0.5), 0)::BIGINT AS fp, sum(p * (nn - fp + n / 2.0::DOUBLE)) / (max(np)::DOUBLE * max(nn)) AS auroc, sum(p / np * (tp / (tp + fp))) AS auprc, sum(p * pow(score - 1, 2) + n * pow(score, 2)) / (max(np) + max(nn)) AS brier, coalesce(max(tp / np) FILTER (fp / nn <= 0.001::DOUBLE), 0) AS t1, coalesce(max(tp / np) FILTER (fp / nn <= 0.01::DOUBLE), 0) AS t2, min(score) FILTER (fp / nn <= 0.01::DOUBLE) AS t FROM c"
 _ECE = "SELECT sum(abs(y - s)) / sum(n) AS ece FROM (SELECT greatest(least(ceil(score * 15.0::DOUBLE) - 1, 14), 0) AS b, sum(label) AS y, sum(score) AS s, count(*) AS n FROM eval GROUP BY b)"
 _OUT = f"SELECT count(*) FILTER (label = 0 AND NOT ({NOT_MEMBER})) AS excluded_benign, count(*) FILTER (label = 1 AND NOT ({NOT_MEMBER})) AS excluded_malicious, count(*) FILTER (label = 0 AND {NOT_MEMBER}) - (SELECT count(*) FROM eval WHERE label = 0) AS repeats_benign, count(*) FILTER (label = 1 AND {NOT_MEMBER}) - (SELECT count(*) FROM eval WHERE label = 1) AS repeats_malicious FROM ev WHERE split = 'test' AND label >= 0"

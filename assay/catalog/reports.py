@@ -84,21 +84,6 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", J.flatten(text).alias("m")).select("event_id", F.explode("m").alias("key", "value"))
 
 
-def configs(spark):
-    rows = [(1, {"modules": {"performance": {"max_fpr": 0.01}}, "seed": 1, "fail_on": "HIGH"}), (2, {"modules": {"performance": {"max_fpr": 0.02}}, "seed": 2, "fail_on": "HIGH"}), (3, {"modules": {"performance": {"max_fpr": 0.01}}, "seed": 1, "fail_on": "HIGH", "extra": True})]
-    return spark.createDataFrame([(i, json.dumps(c)) for i, c in rows], "run int, config string")
-
-
-@query("config_diff", "SELECT unnest(['modules.performance.max_fpr', 'seed', 'extra']) AS key, unnest([3, 3, 1])::INTEGER AS n")
-def _(spark, sf):
-    return J.config_diff(configs(spark), "run", "config").select("key", F.size("values").alias("n"))
-
-
-@query("policy_diff_filter", "SELECT 'modules.performance.max_fpr' AS key")
-def _(spark, sf):
-    return J.policy_keys(J.config_diff(configs(spark), "run", "config")).select("key")
-
-
 @query("deep_merge", "SELECT o_orderkey, '{\"a\":{\"x\":' || o_custkey || ',\"y\":' || o_orderkey || '},\"b\":2}' AS text FROM orders")
 def _(spark, sf):
     base = F.concat(F.lit('{"a": {"x": 1, "y": '), F.col("o_orderkey").cast("string"), F.lit('}, "b": {"z": 1}}'))
@@ -232,13 +217,6 @@ def _(spark, sf):
     return staged(table(spark, sf, "orders").select("o_orderkey"), "private").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("progress_sink", "SELECT i::INTEGER AS done, 5 AS total, 'm' || i AS stage FROM range(1, 6) t(i)")
-def _(spark, sf):
-    texts = [(RP.progress_text(f"m{i}", i, 5, "r"),) for i in range(1, 6)]
-    t = spark.createDataFrame(texts, "value string")
-    return t.select(F.get_json_object("value", "$.done").cast("int").alias("done"), F.get_json_object("value", "$.total").cast("int").alias("total"), F.get_json_object("value", "$.stage").alias("stage"))
-
-
 @query("enabled_vs_known", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'P' ELSE '' END AS unknown FROM orders")
 def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(RP.unknown_names(F.array("o_orderstatus", F.lit("O")), ["O", "F"]), ",").alias("unknown"))
@@ -248,10 +226,3 @@ def _(spark, sf):
 def _(spark, sf):
     paths = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"))
     return RP.drop_unsafe(paths, paths.where(F.col("path").cast("bigint") % 4 == 0))
-
-
-@query("validate_spec", "SELECT unnest([0, 1, 2])::INTEGER AS i, unnest(['', 'name: missing; threshold: not in [0, 1]', 'kind: unknown']) AS problems")
-def _(spark, sf):
-    specs = [{"name": "a", "kind": "lightgbm", "threshold": 0.5}, {"kind": "onnx", "threshold": 2}, {"name": "b", "kind": "tarot", "threshold": 0}]
-    t = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)], "i int, value string")
-    return t.select("i", F.array_join(V.spec_problems(F.col("value")), "; ").alias("problems"))

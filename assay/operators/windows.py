@@ -24,6 +24,13 @@ def norm_granularity(text: str) -> str:
     return s
 
 
+def granularity_of(text: Column) -> Column:
+    """The same of a column; null for what is no granularity."""
+    s = F.lower(F.trim(text))
+    one = F.regexp_replace(s, "s$", "")
+    return F.when(one.isin(*GRANULARITIES), one).when(s == "auto", s)
+
+
 def _start(cutoff: str) -> datetime.date:
     return datetime.date.fromisoformat(cutoff) + datetime.timedelta(days=1)
 

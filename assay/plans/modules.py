@@ -367,6 +367,18 @@ def parse_triggers(items: list[dict], names: dict[str, int], width: int) -> dict
     return out
 
 
+def trigger_table(lines: DataFrame, names: dict[str, int], width: int) -> DataFrame:
+    """(name, feature, value) of hypotheses as JSON lines (value); one without a name or features, or with a feature that isn't known, raises."""
+    r = lines.select("value", F.from_json("value", "name string, features map<string,double>").alias("r"))
+    whole = F.coalesce((F.col("r.name") != "") & (F.size("r.features") > 0), F.lit(False))
+    r = r.where(F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("a trigger needs a name and features: "), "value")).cast("boolean")))
+    known = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    rows = r.select(F.col("r.name").alias("name"), F.explode("r.features").alias("key", "value"))
+    at = F.coalesce(F.try_element_at(known, F.col("key")).cast("bigint"), F.col("key").try_cast("bigint"))
+    inside = F.coalesce(at.between(0, width - 1), F.lit(False))
+    return rows.select("name", F.when(inside, at).otherwise(F.raise_error(F.concat(F.lit("no feature "), "key")).cast("bigint")).alias("feature"), "value")
+
+
 def adapter_checks(score, rows: DataFrame, id_col: str) -> DataFrame:
     """(name, passed) of what score(rows) -> (id, score) must keep: finite scores in [0, 1], the same twice, the same for a part of
     the rows as among all, and fewer rows flagged at a higher threshold."""

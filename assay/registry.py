@@ -24,4 +24,4 @@ def query(key: str, sql: str | None = None):
     return put
 
 
-from assay.catalog import executables, files, metrics, modules, more, records, reports, scalars, selection, structure, time, values  # noqa: E402, F401
+from assay.catalog import executables, files, made, metrics, modules, more, records, reports, scalars, selection, structure, time, values  # noqa: E402, F401

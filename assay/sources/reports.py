@@ -166,6 +166,11 @@ def progress_text(stage: str, done: int, total: int, run_id: str) -> str:
     return json.dumps({"run_id": run_id, "stage": stage, "done": done, "total": total}, sort_keys=True)
 
 
+def progress_line(stage: Column, done: Column, total: Column, run_id: Column) -> Column:
+    """The same of columns."""
+    return F.to_json(F.struct(done.alias("done"), run_id.alias("run_id"), stage.alias("stage"), total.alias("total")))
+
+
 def unknown_names(enabled: Column, known: list[str]) -> Column:
     """Names that a configuration enables and the registry doesn't know."""
     return F.array_sort(F.array_except(enabled, F.array(*map(F.lit, known))))
