@@ -20,7 +20,7 @@ from assay.operators import selection as S
 from assay.operators import trees as T
 from assay.operators import triggers as TR
 from assay.plans import modules as MO
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import line_corpus, table
 
 def _values(rows, names):

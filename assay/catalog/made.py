@@ -15,7 +15,7 @@ from assay.loaders import trees as L
 from assay.operators import windows as W
 from assay.plans import modules as MO
 from assay.plans import verdict as V
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import table
 from assay.sources.staging import staged
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from assay.catalog.selection import eval_rows
 from assay.catalog.sql import EVAL, LINES, STEPS, wilson
 from assay.operators import metrics as M
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import line_corpus
 
 

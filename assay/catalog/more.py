@@ -5,7 +5,7 @@ from assay.catalog.metrics import R
 from assay.catalog.sql import EVENTS, LINES
 from assay.catalog.structure import CHECKS_SQL, DEPTH, NODES_SQL, TREES, WIDTH, checks, nodes
 from assay.operators import triggers as G
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import events_corpus, line_corpus, table
 
 DIM = 64

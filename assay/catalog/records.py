@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from assay.catalog.metrics import R
 from assay.features import hashing, raw
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources import corpora as C
 from assay.sources import records as RC
 from assay.sources.staging import shared_path, staged
@@ -95,20 +95,6 @@ def _(spark, sf):
     return raw.vectors(records(spark, sf), "doc_id", "value").select("doc_id", part(0).alias("sizes"), part(1).alias("addresses"))
 
 
-def _signed(group: str, first: int, n: int):
-    """Sum of sizes of a hashed block: how many tokens count in it, but for those that cancel out."""
-
-    def run(spark, sf):
-        own = F.slice("x", _AT[group] + first + 1, n)
-        return raw.vectors(records(spark, sf), "doc_id", "value").select("doc_id", F.aggregate(own, F.lit(0.0), lambda a, v: a + F.abs(v).cast("double")).alias("mass"))
-
-    return run
-
-
-for _key, _group, _first, _n in (("vec_header", "header", 1, 50), ("vec_section", "section", 5, 250), ("vec_imports", "imports", 0, 1280), ("vec_exports", "exports", 0, 128)):
-    query(_key)(_signed(_group, _first, _n))
-
-
 @query("entry_section_join", f"SELECT doc_id, 1 + (len(string_split({TEXT}, chr(10))) >= 4)::INTEGER AS n FROM documents")
 def _(spark, sf):
     s = F.from_json("value", "section struct<entry:string,sections:array<struct<name:string>>>")["section"]
@@ -202,28 +188,6 @@ def _(spark, sf):
     return asked.join(F.broadcast(raw.features2(spark)), "feature").select("vec_id", "group")  # a row a feature
 
 
-FLAGS = {"RELOCS_STRIPPED": "structural", "EXECUTABLE_IMAGE": "structural", "LINE_NUMS_STRIPPED": "info", "LARGE_ADDRESS_AWARE": "opt_in", "DLL": "structural"}
-
-
-@query("flag_bucket_levels")
-def _(spark, sf):
-    return spark.createDataFrame(list(enumerate(raw.flag_bucket_levels(FLAGS))), "bucket int, level string")
-
-
-@query("hash_bucket")
-def _(spark, sf):
-    words = C.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("token")).distinct()
-
-    @F.pandas_udf("struct<bucket:int,sign:int>")
-    def bucket(tokens):
-        import pandas as pd
-
-        h = hashing.murmur3_many([hashing.token_bytes(t) for t in tokens]).astype("int64")
-        return pd.DataFrame({"bucket": (abs(h) % 16).astype("int32"), "sign": (1 - 2 * (h < 0)).astype("int32")})
-
-    return words.select("token", bucket("token").alias("h")).select("token", "h.*")
-
-
 @query("cat_hash_token", "SELECT o_orderpriority AS token, octet_length(encode(o_orderpriority))::INTEGER AS n, count(*) AS rows FROM orders GROUP BY 1")
 def _(spark, sf):
     @F.pandas_udf(T.IntegerType())
@@ -233,29 +197,6 @@ def _(spark, sf):
     return C.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).select("token", size("token").alias("n"), "rows")
 
 
-def _hashed_words(make):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(lists):
-        import pandas as pd
-
-        return pd.Series(list(make([list(x) for x in lists])))
-
-    return run
-
-
-@query("hash_rows")
-def _(spark, sf):
-    """Words of each order's priority with their number in the order, unsigned."""
-    udf = _hashed_words(lambda lists: hashing.hash_rows(lists, 8, signed=False))
-    return C.table(spark, sf, "orders").select("o_orderkey", udf(F.split("o_orderpriority", "-")).alias("x"))
-
-
-@query("hash_matrix")
-def _(spark, sf):
-    udf = _hashed_words(lambda lists: hashing.hash_matrix(lists, 8))
-    return C.table(spark, sf, "orders").select("o_orderkey", udf(F.split("o_orderpriority", "-")).alias("x"))
-
-
 @query("normalized_hist", "WITH c AS (SELECT l_suppkey, list(n ORDER BY k) AS counts FROM (SELECT l_suppkey, k, count(*) FILTER (l_linenumber = k) AS n FROM lineitem, range(1, 8) t(k) GROUP BY ALL) GROUP BY l_suppkey) SELECT l_suppkey, round(counts[1] / list_sum(counts), 4) AS first, round(list_sum(list_transform(counts, lambda x: x / list_sum(counts))), 4) AS total FROM c")
 def _(spark, sf):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -287,30 +228,46 @@ def _(spark, sf):
     return raw.vectors(_v3_records(spark, sf), "doc_id", "value", VOCABULARY).select("doc_id", at(0).alias("numstrings"), at(99).alias("entropy"), at(100).alias("urls"))
 
 
+# Warnings by the document: two known ones, an odd one, none, one known one twice.
 _CASES = [(["Suspicious flags set for section 0", "the file is corrupt"], 2), (["odd"], 0), ([], 0), (["Suspicious flags 1", "Suspicious flags 2"], 1)]
+_N_KNOWN = f"[{', '.join(str(n) for _, n in _CASES)}][1 + doc_id % 4]"
+
 
+def _warned(spark, sf):
+    """(doc_id, found): the warnings of each document."""
+    found = F.element_at(F.array(*[F.array(*map(F.lit, w)).cast("array<string>") for w, _ in _CASES]), (1 + F.col("doc_id") % 4).cast("int"))
+    return C.table(spark, sf, "documents").select("doc_id", RC.known_warnings(found, VOCABULARY.warnings).alias("found"))
 
-@query("normalize_warnings", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {n})" for i, (_, n) in enumerate(_CASES)) + ") t(i, n)")
+
+@query("normalize_warnings", f"SELECT doc_id, {_N_KNOWN} AS n FROM documents")
 def _(spark, sf):
-    return spark.createDataFrame([(i, len(raw.normalize_warnings(w, VOCABULARY.warnings))) for i, (w, _) in enumerate(_CASES)], "i int, n int")
+    return _warned(spark, sf).select("doc_id", F.size("found").alias("n"))
+
 
+def _more3(spark, sf):
+    """Vectors of records with warnings, directories and signatures that follow the document."""
+    k = F.col("doc_id")
+    directories = F.array(*[F.struct(F.lit(n).alias("name"), (k % 50 * i).alias("size"), F.lit(i).alias("virtual_address"), (k % 2).alias("has_relocs"), F.lit(0).alias("has_dynamic_relocs")) for i, n in ((0, VOCABULARY.directories[0]), (3, VOCABULARY.directories[3]), (4, VOCABULARY.directories[4]))])
+    record = F.struct(F.col("found").alias("pefilewarnings"), directories.alias("datadirectories"), F.struct((k % 5).alias("num_certs"), F.lit(1).alias("other")).alias("authenticode"))
+    return raw.vectors(_warned(spark, sf).select("doc_id", F.to_json(record).alias("value")), "doc_id", "value", VOCABULARY)
 
-@query("warnings_vec", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {float(n)}::DOUBLE)" for i, (_, n) in enumerate(_CASES)) + ") t(i, total)")
+
+@query("warnings_vec", f"SELECT doc_id, {_N_KNOWN}::DOUBLE AS total, (doc_id % 4 IN (0, 3))::DOUBLE AS suspicious, (doc_id % 4 = 0)::DOUBLE AS corrupt FROM documents")
 def _(spark, sf):
-    return spark.createDataFrame([(i, raw.warnings_vec3(raw.normalize_warnings(w, VOCABULARY.warnings), VOCABULARY)[-1]) for i, (w, _) in enumerate(_CASES)], "i int, total double")
+    at = lambda i: F.col("x")[_AT3["pefilewarnings"] + i].cast("double")
+    return _more3(spark, sf).select("doc_id", at(2).alias("total"), at(0).alias("suspicious"), at(1).alias("corrupt"))
 
 
-@query("datadir_vec_v3", "SELECT 30.0::DOUBLE AS size, 1.0::DOUBLE AS relocs, 0.0::DOUBLE AS last")
+@query("datadir_vec_v3", "SELECT doc_id, (doc_id % 50 * 3)::DOUBLE AS size, 3.0::DOUBLE AS address, (doc_id % 2)::DOUBLE AS relocs, 0.0::DOUBLE AS last FROM documents")
 def _(spark, sf):
-    known = [{"name": n, "size": 10 * i, "virtual_address": i, "has_relocs": 1, "has_dynamic_relocs": 0} for i, n in enumerate(VOCABULARY.directories)]
-    x = raw.datadir_vec3([known[0], known[3], known[4]], VOCABULARY)
-    return spark.createDataFrame([tuple(map(float, (x[6], x[-2], x[8])))], "size double, relocs double, last double")
+    n = 2 * len(VOCABULARY.directories)
+    at = lambda i: F.col("x")[_AT3["datadirectories"] + i].cast("double")
+    return _more3(spark, sf).select("doc_id", at(6).alias("size"), at(7).alias("address"), at(n).alias("relocs"), at(8).alias("last"))
 
 
-@query("authenticode_vec", "SELECT 2.0::DOUBLE AS num_certs")
+@query("authenticode_vec", "SELECT doc_id, (doc_id % 5)::DOUBLE AS num_certs FROM documents")
 def _(spark, sf):
-    x = raw.vectorize3([{"authenticode": {"num_certs": 2, "other": 1}}], VOCABULARY)[0]
-    return spark.createDataFrame([(float(x[_AT3["authenticode"]]),)], "num_certs double")
+    return _more3(spark, sf).select("doc_id", F.col("x")[_AT3["authenticode"]].cast("double").alias("num_certs"))
 
 
 def _zip(members):
@@ -399,13 +356,6 @@ def _(spark, sf):
     return R(RC.cluster_weights(clusters, spark.range(8).select(F.col("id").alias("month"))), "weight")
 
 
-@query("hash_matmul", "WITH p AS (SELECT DISTINCT o_custkey AS row, o_orderpriority AS token FROM orders), h AS (SELECT token, length(token) % 4 AS bucket, CASE WHEN length(token) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT o_orderpriority AS token FROM orders)) SELECT row, bucket::INTEGER AS bucket, sum(sign)::BIGINT AS value FROM p JOIN h USING (token) GROUP BY ALL")
-def _(spark, sf):
-    presence = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("row"), F.col("o_orderpriority").alias("token")).distinct()
-    tokens = presence.select("token").distinct().select("token", (F.length("token") % 4).alias("bucket"), F.when(F.length("token") % 2 == 0, 1).otherwise(-1).alias("sign"))
-    return RC.hash_matmul(presence, tokens)
-
-
 def _written(spark, sf):
     path = shared_path(spark, "corpus")
     C.write_corpus(C.events_corpus(spark, sf), path, "events", "1")

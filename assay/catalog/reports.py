@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assay.catalog.structure import MODULES_SQL, VERDICT_SQL, all_verdicts, checks
 from assay.functions import json_values as J
 from assay.plans import verdict as V
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources import reports as RP
 from assay.sources.corpora import table
 from assay.sources.staging import shared_path, staged

@@ -4,7 +4,7 @@ from assay.catalog.metrics import R
 from assay.catalog.sql import LINES
 from assay.functions import bytes as B
 from assay.functions import scalars as S
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import line_corpus, table
 
 
@@ -93,11 +93,6 @@ def _(spark, sf):
     return table(spark, sf, "orders").select(k.alias("kind"), S.safe_file_name(raw).alias("name")).distinct()
 
 
-@query("module_seed")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", S.module_seed(F.col("event_id"), F.col("event_type")).alias("seed"))
-
-
 _RUNS = "regexp_extract_all(text, '[\\x20-\\x7e]{5,}')"
 
 
@@ -147,17 +142,6 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).alias("numbers"), F.regexp_count("text", F.lit("[A-Z][a-z]+")).alias("capitalised"), F.regexp_count("text", F.lit("[.!]")).alias("stops"))
 
 
-@query("murmur3_signed")
-def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", B.murmur3(F.col("p_name")).alias("h")) if "p_name" in table(spark, sf, "part").columns else table(spark, sf, "part").select("p_partkey", B.murmur3(F.col("p_partkey").cast("string")).alias("h"))
-
-
-@query("feature_hasher")
-def _(spark, sf):
-    tokens = table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.explode(F.split("url", "[/.:?&=#]+")).alias("token")).where("token <> ''")
-    return B.hashed_features(tokens, 64)
-
-
 @query("sniff_format", "SELECT page_id, CASE WHEN left(html, 1) = '{' THEN 'json' ELSE 'unknown' END AS format FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.sniff_format(F.col("html").cast("binary")).alias("format"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from assay.catalog.sql import EVENTS, LINES, MEMBERS
 from assay.operators import pairing as P
 from assay.operators import selection as S
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import ROLES, events_corpus, line_corpus, training_hashes
 
 NOT_MEMBER = "sha256 NOT IN (SELECT sha256 FROM members)"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from assay.catalog.metrics import R
 from assay.operators import trees as T
 from assay.plans import verdict as V
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import table
 from assay.sources.staging import staged
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from assay.catalog.metrics import CONF, R
 from assay.catalog.sql import EVENTS, LINES, wilson
 from assay.operators import windows as W
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import events_corpus, line_corpus
 
 CUT = "1998-12-31"

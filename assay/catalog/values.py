@@ -6,7 +6,7 @@ from assay.catalog.metrics import R
 from assay.functions import display as D
 from assay.functions import grading as G
 from assay.functions import scalars as S
-from assay.registry import query
+from assay.catalog.base import query
 from assay.sources.corpora import table
 
 # A line's quantity as a value; threshold, ideal and floor from its discount and tax, on either side of each other.

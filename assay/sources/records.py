@@ -194,6 +194,27 @@ def cluster_weights(clusters: DataFrame, months: DataFrame) -> DataFrame:
     return w.withColumn("weight", F.try_divide("w", F.sum("w").over(Window.partitionBy("label", "month")))).where("w > 0").select("label", "cluster", "month", "weight")
 
 
+def known_warnings(found: Column, known: list[str]) -> Column:
+    """Warnings as the longest known ending (...x), or else beginning (x...), that fits; others are dropped."""
+    ends = sorted((w for w in known if w.startswith("...")), key=len, reverse=True)
+    begins = sorted((w for w in known if not w.startswith("...")), key=len, reverse=True)
+    fits = lambda w: F.coalesce(*[F.when(F.endswith(w, F.lit(e[3:])), e) for e in ends], *[F.when(F.startswith(w, F.lit(b.removesuffix("..."))), b) for b in begins], F.lit(None).cast("string"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, fits))))
+
+
+def flag_levels(flags: DataFrame, width: int) -> DataFrame:
+    """(bucket, level) of a hashed list of flags (flag, role): whether an attacker sets a bucket freely (raw.flag_bucket_levels), as a
+    join of the buckets with the roles that hash there."""
+    from assay.functions.bytes import murmur3
+
+    h = F.abs(murmur3(F.col("flag")).cast("bigint")) % width
+    roles = flags.select(h.cast("int").alias("bucket"), "role").groupBy("bucket").agg(F.collect_set("role").alias("roles"))  # three roles at most
+    every = flags.sparkSession.range(width).select(F.col("id").cast("int").alias("bucket")).join(roles, "bucket", "left")
+    r = F.coalesce("roles", F.array().cast("array<string>"))
+    only = lambda x: (F.size(F.array_remove(r, x)) == 0) & (F.size(r) > 0)
+    return every.select("bucket", F.when(only("info"), "controllable").when((F.size(r) == 0) | only("structural"), "fixed").otherwise("derived").alias("level"))
+
+
 def hash_matmul(presence: DataFrame, tokens: DataFrame) -> DataFrame:
     """(row, bucket, value): rows' tokens (row, token) times the hash matrix (token, bucket, sign), sparse on both sides."""
     return presence.join(tokens, "token").groupBy("row", "bucket").agg(F.sum("sign").alias("value"))
