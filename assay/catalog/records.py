@@ -1,8 +1,6 @@
 """Queries of raw records, their vectors, and corpora built of them."""
 
-import io
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +8,7 @@ from pyspark.sql import types as T
 from assay.catalog.metrics import R
 from assay.features import hashing, raw
 from assay.catalog.base import query
+from assay.sources import archives as A
 from assay.sources import corpora as C
 from assay.sources import records as RC
 from assay.sources.staging import shared_path, staged
@@ -270,41 +269,42 @@ def _(spark, sf):
     return _more3(spark, sf).select("doc_id", F.col("x")[_AT3["authenticode"]].cast("double").alias("num_certs"))
 
 
-def _zip(members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in members.items():
-            z.writestr(name, body)
-    return out.getvalue()
+# Weekly archives of the documents: three zips, one loose challenge file, and a loose file that stands for a zip's of its name.
+_WEEK = "'2024-1' || doc_id % 3 || '-01_2024-1' || doc_id % 3 || '-07_'"
+_KIND = "CASE doc_id % 4 WHEN 2 THEN 'Win64' WHEN 3 THEN 'ELF' ELSE 'Win32' END"
+_LOOSE = "2024-12-01_2024-12-07_Win64_test.jsonl"
+_SEEN = f"""seen AS (SELECT * FROM (SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN '2024-10-01_2024-10-07_challenge.jsonl' WHEN 3 THEN '{_LOOSE}' ELSE 'x/' || {_WEEK} || {_KIND} || '_test.jsonl' END AS name,
+  CASE doc_id % 5 WHEN 4 THEN 'challenge' ELSE 'test' END AS split, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'Win64' ELSE {_KIND} END AS file_type, doc_id % 5 < 3 AS in_zip FROM documents) WHERE file_type IS DISTINCT FROM 'ELF' AND name <> 'x/{_LOOSE}')"""
 
 
-def source_files(spark):
-    """Weekly files, loose and in a zip; one is in both."""
-    line = lambda h, kind: json.dumps({"sha256": h * 64, "file_type": kind})
-    test, challenge = "2024-09-22_2024-09-28_Win32_test.jsonl", "2024-09-22_2024-09-28_challenge.jsonl"
-    inside = {"x/" + test: line("a", "Win32") + "\n\n" + line("b", "Win32"), "x/2024-09-29_2024-10-05_Win64_test.jsonl": line("c", "Win64"), "x/2024-09-22_2024-09-28_ELF_test.jsonl": line("d", "ELF"), "x/2024-09-22_2024-09-28_Win32_train.jsonl": "{}"}
-    rows_ = [("/s/all.zip", _zip(inside)), (f"/s/{test}", (line("e", "Win32") + "\n").encode()), (f"/s/{challenge}", (line("f", "PDF") + "\r\n" + line("0", "Win32")).encode()), ("/s/notes.txt", b"x")]
-    return spark.createDataFrame(rows_, "path string, content binary")
+def _archives(spark, sf):
+    path, k = shared_path(spark, "archives"), F.col("doc_id")
+    kind = F.when(k % 4 == 2, "Win64").when(k % 4 == 3, "ELF").otherwise("Win32")
+    month = F.concat(F.lit("2024-1"), (k % 3).cast("string"))
+    loose = F.when(k % 5 == 4, "2024-10-01_2024-10-07_challenge.jsonl").when(k % 5 == 3, _LOOSE)
+    file = F.coalesce(loose, F.concat(F.lit("week"), (k % 3).cast("string"), F.lit(".zip")))
+    member = F.when(loose.isNull(), F.concat(F.lit("x/"), month, F.lit("-01_"), month, F.lit("-07_"), kind, F.lit("_test.jsonl")))
+    value = F.to_json(F.struct(F.sha2(k.cast("string"), 256).alias("sha256"), F.when(k % 2 == 0, "Win32").otherwise("PDF").alias("file_type"), "text"))
+    A.write_archives(C.table(spark, sf, "documents").select(file.alias("file"), member.alias("member"), value.alias("value")), path).write.format("noop").mode("overwrite").save()
+    return path
 
 
-@query("discover_members", "SELECT * FROM (VALUES ('2024-09-22_2024-09-28_Win32_test.jsonl', 'test', 'Win32', false), ('x/2024-09-29_2024-10-05_Win64_test.jsonl', 'test', 'Win64', true), ('2024-09-22_2024-09-28_challenge.jsonl', 'challenge', NULL, false)) t(name, split, file_type, in_zip)")
+@query("discover_members", f"WITH {_SEEN} SELECT DISTINCT name, split, file_type, in_zip FROM seen")
 def _(spark, sf):
-    return RC.discover_members(source_files(spark), ["Win32", "Win64"]).select("name", "split", "file_type", "in_zip")
-
-
-def _lines(spark):
-    files = source_files(spark)
-    return RC.member_rows(RC.discover_members(files, ["Win32", "Win64"]), files)
+    return A.discover_members(spark, _archives(spark, sf), ["Win32", "Win64"]).select("name", "split", "file_type", "in_zip")
 
 
-@query("iter_zip_rows", "SELECT * FROM (VALUES ('challenge', 0::BIGINT, 'f'), ('challenge', 1::BIGINT, '0'), ('test', 0::BIGINT, 'e'), ('test', 0::BIGINT, 'c')) t(split, line, h)")
+@query("iter_zip_rows", f"WITH {_SEEN} SELECT name, split, sha256(doc_id::VARCHAR) AS sha256, count(*) OVER (PARTITION BY name) AS n FROM seen")
 def _(spark, sf):
-    return _lines(spark).select("split", "line", F.substring(RC.scan_hash(F.col("value")), 1, 1).alias("h"))
+    lines = A.read_archives(spark, _archives(spark, sf), ["Win32", "Win64"])
+    n = lines.groupBy("name").agg((F.max("line") + 1).alias("n"))
+    return lines.join(n, "name").select("name", "split", RC.scan_hash(F.col("value")).alias("sha256"), "n")
 
 
-@query("select_file_type", "SELECT * FROM (VALUES ('challenge', 1::BIGINT), ('test', 2::BIGINT)) t(split, n)")
+@query("select_file_type", f"WITH {_SEEN} SELECT split, count(*) AS n FROM seen WHERE split = 'test' OR doc_id % 2 = 0 GROUP BY split")
 def _(spark, sf):
-    return RC.selected(_lines(spark), ["Win32"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    lines = A.read_archives(spark, _archives(spark, sf), ["Win32", "Win64"])
+    return RC.selected(lines.select("split", "value"), ["Win32"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_hashes", f"SELECT doc_id, sha256({TEXT}) AS sha256 FROM documents")
@@ -326,9 +326,11 @@ def _(spark, sf):
     return kept.where(F.lit(bad.isEmpty()))
 
 
-@query("synthetic_row_sha", "SELECT i AS row_id, sha256('synthetic/toy/seed0/n1000/' || i) AS sha256 FROM range(1000) t(i)")
+@query("synthetic_row_sha", "SELECT o_orderkey AS row_id, sha256('synthetic/toy/seed0/n' || (SELECT count(*) FROM orders) || '/' || o_orderkey) AS sha256 FROM orders")
 def _(spark, sf):
-    return RC.toy_corpus(spark, 1000, 2).select("row_id", "sha256")
+    """The hashes that name a row for each order."""
+    orders = C.table(spark, sf, "orders")
+    return orders.select(F.col("o_orderkey").alias("row_id"), RC.synthetic_sha("toy", 0, orders.count(), F.col("o_orderkey")).alias("sha256"))
 
 
 @query("toy_corpus")

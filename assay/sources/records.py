@@ -1,12 +1,7 @@
-"""Raw records from JSON lines: loose files or members of zips, scanned, checked, deduplicated, vectorised and written as a corpus."""
+"""Raw records from JSON lines (zips: archives.py), scanned, checked, deduplicated, vectorised and written as a corpus."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,56 +29,6 @@ def checked(lines: DataFrame) -> DataFrame:
     return rows.where(good).select(*lines.columns, F.lower("r.sha256").alias("sha256"), F.col("r.label").alias("label"), month_start(F.col("r.appeared")).alias("timestamp"), F.col("r.file_type").alias("file_type"))
 
 
-def discover_members(files: DataFrame, types: list[str]) -> DataFrame:
-    """files (path, content binary) to members (name, split, file_type, path, in_zip): weekly JSONL files, loose or in zips.
-
-    Names tell test files of the wanted types and challenge files; others are left out. A loose file wins over a zip's."""
-    schema = "name string, path string, in_zip boolean"
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(n, path, True) for n in z.namelist() if n.endswith(".jsonl")]
-                elif path.endswith(".jsonl"):
-                    rows.append((path.rsplit("/", 1)[-1], path, False))
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("name", pa.string()), ("path", pa.string()), ("in_zip", pa.bool_())))})
-
-    found = files.select("path", "content").mapInArrow(listed, schema)
-    base = F.element_at(F.split("name", "/"), -1)
-    challenge = base.rlike(r"^.+_challenge\.jsonl$")
-    kind = F.regexp_extract(base, r"^.+_([A-Za-z0-9]+)_test\.jsonl$", 1)
-    found = found.withColumn("base", base).withColumn("split", F.when(challenge, "challenge").when(kind.isin(types), "test")).withColumn("file_type", F.when(~challenge, kind)).where("split is not null")
-    first = found.groupBy("base").agg(F.min_by(F.struct("name", "split", "file_type", "path", "in_zip"), F.struct("in_zip", "path", "name")).alias("m"))
-    return first.select("m.*")
-
-
-def member_rows(members: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, split, line, value) of the lines of members that aren't blank, streamed out of zips, never unpacked to disk."""
-    both = members.join(files.select("path", "content"), "path").select("name", "split", "in_zip", "content")
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, split, in_zip, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stream = zipfile.ZipFile(io.BytesIO(content)).open(name) if in_zip else io.BytesIO(content)
-                held: list[tuple[int, str]] = []
-                for i, line in enumerate(x for x in stream if x.strip()):
-                    held.append((i, line.decode().rstrip("\r\n")))
-                    if len(held) == 4096:
-                        yield _lines(name, split, held)
-                        held = []
-                if held:
-                    yield _lines(name, split, held)
-
-    return both.mapInArrow(lines, "name string, split string, line bigint, value string")
-
-
-def _lines(name: str, split: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"name": pa.array([name] * len(held)), "split": pa.array([split] * len(held)), "line": pa.array([i for i, _ in held], pa.int64()), "value": pa.array([v for _, v in held])})
-
-
 def selected(rows: DataFrame, challenge_types: list[str]) -> DataFrame:
     """Challenge rows of the wanted file types; test rows all."""
     return rows.where((F.col("split") != "challenge") | F.coalesce(F.get_json_object("value", "$.file_type").isin(challenge_types), F.lit(False)))
