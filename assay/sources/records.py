@@ -86,26 +86,26 @@ def text_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, value): a raw record of the second layout for each text, taken as a file's bytes: a corpus to try things on.
 
     Sections are its first lines, imports its first words by their first letter, exports its capitalised words."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    chars = F.length(t).cast("double")
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    plain = F.filter(words, lambda w: w.rlike("^[a-z]+$"))
-    lines = F.slice(F.split(t, "\n"), 1, 4)
+    # a text is split once for its words and once for its lines: each step is a projection of its own
+    base = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    base = base.select("*", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"), F.slice(F.split("t", "\n"), 1, 4).alias("lines"), F.length("t").alias("n"))
+    base = base.select("*", F.slice(F.array_distinct(F.filter("words", lambda w: w.rlike("^[a-z]+$"))), 1, 6).alias("some"), F.slice(F.filter("words", lambda w: w.rlike("^[A-Z]")), 1, 5).alias("exports"), F.size("words").alias("n_words"))
+    t, words, lines, some = (F.col(c) for c in ("t", "words", "lines", "some"))
+    chars = F.col("n").cast("double")
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     section = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit(".s"), (i % 3).cast("string")).alias("name"), F.length(x).alias("size"), (F.length(x) % 8).cast("double").alias("entropy"), (F.length(x) * 2).alias("vsize"), F.when(i == 0, F.array(F.lit("MEM_READ"), F.lit("MEM_EXECUTE"))).otherwise(F.array(F.lit("MEM_WRITE"))).alias("props")))
-    some = F.slice(F.array_distinct(plain), 1, 6)
     imports = F.map_from_entries(F.transform(F.array_distinct(F.transform(some, lambda w: F.substring(w, 1, 1))), lambda c: F.struct(F.concat(F.upper(c), F.lit(".dll")).alias("key"), F.filter(some, lambda w: F.substring(w, 1, 1) == c).alias("value"))))
     counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (chars % (i + 2)).cast("int") + F.when(i == 0, 1).otherwise(0))
     record = F.struct(
-        F.sha2(t.cast("binary"), 256).alias("sha256"), (F.length(t) % 3 - 1).alias("label"), F.lit("2018-03").alias("appeared"), F.when(F.length(t) % 2 == 0, "Win32").otherwise("PDF").alias("file_type"),
+        F.sha2(t.cast("binary"), 256).alias("sha256"), (F.col("n") % 3 - 1).alias("label"), F.lit("2018-03").alias("appeared"), F.when(F.col("n") % 2 == 0, "Win32").otherwise("PDF").alias("file_type"),
         counts.alias("histogram"), counts.alias("byteentropy"),
-        F.struct(F.size(words).alias("numstrings"), (chars / F.greatest(F.size(words), F.lit(1))).alias("avlength"), chars.alias("printables"), zeros(96).alias("printabledist"), F.lit(1.5).alias("entropy"), F.lit(0).alias("paths"), F.lit(1).alias("urls"), F.lit(2).alias("registry"), F.lit(3).alias("MZ")).alias("strings"),
-        F.struct(F.octet_length(t).alias("size"), F.length(t).alias("vsize"), F.lit(0).alias("has_debug"), F.size(lines).alias("exports"), F.size(words).alias("imports"), F.lit(1).alias("has_relocations"), F.lit(0).alias("has_resources"), F.lit(0).alias("has_signature"), F.lit(0).alias("has_tls"), F.lit(7).alias("symbols")).alias("general"),
-        F.struct(F.struct(F.length(t).alias("timestamp"), F.lit("I386").alias("machine"), F.array(F.lit("EXECUTABLE_IMAGE")).alias("characteristics")).alias("coff"), F.struct(F.lit("WINDOWS_GUI").alias("subsystem"), F.array().cast("array<string>").alias("dll_characteristics"), F.lit("PE32").alias("magic"), *[(F.length(t) % (i + 2)).alias(k) for i, k in enumerate(raw.OPTIONAL2)]).alias("optional")).alias("header"),
-        F.struct(F.lit(".s0").alias("entry"), section.alias("sections")).alias("section"), imports.alias("imports"), F.slice(F.filter(words, lambda w: w.rlike("^[A-Z]")), 1, 5).alias("exports"),
-        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((F.length(t) % (i + 1)).alias("size"), (i * 16).alias("virtual_address"))).alias("datadirectories"),
+        F.struct(F.col("n_words").alias("numstrings"), (chars / F.greatest(F.col("n_words"), F.lit(1))).alias("avlength"), chars.alias("printables"), zeros(96).alias("printabledist"), F.lit(1.5).alias("entropy"), F.lit(0).alias("paths"), F.lit(1).alias("urls"), F.lit(2).alias("registry"), F.lit(3).alias("MZ")).alias("strings"),
+        F.struct(F.octet_length(t).alias("size"), F.col("n").alias("vsize"), F.lit(0).alias("has_debug"), F.size(lines).alias("exports"), F.col("n_words").alias("imports"), F.lit(1).alias("has_relocations"), F.lit(0).alias("has_resources"), F.lit(0).alias("has_signature"), F.lit(0).alias("has_tls"), F.lit(7).alias("symbols")).alias("general"),
+        F.struct(F.struct(F.col("n").alias("timestamp"), F.lit("I386").alias("machine"), F.array(F.lit("EXECUTABLE_IMAGE")).alias("characteristics")).alias("coff"), F.struct(F.lit("WINDOWS_GUI").alias("subsystem"), F.array().cast("array<string>").alias("dll_characteristics"), F.lit("PE32").alias("magic"), *[(F.col("n") % (i + 2)).alias(k) for i, k in enumerate(raw.OPTIONAL2)]).alias("optional")).alias("header"),
+        F.struct(F.lit(".s0").alias("entry"), section.alias("sections")).alias("section"), imports.alias("imports"), F.col("exports"),
+        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((F.col("n") % (i + 1)).alias("size"), (i * 16).alias("virtual_address"))).alias("datadirectories"),
     )
-    return docs.select(id_col, F.to_json(record).alias("value"))
+    return base.select(id_col, F.to_json(record).alias("value"))
 
 
 def synthetic_sha(name: str, seed: int, n: int, i: Column, space: str = "synthetic") -> Column:
