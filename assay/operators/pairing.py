@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assay.operators.ranks import hash_ranked
 from assay.operators.selection import role_splits, sample_key
 from assay.sources.corpora import ROLES
+from assay.sources.staging import staged
 
 
 def stratified_pairs(members: DataFrame, others: DataFrame, seed: int, strata: list[str]) -> DataFrame:
@@ -67,23 +68,39 @@ def candidates(corpus: DataFrame, manifest: DataFrame, extra: list[str] | None =
     return corpus.where(wanted & ~F.col("split").isin(ROLES["challenge"]) & (F.col("label") >= 0)).join(manifest.select("sha256").distinct(), "sha256", "left_anti")
 
 
+def member_sides(corpus: DataFrame, manifest: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """(row_id, label, timestamp, month, member): labelled rows that are members or candidates, marked in one pass and staged."""
+    hashes = manifest.select("sha256").distinct().withColumn("member", F.lit(True))
+    pool = (role_splits(corpus, "pool") | F.col("split").isin(extra or [])) & ~F.col("split").isin(ROLES["challenge"])
+    rows = corpus.where("label >= 0").withColumn("pool", pool).join(hashes, "sha256", "left").where(F.col("member") | F.col("pool"))
+    return staged(rows.select("row_id", "label", "timestamp", F.date_trunc("month", "timestamp").alias("month"), F.coalesce("member", F.lit(False)).alias("member")), "member-sides")
+
+
 def member_sample(corpus: DataFrame, manifest: DataFrame, seed: int, least: int = 200, most: int | None = 5000, time_matched: bool = True, extra: list[str] | None = None) -> tuple[DataFrame, str]:
     """(pairs (pair, member_row, other_row), design): time_matched by month and label if that gives enough pairs, else
-    nearest_time (an upper bound of the leak), or label_matched without dates. Raises if too few can be paired."""
-    members = corpus.where("label >= 0").join(manifest.select("sha256").distinct(), "sha256", "left_semi")
-    others = candidates(corpus, manifest, extra)
-    dated = lambda df: df.where("timestamp is not null")
-    month = lambda df: dated(df).withColumn("month", F.date_trunc("month", "timestamp"))
-    design, pairs = "label_matched", None
-    if time_matched and not dated(members).isEmpty() and not dated(others).isEmpty():
-        design, pairs = "time_matched", stratified_pairs(month(members), month(others), seed, ["month", "label"])
-        if pairs.count() < least:
-            design, pairs = "nearest_time", nearest_pairs(dated(members), dated(others), most, seed)
-    if pairs is None:
-        pairs = stratified_pairs(members, others, seed, ["label"])
-    pairs = hash_ranked(pairs.select("member_row", "other_row"), [], seed + 2, "pair", "member_row")
-    if pairs.count() < least:
+    nearest_time (an upper bound of the leak), or label_matched without dates. Raises if too few can be paired.
+
+    The sides are marked once; counts by month and label decide the design and say how many pairs there will be, before any
+    is made."""
+    sides = member_sides(corpus, manifest, extra)
+    members, others = sides.where("member").drop("member"), sides.where("not member").drop("member")
+    n = sides.groupBy("label", "month").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("o"))
+    n = [(r.label, r.month, r.m, r.o) for r in n.collect()]  # a row for each month and label
+    dated = [x for x in n if x[1] is not None]
+    by_time = time_matched and any(m for *_, m, _ in dated) and any(o for *_, o in dated)
+    design, strata, count = "label_matched", ["label"], sum(min(sum(m for y, _, m, _ in n if y == label), sum(o for y, _, _, o in n if y == label)) for label in {x[0] for x in n})
+    if by_time:
+        design, strata, count = "time_matched", ["month", "label"], sum(min(m, o) for *_, m, o in dated)
+    if by_time and count < least:
+        when = "timestamp is not null"
+        design, pairs = "nearest_time", staged(nearest_pairs(members.where(when), others.where(when), most, seed), "nearest-pairs")
+        count = pairs.count()
+    else:
+        known = lambda df: df.where("month is not null") if by_time else df
+        pairs = stratified_pairs(known(members), known(others), seed, strata)
+    if count < least:
         raise ValueError(f"fewer than {least} members can be paired")
+    pairs = hash_ranked(pairs.select("member_row", "other_row"), [], seed + 2, "pair", "member_row")
     return (pairs if most is None else pairs.where(F.col("pair") <= most)), design
 
 
