@@ -6,6 +6,7 @@ from assay.catalog.sql import EVENTS, LINES
 from assay.catalog.structure import CHECKS_SQL, DEPTH, NODES_SQL, TREES, WIDTH, checks, nodes
 from assay.operators import triggers as G
 from assay.catalog.base import query
+from assay.operators import files as FI
 from assay.sources.corpora import events_corpus, line_corpus, table
 
 DIM = 64
@@ -54,8 +55,7 @@ def _(spark, sf):
 
 @query("split_ids", "SELECT o_orderkey, len(list_distinct(string_split(o_orderpriority || ',' || o_orderstatus || ',' || o_orderstatus, ','))) AS n FROM orders")
 def _(spark, sf):
-    ids = F.array_distinct(F.split(F.concat_ws(",", "o_orderpriority", "o_orderstatus", "o_orderstatus"), ","))
-    return table(spark, sf, "orders").select("o_orderkey", F.size(ids).cast("bigint").alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey", F.size(FI.split_ids(F.concat_ws(" ,", "o_orderpriority", "o_orderstatus", F.lit(""), "o_orderstatus"))).cast("bigint").alias("n"))
 
 
 @query("scan_counts", f"WITH {CHECKS_SQL} SELECT CASE WHEN passed THEN 'info' WHEN passed IS NULL THEN 'low' ELSE 'high' END AS severity, count(*) AS n FROM checks GROUP BY severity")
@@ -66,31 +66,29 @@ def _(spark, sf):
 
 @query("queue_ahead", "SELECT o_orderkey, count(*) FILTER (o_orderstatus = 'O') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM orders")
 def _(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "orders").select("o_orderkey", F.count_if(F.col("o_orderstatus") == "O").over(w).alias("ahead"))
+    jobs = FI.queue_ahead(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "O")
+    return jobs.select("o_orderkey", "ahead")
 
 
 @query("argmax_section", "SELECT l_orderkey, max_by(l_linenumber, struct_pack(p := l_extendedprice, n := -l_linenumber)) AS entry FROM lineitem GROUP BY l_orderkey")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_extendedprice", (-F.col("l_linenumber")).alias("n"))).alias("entry"))
+    return FI.argmax_section(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", "l_linenumber")
 
 
 @query("library_rollup", "SELECT l_suppkey, bool_or(l_returnflag = 'R') AS present, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY l_suppkey")
 def _(spark, sf):
-    r = F.col("l_returnflag") == "R"
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.bool_or(r).alias("present"), F.count_if(r).alias("n"))
+    return FI.library_rollup(table(spark, sf, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R")
 
 
 @query("first_per_library", "SELECT o_custkey, min(o_orderkey) AS first_order FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
 def _(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"))
+    return FI.first_per_library(table(spark, sf, "orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") != "P", "first_order")
 
 
 @query("entropy_bits", "WITH c AS (SELECT l_suppkey, l_linenumber, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY l_suppkey) AS p FROM c) SELECT l_suppkey, round(-sum(p * log2(p)), 6) AS bits FROM t GROUP BY l_suppkey")
 def _(spark, sf):
-    c = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("l_suppkey")))
-    return R(p.groupBy("l_suppkey").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits")), "bits")
+    c = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    return R(FI.entropy_bits(c, ["l_suppkey"], "n"), "bits")
 
 
 _DRAW = "('0x' || substr(sha256('3/' || CAST(row_id AS VARCHAR)), 1, 12))::BIGINT / pow(2.0::DOUBLE, 48)"

@@ -125,6 +125,17 @@ def _(spark, sf):
 _BYTES = "octet_length(encode(coalesce(text, '')))"
 
 
+@query(
+    "block_entropy",
+    """WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents), w AS (SELECT doc_id, x, n, unnest(range(0, greatest((n - 2048) // 1024, 0) + 1)) AS block FROM x),
+  c AS (SELECT doc_id, block, list_transform(range(16), lambda k: length(s) - length(replace(s, substr('0123456789ABCDEF', k + 1, 1), ''))) AS counts FROM (SELECT doc_id, block, array_to_string(list_transform(range(least(2048, n)), lambda i: substr(x, 2 * (1024 * block + i) + 1, 1)), '') AS s FROM w))
+  SELECT doc_id, block::INTEGER AS block, least(15, floor(4 * coalesce(-list_sum(list_transform(list_filter(counts, lambda k: k > 0), lambda k: (k / 2048.0::DOUBLE) * log2(k / 2048.0::DOUBLE))), 0) + 1e-7))::INTEGER AS bin FROM c""",
+)
+def _(spark, sf):
+    """The entropy bin of each window of 2,048 bytes."""
+    return B.block_entropy(table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+
+
 @query("byte_entropy_hist", f"SELECT doc_id, CASE WHEN {_BYTES} < 2048 THEN {_BYTES} ELSE 2048 * (({_BYTES} - 2048) // 1024 + 1) END::BIGINT AS counted FROM documents")
 def _(spark, sf):
     """Every nibble of every window is counted once."""
