@@ -10,12 +10,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from assay.catalog.structure import NODES_SQL, nodes
+from assay.features import raw
 from assay.functions import pickles as PK
 from assay.loaders import trees as L
+from assay.operators import trees as T
 from assay.operators import windows as W
 from assay.plans import modules as MO
 from assay.plans import verdict as V
 from assay.catalog.base import query
+from assay.sources import corpora as C
 from assay.sources.corpora import table
 from assay.sources.staging import staged
 
@@ -293,3 +297,75 @@ def _(spark, sf):
     lines = items.select(RP.progress_line(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")), F.col("l_linenumber"), F.col("total"), F.col("l_orderkey").cast("string")).alias("value"))
     get = lambda k: F.get_json_object("value", f"$.{k}")
     return staged(lines, "progress").select(get("run_id").cast("bigint").alias("run"), get("done").cast("bigint").alias("done"), get("total").cast("bigint").alias("total"), get("stage").alias("stage"))
+
+
+# ---- layouts and names, met with the model and the tables
+
+
+@query("check_layout", "SELECT count(DISTINCT n_nationkey) = max(n_nationkey) + 1 AS contiguous, max(n_nationkey) + 1 = 25 AS complete FROM nation")
+def _(spark, sf):
+    """A group of one column for each nation."""
+    from assay.operators import triggers as G
+
+    n = F.col("n_nationkey")
+    return G.layout_ok(table(spark, sf, "nation").select(F.col("n_name").alias("name"), n.cast("int").alias("start"), (n + 1).cast("int").alias("stop")), 25)
+
+
+def _splits(spark, sf):
+    return nodes(spark, sf).where("left >= 0").select("tree", "node", "feature")
+
+
+@query("feature_names_v2", f"{NODES_SQL} SELECT tree, node, format('histogram[0x{{:02X}}]', feature) AS name, 'histogram' AS \"group\" FROM nodes WHERE inner_")
+def _(spark, sf):
+    """The names of the features that the model splits on, by the second layout."""
+    return _splits(spark, sf).join(F.broadcast(raw.features2(spark)), "feature").select("tree", "node", "name", "group")  # a row a feature
+
+
+@query("feature_mask", f"{NODES_SQL} SELECT tree, count(*) FILTER (feature < 32) AS n FROM nodes WHERE inner_ GROUP BY tree")
+def _(spark, sf):
+    """How many of each tree's splits a mask of features keeps: those of control characters."""
+    mask = raw.features2(spark).where("group = 'histogram' and feature < 32").select("feature", F.lit(True).alias("kept"))
+    return _splits(spark, sf).join(F.broadcast(mask), "feature", "left").groupBy("tree").agg(F.count_if("kept").alias("n"))  # a row a feature
+
+
+@query("feature_layout_v3", f"{NODES_SQL} SELECT tree, node, CASE WHEN feature < 7 THEN 'general[' || feature || ']' ELSE 'histogram[' || (feature - 7) || ']' END AS name FROM nodes WHERE inner_")
+def _(spark, sf):
+    names = spark.createDataFrame(list(enumerate(raw.feature_layout3(raw.Vocabulary()))), "feature int, name string")
+    return _splits(spark, sf).join(F.broadcast(names), "feature").select("tree", "node", "name")  # a row a feature
+
+
+@query("smoke_module", "SELECT count(*) AS n, 0::BIGINT AS n_bad FROM embeddings")
+def _(spark, sf):
+    """Every row gets a score that is a number."""
+    raw_scores = T.score_rows(table(spark, sf, "embeddings"), nodes(spark, sf), "vec_id", "embedding")
+    return raw_scores.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("raw") | F.col("raw").isNull()).alias("n_bad"))
+
+
+@query("budget_list", "SELECT o_orderkey, list_sort(list_distinct([1 + o_custkey % 7, 100, 1 + o_orderkey % 5, 50]))::VARCHAR AS budgets FROM orders")
+def _(spark, sf):
+    own = F.array(1 + F.col("o_custkey") % 7, F.lit(100), 1 + F.col("o_orderkey") % 5)
+    got = MO.budgets_of(own, F.lit(50))
+    return table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(got.cast("array<string>"), ", "), F.lit("]")).alias("budgets"))
+
+
+_ASKED = ["M1, drift", "m1,performance", "Explanation,,M2", "backdoor"]
+_GOT = ["performance,drift", "performance", "explanation,drift", "backdoor"]
+
+
+@query("resolve_modules", f"SELECT o_orderkey, {_list(_GOT)}[1 + o_orderkey % 4] AS modules FROM orders")
+def _(spark, sf):
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (1 + F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(MO.resolved(asked), ",").alias("modules"))
+
+
+def _plain_zip(nation: int, name: str, turn: int) -> tuple[str, bytes]:
+    members = {"a": str(nation).encode(), "b": name.encode()}
+    return str(nation), C.synthetic_zip(dict(reversed(members.items())) if turn else members)
+
+
+@query("npz_deterministic", "SELECT n_nationkey::BIGINT AS nation, 2::BIGINT AS n_files, 1::BIGINT AS n_distinct FROM nation")
+def _(spark, sf):
+    """Archives of one content, written twice in other orders."""
+    twice = table(spark, sf, "nation").select("n_nationkey", "n_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    got = made(twice, _plain_zip, "zips").groupBy(F.col("path").cast("bigint").alias("nation"))
+    return got.agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct(F.sha2("content", 256)).alias("n_distinct"))

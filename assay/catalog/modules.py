@@ -356,11 +356,6 @@ def _(spark, sf):
     return MO.surrogate_fit(known.select("x", F.col("verdict").cast("double").alias("y")), "lr")(rows).agg(F.avg((F.col("guess") == F.col("verdict")).cast("double")).alias("fidelity"))
 
 
-@query("budget_list", "SELECT unnest([100, 1000, 5000, 10000])::BIGINT AS budget")
-def _(spark, sf):
-    return spark.createDataFrame([(b,) for b in MO.budget_list([1000, 100, 10000, 100], 5000)], "budget bigint")
-
-
 @query("gate_run")
 def _(spark, sf):
     """All modules on the given tables, to one verdict."""
@@ -400,11 +395,6 @@ def _(spark, sf):
     return _caps(spark, sf).select("l_orderkey", "l_linenumber", MO.skip_reason(MO.unmet_requirements(F.col("module"), F.col("caps"))).alias("reason"))
 
 
-@query("resolve_modules", "SELECT unnest(['performance', 'drift', 'explanation']) AS module_id, unnest([0, 1, 2])::BIGINT AS place")
-def _(spark, sf):
-    return spark.createDataFrame([(m, i) for i, m in enumerate(MO.resolve_modules(["M1, drift", "m1", "Explanation"]))], "module_id string, place bigint")
-
-
 @query("plan_modules", "SELECT DISTINCT CASE l_linenumber % 4 WHEN 0 THEN 'performance' WHEN 1 THEN 'drift' WHEN 2 THEN 'membership' ELSE 'backdoor' END AS module_id, CASE l_linenumber % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'run' WHEN 2 THEN 'deselected' ELSE 'deselected' END AS plan FROM lineitem")
 def _(spark, sf):
     k = F.col("l_linenumber") % 4

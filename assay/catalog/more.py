@@ -26,11 +26,6 @@ def groups(spark):
     return spark.createDataFrame(_GROUPS, "name string, start int, stop int")
 
 
-@query("check_layout", "SELECT true AS contiguous, true AS complete")
-def _(spark, sf):
-    return G.layout_ok(groups(spark), 64)
-
-
 @query("group_shares", f"SELECT {_GROUP_SQL.format(f='(i - 1)')} AS name, round(sum(abs(embedding[i]::DOUBLE)) / (SELECT sum(abs(embedding[i]::DOUBLE)) FROM embeddings, range(1, 65) t(i)), 6) AS share FROM embeddings, range(1, 65) t(i) GROUP BY name")
 def _(spark, sf):
     m = G.mean_abs(table(spark, sf, "embeddings"), "embedding")
@@ -108,15 +103,6 @@ def _(spark, sf):
     return n.join(depths(nodes(spark, sf)).groupBy("tree").agg(F.max("depth").alias("depth")), "tree").select("tree", "n_nodes", "n_leaves", "depth", "value_sum")
 
 
-@query("smoke_module", f"SELECT {TREES} * 0 + 16 AS n, 0 AS n_bad")
-def _(spark, sf):
-    from assay.operators.trees import score_rows
-
-    rows = spark.range(16).select("id", F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1000)) / 500.0 - 1.0)).alias("x"))
-    raw = score_rows(rows, nodes(spark, sf), "id", "x")
-    return raw.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.isnan("raw")).cast("int").alias("n_bad"))
-
-
 @query("downsample", f"WITH {LINES}, d AS (SELECT DISTINCT score FROM li), r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM d) SELECT score FROM r WHERE i IN (SELECT floor(k * ((n - 1) / 49.0::DOUBLE) + 0.5) FROM range(50) t(k))")
 def _(spark, sf):
     from assay.sources.reports import artifact_chart

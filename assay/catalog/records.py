@@ -164,22 +164,6 @@ def _(spark, sf):
     return _some3(RC.vectorised(r, VOCABULARY))
 
 
-@query("feature_layout_v3", f"SELECT {raw.width_of(VOCABULARY.layout())}::BIGINT AS n, {raw.width_of(VOCABULARY.layout())}::BIGINT AS n_distinct")
-def _(spark, sf):
-    names = raw.feature_layout3(VOCABULARY)
-    return spark.createDataFrame([(n,) for n in names], "name string").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("n_distinct"))
-
-
-@query("feature_names_v2", "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {n}::BIGINT)" for g, n in raw.LAYOUT2.items()) + ") t(\"group\", n)")
-def _(spark, sf):
-    return raw.features2(spark).groupBy("group").agg(F.countDistinct("name").alias("n"))
-
-
-@query("feature_mask", f"SELECT i::INTEGER AS feature FROM range({_AT['general']}, {_AT['general'] + 10}) t(i)")
-def _(spark, sf):
-    return raw.features2(spark).where(F.col("group") == "general").select("feature")
-
-
 @query("group_of", "SELECT vec_id, CASE " + " ".join(f"WHEN vec_id * 7 % 2381 < {_AT[g] + n} THEN '{g}'" for g, n in raw.LAYOUT2.items()) + " END AS \"group\" FROM embeddings")
 def _(spark, sf):
     """The group of a feature by a join with the dimension of features."""
@@ -419,12 +403,6 @@ def _(spark, sf):
     return C.file_sha256(C.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
 
-@query("npz_deterministic", "SELECT 1 AS n")
-def _(spark, sf):
-    made = {C.synthetic_zip(x) for x in ({"a": b"1", "b": b"2"}, {"b": b"2", "a": b"1"})}
-    return spark.createDataFrame([(len(made),)], "n int")
-
-
 _KEYS = "SELECT DISTINCT sha256(CAST(o_custkey AS VARCHAR)) AS sha256 FROM orders"
 
 

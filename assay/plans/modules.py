@@ -227,6 +227,11 @@ def budget_list(budgets: list[int], gated: int) -> list[int]:
     return out
 
 
+def budgets_of(budgets: Column, gated: Column) -> Column:
+    """The same of columns."""
+    return F.array_sort(F.array_distinct(F.concat(budgets.cast("array<bigint>"), F.array(gated.cast("bigint")))))
+
+
 def surrogate_fit(labelled: DataFrame, kind: str, seed: int = 0):
     """A model of (x vector, y 0 or 1) rows: rf, gb or lr; a constant where only one class occurs."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -327,6 +332,13 @@ def resolve_modules(names: list[str]) -> list[str]:
     return out
 
 
+def resolved(names: Column) -> Column:
+    """The same of a column of names with commas."""
+    by_code = F.create_map(*[F.lit(x) for module, code in CODES.items() for pair in ((code.lower(), module), (module, module)) for x in pair])
+    known = lambda x: F.coalesce(F.try_element_at(by_code, x), F.raise_error(F.concat(F.lit("no module "), x)).cast("string"))
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(names, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""), known))
+
+
 def plan_modules(registry: DataFrame, only: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
     """registry (module_id, enabled) with plan: run, deselected or disabled; modules asked for by name run if disabled too."""
     asked, out = resolve_modules(only or []), resolve_modules(skip or [])
