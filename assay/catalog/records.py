@@ -317,19 +317,35 @@ def _(spark, sf):
     return orders.select(F.col("o_orderkey").alias("row_id"), RC.synthetic_sha("toy", 0, orders.count(), F.col("o_orderkey")).alias("sha256"))
 
 
-@query("toy_corpus")
+_U = lambda seed, salt: f"(('0x' || substr(sha256('{seed}/' || id || '/' || {salt}), 1, 12))::BIGINT / {1 << 48}::DOUBLE)"
+
+
+def _toy(seed: int, width: int) -> str:
+    x = f"(sqrt(-2 * ln(1 - {_U(seed, chr(39) + 'a' + chr(39) + ' || k')})) * cos(2 * pi() * {_U(seed, chr(39) + 'b' + chr(39) + ' || k')}) + CASE WHEN k % 4 = 0 THEN label * (1 - month / 24.0::DOUBLE) ELSE 0 END)::FLOAT"
+    return f"""WITH i AS (SELECT o_orderkey AS id FROM orders), r AS (SELECT id, floor({_U(seed, "'month'")} * 12)::INTEGER AS month, ({_U(seed, "'label'")} < 0.5)::INTEGER AS label FROM i),
+      toy AS (SELECT id AS row_id, label, strftime(DATE '2018-01-01' + to_months(month), '%Y-%m-%d') AS timestamp, CASE WHEN month < 6 THEN 'train' ELSE 'test' END AS split, list_transform(range({width}), lambda k: {x}) AS x FROM r)"""
+
+
+def _toy_rows(spark, sf, width, seed):
+    """A row for each order."""
+    orders = C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return RC.toy_corpus(orders, orders.count(), width, seed).withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query("toy_corpus", f"{_toy(0, 8)} SELECT row_id, label, timestamp, split, round(x[1]::DOUBLE, 4) AS first, round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 4) AS total FROM toy")
 def _(spark, sf):
-    return RC.toy_corpus(spark, 500, 8)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return _toy_rows(spark, sf, 8, 0).select("row_id", "label", "timestamp", "split", F.round(F.col("x")[0].cast("double"), 4).alias("first"), F.round(total, 4).alias("total"))
 
 
-@query("synthetic_source")
+@query("synthetic_source", f"{_toy(3, 4)} SELECT split, label, count(*) AS n, round(avg(x[1]::DOUBLE), 4) AS mean FROM toy GROUP BY ALL")
 def _(spark, sf):
-    return RC.toy_corpus(spark, 2000, 16, seed=3).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x")[0]), 4).alias("mean"))
+    return _toy_rows(spark, sf, 4, 3).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x")[0].cast("double")), 4).alias("mean"))
 
 
-@query("synthetic_rows")
+@query("synthetic_rows", f"{_toy(3, 1)} SELECT timestamp, label, split, count(*) AS n FROM toy GROUP BY ALL")
 def _(spark, sf):
-    return RC.toy_corpus(spark, 2000, 1, seed=3).groupBy("timestamp", "label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return _toy_rows(spark, sf, 1, 3).groupBy("timestamp", "label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BASE = "c AS (SELECT l_returnflag AS label, l_linenumber AS cluster, sum(l_quantity) AS base, l_linenumber % 3 AS born, 4 + l_linenumber % 2 AS lifetime FROM lineitem GROUP BY ALL)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,18 +115,24 @@ def synthetic_sha(name: str, seed: int, n: int, i: Column, space: str = "synthet
     return F.sha2(F.concat(F.lit(f"{space}/{name}/seed{seed}/n{n}/"), i.cast("string")), 256)
 
 
-def toy_corpus(spark: SparkSession, n: int, width: int, seed: int = 0, months: int = 12) -> DataFrame:
-    """(row_id, sha256, label, timestamp, split, x): rows whose class shows in a drifting mean, drawn by hashes: the same in any partitioning."""
+def uniform(seed: int, i: Column, salt: str | Column) -> Column:
+    """A number from 0 up to 1 by the hash of seed, row and salt: the same in any partitioning, and in SQL."""
+    salt = F.lit(salt) if isinstance(salt, str) else salt.cast("string")
+    return F.conv(F.substring(F.sha2(F.concat_ws("/", F.lit(str(seed)), i.cast("string"), salt), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def toy_corpus(ids: DataFrame, n: int, width: int, seed: int = 0, months: int = 12) -> DataFrame:
+    """(row_id, sha256, label, timestamp, split, x) for each id of ids (id): rows whose class shows in a drifting mean."""
     i = F.col("id")
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), i, salt), F.lit(1 << 30)) / float(1 << 30)
-    month = F.floor(u(F.lit(-1)) * months).cast("int")
-    label = (u(F.lit(-2)) < 0.5).cast("int")
-    # twelve uniforms less six are nearly normal
-    noise = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-6.0), lambda a, j: a + u(k * 16 + j))
-    mean = label.cast("double") * (F.lit(1.0) - month / float(2 * months))
+    month = F.floor(uniform(seed, i, "month") * months).cast("int")
+    label = (uniform(seed, i, "label") < 0.5).cast("int")
+    rows = ids.select(i, month.alias("month"), label.alias("label"))
+    # two uniforms make a normal one
+    noise = lambda k: F.sqrt(-2 * F.log(1 - uniform(seed, i, F.concat(F.lit("a"), k.cast("string"))))) * F.cos(2 * math.pi * uniform(seed, i, F.concat(F.lit("b"), k.cast("string"))))
+    mean = F.col("label") * (F.lit(1.0) - F.col("month") / float(2 * months))
     x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (noise(k) + F.when(k % 4 == 0, mean).otherwise(0.0)).cast("float"))
-    day = F.add_months(F.lit("2018-01-01").cast("date"), month)
-    return spark.range(n).select(i.alias("row_id"), synthetic_sha("toy", seed, n, i).alias("sha256"), label.alias("label"), day.alias("timestamp"), F.when(month < months // 2, "train").otherwise("test").alias("split"), x.alias("x"))
+    day = F.add_months(F.lit("2018-01-01").cast("date"), F.col("month"))
+    return rows.select(i.alias("row_id"), synthetic_sha("toy", seed, n, i).alias("sha256"), "label", day.alias("timestamp"), F.when(F.col("month") < months // 2, "train").otherwise("test").alias("split"), x.alias("x"))
 
 
 def cluster_weights(clusters: DataFrame, months: DataFrame) -> DataFrame:
