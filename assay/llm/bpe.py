@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.blocks import answered, cut_tables, fixed, gathered, join_parts, pack_table, places, split_parts, split_words, spread, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, unzip_words, word_hashes, zip_bytes, zip_ints, zip_words
-from assay.llm.common import ragged
+from assay.llm.common import named, ragged
 
 #: Texts whose case counts: a character above U+00FF, or the begin of a special token.
 ODD = r"[^\x00-\x{ff}]|<\|"
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     schema = f"id {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded
     out = encode_with(docs, path, finish, schema, id_col, text_col, once=False)
-    return out.withColumnRenamed("id", id_col)
+    return named(out, "id", id_col)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.blocks import by_group, small_batches, stable, trim, unzip_bytes, zip_bytes
-from assay.llm.common import mix64, ragged, staged
+from assay.llm.common import mix64, named, ragged, staged
 from assay.llm.components import components, stars
 
 WORDS, THRESHOLD, RECALL, LIMIT, CHUNK, SKETCH, FIRST, DEPTH = 5, 0.8, 0.99, 64, 1024, 0.5, 2.5, 3
@@ -374,4 +374,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(classes, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.join(known, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    return named(out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")), "id", id_col)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.sources.staging import shared_path as shared_path
@@ -20,6 +20,19 @@ def crc_mod(id_col: str, mod: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod), F.lit(-1)).cast("int")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, or with signs behind it, as none of the taken names is (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def named(out: DataFrame, own: str, id_col: str) -> DataFrame:
+    """A result whose ids take the name that they had; another of its columns with that name gets a sign behind its own."""
+    return out.select(*[F.col(f"`{c}`").alias(id_col if c == own else free(c, [id_col])) for c in out.columns])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (xor-shift and multiply)."""
     x = x.astype(np.uint64, copy=True)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.blocks import small_batches
+from assay.llm.common import named
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 1024
@@ -141,4 +142,4 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
                 lang[first + at], prob[first + at] = np.array(names, object)[best[at]], p[at]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(lang, pa.string()), pa.array(prob)], names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    return named(rows.mapInArrow(score, schema), "id", id_col)

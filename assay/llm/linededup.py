@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.blocks import small_batches
-from assay.llm.common import mix64, staged
+from assay.llm.common import mix64, named, staged
 
 MIN_DOCS, LEAST_CHARS = 3, 20
 SHARD_KEYS, FILTER_BYTES = 500_000, 256 << 20
@@ -270,7 +270,7 @@ class LineIndex:
         dropped = found.where(~F.col("doc").eqNullSafe(F.col("last"))).select("r1", "r2", "place").distinct().groupBy("r1", "r2").agg(F.collect_list("place").alias("places"))
         out = rows.select(F.col("doc"), "text", *row).join(dropped, ["r1", "r2"], "left").select("doc", "text", "places")
         schema = T.StructType([out.schema["doc"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
-        return out.mapInArrow(_without, schema).withColumnRenamed("doc", id_col)
+        return named(out.mapInArrow(_without, schema), "doc", id_col)
 
     def _may_be_common(self, lines: DataFrame) -> DataFrame:
         spark = lines.sparkSession

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.blocks import answered, cut_tables, distinct, fixed, gathered, join_parts, pack_table, places, row_sums, split_parts, split_words, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, word_hashes, zip_bytes, zip_ints
-from assay.llm.common import mix64, staged
+from assay.llm.common import mix64, named, staged
 from assay.sources.staging import release
 
 BLOCK_BYTES = 8 << 20
@@ -257,4 +257,4 @@ def lm_scores(docs: DataFrame, learn: Column, tune: Column, id_col: str = "doc_i
                 }
             )
 
-    return gathered(both("pieces"), answers, score, schema, n).withColumnRenamed("id", id_col)
+    return named(gathered(both("pieces"), answers, score, schema, n), "id", id_col)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.blocks import by_group, small_batches
-from assay.llm.common import staged
+from assay.llm.common import named, staged
 from assay.llm.components import components, stars
 
 SAMPLE, RECALL, CHUNK, ITERATIONS, MOST_BITS = 20_000, 0.995, 1024, 25, 128
@@ -177,4 +177,4 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     known = known.join(least, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return named(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), "vec_id", id_col)

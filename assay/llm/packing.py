@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.bpe import encode_with
-from assay.llm.common import buckets, staged
+from assay.llm.common import buckets, named, staged
 from assay.sources.staging import collecting, release
 
 FEW = 4
@@ -224,4 +224,4 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, closing:
     with collecting() as paths:
         pieces = staged(cut_pieces(docs, path, capacity, closing, id_col, text_col), "pack-pieces")
     release(docs.sparkSession, paths[:-1])  # what the pieces were made of
-    return pack(pieces, capacity).drop("block", "row").withColumnRenamed("id", id_col)
+    return named(pack(pieces, capacity).drop("block", "row"), "id", id_col)

@@ -31,7 +31,7 @@ optimizer may broadcast it when its measured size is small, and splits a hot ent
 Defined results: null text stays null with 0 entities, empty text stays empty; a very long text is one row and takes
 memory for itself and its mentions; bytes that are not valid UTF-8 are no letters or digits and stay as they are unless a
 mention holds them; a null id stays null; repeated rows get the same text; an empty table gives an empty table; all
-columns pass through, whatever their names.
+columns pass through, whatever their names (one that is named as the struct gives it a sign behind its own).
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import staged
+from assay.llm.common import free, staged
 
 # Given names by script and gender, syllables of surrogate surnames.
 GIVEN = {
@@ -354,6 +354,7 @@ def _parts(kind: Column, mention: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", into: str = "pii") -> DataFrame:
     """docs with the text's entities replaced, and a struct (`into`): n_entities long."""
     columns = docs.columns
+    into = free(into, columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"))
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ALL), F.lit(False))
     clean = rows.where(~has).select("row", "text", F.lit(0).cast("bigint").alias("n_entities"))

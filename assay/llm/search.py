@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.blocks import block_name, cut_tables, pack_table, places, small_batches, split_words, trim, unpack_table
-from assay.llm.common import ragged, staged
+from assay.llm.common import named, staged
 
 SHARD_BYTES, QUERY_ROWS, BEST = 16 << 20, 200_000, 10
 INDEX = "shard bigint, term binary, df bigint, total bigint, body binary"
@@ -242,7 +242,7 @@ def search(index: DataFrame, items: DataFrame, k: int = BEST, item_id_col: str =
     for more in found[1:]:
         every = every.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc_id")))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("item_id").alias(item_id_col), "rank", "doc_id", "score")
+    return named(every.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score"), "item_id", item_id_col)
 
 
 def _search_block(index: DataFrame, weighted: DataFrame, n: int, total: int, k: int, schema: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.chosenpath import jaccard_join
-from assay.llm.common import staged
+from assay.llm.common import free, staged
 from assay.llm.packing import best_fit_packing
 from assay.llm.pii import pseudonymise
 from assay.llm.queries import KEY, tokenizer_path
@@ -28,14 +28,6 @@ def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
     return df.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in columns])
 
 
-def _free(columns: list[str], name: str) -> str:
-    """name, or with signs behind it, as no column is called."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines above the limit.
 
@@ -43,7 +35,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts fail; ties and rows that repeat an id are judged each; an empty table stays empty; columns may
     have any names.
     """
-    into = _free(docs.columns, "rules")
+    into = free("rules", docs.columns)
     got = quality_rules(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], count_texts=True, into=into)
     return _with_text(got.where(F.col(into)["kept"]), docs.columns, F.col(into)["text"])
 
@@ -65,7 +57,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes empty; rows that repeat an id lose nothing to each other; an empty table
     stays empty; columns may have any names.
     """
-    into = _free(docs.columns, "dedup")
+    into = free("dedup", docs.columns)
     got = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], into=into)
     return _with_text(got, docs.columns, _whole(F.col(into)["kept"]))
 
@@ -82,7 +74,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text stays null; repeated rows get the same text; an empty table stays empty; columns may
     have any names.
     """
-    into = _free(docs.columns, "pii")
+    into = free("pii", docs.columns)
     return _with_text(pseudonymise(docs, KEY, into=into), docs.columns, F.col("text"))
 
 
