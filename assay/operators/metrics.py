@@ -38,22 +38,30 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
+def outline(rows: DataFrame) -> DataFrame:
+    """One row, in one pass and without a shuffle of rows: the labelled rows' approximate quantiles of the score (edges) and class totals (np, nn)."""
+    mal = F.col("label") == 1
+    edges = F.percentile_approx("score", F.array(*[dbl(k / CELLS) for k in range(1, CELLS)]), 4 * CELLS)
+    return rows.where("label >= 0").agg(edges.alias("edges"), F.count_if(mal).alias("np"), F.count_if(F.col("label") == 0).alias("nn"))
+
+
 def score_steps(rows: DataFrame, *by: str) -> DataFrame:
-    """(by, score, p, n, tp, fp): for each distinct score the malicious and benign rows with it, and with it or more.
+    """(by, score, p, n, tp, fp): for each distinct score the malicious and benign rows with it, and with it or more; without
+    groups the class totals (np, nn) too.
 
-    A running sum over all scores without one task for all: the distinct scores are cut at CELLS approximate
+    A running sum over all scores without one task for all: the scores are cut at CELLS approximate
     quantiles (so that a pile of scores at one end is spread too), the sums of the cells above come from a
     table of CELLS rows a group, the rest from windows within a cell.
     """
+    whole = [] if by else ["np", "nn"]
     steps = rows.where("label >= 0").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    edges = steps.agg(F.percentile_approx("score", F.array(*[dbl(k / CELLS) for k in range(1, CELLS)]), 4 * CELLS).alias("edges"))
-    steps = steps.crossJoin(F.broadcast(edges))  # one row
+    steps = steps.crossJoin(F.broadcast(outline(rows)))  # one row
     steps = steps.withColumn("cell", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("score"))), F.lit(0))).drop("edges")
     above = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = steps.groupBy(*by, "cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))  # at most CELLS rows a group
     cells = cells.select(*by, "cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("n0"))
     own = Window.partitionBy(*by, "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(F.broadcast(cells), [*by, "cell"]).select(*by, "score", "p", "n", (F.col("p0") + F.sum("p").over(own)).alias("tp"), (F.col("n0") + F.sum("n").over(own)).alias("fp"))
+    return steps.join(F.broadcast(cells), [*by, "cell"]).select(*by, "score", "p", "n", (F.col("p0") + F.sum("p").over(own)).alias("tp"), (F.col("n0") + F.sum("n").over(own)).alias("fp"), *whole)
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -62,14 +70,14 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def roc_points(rows: DataFrame) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score; the point of no detections has threshold infinity."""
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))  # one row of totals
+    at = score_steps(rows)
     points = at.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("np")).alias("tpr"), ratio(F.col("fp"), F.col("nn")).alias("fpr"))
     start = totals(rows).select(dbl("inf").alias("threshold"), F.when(F.col("np") > 0, dbl(0)).alias("tpr"), F.when(F.col("nn") > 0, dbl(0)).alias("fpr"))
     return points.unionByName(start)
 
 
 def pr_points(rows: DataFrame) -> DataFrame:
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    at = score_steps(rows)
     return at.select(F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("np")).alias("recall"))
 
 
@@ -83,7 +91,7 @@ def auroc(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    at = score_steps(rows)
     return at.agg(F.sum(ratio(F.col("p"), F.col("np")) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("average_precision"))
 
 
@@ -130,7 +138,7 @@ def calibrated_threshold(rows: DataFrame, target: float) -> DataFrame:
     ben = rows.where("label = 0")
     s = F.col("score")
     bad = s.isNull() | F.isnan(s) | (F.abs(s) == dbl("inf"))
-    at = score_steps(ben.withColumn("label", F.lit(0))).crossJoin(F.broadcast(ben.agg(F.count(F.lit(1)).alias("nn"), F.count_if(bad).alias("nbad"))))
+    at = score_steps(ben.withColumn("label", F.lit(0))).crossJoin(F.broadcast(ben.agg(F.count_if(bad).alias("nbad"))))
     k = F.floor(dbl(target) * F.col("nn") + dbl(1e-9))
     above = F.max(F.when(F.col("fp") >= k + 1, F.col("score")))
     got = at.agg(F.max("nn").alias("n"), F.max("nbad").alias("nbad"), F.max(F.col("nn") - k).alias("room"), above.alias("above"), F.max(F.when(F.col("fp") < k + 1, F.col("fp"))).alias("achieved"), F.max(F.when(F.col("score") >= 0, F.col("fp"))).alias("not_below_0"))
@@ -143,7 +151,7 @@ def calibrated_threshold(rows: DataFrame, target: float) -> DataFrame:
 def attack_metrics(rows: DataFrame, decision: float) -> DataFrame:
     """Advantage (tpr - fpr) at a decision threshold, the best one and where it is (the highest threshold wins), AUROC,
     and the tpr at 1 % fpr, in one pass over the distinct scores."""
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    at = score_steps(rows)
     tpr, fpr = ratio(F.col("tp"), F.col("np")), ratio(F.col("fp"), F.col("nn"))
     gain = tpr - fpr
     hit = F.col("score") >= dbl(decision)
@@ -165,7 +173,7 @@ def attack_metrics(rows: DataFrame, decision: float) -> DataFrame:
 def performance(rows: DataFrame, threshold: float, max_fpr: float, bins: int = 15) -> DataFrame:
     """One row: confusion, rates with intervals, AUROC, AUPRC, Brier score, ECE, tpr at fixed fprs and the threshold that
     keeps max_fpr, all from one pass over the distinct scores."""
-    at = score_steps(rows).crossJoin(F.broadcast(totals(rows)))
+    at = score_steps(rows)
     s, p, n, tp, fp, mal, ben = (F.col(c) for c in ("score", "p", "n", "tp", "fp", "np", "nn"))
     hit, tpr, fpr = s >= dbl(threshold), ratio(tp, mal), ratio(fp, ben)
     k = F.greatest(F.least(F.ceil(s * dbl(bins)) - 1, F.lit(bins - 1)), F.lit(0))
