@@ -91,7 +91,7 @@ def _trim(x: str) -> str:
 
 
 def _fixed(x: str, digits: int) -> str:
-    """A non-negative double with fixed digits, rounded half up."""
+    """A non-negative double with fixed digits."""
     return f"format('{{:.{digits}f}}', {x})"
 
 
@@ -110,8 +110,8 @@ _NUM = "l_extendedprice * l_quantity / pow(10.0::DOUBLE, l_linenumber * 2)"
 
 
 def _dec(x: str, digits: int) -> str:
-    """A double's shortest decimal with fixed digits, rounded half up."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,14)), {digits}) AS DECIMAL(38,{digits}))::VARCHAR"
+    """A double with fixed digits, those of its exact value."""
+    return f"format('{{:.{digits}f}}', {x})"
 
 
 def _grouped(x: str) -> str:
