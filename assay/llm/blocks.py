@@ -105,7 +105,7 @@ def unpack_table(data: bytes) -> pa.Table:
 
 def stable(df: DataFrame, label: str) -> DataFrame:
     """df itself if it is a narrow plan over files, which can be read more than once, else a staged copy."""
-    return df if _narrow(df) else staged(df, label)
+    return df if is_scan(df) else staged(df, label)
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def fixed(df: DataFrame) -> DataFrame:
     return held.select([F.col(f"`{c}`").cast("string").alias(c) if c in text else F.col(f"`{c}`") for c in df.columns])
 
 
-def _narrow(df: DataFrame) -> bool:
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is a plan over files or rows at hand that needs no shuffle and stands for itself."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return all(line.lstrip(" :+-*").startswith(("Project", "Filter", "Relation", "LocalRelation", "Union")) for line in plan.splitlines() if line.strip())
 
@@ -131,7 +132,7 @@ def _narrow(df: DataFrame) -> bool:
 def places(df: DataFrame) -> int:
     """Number of buckets and of meeting places: one a BUCKET_BYTES of a scan, one a shuffle partition at least."""
     least = buckets(df.sparkSession)
-    if not _narrow(df):
+    if not is_scan(df):
         return least
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return least if size >= UNKNOWN else max(least, -(-size // BUCKET_BYTES))

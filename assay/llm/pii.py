@@ -213,7 +213,7 @@ def _shifted(x: str, seed: str) -> str:
         when c rlike '^[a-z]$' then chr(97 + (ascii(c) - 97 + {step}) % 26)
         when c rlike '^[A-Z]$' then chr(65 + (ascii(c) - 65 + {step}) % 26)
         when c rlike '^[0-9]$' then cast((cast(c as int) + {step}) % 10 as string)
-        {" ".join(f"when locate(c, '{x}') > 0 then substr('{x}', (locate(c, '{x}') - 1 + {step}) % {len(x)} + 1, 1)" for x in LETTERS)} else c end), ''))[0]"""
+        {" ".join(f"when c <> '' and locate(c, '{x}') > 0 then substr('{x}', (locate(c, '{x}') - 1 + {step}) % {len(x)} + 1, 1)" for x in LETTERS)} else c end), ''))[0]"""
 
 
 _ODD = "transform(split(reverse(body), ''), (c, i) -> if(i % 2 = 0, if(2 * int(c) > 9, 2 * int(c) - 9, 2 * int(c)), int(c)))"

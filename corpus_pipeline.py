@@ -12,6 +12,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.llm.blocks import is_scan
 from assay.llm.chosenpath import jaccard_join
 from assay.llm.common import free, staged
 from assay.llm.packing import best_fit_packing
@@ -97,7 +98,9 @@ def _stage(work):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         plain = lambda path: path.split(":", 1)[-1].lstrip("/")
         files, ours = [plain(f) for f in docs.inputFiles()], plain(shared_dir(spark))
-        past = docs.schema["doc_id"].metadata.get(STAGED, []) if "doc_id" in docs.columns else []
+        # only a plain scan of files is a written result; what is handed on unwritten still needs its tables
+        written = bool(files) and is_scan(docs) and "doc_id" in docs.columns
+        past = docs.schema["doc_id"].metadata.get(STAGED, []) if written else []
         release(spark, [p for p in past if plain(p).startswith(ours + "/") and not any(f.startswith(plain(p)) for f in files)])
         with collecting() as paths:
             out = work(spark, docs, sf_dir)
