@@ -14,7 +14,7 @@ from assay.operators import selection as S
 from assay.operators import trees as T
 from assay.operators import windows as W
 from assay.plans import modules as MO
-from assay.catalog.base import query
+from assay.catalog.base import ORACLE_SQL, query
 from assay.sources.corpora import events_corpus, line_corpus, table, training_hashes
 
 CUT = "1998-12-31"
@@ -356,18 +356,30 @@ def _(spark, sf):
     return MO.surrogate_fit(known.select("x", F.col("verdict").cast("double").alias("y")), "lr")(rows).agg(F.avg((F.col("guess") == F.col("verdict")).cast("double")).alias("fidelity"))
 
 
-@query("gate_run")
+_SQL = {k: ORACLE_SQL[k] for k in ("m1_performance", "m2_drift", "m4_membership", "m5_backdoor", "m7_explanation")}
+_GATE = f"""WITH m1 AS ({_SQL["m1_performance"]}), m2 AS ({_SQL["m2_drift"]}), m4 AS ({_SQL["m4_membership"]}), m5 AS ({_SQL["m5_backdoor"]}), m7 AS ({_SQL["m7_explanation"]}),
+  k AS (SELECT 'performance' AS module, 'hard' AS gate, 3.0::DOUBLE AS w, unnest([fpr_passed, detection_passed]) AS passed, unnest([fpr_score, detection_score]) AS score FROM m1 UNION ALL SELECT 'drift', 'warn', 1.5, unnest([aut_passed, fpr_passed]), unnest([aut_score, NULL]) FROM m2
+    UNION ALL SELECT 'membership', 'warn', 1.0, passed, score FROM m4 UNION ALL SELECT 'backdoor', 'warn', 1.0, n_flagged = 0, CASE WHEN n_flagged <= 0 THEN 1 ELSE least(greatest(0.75::DOUBLE * (1 - least(greatest(top_suspicion, 0), 1)) / 0.5::DOUBLE, 0), 0.75::DOUBLE - 1e-6::DOUBLE) END FROM m5
+    UNION ALL SELECT 'explanation', 'warn', 0.5, unnest([controllable_share <= 0.5::DOUBLE, top_1 <= 0.3::DOUBLE]), unnest([{_graded('controllable_share', 0.5, 0.25, 0.9, False, False)}, {_graded('top_1', 0.3, 0.1, 0.8, False, False)}]) FROM m7),
+  md AS (SELECT module, gate, w, coalesce(bool_or(NOT passed), false) AS failed, bool_or(passed IS NULL) AS unknown, min(score) AS score FROM k GROUP BY module, gate, w),
+  a AS (SELECT sum(w) AS total, coalesce(sum(w) FILTER (score IS NOT NULL), 0) AS counted, coalesce(sum(w * least(greatest(score, 0), 1)) FILTER (score IS NOT NULL), 0) AS s, count(*) FILTER (gate = 'hard' AND (failed OR unknown)) AS n_blockers, count(*) FILTER (failed) AS n_warned, count(*) FILTER (module = 'performance' AND (failed OR unknown)) AS n_missing FROM md),
+  r AS (SELECT *, CASE WHEN counted > 0 THEN floor(1000.0::DOUBLE * s / counted + 0.5::DOUBLE) / 10.0::DOUBLE END AS raw, counted / total AS coverage FROM a)
+  SELECT CASE WHEN n_blockers > 0 AND raw > 49 THEN 49::DOUBLE ELSE raw END AS score, round(coverage, 6) AS coverage, n_blockers, CASE WHEN n_blockers > 0 THEN 'blocked' WHEN raw IS NULL THEN 'not_ready' WHEN raw >= 80 AND n_warned = 0 AND n_missing = 0 AND coverage >= 0.75 THEN 'ready' WHEN raw >= 60 THEN 'conditional' ELSE 'not_ready' END AS verdict FROM r"""
+
+
+@query("gate_run", _GATE)
 def _(spark, sf):
     """All modules on the given tables, to one verdict."""
     ev, li = events_corpus(spark, sf), line_corpus(spark, sf)
     results = {
         "performance": ("hard", MO.m1_performance(ev, training_hashes(ev), 0.5)),
         "drift": ("warn", MO.m2_drift(li, None, CUT, 0.5, "month", LEAST, LEAST_BENIGN)),
-        "membership": ("warn", MO.m4_membership(li, _sides(spark, sf)[1], 0.5, 3, least=50)),
+        "membership": ("warn", MO.m4_membership(*_apart(spark, sf), 0.5, 3, least=50)),
         "backdoor": ("warn", MO.m5_backdoor(uneven(spark, sf))),
         "explanation": ("warn", MO.m7_explanation(attribution(spark, sf), levels(spark))),
     }
-    return MO.gate_run(results, {"performance": 3.0, "drift": 1.5, "membership": 1.0, "backdoor": 1.0, "explanation": 0.5}, ["performance"])
+    got = MO.gate_run(results, {"performance": 3.0, "drift": 1.5, "membership": 1.0, "backdoor": 1.0, "explanation": 0.5}, ["performance"])
+    return R(got.select("score", "coverage", "n_blockers", "verdict"), "coverage")
 
 
 _CAPS = "CASE WHEN l_returnflag <> 'N' THEN ['feature_space'] ELSE [] END || CASE WHEN l_linestatus = 'O' THEN ['timestamps'] ELSE [] END || CASE WHEN l_linenumber % 2 = 0 THEN ['training_hashes'] ELSE [] END || CASE WHEN l_linenumber % 3 = 0 THEN ['tree_access'] ELSE [] END"
