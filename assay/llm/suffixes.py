@@ -200,7 +200,8 @@ def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rows.view(f"S{ENTRY}").ravel(), kind="stable")
     sorted_ = rows[order]
     new = np.ones(len(order), bool)
-    new[1:] = (sorted_[1:] != sorted_[:-1]).any(1)
+    whole = sorted_.view(f"S{ENTRY}").ravel()  # an entry's last byte is never 0, so they compare whole
+    new[1:] = whole[1:] != whole[:-1]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     return sorted_[new], of
@@ -248,8 +249,10 @@ def block_entries(texts: Texts, key: np.ndarray, n: int) -> tuple[np.ndarray, np
     if not held:
         return np.zeros((0, ENTRY), np.uint8), np.zeros(0, np.int64), []
     sizes = np.cumsum([0, *map(len, held)])
-    rows, of = _merged(np.concatenate(held))
-    del held
+    every = np.concatenate(held)
+    held.clear()
+    rows, of = _merged(every)
+    del every
     least = np.full(len(rows), NEVER, np.int64)
     np.minimum.at(least, of, np.concatenate(leasts))
     state = [join_parts([a, b, zip_ints(of[s:e])]) for (a, b), s, e in zip(packed, sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
