@@ -1,8 +1,8 @@
 """Trees of a node table numbered by intervals: what a task does with one tree.
 
 Each node gets its place in depth-first order and the last place below it, so that a subtree is a range of places: sums over
-subtrees are differences of one running sum, and whatever a path gathers comes down level by level in arrays. A tree is a task's
-unit of work; ensembles are spread by tree.
+subtrees come up level by level in arrays, and whatever a path gathers comes down so. A tree is a task's unit of work; ensembles
+are spread by tree.
 """
 
 from __future__ import annotations
@@ -60,9 +60,13 @@ class Numbered:
         self.levels = [np.flatnonzero(self.depth == k) for k in range(len(levels))]
 
     def below(self, leaf_values: np.ndarray) -> np.ndarray:
-        """Of each node the sum over the leaves in its range."""
-        run = np.concatenate([[0.0], np.cumsum(np.where(self.left < 0, leaf_values, 0.0))])
-        return run[self.last + 1] - run[:-1]
+        """Of each node the sum over its leaves, level by level from below: differences of a running sum would carry the rounding of
+        the whole tree into each node."""
+        out = np.where(self.left < 0, leaf_values, 0.0).astype(float)
+        for level in reversed(self.levels):
+            inner = level[self.left[level] >= 0]
+            out[inner] = out[self.left[inner]] + out[self.right[inner]]
+        return out
 
     def down(self, start: float, step: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type = float) -> np.ndarray:
         """Values from the root down: step(nodes of a level, the values of their parents)."""
