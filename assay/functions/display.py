@@ -61,13 +61,55 @@ def _printed(form: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.coalesce(F.concat(sign, text, F.lit(behind)), F.format_string(form, value)))
 
 
+def _units(size: Column, digits: Column) -> Column:
+    """A size from 1e-15 up to 1e15 in units of its last digit behind the point (0 to 18 of them), rounded, ties to the even number.
+
+    The product of doubles decides where it is far from a tie, which its own rounding can't cross; else whole numbers do."""
+    product = size * F.pow(num(10), digits.cast("double"))
+    plain = (product < num(1e9)) & (F.abs(product - F.floor(product).cast("double") - num(0.5)) > num(1e-5))
+    shift = (F.lit(53) - F.floor(F.log2(size))).cast("int")
+    whole = (size * F.pow(num(2), shift.cast("double"))).cast("bigint").cast("decimal(17,0)")
+    over = F.element_at(F.array([F.lit(Decimal(10**k)).cast("decimal(19,0)") for k in range(19)]), digits + 1)
+    by = F.element_at(F.array([F.lit(x).cast("decimal(38,0)") for x in _POWERS]), shift + 1)
+    exactly = F.transform(F.array(F.struct((whole * over).cast("decimal(38,0)").alias("n"), by.alias("by"))), _rounded)[0]
+    return F.when(plain, F.floor(product + num(0.5)).cast("bigint")).otherwise(exactly.cast("bigint"))
+
+
+def _fixed(size: Column, digits: Column, grouped: bool) -> Column:
+    """A size with some digits behind the point: with commas, or without trailing zeros."""
+
+    def text(x: Column) -> Column:
+        ten = F.pow(num(10), x["digits"].cast("double")).cast("bigint")
+        behind = x["units"] % ten
+        whole, part = ((x["units"] - behind) / ten).cast("bigint"), F.lpad(behind.cast("string"), x["digits"], F.lit("0"))
+        if grouped:
+            return F.concat(F.format_number(whole, 0), F.lit("."), part)
+        return F.concat(whole.cast("string"), F.when(behind == 0, "").otherwise(F.concat(F.lit("."), F.rtrim(part, F.lit("0")))))
+
+    return F.transform(F.array(F.struct(_units(size, digits).alias("units"), digits.alias("digits"))), text)[0]
+
+
+def _power(size: Column, least: int, most: int) -> Column:
+    """The power of ten of a size's first digit, between two."""
+    out = F.lit(least)
+    for power in range(least + 1, most + 1):
+        out = F.when(size >= num(float(f"1e{power}")), power).otherwise(out)
+    return out
+
+
 def _scientific(value: Column) -> Column:
     """Three digits and an exponent."""
-    text = F.format_string("%.2e", value)
-    for power in range(-15, -3):
-        mine = (F.abs(value) >= num(float(f"1e{power}"))) & (F.abs(value) < num(float(f"1e{power + 1}")))
-        text = F.when(mine, F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.2e", exact(value, 2 - power).cast("double")))).otherwise(text)
-    return text
+    size = F.abs(value)
+    power = _power(size, -15, -4)
+
+    def text(x: Column) -> Column:
+        more = x["units"] >= 1000  # rounded up to the next power
+        units, power = F.when(more, 100).otherwise(x["units"]), F.when(more, x["power"] + 1).otherwise(x["power"])
+        return F.concat(((units - units % 100) / 100).cast("int").cast("string"), F.lit("."), F.lpad((units % 100).cast("string"), 2, "0"), F.lit("e-"), F.lpad((-power).cast("string"), 2, "0"))
+
+    own = F.transform(F.array(F.struct(_units(size, F.lit(2) - power).alias("units"), power.alias("power"))), text)[0]
+    inside = (size >= num(1e-15)) & (size < num(1e-3))
+    return F.when(inside, F.concat(F.when(value < 0, "-").otherwise(""), own)).otherwise(F.format_string("%.2e", value))
 
 
 def _unsigned_zero(text: Column) -> Column:
@@ -89,15 +131,13 @@ def number_text(value: Column, digits: int = 4) -> Column:
     """A double in few characters: 0, 1,234, 1,234.5, 0.1235, 1.23e-05."""
     v = finite(value)
     size = F.abs(v)
-    general = F.lit(None).cast("string")
-    for power in range(-3, 3):  # below 1000 and from a thousandth: `digits` significant ones
-        own = _printed(f"%.{max(digits - 1 - power, 0)}f", v)
-        general = F.when(size >= num(10.0**power), F.when(own.contains("."), F.regexp_replace(own, r"\.?0+$", "")).otherwise(own)).otherwise(general)
+    sign = F.when(v < 0, "-").otherwise("")
+    general = F.concat(sign, _fixed(size, F.greatest(F.lit(digits - 1) - _power(size, -3, 2), F.lit(0)), False))  # `digits` significant ones
     text = (
         F.when(v == 0, "0")
         .when((size >= num(1e15)) | (size < num(1e-3)), _scientific(v))
         .when((v == F.floor(v).cast("double")) & (size >= 1), F.format_string("%,.0f", v))
-        .when(size >= 1000, _printed("%,.1f", v))
+        .when(size >= 1000, F.concat(sign, _fixed(size, F.lit(1), True)))
         .otherwise(general)
     )
     return dashed(text)
