@@ -12,10 +12,11 @@ With a component sqrt(M^2 - |x|^2) added to each row (M: the largest norm) and 0
    first few by id can be among the first of anything: as many as there are places stay, the others are not copied further.
 2. Each shard builds a vantage-point tree of its rows: a node has a vantage row and, for its near and far half, the least and
    largest distance from it.
-3. An anchor's rows come out of a shard nearest first: a queue holds nodes by the largest score that can be below them and rows by
-   their score; a node that can't reach the annulus, or only beyond what already fills all places, is never opened.
+3. Anchors walk a tree together. The distances from its vantage rows bound the scores of each leaf for each anchor; an anchor first
+   meets the leaf that can hold its highest scores, then those leaves that can still reach its annulus and what
+   doesn't fill all places yet. A leaf's rows meet all anchors that open it in one product of matrices.
    What a shard finds stays in the task as the bound of its next shard. Equal scores come out by id.
-4. The tasks' lists are merged. The first pass gives the positives, the second one walk an anchor for all its positives' annuli.
+4. The tasks' lists are merged. The first pass gives the positives, the second one all annuli of an anchor's positives.
 
 Anchors are broadcast in blocks of ANCHOR_BYTES, a pass for each block.
 
@@ -29,7 +30,7 @@ as squared norms stay below 2^62; larger ones are refused.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,10 @@ from pyspark.sql import functions as F
 from assay.llm.blocks import small_batches, trim
 from assay.llm.common import buckets, staged
 
-SCALE, SAMPLE, SHARD_ROWS, LEAF, MOST_LEAVES = 256, 20_000, 4096, 48, 1024
+SCALE, SAMPLE, SHARD_ROWS, LEAF, MOST_LEAVES = 256, 20_000, 4096, 256, 1024
 ANCHOR_BYTES = 32 << 20
-EXACT, MOST = float(1 << 53), float(1 << 62)
+EXACT, MOST, NONE = float(1 << 53), float(1 << 62), -(1 << 62)
+TOGETHER = 1024  # questions that walk a tree at a time
 
 
 def _distances(rows: np.ndarray, norms: np.ndarray, at: int, most: float) -> np.ndarray:
@@ -51,6 +53,33 @@ def _distances(rows: np.ndarray, norms: np.ndarray, at: int, most: float) -> np.
     return np.sqrt(np.maximum(square, 0))
 
 
+class Places:
+    """The first k rows (score, id) of each question, by falling score, then id; a place that nothing fills has the score NONE.
+
+    Question i is the anchor anchor[i]'s: rows with low[i] <= score <= high[i]."""
+
+    def __init__(self, k: int, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, kind: type):
+        self.anchor, self.high = anchor, high.astype(kind)
+        self.low = low.astype(kind)  # rises to the score of the last place once all are filled
+        self.scores, self.ids = np.full((len(anchor), k), NONE, kind), np.zeros((len(anchor), k), np.int64)
+
+    def add(self, asked: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Rows within the limits of the questions `asked`, one each."""
+        if not len(asked):
+            return
+        own, k = np.unique(asked), self.scores.shape[1]
+        q = np.concatenate([asked, np.repeat(own, k)])
+        scores, ids = np.concatenate([scores, self.scores[own].ravel()]), np.concatenate([ids, self.ids[own].ravel()])
+        order = np.lexsort((ids, -scores, q))
+        q = q[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        best = place < k
+        self.scores[q[best], place[best]], self.ids[q[best], place[best]] = scores[order][best], ids[order][best]
+        last = self.scores[own, -1]
+        self.low[own] = np.where(last > NONE, last, self.low[own])
+
+
 class VantageTree:
     """Nodes in arrays. A node's rows are rows[first:stop]; its vantage row is at `first`, its halves are the nodes near and far, if any."""
 
@@ -128,6 +157,66 @@ class VantageTree:
                     heapq.heappush(queue, (-min(top, high), 0, 0, child))
 
 
+    def fill(self, places: Places, asked: np.ndarray, anchors: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray) -> None:
+        """Add the tree's rows to the places of the questions `asked`. fits(anchors, rows), by numbers: a mask of the rows that may be theirs."""
+        if not self.nodes or not len(asked):
+            return
+        exact = self.most < EXACT
+        rows, kind = (self.rows, np.float64) if exact else (self.rows.astype(np.int64), np.int64)
+        who, at = np.unique(places.anchor[asked], return_inverse=True)
+        mine = anchors[who].astype(kind)
+        inner = [i for i, n in enumerate(self.nodes) if n[2] >= 0]
+        leaves = [i for i, n in enumerate(self.nodes) if n[2] < 0]
+        vantage = np.array([self.nodes[i][0] for i in inner], np.int64)
+        scores = mine @ rows[vantage].T
+        tops, bottoms = self._reach(inner, (mine.astype(np.float64) ** 2).sum(1), scores.astype(np.float64))
+
+        def meet(some: np.ndarray, own: np.ndarray, found: np.ndarray | None = None) -> None:
+            """Questions (numbers in asked) with the rows at `own`."""
+            q = asked[some]
+            if found is None:
+                each, back = np.unique(at[some], return_inverse=True)
+                found = (mine[each] @ rows[own].T)[back]
+            fit = (found >= places.low[q, None]) & (found <= places.high[q, None])
+            fit &= fits(places.anchor[q], self.order[own])
+            k = places.scores.shape[1]
+            full = np.flatnonzero(np.count_nonzero(fit, axis=1) > k)
+            if len(full):  # of many rows, only those that can be among the first
+                kept = np.where(fit[full], found[full], NONE)
+                fit[full] &= kept >= np.partition(kept, len(own) - k, axis=1)[:, len(own) - k, None]
+            i, j = np.nonzero(fit)
+            places.add(q[i], found[i, j], ids[self.order[own[j]]])
+
+        every = np.arange(len(asked))
+        if inner:
+            meet(every, vantage, scores[at])
+        top, bottom = tops[leaves][:, at], bottoms[leaves][:, at]
+        left = (top >= places.low[asked]) & (bottom <= places.high[asked])
+        best = np.where(left, np.minimum(top, places.high[asked]), -np.inf).argmax(0)
+        first = left[best, every]
+        left[best, every] = False
+        for turn in (0, 1):
+            for n, leaf in enumerate(leaves):
+                some = first & (best == n) if turn == 0 else left[n]
+                some = np.flatnonzero(some & (top[n] >= places.low[asked]))
+                if len(some):
+                    meet(some, np.arange(*self.nodes[leaf][:2]))
+
+    def _reach(self, inner: list[int], squares: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest and the lowest score that each node's rows can have, by node and anchor; scores: anchors with vantage rows."""
+        total = squares + self.most
+        slack = 1e-9 * total + 1.0
+        tops, bottoms = np.full((len(self.nodes), len(squares)), np.inf), np.full((len(self.nodes), len(squares)), -np.inf)
+        for i, own in zip(inner, scores.T, strict=True):
+            _, _, near, far, *reach = self.nodes[i]
+            d = np.sqrt(np.maximum(total - 2 * own, 0))
+            for child, (least, most) in ((near, reach[:2]), (far, reach[2:])):
+                close, away = np.maximum(np.maximum(d - most, least - d), 0), d + most
+                tops[child] = np.minimum(tops[i], (total - close * close) / 2 + slack)
+                bottoms[child] = np.maximum(bottoms[i], (total - away * away) / 2 - slack)
+        return tops, bottoms
+
+
 def _dealer(sample: np.ndarray, most: float, leaves: int) -> list[tuple]:
     """Nodes (vantage row or None, cut distance, near, far, leaf number) of a shallow tree over the sample."""
     nodes: list = []
@@ -250,20 +339,23 @@ def _mine(shards: DataFrame, anchors: DataFrame, dim: int, most: float, n_positi
             own = np.array([sent.value[3].get(x, -1) for x in table.column("label").to_pylist()], np.int64)
             yield VantageTree(_matrix(table.column("vec"), dim), most), table.column("id").to_numpy(), own
 
-    def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batches: Iterator[pa.RecordBatch], places: Places, same: bool) -> Places:
+        """Places of all questions after the task's shards: by rows of the anchor's label without the anchor's id, or of other labels."""
         ids, vecs, labels, _ = sent.value
-        found: list[list[tuple[int, int]]] = [[] for _ in ids]
         for tree, own_ids, own_labels in each_shard(batches):
-            for i in range(len(ids)):
-                have = found[i]
-                least = have[-1][0] if len(have) == n_positives else -np.inf
-                new = []
-                for score, id_, _ in tree.nearest_first(vecs[i], own_ids, (own_labels == labels[i]) & (own_ids != ids[i]), least, np.inf):
-                    new.append((score, id_))
-                    if len(new) == n_positives:
-                        break
-                found[i] = sorted(have + new, key=lambda x: (-x[0], x[1]))[:n_positives]
-        yield from _out(("anchor", "score", "id"), [(i, s, d) for i, have in enumerate(found) for s, d in have])
+            like = lambda anchors, rows: own_labels[rows] == labels[anchors, None]  # noqa: B023, E731
+            fits = (lambda anchors, rows: like(anchors, rows) & (own_ids[rows] != ids[anchors, None])) if same else (lambda anchors, rows: ~like(anchors, rows))  # noqa: B023, E731
+            for at in range(0, len(places.anchor), TOGETHER):
+                tree.fill(places, np.arange(at, min(at + TOGETHER, len(places.anchor))), vecs, fits, own_ids)
+        return places
+
+    kind = np.float64 if most < EXACT else np.int64
+
+    def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(sent.value[0])
+        got = filled(batches, Places(n_positives, np.arange(n), np.full(n, NONE + 1), np.full(n, -NONE), kind), True)
+        i, j = np.nonzero(got.scores > NONE)
+        yield from _out(("anchor", "score", "id"), (i, got.scores[i, j], got.ids[i, j]))
 
     ranked = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("id"))))
     dealt = shards.repartition(max(buckets(spark), 1), "shard").sortWithinPartitions("shard")
@@ -271,40 +363,15 @@ def _mine(shards: DataFrame, anchors: DataFrame, dim: int, most: float, n_positi
     first = ranked(dealt.mapInArrow(positives, "anchor bigint, score bigint, id bigint"), "anchor").where(F.col("nth") <= n_positives)
     first = staged(first, "negatives-positives")
     pairs = first.orderBy("anchor", "nth").toArrow()  # n_positives for each anchor of the block at most
-    windows: list[list[tuple[int, int]]] = [[] for _ in ids]  # of each anchor (positive's number, its score)
-    for a, s, nth in zip(*(pairs.column(c).to_pylist() for c in ("anchor", "score", "nth")), strict=True):
-        windows[a].append((nth, s))
-    sent_windows = spark.sparkContext.broadcast(windows)
+    # annuli that hold anything: low * p <= 100 n <= 100 p
+    asked_of = [(a, nth, max(-(-low * p // 100), NONE + 1), p) for a, nth, p in zip(*(pairs.column(c).to_pylist() for c in ("anchor", "nth", "score")), strict=True) if low * p <= 100 * p]
+    sent_windows = spark.sparkContext.broadcast(np.array(asked_of, np.int64).reshape(-1, 4))
 
     def negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, labels, _ = sent.value
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for tree, own_ids, own_labels in each_shard(batches):
-            for i, own in enumerate(sent_windows.value):
-                # annuli that hold anything: low * p <= 100 n <= 100 p
-                need = {nth: (-(-low * p // 100), p) for nth, p in own if low * p <= 100 * p}
-                if not need:
-                    continue
-                before = {nth: found.get((i, nth), []) for nth in need}
-                edge = {nth: max(a, before[nth][-1][0]) if len(before[nth]) == k else a for nth, (a, _) in need.items()}
-                new: dict[int, list] = {nth: [] for nth in need}
-                walk = tree.nearest_first(vecs[i], own_ids, own_labels != labels[i], min(edge.values()), max(p for _, p in need.values()))
-                step = next(walk, None)
-                while step is not None:
-                    score, id_, _ = step
-                    for nth in new:
-                        if edge[nth] <= score <= need[nth][1] and len(new[nth]) < k:
-                            new[nth].append((score, id_))
-                    open_ = [edge[nth] for nth in new if len(new[nth]) < k]
-                    if not open_:
-                        break
-                    try:
-                        step = walk.send(min(open_))
-                    except StopIteration:
-                        step = None
-                for nth in new:
-                    found[i, nth] = sorted(before[nth] + new[nth], key=lambda x: (-x[0], x[1]))[:k]
-        yield from _out(("anchor", "positive", "score", "id"), [(i, nth, s, d) for (i, nth), have in found.items() for s, d in have])
+        anchor, positive, least, high = sent_windows.value.T
+        got = filled(batches, Places(k, anchor, least, high, kind), False)
+        i, j = np.nonzero(got.scores > NONE)
+        yield from _out(("anchor", "positive", "score", "id"), (anchor[i], positive[i], got.scores[i, j], got.ids[i, j]))
 
     second = ranked(dealt.mapInArrow(negatives, "anchor bigint, positive bigint, score bigint, id bigint"), "anchor", "positive").where(F.col("nth") <= k)
     own = first.select("anchor", F.col("nth").alias("positive"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
@@ -332,6 +399,6 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     trim()
 
 
-def _out(names: tuple[str, ...], rows: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 20_000], strict=True)], list(names))
+def _out(names: tuple[str, ...], columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000].astype(np.int64)) for c in columns], list(names))
