@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.blocks import answered, cut_tables, fixed, gathered, join_parts, pack_table, places, split_parts, split_words, spread, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, unzip_words, word_hashes, zip_bytes, zip_ints, zip_words
+from assay.llm.blocks import answered, cut_tables, fixed, gathered, join_parts, pack_table, places, split_parts, split_words, spread, spread_again, stable, unpack_table, unzip_bytes, unzip_ints, unzip_words, word_hashes, word_runs, zip_bytes, zip_ints, zip_words
 from assay.llm.common import named, ragged
 
 #: Texts whose case counts: a character above U+00FF, or the begin of a special token.
@@ -75,10 +75,8 @@ def stems(words: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(data[ragged(offsets[:-1], lengths)])])
 
 
-def _lists(words: list[bytes], n: int) -> Iterator[tuple[int, bytes]]:
+def _lists(table: pa.Array, home: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Each bucket's words, in order of their numbers; a word and its forms with marks share a bucket."""
-    table = pa.array(words, pa.binary())
-    home = _homes(table, n)
     order = np.argsort(home, kind="stable")
     cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
@@ -86,7 +84,8 @@ def _lists(words: list[bytes], n: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _homes(words: pa.Array, n: int) -> np.ndarray:
-    return (word_hashes(stems(words)) % np.uint64(n)).astype(np.int64)
+    """Bucket of each word."""
+    return np.concatenate([np.zeros(0, np.int64), *((word_hashes(stems(run)) % np.uint64(n)).astype(np.int64) for run in word_runs(words))])
 
 
 def _sender(lists: bool, pieces: bool):
@@ -101,11 +100,12 @@ def _sender(lists: bool, pieces: bool):
         block, piece = 0, n
 
         def finish() -> Iterator[tuple[int, int, bytes]]:
-            words = list(known)
+            words = pa.array(list(known), pa.binary())
+            home = _homes(words, n)
             if lists:
-                yield from ((block, slot, body) for slot, body in _lists(words, n))
+                yield from ((block, slot, body) for slot, body in _lists(words, home))
             if pieces:
-                yield block, n, zip_ints(_homes(pa.array(words, pa.binary()), n))
+                yield block, n, zip_ints(home)
 
         for table in cut_tables(batches):
             words, counts = split_words(lowered(pc.fill_null(table.column("text").combine_chunks(), "")))
