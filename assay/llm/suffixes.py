@@ -80,7 +80,9 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of texts that lie one after another in b."""
+    """(positions, keys) of the anchors of texts that lie one after another in b.
+
+    A key is the hash mixed once more: the least of some hashes are small, and buckets are ranges of keys."""
     if len(b) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = kmer_hashes(b)
@@ -91,7 +93,7 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(WINDOWS - 1, np.uint64)
     high = _slide(np.concatenate([pad, least, pad]), WINDOWS, np.maximum)
     at = np.flatnonzero((high == h) & (high > 0))
-    return at, h[at]
+    return at, mix64(h[at])
 
 
 class Run(NamedTuple):
